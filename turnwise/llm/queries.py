@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_shards, mixture_packing, quality_gam
+from . import chunked_bpe, hilbert_shards, mixture_packing, ngram_join, quality_gam
 from .common import table
 
 
@@ -26,5 +26,20 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_quality_gam, op7_mixture_packing)}
+def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents")))
+    return there.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "set_id", "class_id", "n_links")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_hilbert_shards, op2_quality_gam, op7_mixture_packing, op9_chunked_bpe, op10_ngram_join)
+}
 ORACLES: dict[str, str] = {}
