@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, hilbert_shards, mixture_packing, ngram_join, quality_gam
+from . import chunked_bpe, hilbert_shards, line_dedup, mixture_packing, ngram_join, quality_gam
 from .common import table
 
 
@@ -22,6 +22,13 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.report(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed")
+    )
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -40,6 +47,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_quality_gam, op7_mixture_packing, op9_chunked_bpe, op10_ngram_join)
+    for f in (op1_hilbert_shards, op2_quality_gam, op4_line_dedup, op7_mixture_packing, op9_chunked_bpe, op10_ngram_join)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL_REPORT}
