@@ -17,7 +17,6 @@ stay separate rows; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
+from .pieces import BYTE_PIECES, PieceIds, piece_ids
 
 #: A chunk ends where this many bits of the rolling hash are zero: 1 KiB on average.
 CUT_BITS = 10
@@ -40,18 +40,8 @@ _WINDOW = 16
 _SURE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _load(tokenizer: str | None):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    model = Tokenizer.from_file(tokenizer)
-    model.no_truncation()
-    model.no_padding()
-    return model
+def _load(tokenizer: str | None) -> PieceIds:
+    return piece_ids(tokenizer, "byte_bpe_50k.json", BYTE_PIECES, False)
 
 
 def cuts(raw: bytes, bits: int = CUT_BITS, least: int = LEAST_CHUNK) -> list[int]:
@@ -105,7 +95,7 @@ class _Chunk:
         self.head_ids = self.tail_ids = None
 
 
-def encode_block(model, texts: list[str], known: dict[bytes, _Chunk]) -> list[np.ndarray]:
+def encode_block(model: PieceIds, texts: list[str], known: dict[bytes, _Chunk]) -> list[np.ndarray]:
     """The ids of each text; ``known`` holds the chunks met so far."""
     docs: list[list[_Chunk]] = []
     new: list[_Chunk] = []
@@ -135,7 +125,7 @@ def encode_block(model, texts: list[str], known: dict[bytes, _Chunk]) -> list[np
         docs.append(row)
     _encode(model, new)
     meets = [(r, k, a.tail + b.head) for r, row in enumerate(docs) for k, (a, b) in enumerate(zip(row, row[1:], strict=False))]
-    repaired = {(r, k): np.array(e.ids, np.uint32) for (r, k, _), e in zip(meets, model.encode_batch_fast([m[2] for m in meets], add_special_tokens=False), strict=True)}
+    repaired = {(r, k): np.frombuffer(x, model.kind) for (r, k, _), x in zip(meets, model.encode([m[2] for m in meets]), strict=True)}
     out = []
     for r, row in enumerate(docs):
         parts: list[np.ndarray] = []
@@ -149,18 +139,18 @@ def encode_block(model, texts: list[str], known: dict[bytes, _Chunk]) -> list[np
                 agreed &= joined[0] == c.tail_ids[0] and joined[-1] == row[k + 1].head_ids[-1]
                 parts.append(joined)
         if not agreed:  # widened to the whole text
-            parts = [np.array(model.encode(texts[r], add_special_tokens=False).ids, np.uint32)]
-        out.append(np.concatenate(parts) if parts else np.array([], np.uint32))
+            parts = [np.frombuffer(model.encode([texts[r]])[0], model.kind)]
+        out.append(np.concatenate(parts).astype("<u4") if parts else np.array([], "<u4"))
     return out
 
 
-def _encode(model, chunks: list[_Chunk]) -> None:
+def _encode(model: PieceIds, chunks: list[_Chunk]) -> None:
     texts = [t for c in chunks for t in ((c.text, c.head, c.tail) if c.head is not None else (c.text,))]
-    found = iter(model.encode_batch_fast(texts, add_special_tokens=False))
+    found = iter(np.frombuffer(x, model.kind) for x in model.encode(texts))
     for c in chunks:
-        c.ids = np.array(next(found).ids, np.uint32)
+        c.ids = next(found)
         if c.head is not None:
-            c.head_ids, c.tail_ids = next(found).ids, next(found).ids
+            c.head_ids, c.tail_ids = next(found), next(found)
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -179,7 +169,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 if size > CHUNK_CACHE:
                     known, size = {}, 0
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                     ["doc_id", "n_tokens", "ids"],
                 )
 
@@ -196,7 +186,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 ids = [np.frombuffer(x.as_py(), "<u4").tolist() for x in part.column("ids")]
-                texts = model.decode_batch(ids, skip_special_tokens=False)
+                texts = model.model.decode_batch(ids, skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     plain = encoded.select("doc_id", "n_tokens", "ids")

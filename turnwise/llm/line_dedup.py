@@ -9,7 +9,8 @@ Words are ordered by rarity: how often the word's bucket of a fixed-size count
 table, filled from all documents, occurs in the corpus, then the word's hash.
 Sets that are similar enough share a word among the first n - ceil(0.8 n) + 1 of
 either; they meet in a join on those words, under the filters on length and on
-the position of the shared word, and are verified on all their words. Lines with
+the position of the shared word and under a bound on how much they differ, from
+128 parities of their words, and are verified on all their words. Lines with
 the same set are one row of that join, so common lines cost no more than rare
 ones; sets of up to three words match only themselves and stay out of it.
 
@@ -33,47 +34,56 @@ BUCKETS = 1 << 17
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(text), "\t\r\f\x0b", "    "), " "), "")
+    """The words of a text; empty strings stand where spaces meet."""
+    return F.split(F.translate(F.lower(text), "\t\r\f\x0b", "    "), " ")
 
 
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def rarity_table(docs: DataFrame) -> bytes:
-    """One byte a bucket: the logarithm of how often the bucket's words occur in all documents.
+def rarity_table(docs: DataFrame) -> list[int]:
+    """One number a bucket: the logarithm of how often the bucket's words occur in all documents.
 
     At most BUCKETS counts reach the driver.
     """
     words = docs.select(F.explode(_words(F.translate(whole_text(), "\n", " "))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count().collect()
-    table = bytearray(b"\x01" * BUCKETS)
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
+    table = [1] * BUCKETS
     for b, n in counts:
         table[b] = 1 + min(125, int(2.5 * math.log2(n + 1)))
-    return bytes(table)
+    return table
 
 
 def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, place, set_a, set_b, n, prefix): each line with its set's key and rarest words."""
-    table = F.lit(rarity_table(docs))
+    """(line, doc_id, text_hash, line_no, place, set_a, set_b, n, low, high, prefix): each line with its set's key, bitmap and rarest words."""
+    table = F.split(F.lit(",".join(map(str, rarity_table(docs)))), ",").cast("array<bigint>")  # folded to one literal
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"),
         F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "text"),
     )
 
     def key(h: Column) -> Column:
-        rare = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
-
-    keyed = rows.select(
-        "doc_id", "text_hash", "line_no", F.sort_array(F.transform(_hashes(F.col("text")), key)).alias("keys")
-    ).withColumn("n", F.size("keys"))
+        rare = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+
+    def bits(side: int) -> Column:
+        """The parity of the set's words in each of 64 cells."""
+        return F.aggregate(
+            "keys", F.lit(0).cast("long"),
+            lambda m, k: F.when(F.shiftright(k, 20).bitwiseAND(F.lit(1)) == side, m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 21).bitwiseAND(F.lit(63)).cast("int")))).otherwise(m),
+        )
+
+    keyed = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(_hashes(F.col("text")), key)).alias("keys"))
+    keyed = keyed.withColumn("n", F.size("keys"))
     needed = F.ceil(F.col("n") * F.lit(numerator) / F.lit(denominator)).cast("int")
+    joins = F.col("n") * (denominator - numerator) >= numerator
     return keyed.select(
         F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no",
         (F.coalesce("doc_id", F.lit(-1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)").alias("place"),
         F.xxhash64("keys").alias("set_a"), F.xxhash64(F.lit(1), "keys").alias("set_b"), "n",
-        F.when(F.col("n") * (denominator - numerator) >= numerator, F.slice("keys", 1, F.col("n") - needed + 1)).alias("prefix"),
+        F.when(joins, bits(0)).alias("low"), F.when(joins, bits(1)).alias("high"),
+        F.when(joins, F.slice("keys", 1, F.col("n") - needed + 1)).alias("prefix"),
     )
 
 
@@ -83,8 +93,8 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
     full = lines.where("n > 0")
     sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
     sets = materialise(sets, "line-sets")
-    joined = full.where(F.col("prefix").isNotNull()).select("line", "n", "prefix").join(sets.select("line"), "line", "left_semi")
-    rare = joined.select("line", "n", F.posexplode("prefix").alias("at", "key"))
+    joined = full.where(F.col("prefix").isNotNull()).select("line", "n", "low", "high", "prefix").join(sets.select("line"), "line", "left_semi")
+    rare = joined.select("line", "n", "low", "high", F.posexplode("prefix").alias("at", "key"))
     a, b = rare.alias("a"), rare.alias("b")
     both = F.col("a.n") + F.col("b.n")
     pairs = a.join(
@@ -92,7 +102,9 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
         (F.col("a.key") == F.col("b.key"))
         & (F.col("a.line") < F.col("b.line"))
         & (F.least("a.n", "b.n") * denominator >= F.greatest("a.n", "b.n") * numerator)
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (numerator + denominator) >= both * numerator),
+        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (numerator + denominator) >= both * numerator)
+        # words that only one of the two has change a parity, so at least so many differ
+        & ((F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))) * (numerator + denominator) <= both * (denominator - numerator)),
     ).select(F.col("a.line").alias("x"), F.col("b.line").alias("y")).distinct()
     pairs = materialise(pairs, "line-pairs")
     wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()

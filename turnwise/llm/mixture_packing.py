@@ -15,8 +15,6 @@ small to get one token a window share one queue, so there are at most
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,75 +25,18 @@ from pyspark.sql import functions as F
 
 from .common import materialise, parts, whole_text
 
-#: Pieces of words that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+from .common import materialise, parts, whole_text
+from .pieces import WORD_PIECES, piece_ids
+
 #: Documents tokenised at once.
 BLOCK = 256
-#: The tokenizer's own pattern of pieces, spelt out for Latin-1, where no character changes when composed.
-_LETTERS = re.escape("".join(c for c in map(chr, range(256)) if c.isalpha()))
-_NUMBERS = "".join(c for c in map(chr, range(256)) if c.isnumeric())
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-_memory: dict[str, WordIds] = {}
-
-
-class WordIds:
-    """A tokenizer whose ids of pieces of words are remembered.
-
-    Merges never cross pieces, so a text's ids are its pieces' ids in a row, and
-    each different piece is encoded once while it is remembered. Texts outside
-    Latin-1, and texts that may spell a special token, are encoded as they are.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-                pieces.append(None if "<|" in t else _PIECES.findall(t.lower()))
-            except UnicodeEncodeError:
-                pieces.append(None)
-        plain = [p for p in pieces if p is not None]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        new = set().union(*plain).difference(self.young)
-        for p in new & self.old.keys():
-            self.young[p] = self.old[p]
-        rest = list(new.difference(self.old))
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            self.young.update(zip(some, self._encode(some), strict=True))
-        odd = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join(map(self.young.__getitem__, p)) for p in pieces]
-
-
-def word_ids(tokenizer: str | None) -> WordIds:
-    """The worker's own, kept from task to task."""
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if tokenizer not in _memory:
-        _memory[tokenizer] = WordIds(tokenizer)
-    return _memory[tokenizer]
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """(row, doc_id, source, n, ids): the ids of each whole text and the end id, two bytes an id where they fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = piece_ids(tokenizer, "word_bpe_49k.json", WORD_PIECES, True)
         end = np.array([end_id], words.kind).tobytes()
         wide = np.dtype(words.kind).itemsize
         for batch in batches:
