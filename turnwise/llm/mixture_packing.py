@@ -30,6 +30,8 @@ from .pieces import WORD_PIECES, piece_ids
 
 #: Documents tokenised at once.
 BLOCK = 256
+#: Windows whose shares are worked out together, and how many such blocks a task keeps.
+STEP, KEPT = 32, 4096
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
@@ -68,6 +70,7 @@ class Schedule:
 
     def __init__(self, totals: list[int], targets: list[float] | None = None, window: int = 4096):
         self.window, self.phases = window, []
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
         left, at = [int(x) for x in totals], 0
         served = [0] * len(left)
         while any(left):
@@ -108,6 +111,22 @@ class Schedule:
         np.put_along_axis(rank, order, np.arange(order.shape[1])[None], 1)
         return base.astype(np.int64) + (rank < more[:, None])
 
+    def _edges(self, k: int, first: int, last: int) -> np.ndarray:
+        """The shares before the windows first..last of phase ``k``, from blocks of windows that are kept."""
+        blocks = []
+        _, tokens, _, _, _ = self.phases[k]
+        for block in range(first // STEP, last // STEP + 1):
+            found = self.kept.get((k, block))
+            if found is None:
+                if len(self.kept) >= KEPT:
+                    self.kept.clear()
+                found = self._served(self.phases[k], np.minimum(np.arange(block * STEP, (block + 1) * STEP) * self.window, tokens))
+                self.kept[k, block] = found
+            blocks.append(found)
+        whole = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
+        at = first // STEP * STEP
+        return whole[first - at : last + 1 - at]
+
     def pieces(self, queue: int, begin: int, length: int) -> list[tuple[int, int, int, int]]:
         """(start in the run, length, window, offset in the window) of a queue's tokens from ``begin``."""
         out = []
@@ -122,14 +141,16 @@ class Schedule:
             step = self.window * wanted[queue]
             n = -(-tokens // self.window)
             first, last = max(0, a * total // step - 2), min(n - 1, b * total // step + 2)
-            edges = self._served(phase, np.minimum(np.arange(first, last + 2) * self.window, tokens))
+            edges = self._edges(k, first, last + 1)
             mine = edges[:, queue]
-            ahead = (edges[1:, :queue] - edges[:-1, :queue]).sum(1)
             i, j = int(np.searchsorted(mine, a, "right")) - 1, int(np.searchsorted(mine, b, "left"))
-            for w in range(i, j):
-                s, e = max(a, int(mine[w])), min(b, int(mine[w + 1]))
+            near = edges[i : j + 1]
+            ahead = (near[1:, :queue] - near[:-1, :queue]).sum(1).tolist()
+            mine = near[:, queue].tolist()
+            for w in range(j - i):
+                s, e = max(a, mine[w]), min(b, mine[w + 1])
                 if s < e:
-                    out.append((s + before[queue] - begin, e - s, at + first + w, int(ahead[w]) + s - int(mine[w])))
+                    out.append((s + before[queue] - begin, e - s, at + first + i + w, ahead[w] + s - mine[w]))
         return out
 
 

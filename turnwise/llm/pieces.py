@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _L = re.escape("".join(c for c in map(chr, range(256)) if c.isalpha()))
 _N = "".join(c for c in map(chr, range(256)) if c.isnumeric())
 _S = r"\t\n\x0b\x0c\r \x85\xa0"
@@ -36,11 +37,28 @@ class PieceIds:
         self.model.no_padding()
         self.find, self.lower = re.compile(pattern).findall, lower
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
+        suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.ends = None  # by id: whether it ends a piece, where the vocabulary tells
+        if suffix:
+            vocabulary = self.model.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; with spaces between them they take one call, if the vocabulary tells where each ends."""
+        if self.ends is not None:
+            ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, self.kind)
+            at = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+            if len(at) == len(pieces) and at[-1] == ids.nbytes:
+                raw, at = ids.tobytes(), [0, *at.tolist()]
+                return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return self._encode(pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str] | None] = []
@@ -57,9 +75,9 @@ class PieceIds:
         for p in new & self.old.keys():
             self.young[p] = self.old[p]
         rest = list(new.difference(self.old))
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            self.young.update(zip(some, self._encode(some), strict=True))
+        for at in range(0, len(rest), 2048):
+            some = rest[at : at + 2048]
+            self.young.update(zip(some, self._encode_pieces(some), strict=True))
         odd = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         return [next(odd) if p is None else b"".join(map(self.young.__getitem__, p)) for p in pieces]
 
