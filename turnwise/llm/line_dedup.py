@@ -33,9 +33,14 @@ from .common import materialise, whole_text
 BUCKETS = 1 << 17
 
 
-def _words(text: Column) -> Column:
-    """The words of a text; empty strings stand where spaces meet."""
-    return F.split(F.translate(F.lower(text), "\t\r\f\x0b", "    "), " ")
+def _plain(text: Column) -> Column:
+    """Lower case, with a space for each tab and carriage return."""
+    return F.replace(F.replace(F.lower(text), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+
+
+def _words(plain: Column) -> Column:
+    """The words; empty strings stand where spaces meet."""
+    return F.split(plain, " ")
 
 
 def _hashes(line: Column) -> Column:
@@ -47,7 +52,7 @@ def rarity_table(docs: DataFrame) -> list[int]:
 
     At most BUCKETS counts reach the driver.
     """
-    words = docs.select(F.explode(_words(F.translate(whole_text(), "\n", " "))).alias("w"))
+    words = docs.select(F.explode(_words(F.replace(_plain(whole_text()), F.lit("\n"), F.lit(" ")))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     table = [1] * BUCKETS
     for b, n in counts:
@@ -60,7 +65,7 @@ def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, rarity_table(docs)))), ",").cast("array<bigint>")  # folded to one literal
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"),
-        F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "text"),
+        F.posexplode(F.split(_plain(whole_text()), "\n")).alias("line_no", "text"),
     )
 
     def key(h: Column) -> Column:
@@ -112,7 +117,7 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
     asked = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "line_no")).alias("asked"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
     met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_hash"] == asked["text_hash"])).select(
-        F.split("text", "\n").alias("lines"), "asked"
+        F.split(_plain(F.col("text")), "\n").alias("lines"), "asked"
     )
     words = met.select(F.explode(F.transform("asked", lambda q: F.struct(q["line"].alias("line"), _hashes(F.get(F.col("lines"), q["line_no"])).alias("words")))).alias("q"))
     words = materialise(words.select("q.line", "q.words"), "line-words").dropDuplicates(["line"])
@@ -165,7 +170,7 @@ def without_repeats(docs: DataFrame, **how) -> DataFrame:
 SQL_REMOVED = r"""
 lines AS (
   SELECT doc_id, l.i - 1 AS line_no,
-         list_distinct(list_filter(string_split(translate(lower(l.t), chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda w: w <> '')) AS words
+         list_distinct(list_filter(string_split(translate(lower(l.t), chr(9) || chr(13), '  '), ' '), lambda w: w <> '')) AS words
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ts FROM {docs}) d,
        unnest(list_zip(range(1, len(ts) + 1), ts)) AS u(l0), LATERAL (SELECT l0[1] AS i, l0[2] AS t) l
 ),
