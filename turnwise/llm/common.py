@@ -39,17 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and lets later
     steps read only the columns they need. The table goes when the JVM ends.
+    ``release``: let Spark drop the shuffle files of what has been written now,
+    which it does when the driver next collects its garbage.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -61,7 +61,7 @@ def rarity_table(docs: DataFrame) -> list[int]:
 
 
 def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, place, set_a, set_b, n, low, high, prefix): each line with its set's key, bitmap and rarest words."""
+    """(line, doc_id, text_hash, line_no, place, set_a, set_b, n, every, odd, prefix): each line with its set's key, bitmap and rarest words."""
     table = F.split(F.lit(",".join(map(str, rarity_table(docs)))), ",").cast("array<bigint>")  # folded to one literal
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"),
@@ -72,13 +72,13 @@ def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
         rare = F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rare, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    def bits(side: int) -> Column:
-        """The parity of the set's words in each of 64 cells."""
-        return F.aggregate(
-            "keys", F.lit(0).cast("long"),
-            lambda m, k: F.when(F.shiftright(k, 20).bitwiseAND(F.lit(1)) == side, m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 21).bitwiseAND(F.lit(63)).cast("int")))).otherwise(m),
-        )
+    def parity(of) -> Column:
+        """For each of 64 cells, whether an odd number of the words for which ``of`` is 1 falls into it."""
+        at = lambda k: F.shiftright(k, 21).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", of(k), at(k))))
 
+    every = parity(lambda k: F.lit(1).cast("long"))
+    odd = parity(lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(1).cast("long")))
     keyed = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(_hashes(F.col("text")), key)).alias("keys"))
     keyed = keyed.withColumn("n", F.size("keys"))
     needed = F.ceil(F.col("n") * F.lit(numerator) / F.lit(denominator)).cast("int")
@@ -87,7 +87,7 @@ def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
         F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no",
         (F.coalesce("doc_id", F.lit(-1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)").alias("place"),
         F.xxhash64("keys").alias("set_a"), F.xxhash64(F.lit(1), "keys").alias("set_b"), "n",
-        F.when(joins, bits(0)).alias("low"), F.when(joins, bits(1)).alias("high"),
+        F.when(joins, every).alias("every"), F.when(joins, odd).alias("odd"),
         F.when(joins, F.slice("keys", 1, F.col("n") - needed + 1)).alias("prefix"),
     )
 
@@ -98,10 +98,12 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
     full = lines.where("n > 0")
     sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
     sets = materialise(sets, "line-sets")
-    joined = full.where(F.col("prefix").isNotNull()).select("line", "n", "low", "high", "prefix").join(sets.select("line"), "line", "left_semi")
-    rare = joined.select("line", "n", "low", "high", F.posexplode("prefix").alias("at", "key"))
+    joined = full.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line"), "line", "left_semi")
+    rare = joined.select("line", "n", "every", "odd", F.posexplode("prefix").alias("at", "key"))
     a, b = rare.alias("a"), rare.alias("b")
     both = F.col("a.n") + F.col("b.n")
+    odd = F.col("a.odd").bitwiseXOR(F.col("b.odd"))
+    even = F.col("a.every").bitwiseXOR(F.col("b.every")).bitwiseXOR(odd)
     pairs = a.join(
         b,
         (F.col("a.key") == F.col("b.key"))
@@ -109,9 +111,9 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
         & (F.least("a.n", "b.n") * denominator >= F.greatest("a.n", "b.n") * numerator)
         & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (numerator + denominator) >= both * numerator)
         # words that only one of the two has change a parity, so at least so many differ
-        & ((F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))) * (numerator + denominator) <= both * (denominator - numerator)),
+        & ((F.bit_count(odd) + F.bit_count(even)) * (numerator + denominator) <= both * (denominator - numerator)),
     ).select(F.col("a.line").alias("x"), F.col("b.line").alias("y")).distinct()
-    pairs = materialise(pairs, "line-pairs")
+    pairs = materialise(pairs, "line-pairs", release=True)
     wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
     places = lines.select("line", "doc_id", "text_hash", "line_no").join(wanted, "line")
     asked = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "line_no")).alias("asked"))
@@ -120,7 +122,7 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
         F.split(_plain(F.col("text")), "\n").alias("lines"), "asked"
     )
     words = met.select(F.explode(F.transform("asked", lambda q: F.struct(q["line"].alias("line"), _hashes(F.get(F.col("lines"), q["line_no"])).alias("words")))).alias("q"))
-    words = materialise(words.select("q.line", "q.words"), "line-words").dropDuplicates(["line"])
+    words = materialise(words.select("q.line", "q.words"), "line-words", release=True).dropDuplicates(["line"])
     verified = (
         pairs.join(words.select(F.col("line").alias("x"), F.col("words").alias("xs")), "x")
         .join(words.select(F.col("line").alias("y"), F.col("words").alias("ys")), "y")
