@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_fingerprint, chunked_bpe, hilbert_shards, line_dedup, mixture_packing, ngram_join, pii_bootstrap, quality_gam
+from . import bloom_fingerprint, chunked_bpe, hilbert_shards, line_dedup, mixture_packing, multi_index_hashing, ngram_join, pii_bootstrap, quality_gam
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index_hashing.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = chunked_bpe.decode(chunked_bpe.encode(table(spark, sf_dir, "documents")))
     return there.select(
@@ -55,6 +59,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_quality_gam, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op9_chunked_bpe, op10_ngram_join)
+    for f in (op1_hilbert_shards, op2_quality_gam, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op8_multi_index_hashing, op9_chunked_bpe, op10_ngram_join)
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL_REPORT}
