@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_fingerprint, chunked_bpe, hilbert_shards, line_dedup, mixture_packing, multi_index_hashing, ngram_join, pii_bootstrap, quality_gam
+from . import bloom_fingerprint, chunked_bpe, hilbert_shards, line_dedup, mixture_packing, multi_index_hashing, ngram_join, pii_bootstrap, quality_gam, suffix_dedup
 from .common import table
 
 
@@ -22,6 +22,12 @@ def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cleaned(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.report(table(spark, sf_dir, "documents"))
     return found.select(
@@ -59,6 +65,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_quality_gam, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op8_multi_index_hashing, op9_chunked_bpe, op10_ngram_join)
+    for f in (op1_hilbert_shards, op2_quality_gam, op3_suffix_dedup, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op8_multi_index_hashing, op9_chunked_bpe, op10_ngram_join)
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL_REPORT}
