@@ -156,13 +156,18 @@ def report(docs: DataFrame, **how) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, **how) -> DataFrame:
-    """The documents without their removed lines; n_chars follows, other columns stay."""
+def without_repeats(docs: DataFrame, drop_emptied: bool = False, **how) -> DataFrame:
+    """The documents without their removed lines; n_chars follows, other columns stay.
+
+    ``drop_emptied``: leave out documents of which the removal leaves no word.
+    """
     gone = removed_lines(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.split(whole_text(), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
+    if drop_emptied:
+        out = out.where(F.col("_gone").isNull() | F.rlike("text", F.lit(r"\S")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
