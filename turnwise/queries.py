@@ -1,4 +1,463 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the engine's own operators; each runs over whole tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from .functions import text as X
+from .operators import asking, catalogs, retrieval, scoring, state
+from .sources import views as V
+from .sql import ORACLES as _SQL
+
+FIELDS = ("title", "features", "description", "price", "categories", "details", "average_rating", "rating_number", "store")
+SEED = "turnwise-v1"
+_KEYS = {"color": "Color", "size": "Size"}
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def _query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.gazetteer(V.catalog(spark, sf_dir), _KEYS)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.field_texts(V.catalog(spark, sf_dir))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with the text of their opening message, its tokens and phrases."""
+    s = V.openings(spark, sf_dir)
+    return s.select("sample_id", "scenario_type", "target", F.col("message").alias("query"), X.query_tokens(F.col("message")).alias("terms"), X.phrases(F.col("message"), 2).alias("phrases"))
+
+
+def _different(asked: DataFrame) -> DataFrame:
+    """Each different query once: retrieval costs what there are queries, not sessions."""
+    return asked.select("query", F.array_distinct("terms").alias("terms"), "phrases").dropDuplicates(["query"])
+
+
+def _pool(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+    q = _different(_asked(spark, sf_dir))
+    found = retrieval.bm25(q.select("query", F.explode("terms").alias("term")), _texts(spark, sf_dir), k)
+    return found.join(q, "query").withColumn("required", F.filter("terms", lambda t: ~t.isin("key", "requirement", "still", "exploring")))
+
+
+def _joined(c: str) -> Column:
+    return F.array_join(c, " ").alias(c)
+
+
+# Catalogs and vocabularies
+
+
+@_query
+def catalog_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.profile(V.catalog(spark, sf_dir), FIELDS)
+
+
+@_query
+def category_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.category_terms(V.catalog(spark, sf_dir))
+
+
+@_query
+def attribute_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.attribute_terms(V.catalog(spark, sf_dir), "Brand")
+
+
+@_query
+def term_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = V.catalog(spark, sf_dir)
+    terms = products.select(F.explode(F.array(X.normalize_term(F.col("title")), X.normalize_term(F.col("categories")[1]), X.normalize_term(F.col("categories")[2]))).alias("term"))
+    return catalogs.term_support(products, terms)
+
+
+@_query
+def slot_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _words_by_place(V.catalog(spark, sf_dir))
+    return catalogs.resolve_conflicts(words)
+
+
+def _words_by_place(products: DataFrame) -> DataFrame:
+    first, last = F.split("title", " ")[0], F.element_at(F.split("title", " "), -1)
+    rows = F.explode(F.array(*(F.struct(F.lit(s).alias("slot"), t.alias("term")) for s, t in (("style", first), ("category", last), ("color", last), ("size", F.lower(F.col("categories")[1])), ("category", F.lower(F.col("categories")[1]))))))
+    return products.select(rows.alias("r")).select("r.*").groupBy("slot", "term").agg(F.count("*").alias("support"))
+
+
+@_query
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(spark, sf_dir)
+
+
+@_query
+def gazetteer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.gazetteer_summary(_vocabulary(spark, sf_dir), 3)
+
+
+@_query
+def normalized_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.explode(F.array(*map(F.lit, ("s", "es", "ses", "ves", "ies", "ss", "'s & Boots", "-Hoodies/Cases"))))
+    raw = V.table(spark, sf_dir, "part").select("p_partkey", "p_name", endings.alias("e")).select("p_partkey", F.concat("p_name", "e").alias("raw"))
+    return raw.select("p_partkey", "raw", X.normalize_term(F.col("raw")).alias("term"), F.array_join(X.split_compound(F.col("raw")), "|").alias("parts"), X.is_usable_term(X.normalize_term(F.col("raw"))).alias("usable"))
+
+
+@_query
+def department_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sorted(a for v in X.DEPARTMENTS.values() for a in v) + ["Men's", "Baby Girls (0-24M)", "TODDLER-boys", "garden"]
+    raw = F.array(*map(F.lit, names))[(F.col("c_custkey") % len(names)).cast("int")]
+    return V.table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"), X.normalize_department(raw).alias("department"))
+
+
+# Text
+
+
+@_query
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.table(spark, sf_dir, "conversations").where("role = 'user'")
+    return said.select("conv_id", "turn", F.array_join(X.query_tokens(F.col("text")), " ").alias("tokens"), F.size(X.raw_tokens(F.col("text"))).alias("n_raw"))
+
+
+@_query
+def phrase_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.table(spark, sf_dir, "conversations").where("role = 'user'")
+    return said.select("conv_id", "turn", F.array_join(X.phrases(F.col("text"), 3), "|").alias("phrases"))
+
+
+@_query
+def coarse_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.catalog(spark, sf_dir).select("parent_asin", X.coarse_category(F.col("categories")).alias("category"))
+
+
+@_query
+def intent_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.intent_cards(V.catalog(spark, sf_dir)).select("parent_asin", "target_category", F.array_join("hard_constraints", "|").alias("hard"), F.array_join("soft_preferences", "|").alias("soft"))
+
+
+@_query
+def classify_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = V.intent_cards(V.catalog(spark, sf_dir))
+    each = cards.select("parent_asin", F.posexplode(F.concat("hard_constraints", "soft_preferences")).alias("place", "value"))
+    return each.select("parent_asin", "place", "value", X.classify_constraint(F.col("value")).alias("kind"))
+
+
+@_query
+def opening_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.openings(spark, sf_dir).select("sample_id", "scenario_type", "message")
+
+
+@_query
+def query_stress_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.messages(spark, sf_dir)
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), f(F.col("message")).alias("text")) for k, f in X.STRESS_LEVELS.items())))
+    return said.select("sample_id", "turn", rows.alias("r")).select("sample_id", "turn", "r.level", "r.text")
+
+
+@_query
+def slot_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.messages(spark, sf_dir)
+    return said.join(state.message_slots(said, _vocabulary(spark, sf_dir)), "message").select("sample_id", "turn", "slot", "term")
+
+
+# Retrieval
+
+
+@_query
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.postings(_texts(spark, sf_dir))
+
+
+@_query
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.term_stats(retrieval.postings(_texts(spark, sf_dir)))
+
+
+@_query
+def catalog_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.catalog_idf(_texts(spark, sf_dir)).select("term", F.round("idf", 9).alias("idf"))
+
+
+@_query
+def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir, 10).select("query", "ord", "score", "rank")
+
+
+@_query
+def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _different(_asked(spark, sf_dir)).select("query", F.explode("terms").alias("term"))
+    hits = q.join(retrieval.postings(_texts(spark, sf_dir)).select("term", "ord"), "term")
+    counted = hits.groupBy("query").agg(F.countDistinct("ord").alias("n"))
+    return q.select("query").distinct().join(counted, "query", "left").select("query", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query
+def field_weight_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir).select("query", "ord", "rank", "terms")
+    return retrieval.rerank(pool, _texts(spark, sf_dir), 10, popularity=0, price=0).drop("parent_asin")
+
+
+@_query
+def rerank_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir).select("query", "ord", "rank", "terms", "phrases", "required")
+    return retrieval.rerank(pool, _texts(spark, sf_dir), 10)
+
+
+@_query
+def union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir, 20).select("query", "ord", "rank")
+    return retrieval.union_pool(pool, _popular(spark, sf_dir), 10)
+
+
+def _popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second pool for each query: the most reviewed products of the catalog."""
+    top = V.catalog(spark, sf_dir).orderBy(F.desc("rating_number"), "ord").limit(30).select("ord", "rating_number")
+    ranked = top.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("rating_number"), "ord"))).select("ord", "rank")
+    return _different(_asked(spark, sf_dir)).select("query").join(F.broadcast(ranked))  # 30 rows
+
+
+@_query
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.rrf([_pool(spark, sf_dir, 20), _popular(spark, sf_dir)], 10)
+
+
+@_query
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    centres = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    q = centres.groupBy(F.col("label").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: F.round(s["x"], 6)).alias("v"))
+    return retrieval.cosine_topk(q, e.select("id", "v"), 10)
+
+
+# State
+
+
+@_query
+def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+@_query
+def ledger_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.projection(state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir)))
+
+
+@_query
+def slots_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.slots_view(state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir)))
+
+
+@_query
+def term_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.arrivals(V.messages(spark, sf_dir))
+
+
+@_query
+def no_gain_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.gains(V.messages(spark, sf_dir))
+
+
+@_query
+def turn_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.changes(state.turn_terms(V.messages(spark, sf_dir)))
+
+
+@_query
+def override_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.dispositions(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+@_query
+def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.slot_diff(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+@_query
+def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a session's constraints its messages have named by each turn."""
+    said = V.messages(spark, sf_dir)
+    text = F.array_join(F.collect_list("message").over(W.Window.partitionBy("sample_id").orderBy("turn").rowsBetween(W.Window.unboundedPreceding, 0)), " ")
+    cards = V.openings(spark, sf_dir).select("sample_id", F.array_distinct(F.concat("hard_constraints", "soft_preferences")).alias("all"))
+    rows = said.withColumn("so_far", text).join(cards, "sample_id")
+    return rows.select("sample_id", "turn", F.array_join(F.filter("all", lambda c: F.contains(F.col("so_far"), c)), "|").alias("named"))
+
+
+# Asking
+
+
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat_ws(" ", *V.FIELDS)
+    products = _texts(spark, sf_dir).select("ord", X.raw_tokens(whole).alias("tokens"))
+    return _pool(spark, sf_dir, 20).select(F.col("query").alias("pool"), "ord").join(products, "ord").select("pool", F.col("ord").alias("item"), "tokens")
+
+
+def _next(orders: DataFrame) -> DataFrame:
+    return orders.select("pool", _joined("attributes"), asking.next_attribute(F.col("attributes"), F.array(F.lit("color"), F.lit("size"))).alias("next"))
+
+
+@_query
+def clarify_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _next(asking.attribute_order("candidate", _pools(spark, sf_dir)))
+
+
+@_query
+def clarify_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _next(asking.attribute_order("entropy", _pools(spark, sf_dir)))
+
+
+@_query
+def clarify_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = list(asking.PROFILE_MAP)
+    tag = lambda k: F.array(*map(F.lit, [*names, "unknown"]))[(F.floor(F.col("c_custkey") / k) % (len(names) + 1)).cast("int")]
+    people = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pool"), F.array(tag(1), tag(7)).alias("tags"))
+    return _next(asking.attribute_order("profile", people))
+
+
+# Scores
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's target's rank in the retrieval of its opening message, to place 100."""
+    asked = _asked(spark, sf_dir)
+    pool = _pool(spark, sf_dir).select("query", F.col("ord").cast("string").alias("target"), "rank")
+    return asked.join(pool, ["query", "target"], "left").select("sample_id", "scenario_type", "rank")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a rank that follows from the events of a user: a table to measure sessions on."""
+    e = V.table(spark, sf_dir, "events")
+    n = F.row_number().over(W.Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = e.select("user_id", "event_type", n.alias("n"), k.alias("k"))
+    turn = ((F.col("n") - 1) % 10 + 1).cast("int")
+    return rows.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.floor((F.col("n") - 1) / 10).cast("string")).alias("sample_id"),
+        F.when(F.col("user_id") % 3 == 0, "buying").when(F.col("user_id") % 3 == 1, "browsing").otherwise("intent_override").alias("scenario_type"),
+        turn.alias("turn"), F.when(F.col("k") < 40, F.col("k") + 1).alias("rank"), (F.col("user_id") % 3 != 2).__or__(turn >= 3).alias("applied"),
+    )
+
+
+@_query
+def first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = scoring.session_facts(_turns(spark, sf_dir))
+    return facts.withColumn("reciprocal_rank", F.round("reciprocal_rank", 9)).fillna(0, ["first_hit_turn", "best_rank"])
+
+
+@_query
+def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.summarise(scoring.session_facts(_turns(spark, sf_dir)))
+
+
+@_query
+def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.summarise(scoring.session_facts(_turns(spark, sf_dir)), "scenario_type")
+
+
+@_query
+def metric_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    late = turns.withColumn("applied", F.col("applied") & (F.col("turn") >= 2))
+    a, b = (scoring.summarise(scoring.session_facts(t), "scenario_type") for t in (turns, late))
+    return scoring.deltas(a, b, "scenario_type")
+
+
+@_query
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.recall(_ranked(spark, sf_dir), (10, 50, 100), "scenario_type")
+
+
+@_query
+def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.latency(V.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@_query
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, best rank, and the ranks before and at the first turn whose rank got worse by more than twenty."""
+    t = _turns(spark, sf_dir)
+    before = F.last("rank", ignorenulls=True).over(W.Window.partitionBy("sample_id").orderBy("turn").rowsBetween(W.Window.unboundedPreceding, -1))
+    rows = t.withColumn("before", before)
+    worse = F.col("rank") > F.col("before") + 20
+    first = F.min(F.when(worse, F.struct("turn", "before", "rank")))
+    return rows.groupBy("sample_id").agg(F.count("*").alias("turns"), F.min("rank").alias("best_rank"), F.count_if(F.col("rank").isNull()).alias("unranked"), first.alias("f")).select(
+        "sample_id", "turns", "best_rank", "unranked", F.col("f.turn").alias("fell_at"), F.col("f.before").alias("rank_before"), F.col("f.rank").alias("rank_at")
+    ).fillna(0)
+
+
+@_query
+def normalized_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommended ids cleaned: known ones only, each once, the first ten."""
+    e = V.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    given = e.select("user_id", F.row_number().over(W.Window.partitionBy("user_id").orderBy("event_id")).alias("at"), F.concat(F.lit(" "), (k * 37).cast("string"), F.lit(" ")).alias("raw"))
+    clean = given.select("user_id", "at", F.trim("raw").alias("id")).where("id <> ''")
+    known = clean.join(V.catalog(spark, sf_dir).select(F.col("parent_asin").alias("id")), "id", "left_semi")
+    first = known.groupBy("user_id", "id").agg(F.min("at").alias("at"))
+    return first.withColumn("rank", V.rank_within(["user_id"], F.col("at"))).where("rank <= 10").select("user_id", "id", "rank")
+
+
+@_query
+def stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.sessions(spark, sf_dir)
+    return s.groupBy(F.concat_ws("/", "scenario_type", "difficulty_bucket").alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@_query
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.sessions(spark, sf_dir)
+    rows = s.select("sample_id", F.col("sample_id").alias("index"), F.concat_ws("/", "scenario_type", "difficulty_bucket").alias("stratum"))
+    return scoring.split(rows, 200, SEED)
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sessions(spark, sf_dir).where("scenario_type = 'boundary'").select(F.col("target").alias("parent_asin")).distinct()
+
+
+@_query
+def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unpriced = V.catalog(spark, sf_dir).where("price IS NULL").select(F.col("parent_asin").alias("target"))
+    return V.sessions(spark, sf_dir).join(unpriced, "target", "left_anti").groupBy("target").agg(F.count("*").alias("n"))
+
+
+@_query
+def mask_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.mask_plan(V.catalog(spark, sf_dir), _targets(spark, sf_dir), FIELDS)
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Products and targets that carry prices more often than the catalog does."""
+    products = V.catalog(spark, sf_dir)
+    return products, products.where("price IS NOT NULL OR ord % 3 = 0").select("parent_asin")
+
+
+@_query
+def masked_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, targets = _reviewed(spark, sf_dir)
+    out = scoring.apply_masks(products, scoring.masked_ids(products, targets, ("price", "description"), SEED), ("price", "description"))
+    return out.select("parent_asin", "price", F.coalesce(F.size("description"), F.lit(-1)).alias("n_description"))
+
+
+@_query
+def mask_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products, targets = _reviewed(spark, sf_dir)
+    masks = scoring.masked_ids(products, targets, ("price", "description"), SEED)
+    return scoring.mask_violations(products, scoring.apply_masks(products, masks, ("price", "description")), masks, ("price", "description"))
+
+
+@_query
+def popularity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reciprocal rank of the target for each popularity weight: one plan over all weights."""
+    asked = _asked(spark, sf_dir)
+    pool = _pool(spark, sf_dir).select("query", "ord", "rank", "terms")
+    weights = F.explode(F.array(*map(F.lit, (0.0, 0.6, 1.2, 2.4)))).alias("weight")
+    rows = pool.join(retrieval.with_tokens(_texts(spark, sf_dir)), "ord").select("query", "ord", "rank", retrieval.match_score(F.col("terms")).alias("m"), F.log1p("rating_number").alias("p"), weights)
+    at = F.row_number().over(W.Window.partitionBy("query", "weight").orderBy(F.desc(F.round(F.col("m") + F.col("weight") * F.col("p"), 9)), "rank"))
+    placed = rows.withColumn("place", at).where("place <= 10").select("query", "weight", F.col("ord").cast("string").alias("target"), "place")
+    hits = asked.join(placed, ["query", "target"]).groupBy("weight").agg(F.count("*").alias("hits"), F.sum(1.0 / F.col("place")).alias("rr"))
+    total = asked.agg(F.count("*").alias("n"))
+    return hits.join(F.broadcast(total)).select("weight", "hits", F.round(F.col("rr") / F.col("n"), 6).alias("mrr"))
+
+
+ORACLES = {k: v for k, v in _SQL.items() if k in QUERIES}
