@@ -11,11 +11,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tables that are only needed until the operator that is running has its result, innermost last.
+_scopes: list[list[str]] = []
 #: Rows of a task hold their position below this many bits of monotonically_increasing_id().
 _ROW_BITS = 33
 
@@ -52,11 +55,46 @@ def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    if _scopes:
+        _scopes[-1].append(where)
     if release:
         spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(where)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for where in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(spark, where)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Write the result of ``make`` and delete the tables that were only made for it."""
+    _scopes.append([])
+    try:
+        result = make()
+        inner = _scopes.pop()
+        _scopes.append([])  # what follows belongs to the caller
+        done = materialise(result, label, release=True)
+        mine = _scopes.pop()
+    except BaseException:
+        inner, mine = _scopes.pop(), []
+        for where in inner:
+            _delete(spark, where)
+        raise
+    for where in inner:
+        _delete(spark, where)
+    if _scopes:
+        _scopes[-1] += mine
+    return done
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

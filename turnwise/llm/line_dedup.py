@@ -27,10 +27,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import materialise, number_rows, remove, settled, whole_text
 
 #: Buckets of the table of word counts, whatever the size of the vocabulary.
 BUCKETS = 1 << 17
+#: Rarest words by which a set first meets the earliest one that shares them.
+RAREST = 4
 
 
 def _plain(text: Column) -> Column:
@@ -92,53 +94,89 @@ def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
     )
 
 
-def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) -> DataFrame:
-    """(doc_id, text_hash, line_no) of the lines that go."""
-    lines = materialise(lines_of(docs, numerator, denominator), "lines")
-    full = lines.where("n > 0")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
-    sets = materialise(sets, "line-sets")
-    joined = full.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line"), "line", "left_semi")
-    rare = joined.select("line", "n", "every", "odd", F.posexplode("prefix").alias("at", "key"))
-    a, b = rare.alias("a"), rare.alias("b")
-    both = F.col("a.n") + F.col("b.n")
-    odd = F.col("a.odd").bitwiseXOR(F.col("b.odd"))
-    even = F.col("a.every").bitwiseXOR(F.col("b.every")).bitwiseXOR(odd)
-    pairs = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("a.line") < F.col("b.line"))
-        & (F.least("a.n", "b.n") * denominator >= F.greatest("a.n", "b.n") * numerator)
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) * (numerator + denominator) >= both * numerator)
-        # words that only one of the two has change a parity, so at least so many differ
-        & ((F.bit_count(odd) + F.bit_count(even)) * (numerator + denominator) <= both * (denominator - numerator)),
-    ).select(F.col("a.line").alias("x"), F.col("b.line").alias("y")).distinct()
-    pairs = materialise(pairs, "line-pairs", release=True)
-    wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
-    places = lines.select("line", "doc_id", "text_hash", "line_no").join(wanted, "line")
-    asked = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "line_no")).alias("asked"))
+def _may_match(a: str, b: str, numerator: int, denominator: int) -> Column:
+    """What two similar sets always fulfil: near enough in size, and with few enough parities apart.
+
+    A word that only one of the two has changes one parity, so at least as many words differ as parities.
+    """
+    n = lambda x: F.col(f"{x}.n")
+    odd = F.col(f"{a}.odd").bitwiseXOR(F.col(f"{b}.odd"))
+    even = F.col(f"{a}.every").bitwiseXOR(F.col(f"{b}.every")).bitwiseXOR(odd)
+    return (F.least(n(a), n(b)) * denominator >= F.greatest(n(a), n(b)) * numerator) & (
+        (F.bit_count(odd) + F.bit_count(even)) * (numerator + denominator) <= (n(a) + n(b)) * (denominator - numerator)
+    )
+
+
+def _verified(docs: DataFrame, lines: DataFrame, sets: DataFrame, pairs: DataFrame, numerator: int, denominator: int, label: str) -> DataFrame:
+    """The later sets of those (later, earlier) pairs that are similar on all their words."""
+    wanted = pairs.select(F.col("later").alias("sid")).union(pairs.select("earlier")).distinct()
+    places = lines.select("line", "doc_id", "text_hash", "line_no").join(sets.select("line", "sid").join(wanted, "sid"), "line")
+    asked = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("sid", "line_no")).alias("asked"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
     met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_hash"] == asked["text_hash"])).select(
         F.split(_plain(F.col("text")), "\n").alias("lines"), "asked"
     )
-    words = met.select(F.explode(F.transform("asked", lambda q: F.struct(q["line"].alias("line"), _hashes(F.get(F.col("lines"), q["line_no"])).alias("words")))).alias("q"))
-    words = materialise(words.select("q.line", "q.words"), "line-words", release=True).dropDuplicates(["line"])
-    verified = (
-        pairs.join(words.select(F.col("line").alias("x"), F.col("words").alias("xs")), "x")
-        .join(words.select(F.col("line").alias("y"), F.col("words").alias("ys")), "y")
-        .withColumn("common", F.size(F.array_intersect("xs", "ys")))
-        .where(F.col("common") * (numerator + denominator) >= (F.size("xs") + F.size("ys")) * numerator)
-        .select("x", "y")
-    )
-    links = verified.select(F.col("x").alias("line"), F.col("y").alias("other")).union(verified.select("y", "x"))
-    earliest = (
-        links.join(sets.select(F.col("line").alias("other"), "first"), "other").groupBy("line").agg(F.min("first").alias("met"))
+    words = met.select(F.explode(F.transform("asked", lambda q: F.struct(q["sid"].alias("sid"), _hashes(F.get(F.col("lines"), q["line_no"])).alias("words")))).alias("q"))
+    words = materialise(words.select("q.sid", "q.words"), f"{label}-words", release=True).dropDuplicates(["sid"])
+    return (
+        pairs.join(words.select(F.col("sid").alias("later"), F.col("words").alias("xs")), "later")
+        .join(words.select(F.col("sid").alias("earlier"), F.col("words").alias("ys")), "earlier")
+        .where(F.size(F.array_intersect("xs", "ys")) * (numerator + denominator) >= (F.size("xs") + F.size("ys")) * numerator)
+        .select(F.col("later").alias("sid"))
+        .distinct()
     )
-    limits = sets.join(earliest, "line", "left").select("set_a", "set_b", F.least("first", "met").alias("limit"))
+
+
+def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) -> DataFrame:
+    """(doc_id, text_hash, line_no) of the lines that go.
+
+    A set needs one earlier match to go, not all of them. So sets first meet only
+    the earliest one that shares one of their rarest words, which settles most of
+    a group of similar lines with one pair each; then those still open meet every
+    earlier set that shares a word of the prefix.
+    """
+    return settled(docs.sparkSession, "removed-lines", lambda: _removed(docs, numerator, denominator))
+
+
+def _removed(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    whole = materialise(lines_of(docs, numerator, denominator), "lines-and-words")
+    lines = materialise(whole.drop("every", "odd", "prefix"), "lines")
+    full = lines.where("n > 0")
+    sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
+    sets = materialise(number_rows(sets, ["first", "line"], "line-order", "sid"), "line-sets", release=True)
+    heads = whole.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line", "sid"), "line").drop("line")
+    heads = materialise(heads, "line-heads", release=True)
+    remove(whole)
+
+    rarest = heads.select("sid", "n", "every", "odd", F.explode(F.slice("prefix", 1, RAREST)).alias("key"))
+    pivots = rarest.groupBy("key").agg(
+        F.min("sid").alias("sid"), *(F.min_by(c, "sid").alias(c) for c in ("n", "every", "odd")), F.count("*").alias("sharing")
+    ).where("sharing > 1")
+    a, b = pivots.alias("a"), rarest.alias("b")
+    first = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_match("a", "b", numerator, denominator))
+    first = materialise(first.select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct(), "line-pivots", release=True)
+    found = materialise(_verified(docs, lines, sets, first, numerator, denominator, "pivot"), "line-settled", release=True)
+
+    open_heads = heads.join(found.withColumn("found", F.lit(1)), "sid", "left").select("sid", "n", "every", "odd", F.coalesce("found", F.lit(0)).alias("found"), "prefix")
+    rare = open_heads.select("sid", "n", "every", "odd", "found", F.posexplode("prefix").alias("at", "key"))
+    # size, place and whether it is found share one number: these rows are most of what the operator moves
+    rare = rare.select("key", "sid", "every", "odd", F.expr("shiftleft(cast(n as bigint), 32) | (at * 2 + found)").alias("meta"))
+    n, at, known = (F.expr(x) for x in ("cast(shiftright(meta, 32) as int)", "cast(shiftright(meta & 4294967295L, 1) as int)", "meta & 1 = 1"))
+    there = lambda x: rare.select("key", "sid", "every", "odd", n.alias("n"), at.alias("at"), known.alias("known")).alias(x)
+    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    rest = there("a").join(
+        there("b"),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & ~F.col("b.known")
+        & (room * (numerator + denominator) >= (F.col("a.n") + F.col("b.n")) * numerator) & _may_match("a", "b", numerator, denominator),
+    ).select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct()
+    rest = materialise(rest, "line-pairs", release=True)
+    matched = found.union(_verified(docs, lines, sets, rest, numerator, denominator, "pair")).distinct().withColumn("matched", F.lit(True))
+
+    limits = sets.join(matched, "sid", "left").select("set_a", "set_b", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
     return (
         full.select("doc_id", "text_hash", "line_no", "place", "set_a", "set_b")
         .join(limits, ["set_a", "set_b"])
-        .where(F.col("place") > F.col("limit"))
+        .where(F.col("matched") | (F.col("place") > F.col("first")))
         .select("doc_id", "text_hash", "line_no")
     )
 
