@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, parts, whole_text
+from .common import components, materialise, parts, settled, whole_text
 
 #: Vertices of a cluster that are compared at once: two such blocks are all that a task holds.
 BLOCK = 256
@@ -229,6 +229,10 @@ def classes(
     doc_id with the same set of n-grams, ``class_id`` the smallest of the class,
     ``n_links`` the number of other sets that are similar enough.
     """
+    return settled(docs.sparkSession, "ngram-classes", lambda: _classes(docs, n, numerator, denominator, recall, block))
+
+
+def _classes(docs: DataFrame, n: int, numerator: int, denominator: int, recall: float, block: int) -> DataFrame:
     bands, rows = banding(numerator / denominator, recall)
     sketches = materialise(sketch(docs, n, bands, rows), "minhash")
     sets = sketches.where(F.col("key").isNotNull()).groupBy("key").agg(
@@ -269,7 +273,7 @@ def classes(
     sent = full.select("root", "node", "mine", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "grams"
     )
-    found = materialise(verify(sent, numerator, denominator), "links")
+    found = materialise(verify(sent, numerator, denominator), "links", release=True)
     linked = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("local").alias("b")), "classes")
     named = (

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import materialise, settled, whole_text
 
 #: The base patterns. Groups that repeat at the end are possessive, which matches the same without recursion.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
@@ -181,6 +181,10 @@ def _of_kind(kind: str, spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text_hash, base, spans): arrays of struct<kind,start,end>, by kind and start; spans has the new ones too."""
+    return settled(docs.sparkSession, "spans", lambda: _find(docs))
+
+
+def _find(docs: DataFrame) -> DataFrame:
     searched = materialise(search(docs), "entities")
     new = discover(searched).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("new"))
     both = searched.join(new, "row", "left")

@@ -21,12 +21,11 @@ from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import whole_text
 
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -71,21 +70,23 @@ def measure_one(text: str) -> list[float]:
     ]
 
 
+def _measures(texts: pa.Array) -> np.ndarray:
+    return np.array([measure_one(t.as_py() or "") for t in texts], np.float32).reshape(-1, len(FEATURES))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, one float for each feature) of every document."""
+    """The docs' other columns with one float for each feature of the text."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = np.array([measure_one(t.as_py()) for t in part.column("text")], np.float32).reshape(-1, len(FEATURES))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), *(pa.array(found[:, i]) for i in range(len(FEATURES)))],
-                    ["row", "doc_id", *FEATURES],
-                )
+            found = _measures(batch.column("text"))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in others), *(pa.array(found[:, i]) for i in range(len(FEATURES)))], [*others, *FEATURES]
+            )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{x} float" for x in FEATURES))
+    schema = ", ".join([*(f"{c} {dict(docs.dtypes)[c]}" for c in others), *(f"{x} float" for x in FEATURES)])
+    return docs.select(*others, whole_text().alias("text")).mapInArrow(run, schema)
 
 
 @dataclass
@@ -199,23 +200,41 @@ def held_out_rule(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000) -> AdditiveModel:
+    """Fit on ``labels.quality`` of at most ``max_rows`` documents, never of those with crc32(doc_id) mod 4 = 2."""
+    marks = labels.where(F.col("quality").isNotNull() & ~held_out_rule()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows rows
+    sample = measure(rows.select("quality", "text")).toPandas()
+    return fit(sample[list(FEATURES)].to_numpy(np.float32), sample["quality"].to_numpy())
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 30_000) -> DataFrame:
-    """(row, doc_id, held_out, score, predicted) of every document; see fit().
+    """(doc_id, held_out, score, predicted) of every document; see train()."""
+    model = train(docs, labels, max_rows)
 
-    Learns ``labels.quality`` from at most ``max_rows`` labelled documents, never
-    from those with crc32(doc_id) mod 4 = 2.
-    """
-    measured = materialise(measure(docs), "measures")
-    marks = labels.where(F.col("quality").isNotNull() & ~held_out_rule()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    sample = (
-        measured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("quality", *FEATURES).toPandas()
-    )
-    model = fit(sample[list(FEATURES)].to_numpy(np.float32), sample["quality"].to_numpy())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            score = model.score(f[list(FEATURES)].to_numpy(np.float32))
-            yield pd.DataFrame({"row": f["row"], "doc_id": f["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
-
-    scored = measured.mapInPandas(run, "row long, doc_id long, score double, predicted int")
-    return scored.select("row", "doc_id", held_out_rule().alias("held_out"), "score", "predicted")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                score = model.score(_measures(part.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"]
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return scored.select("doc_id", held_out_rule().alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = 30_000) -> DataFrame:
+    """The documents whose score reaches the threshold, dropped where they are read: no text is shuffled."""
+    model = train(docs, labels, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(model.score(_measures(part.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
