@@ -12,7 +12,7 @@ times, so the sort is sparse and exact:
 2. A bucket is refined by the identifiers of the q-grams at later offsets of the
    stretch. Members that stay together have equal stretches: all but those of the
    smallest document go. Buckets with one member, or of one document, are done.
-3. The buckets that fell apart send their stretches, one for each refined bucket.
+3. The buckets that fell apart send their stretches, those of one document for each refined bucket.
    Bucket-pointer refinement sorts all suffixes in them: positions are ordered by
    their first eight bytes; a position's pointer is the end of its bucket in that
    order; buckets with more than one member are sorted again on the pointers of
@@ -324,7 +324,8 @@ def settle(entries: DataFrame) -> DataFrame:
                 whole = (np.cumsum(new_a) - 1)[first]
                 edges = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
                 low, high = np.minimum.reduceat(who[first], edges), np.maximum.reduceat(who[first], edges)
-                ask = first[(low < high)[whole]]  # a bucket with more than one document, one stretch of each part
+                # of a bucket with more than one document, the stretches of each part's smallest document
+                ask = (low < high)[whole][part] & ~go
                 out += _replies(doc, owner[ask], s[ask], n[ask], 1, bucket)
             if out:
                 yield _table(out, _REPLY)
