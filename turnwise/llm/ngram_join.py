@@ -32,7 +32,7 @@ from .common import components, materialise, parts, settled, whole_text
 BLOCK = 256
 #: n-grams that one matrix product covers.
 COLUMNS = 4096
-WORD_CACHE = 1_000_000
+WORD_CACHE = 300_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
