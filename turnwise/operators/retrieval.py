@@ -136,8 +136,12 @@ def rrf(pools: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    """The vector at length 1; the zero vector stays. Vector and length are worked out once, not for each component."""
+    def scaled(x: Column) -> Column:
+        length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
+        return F.transform(F.array(F.struct(x.alias("x"), length.alias("n"))), lambda s: F.transform(s["x"], lambda y: y / F.when(s["n"] == 0, F.lit(1.0)).otherwise(s["n"])))[0]
+
+    return F.transform(F.array(v), scaled)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

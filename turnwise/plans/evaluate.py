@@ -1,0 +1,97 @@
+"""Simulated sessions: every open session takes its turn in one plan, turn after turn.
+
+The next message depends on what was asked, so turns are sequential, sessions
+are not. What a turn leaves is written and read again, so that the plan of a turn
+doesn't hold those before it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import asking, catalogs, retrieval, scoring, state
+from ..sources import views as V
+from .shared import step
+
+ALLOWED = ("category", "material", "color", "size", "style", "brand", "budget", "feature", "use_case", "other")
+
+
+def override_turn(sample_id: Column) -> Column:
+    """Turn 3 or 4, by a bit of the id's hash."""
+    return (3 + F.pmod(F.xxhash64(sample_id.cast("string")), F.lit(2))).cast("int")
+
+
+def reply(kind: Column, attribute: Column, constraints: Column, told: Column, boundary_used: Column) -> tuple[Column, Column, Column]:
+    """(message, constraints told with it, whether the one refusal is used up) for a question."""
+    none = F.expr("cast(array() as array<string>)")
+    refuses = (kind == "boundary") & ~boundary_used & attribute.isNotNull()
+    asked = F.when(attribute.isin(*ALLOWED), attribute).otherwise("other")
+    fits = F.slice(F.filter(constraints, lambda c: ~F.array_contains(told, c) & ((asked == "other") | (X.classify_constraint(c) == asked))), 1, 2)
+    message = (
+        F.when(refuses, F.concat(F.lit("I don't have a preference for "), attribute, F.lit("; please use your judgment.")))
+        .when(attribute.isNull(), F.lit("Those options are not quite right yet. Ask me about one specific attribute."))
+        .when(F.size(fits) == 0, F.concat(F.lit("I don't have an additional preference for "), asked, F.lit(".")))
+        .otherwise(F.concat(F.lit("For that, what matters is: "), F.array_join(fits, "; "), F.lit(".")))
+    )
+    new = F.when(refuses | attribute.isNull(), none).otherwise(fits)
+    return message, new, boundary_used | refuses
+
+
+def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "candidate", k: int = 10) -> DataFrame:
+    """(sample_id, scenario_type, turn, rank, applied): the target's rank in every turn taken."""
+    products = V.catalog(spark, sf_dir)
+    texts = step(V.field_texts(products), "texts")
+    vocabulary = step(catalogs.gazetteer(products, {"color": "Color", "size": "Size"}), "vocabulary")
+    whole = texts.select("ord", X.raw_tokens(F.concat_ws(" ", *V.FIELDS)).alias("tokens"))
+    none = F.expr("cast(array() as array<string>)")
+    opened = V.openings(spark, sf_dir)
+    sessions = opened.select(
+        "sample_id", "scenario_type", "target", "message", F.lit(1).alias("turn"), F.lit(False).alias("refused"), none.alias("asked"),
+        F.array_distinct(F.concat("hard_constraints", "soft_preferences")).alias("constraints"),
+        F.when(F.col("scenario_type") == "buying", F.slice("hard_constraints", 1, 1)).otherwise(none).alias("told"),
+        F.when(F.col("scenario_type") == "intent_override", override_turn(F.col("sample_id"))).alias("override"),
+    )
+    sessions = step(sessions, "open")
+    history = sessions.select("sample_id", "scenario_type", "turn", "message")
+    taken: list[DataFrame] = []
+    for turn in range(1, turns + 1):
+        ledger = state.entries(history, vocabulary)
+        terms = state.projection(ledger).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("terms"))
+        slotted = ledger.where("status = 'active' AND slot NOT IN ('category', 'department')").groupBy("sample_id").agg(F.collect_set("token").alias("slotted"))
+        now = sessions.join(terms, "sample_id", "left").join(slotted, "sample_id", "left").select(
+            "sample_id", "target", "message", F.coalesce("terms", none).alias("terms"), F.array_sort(F.array_intersect(F.coalesce("terms", none), F.coalesce("slotted", none))).alias("required")
+        )
+        now = step(now.withColumn("query", F.sha2(F.concat_ws("|", F.array_join("terms", " "), F.array_join("required", " "), "message"), 256)), "turn")
+        different = now.dropDuplicates(["query"]).select("query", "terms", "required", X.phrases(F.col("message"), 2).alias("phrases"))
+        pool = retrieval.bm25(different.select("query", F.explode("terms").alias("term")), texts, 100)
+        pool = step(pool.join(different, "query").select("query", "ord", "rank", "terms", "required", "phrases"), "pool")
+        best = retrieval.rerank(pool, texts, k).select("query", F.col("parent_asin").alias("target"), "rank")
+        orders = asking.attribute_order(policy, pool.select(F.col("query").alias("pool"), F.col("ord").alias("item")).join(whole.withColumnRenamed("ord", "item"), "item"))
+        seen = sessions.join(now.select("sample_id", "query"), "sample_id").join(best, ["query", "target"], "left").join(orders.withColumnRenamed("pool", "query"), "query", "left")
+        applied = F.col("override").isNull() | (F.col("turn") >= F.col("override"))
+        seen = step(seen.withColumn("applied", applied), "seen")
+        taken.append(seen.select("sample_id", "scenario_type", "turn", "rank", "applied"))
+        if turn == turns:
+            break
+        attribute = asking.next_attribute(F.coalesce("attributes", F.array(*map(F.lit, asking.DEFAULT_ORDER))), F.col("asked"))
+        open_now = seen.where(~(F.col("applied") & F.col("rank").isNotNull())).withColumn("ask", attribute)
+        said, new, refused = reply(F.col("scenario_type"), F.col("ask"), F.col("constraints"), F.col("told"), F.col("refused"))
+        turns_back = F.col("override") == F.col("turn") + 1
+        wanted = F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), F.col("constraints")[0], F.lit("."))
+        sessions = open_now.select(
+            "sample_id", "scenario_type", "target", F.when(turns_back, wanted).otherwise(said).alias("message"), (F.col("turn") + 1).alias("turn"),
+            F.when(turns_back, F.col("refused")).otherwise(refused).alias("refused"), F.concat("asked", F.when(F.col("ask").isNull(), none).otherwise(F.array("ask"))).alias("asked"),
+            "constraints", F.array_union("told", F.when(turns_back, F.slice("constraints", 1, 1)).otherwise(new)).alias("told"), "override",
+        )
+        sessions = step(sessions, "open")
+        if sessions.isEmpty():
+            break
+        history = step(history.join(sessions.select("sample_id"), "sample_id", "left_semi").unionByName(sessions.select("sample_id", "scenario_type", "turn", "message")), "history")
+    return V.union_all(taken)
+
+
+def report(turns: DataFrame) -> DataFrame:
+    """Metrics over all sessions and by scenario."""
+    return scoring.summarise(scoring.session_facts(turns), "scenario_type")

@@ -1,0 +1,26 @@
+"""Tables written between the steps of a loop."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def step(df: DataFrame, label: str) -> DataFrame:
+    """Write a step's result to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read it back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        made = tempfile.mkdtemp(prefix="turnwise-steps-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(made)
+        folder = spark.sparkContext.getCheckpointDir()
+    where = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .functions import text as X
-from .operators import asking, catalogs, retrieval, scoring, state
+from .operators import asking, catalogs, retrieval, scoring, semantic, state
+from .plans import evaluate
 from .sources import views as V
 from .sql import ORACLES as _SQL
 
@@ -460,4 +461,19 @@ def popularity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(F.broadcast(total)).select("weight", "hits", F.round(F.col("rr") / F.col("n"), 6).alias("mrr"))
 
 
+@_query
+def simulated_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session simulated for two turns against retrieval, reranking and questions."""
+    return evaluate.report(evaluate.evaluate(spark, sf_dir, turns=2))
+
+
+@_query
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each language, the documents nearest to its function words in the latent space."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = spark.createDataFrame([("en", "the house and the thing"), ("fr", "les dans une pour"), ("de", "der und nicht einer"), ("es", "los para las una")], "name string, text string")
+    model = semantic.fit(docs, max_terms=300, dimensions=16)
+    return semantic.search(model, asked, semantic.project(model, docs, "doc_id"), 10, "name")
+
+
 ORACLES = {k: v for k, v in _SQL.items() if k in QUERIES}
