@@ -12,7 +12,7 @@ from .catalogs import extract_slots
 
 #: Slots that an override keeps unless it names them, the turn whose constraints it revokes, and the cap of a query.
 DURABLE, OPENING, TERM_LIMIT = ("category", "department"), 1, 40
-_SESSION = W.Window.partitionBy("sample_id")
+
 
 
 def message_slots(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def gains(messages: DataFrame) -> DataFrame:
     """(sample_id, turn, gained, stuck_for): new tokens of each turn, and for how many turns in a row there were none."""
     first = arrivals(messages).groupBy("sample_id", F.col("arrived").alias("turn")).agg(F.count("*").alias("gained"))
     rows = messages.select("sample_id", "turn").join(first, ["sample_id", "turn"], "left").fillna(0, ["gained"])
-    island = F.sum((F.col("gained") > 0).cast("int")).over(_SESSION.orderBy("turn"))
+    island = F.sum((F.col("gained") > 0).cast("int")).over(W.Window.partitionBy("sample_id").orderBy("turn"))
     rows = rows.withColumn("_island", island)
     inside = W.Window.partitionBy("sample_id", "_island").orderBy("turn")
     started = F.max(F.col("gained") > 0).over(W.Window.partitionBy("sample_id", "_island"))
@@ -109,7 +109,7 @@ def turn_terms(messages: DataFrame) -> DataFrame:
 
 def changes(terms: DataFrame) -> DataFrame:
     """(sample_id, turn, lost, added, dead): against the turn before; a dead turn changed nothing."""
-    before = F.lag("terms").over(_SESSION.orderBy("turn"))
+    before = F.lag("terms").over(W.Window.partitionBy("sample_id").orderBy("turn"))
     return terms.withColumn("before", before).select(
         "sample_id", "turn", F.array_join(F.array_except(F.coalesce("before", F.expr("cast(array() as array<string>)")), "terms"), ",").alias("lost"),
         F.array_join(F.array_except("terms", F.coalesce("before", F.expr("cast(array() as array<string>)"))), ",").alias("added"),
