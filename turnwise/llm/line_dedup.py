@@ -31,8 +31,8 @@ from .common import materialise, number_rows, remove, settled, whole_text
 
 #: Buckets of the table of word counts, whatever the size of the vocabulary.
 BUCKETS = 1 << 17
-#: Rarest words by which a set first meets the earliest one that shares them.
-RAREST = 4
+#: Words at either end of the prefix by which sets first meet few others.
+RAREST = 6
 
 
 def _plain(text: Column) -> Column:
@@ -131,8 +131,9 @@ def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) ->
     """(doc_id, text_hash, line_no) of the lines that go.
 
     A set needs one earlier match to go, not all of them. So sets first meet only
-    the earliest one that shares one of their rarest words, which settles most of
-    a group of similar lines with one pair each; then those still open meet every
+    the earliest and the most copied one of those that share a few of their words,
+    which settles most of a group of similar lines with a few pairs each; then
+    those still open meet every
     earlier set that shares a word of the prefix.
     """
     return settled(docs.sparkSession, "removed-lines", lambda: _removed(docs, numerator, denominator))
@@ -142,16 +143,21 @@ def _removed(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
     whole = materialise(lines_of(docs, numerator, denominator), "lines-and-words")
     lines = materialise(whole.drop("every", "odd", "prefix"), "lines")
     full = lines.where("n > 0")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"))
+    sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"), F.count("*").alias("copies"))
     sets = materialise(number_rows(sets, ["first", "line"], "line-order", "sid"), "line-sets", release=True)
-    heads = whole.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line", "sid"), "line").drop("line")
+    heads = whole.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line", "sid", "copies"), "line").drop("line")
     heads = materialise(heads, "line-heads", release=True)
     remove(whole)
 
-    rarest = heads.select("sid", "n", "every", "odd", F.explode(F.slice("prefix", 1, RAREST)).alias("key"))
+    # words that an edit put in are the rarest; those at the prefix's end are more likely shared
+    few = F.array_distinct(F.concat(F.slice("prefix", 1, RAREST), F.slice(F.reverse("prefix"), 1, RAREST)))
+    rarest = heads.select("sid", "copies", "n", "every", "odd", F.explode(few).alias("key"))
+    # a line that is often repeated word for word is what the similar ones were made from
+    rank = F.col("copies").cast("double") - F.col("sid") / 1e15
     pivots = rarest.groupBy("key").agg(
-        F.min("sid").alias("sid"), *(F.min_by(c, "sid").alias(c) for c in ("n", "every", "odd")), F.count("*").alias("sharing")
-    ).where("sharing > 1")
+        F.struct(F.min("sid").alias("sid"), *(F.min_by(c, "sid").alias(c) for c in ("n", "every", "odd"))).alias("earliest"),
+        F.struct(*(F.max_by(c, rank).alias(c) for c in ("sid", "n", "every", "odd"))).alias("copied"), F.count("*").alias("sharing"),
+    ).where("sharing > 1").select("key", F.explode(F.array_distinct(F.array("earliest", "copied"))).alias("p")).select("key", "p.*")
     a, b = pivots.alias("a"), rarest.alias("b")
     first = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_match("a", "b", numerator, denominator))
     first = materialise(first.select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct(), "line-pivots", release=True)
