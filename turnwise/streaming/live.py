@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
 
+#: A session that says nothing for a day is dropped.
+TIMEOUT_MS = 86_400_000
 OUT = "session string, turn long, terms string, gained int, stuck_for int"
 
 
@@ -34,7 +36,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         held["stuck"] = 0 if new else held["stuck"] + 1
         out.append((key[0], turn, " ".join(held["terms"]), len(new), held["stuck"]))
     state.update((json.dumps(held),))
-    state.setTimeoutDuration("1 day")
+    state.setTimeoutDuration(TIMEOUT_MS)
     yield pd.DataFrame(out, columns=["session", "turn", "terms", "gained", "stuck_for"])
 
 
