@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..sources.views import rank_within
 
 MAX_TURNS = 10
+#: Fixed value: part of the hashed order in which values are masked.
 MASK_VERSION = "coverage-stress-v1"
 
 
