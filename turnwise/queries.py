@@ -430,7 +430,7 @@ def mask_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Products and targets that carry prices more often than the catalog does."""
     products = V.catalog(spark, sf_dir)
-    return products, products.where("price IS NOT NULL OR ord % 3 = 0").select("parent_asin")
+    return products, products.where("price IS NOT NULL OR rating_number >= 32").select("parent_asin")
 
 
 @_query

@@ -214,7 +214,7 @@ def _frames(x: str) -> str:
 _SYN = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in X.SYNONYMS.items()) + "}"
 _MASKS = (
     "plan AS (SELECT field, greatest(o - d, 0) AS masks FROM (SELECT field, sum(there::INTEGER) FILTER (t) AS o, round_even(sum(there::INTEGER) / count(*)::DOUBLE * count(*) FILTER (t), 0) AS d FROM (SELECT *, t.ord IS NOT NULL AS t FROM presence LEFT JOIN tgt t USING (ord)) GROUP BY 1)), "
-    "tgt AS (SELECT ord FROM catalog WHERE price IS NOT NULL OR ord % 3 = 0), "
+    "tgt AS (SELECT ord FROM catalog WHERE price IS NOT NULL OR rating_number >= 32), "
     "masks AS (SELECT field, ord FROM (SELECT p.field, p.ord, row_number() OVER (PARTITION BY p.field ORDER BY sha256('coverage-stress-v1' || chr(0) || 'turnwise-v1' || chr(0) || p.field || chr(0) || parent_asin)) AS place FROM presence p JOIN tgt USING (ord) WHERE there AND p.field IN ('price', 'description')) JOIN plan USING (field) WHERE place <= masks)"
 )
 
