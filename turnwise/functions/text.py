@@ -109,14 +109,16 @@ def bigrams(text: Column) -> Column:
 
 def phrases(text: Column, longest: int) -> Column:
     """Runs of 2..longest raw tokens, short to long, repeats kept."""
-    words = raw_tokens(text)
     none = F.expr("cast(array() as array<string>)")
 
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+    def runs(words: Column) -> Column:
+        def of(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+            return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
 
-    return F.concat(none, *(of(n) for n in range(2, longest + 1)))
+        return F.concat(none, *(of(n) for n in range(2, longest + 1)))
+
+    return F.transform(F.array(raw_tokens(text)), runs)[0]  # the tokens are worked out once
 
 
 def singular(word: Column) -> Column:

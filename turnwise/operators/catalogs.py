@@ -45,9 +45,13 @@ def search_text(products: DataFrame) -> Column:
 def ngrams(haystack: Column, longest: Column | int) -> Column:
     """All different runs of 1..longest words."""
     words = F.filter(F.split(F.trim(haystack), " "), lambda w: w != "")
-    sizes = F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.size(words)), F.lit(1)))
-    runs = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    return F.array_distinct(F.flatten(runs))
+
+    def runs(w: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.size(w)), F.lit(1)))
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+    return F.transform(F.array(words), runs)[0]  # the words are worked out once
 
 
 def term_support(products: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
