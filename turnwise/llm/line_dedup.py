@@ -32,7 +32,9 @@ from .common import materialise, number_rows, remove, settled, whole_text
 #: Buckets of the table of word counts, whatever the size of the vocabulary.
 BUCKETS = 1 << 17
 #: Words at either end of the prefix by which sets first meet few others.
-RAREST = 6
+RAREST = 3
+#: Bits of a set's place among all sets, and copies above which sets count as copied alike.
+SID_BITS, MOST_COPIES = 42, 1 << 20
 
 
 def _plain(text: Column) -> Column:
@@ -151,13 +153,16 @@ def _removed(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
     # words that an edit put in are the rarest; those at the prefix's end are more likely shared
     few = F.array_distinct(F.concat(F.slice("prefix", 1, RAREST), F.slice(F.reverse("prefix"), 1, RAREST)))
-    rarest = heads.select("sid", "copies", "n", "every", "odd", F.explode(few).alias("key"))
-    # a line that is often repeated word for word is what the similar ones were made from
-    rank = F.col("copies").cast("double") - F.col("sid") / 1e15
-    pivots = rarest.groupBy("key").agg(
-        F.struct(F.min("sid").alias("sid"), *(F.min_by(c, "sid").alias(c) for c in ("n", "every", "odd"))).alias("earliest"),
-        F.struct(*(F.max_by(c, rank).alias(c) for c in ("sid", "n", "every", "odd"))).alias("copied"), F.count("*").alias("sharing"),
-    ).where("sharing > 1").select("key", F.explode(F.array_distinct(F.array("earliest", "copied"))).alias("p")).select("key", "p.*")
+    rarest = heads.select("sid", "n", "every", "odd", F.explode(few).alias("key"))
+    # a line that is often repeated word for word is what the similar ones were made from; the most copied, the earliest
+    # of equals, is the largest of one number, which keeps the rows that are combined before the shuffle short
+    copied = F.shiftleft(F.least("copies", F.lit(MOST_COPIES)).cast("long"), SID_BITS) + F.lit((1 << SID_BITS) - 1) - F.col("sid")
+    ends = heads.select("sid", copied.alias("copied"), F.explode(few).alias("key")).groupBy("key").agg(
+        F.min("sid").alias("earliest"), F.max("copied").alias("copied"), F.count("*").alias("sharing")
+    )
+    likeliest = F.lit((1 << SID_BITS) - 1) - F.col("copied").bitwiseAND(F.lit((1 << SID_BITS) - 1))
+    pivots = ends.where("sharing > 1").select("key", F.explode(F.array_distinct(F.array("earliest", likeliest))).alias("sid"))
+    pivots = pivots.join(heads.select("sid", "n", "every", "odd"), "sid")
     a, b = pivots.alias("a"), rarest.alias("b")
     first = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_match("a", "b", numerator, denominator))
     first = materialise(first.select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct(), "line-pivots", release=True)
