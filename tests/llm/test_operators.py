@@ -360,6 +360,17 @@ def test_chunks_encode_as_whole_texts(docs, texts, empty):
     assert chunked_bpe.encode(empty).count() == 0
 
 
+def test_remembered_texts_without_boundaries_go_on():
+    draw = random.Random(3)
+    long = "".join(draw.choice("abcdefghij0123456789") for _ in range(9000))
+    at = chunked_bpe.cuts(long.encode())
+    assert len(at) > 2
+    model = chunked_bpe._load(None)
+    every = [long[: at[1]], long, long[: at[1]] + " and some more words" * 200]
+    got = chunked_bpe.encode_block(model, every, {})
+    assert all(np.array_equal(np.frombuffer(w, model.kind), g) for w, g in zip(model.encode(every), got, strict=True))
+
+
 def _classes(texts):
     sets = []
     for t in texts:
@@ -406,6 +417,18 @@ def test_similar_documents_share_a_class(spark, docs, texts, empty):
     assert ngram_join.classes(empty).count() == 0
 
 
+def test_slices_of_a_few_words(spark):
+    every = ["one two three four five six"[:k] for k in (3, 7, 13, 18, 23, 27)]
+    alone = [ngram_join.shingle_sets(ngram_join.Words(), [t], 5)[0] for t in every]
+    together = ngram_join.shingle_sets(ngram_join.Words(), every, 5)
+    assert all(np.array_equal(a, b) for a, b in zip(alone, together, strict=True))
+    for n in range(2, 6):
+        assert all(len(ngram_join.shingle_sets(ngram_join.Words(), [t], n)[0]) == max(1, len(t.split()) - n + 1) for t in every)
+    docs = _docs(spark, every[1:3]).repartition(2, "doc_id")
+    want = _classes(every[1:3])
+    assert {r.doc_id: (r.set_id, r.class_id, r.n_links) for r in ngram_join.classes(docs).collect()} == want
+
+
 def test_rows_that_repeat_an_id(spark):
     docs = _docs(spark, ["same text of more than five words here", "other words that do not match at all"] * 2, ids=[7, 8, 7, 8])
     assert ngram_join.classes(docs).count() == 4

@@ -107,10 +107,12 @@ def encode_block(model: PieceIds, texts: list[str], known: dict[bytes, _Chunk])
         for a, b in zip(at, at[1:], strict=False):
             held += raw[a:b]
             chunk = known.get(held)
-            if chunk is None:
+            fresh = chunk is None
+            if fresh:
                 chunk = _Chunk(held.decode())
-                if chunk.head is None and b < len(raw):
-                    continue  # no certain boundaries: it goes with the next one
+            if chunk.head is None and b < len(raw):
+                continue  # no certain boundaries: it goes with the next one
+            if fresh:
                 if chunk.head is None and row:  # ... or with those before
                     chunk = _Chunk("".join(c.text for c in row) + chunk.text)
                     row, held = [], raw

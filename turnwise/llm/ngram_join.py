@@ -73,7 +73,7 @@ def shingle_sets(words: Words, texts: list[str], n: int) -> list[np.ndarray]:
     """The sorted different n-gram hashes of each text."""
     flat, at = words.hashes(texts)
     run = flat.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(flat))):
         run[: len(flat) - k] = _mix(run[: len(flat) - k] * _MIX + flat[k:] + np.uint64(k))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
