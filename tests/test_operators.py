@@ -1,8 +1,12 @@
 """Operators on hand-computed cases."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise import queries
+from turnwise.functions import text as X
 from turnwise.operators import asking, catalogs, retrieval, scoring, state
 from turnwise.plans import evaluate
 from turnwise.sources import views as V
@@ -80,6 +84,14 @@ def test_gains_and_changes(spark):
     assert [r.dead for r in state.changes(state.turn_terms(said)).orderBy("turn").collect()] == [False, True, True, False]
 
 
+def test_ledger_gains(spark):
+    words = spark.createDataFrame([("color", "black", 1), ("color", "red", 1)], "slot string, term string, support long")
+    said = _said(spark, (1, "belts closure black"), (2, "belts"), (3, "Actually, ignore my earlier preference. red"), (4, "closure red"), (5, "closure"))
+    got = {r.turn: r.gained for r in state.ledger_gains(said, words).collect()}
+    fresh = len({"actually", "ignore", "my", "earlier", "preference", "red"} - set(X.STOPWORDS))
+    assert got == {1: 3, 3: fresh, 4: 1}
+
+
 def test_attribute_orders(spark):
     pools = spark.createDataFrame([("p", i, ["cotton", c, "shirt"]) for i, c in enumerate(["red", "blue", "green"])], "pool string, item int, tokens array<string>")
     order = asking.attribute_order("candidate", pools).first().attributes
@@ -141,6 +153,64 @@ def test_replies(spark):
     assert got[3] == ("I don't have an additional preference for color.", [])
 
 
+def _asks(r, turns):
+    """One session that never hits, step by step, without slots."""
+    constraints, kinds = r.constraints, dict(zip(r.constraints, r.kinds, strict=True))
+    told = set(r.hard_constraints[:1] if r.scenario_type == "buying" else [])
+    message, active, first, asked, no_gain, refused, out = r.message, set(), {}, [], 0, False, []
+    for turn in range(1, turns + 1):
+        low = message.lower()
+        if low.startswith("actually") and "ignore my earlier preference" in low:
+            active -= {t for t in active if first[t] <= 1}
+        tokens = [] if any(p in low for p in X.NO_PREFERENCE) else [t for t in re.findall("[a-z0-9]+", low) if len(t) > 1 and t not in X.STOPWORDS]
+        no_gain = 0 if set(tokens) - active else no_gain + 1
+        active |= set(tokens)
+        for t in tokens:
+            first.setdefault(t, turn)
+        if no_gain:
+            ask = "other" if no_gain == 1 else asking.DEFAULT_ORDER[(no_gain - 2) % 9]
+        else:
+            ask = next((x for x in asking.DEFAULT_ORDER if x not in asked), None)
+        asked.append(ask)
+        out.append(ask)
+        if r.override == turn + 1:
+            message = f"Actually, ignore my earlier preference. What I need is: {constraints[0]}."
+            told.add(constraints[0])
+        elif r.scenario_type == "boundary" and not refused and ask:
+            message, refused = f"I don't have a preference for {ask}; please use your judgment.", True
+        elif not ask:
+            message = "Those options are not quite right yet. Ask me about one specific attribute."
+        else:
+            fits = [c for c in constraints if c not in told and ask in ("other", kinds[c])][:2]
+            told |= set(fits)
+            message = f"For that, what matters is: {'; '.join(fits)}." if fits else f"I don't have an additional preference for {ask}."
+    return out
+
+
+def test_simulation_asks_as_step_by_step(spark, sf_dir, monkeypatch):
+    opened = V.openings(spark, sf_dir).where("sample_id < 160").cache()
+    none = spark.createDataFrame([], "slot string, term string, support long")
+    monkeypatch.setattr(V, "openings", lambda *_: opened)
+    monkeypatch.setattr(catalogs, "gazetteer", lambda *_: none)
+    got = {}
+    for r in evaluate.evaluate(spark, sf_dir, turns=6, policy="fixed", k=0).collect():
+        got.setdefault(r.sample_id, {})[r.turn] = r.ask
+    every = F.array_distinct(F.concat("hard_constraints", "soft_preferences"))
+    rows = opened.withColumn("constraints", every).withColumn("kinds", F.transform("constraints", X.classify_constraint))
+    rows = rows.withColumn("override", F.when(F.col("scenario_type") == "intent_override", evaluate.override_turn(F.col("sample_id")))).collect()
+    want = {r.sample_id: dict(enumerate(_asks(r, 6), 1)) for r in rows}
+    assert got == want and len({r.scenario_type for r in rows}) == 4
+    assert any("other" in w.values() for w in want.values())
+
+
+def test_simulation_takes_ten_turns(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(evaluate, "evaluate", lambda *a, turns=10, **k: seen.append(turns))
+    monkeypatch.setattr(evaluate, "report", lambda turns: turns)
+    queries.QUERIES["simulated_evaluation"](spark, sf_dir)
+    assert seen == [10]
+
+
 def test_publishing_is_all_or_nothing(spark, tmp_path):
     path = str(tmp_path / "out")
     V.publish_jsonl(spark.range(3), path)

@@ -67,6 +67,11 @@ def next_attribute(order: Column, asked: Column) -> Column:
     return F.try_element_at(F.array_except(order, asked), F.lit(1))
 
 
+def stuck_attribute(stuck_for: Column) -> Column:
+    """What to ask after stuck_for + 1 turns in a row without gain: an open question, then the default order round and round."""
+    return F.when(stuck_for == 0, "other").otherwise(_array(DEFAULT_ORDER)[F.pmod(stuck_for - 1, F.lit(len(DEFAULT_ORDER))).cast("int")])
+
+
 def attribute_order(policy: str, pools: DataFrame) -> DataFrame:
     """(pool, attributes) under a policy; ``profile`` reads a column ``tags``."""
     if policy in ("candidate", "entropy"):

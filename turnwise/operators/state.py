@@ -34,14 +34,8 @@ def mentions(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return messages.select("sample_id", "turn", "message").join(claimed, "message").select("sample_id", "turn", "pos", "token", "slot")
 
 
-def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(sample_id, token, slot, status, first_turn, first_pos, last_turn): the ledger after the last turn.
-
-    An override kills a token first stated before it if the override names the
-    token's slot (superseded), or if the slot isn't durable and the token came on
-    the opening turn (revoked). A token stated at or after its last kill is active.
-    """
-    said = mentions(messages, vocabulary)
+def _kills(messages: DataFrame, vocabulary: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each token's first and last mention and first slot; and (sample_id, token, o, last_turn, how), each override that kills it."""
     per = said.groupBy("sample_id", "token").agg(
         F.min(F.struct("turn", "pos")).alias("first"), F.max("turn").alias("last_turn"),
         F.min(F.when(F.col("slot").isNotNull(), F.struct("turn", "pos", "slot"))).alias("slotted"),
@@ -53,7 +47,17 @@ def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     superseded = F.coalesce(F.array_contains("named", slot_then), F.lit(False))
     revoked = ~F.coalesce(slot_then.isin(*DURABLE), F.lit(False)) & (F.col("first.turn") <= OPENING)
     kills = per.join(overrides, "sample_id").where((F.col("o") > F.col("first.turn")) & (superseded | revoked))
-    kills = kills.select("sample_id", "token", "o", "last_turn", F.when(superseded, "superseded").otherwise("revoked").alias("how"))
+    return per, kills.select("sample_id", "token", "o", "last_turn", F.when(superseded, "superseded").otherwise("revoked").alias("how"))
+
+
+def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(sample_id, token, slot, status, first_turn, first_pos, last_turn): the ledger after the last turn.
+
+    An override kills a token first stated before it if the override names the
+    token's slot (superseded), or if the slot isn't durable and the token came on
+    the opening turn (revoked). A token stated at or after its last kill is active.
+    """
+    per, kills = _kills(messages, vocabulary, mentions(messages, vocabulary))
     after = kills.groupBy("sample_id", "token").agg(
         F.max("o").alias("last_kill"), F.min(F.when(F.col("o") > F.col("last_turn"), F.struct("o", "how"))).alias("fatal")
     )
@@ -64,6 +68,17 @@ def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def ledger_gains(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(sample_id, turn, gained): the tokens each turn made active, new ones and ones that an override had killed; turns without any have no row."""
+    said = mentions(messages, vocabulary)
+    _, kills = _kills(messages, vocabulary, said)
+    stated = said.select("sample_id", "token", "turn").distinct().withColumn("before", F.lag("turn").over(W.Window.partitionBy("sample_id", "token").orderBy("turn")))
+    killed = kills.groupBy("sample_id", "token").agg(F.collect_set("o").alias("os"))
+    dead = F.exists(F.coalesce("os", F.expr("cast(array() as array<int>)")), lambda o: (o > F.col("before")) & (o <= F.col("turn")))
+    gained = stated.join(killed, ["sample_id", "token"], "left").where(F.col("before").isNull() | dead)
+    return gained.groupBy("sample_id", "turn").agg(F.count("*").alias("gained"))
+
+
 def projection(ledger: DataFrame, limit: int = TERM_LIMIT) -> DataFrame:
     """(sample_id, place, token): the active tokens in the order first stated."""
     place = rank_within(["sample_id"], F.col("first_turn"), F.col("first_pos"))

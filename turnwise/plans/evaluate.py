@@ -39,8 +39,12 @@ def reply(kind: Column, attribute: Column, constraints: Column, told: Column, bo
     return message, new, boundary_used | refuses
 
 
-def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "candidate", k: int = 10) -> DataFrame:
-    """(sample_id, scenario_type, turn, rank, applied): the target's rank in every turn taken."""
+def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "candidate", k: int = 10, no_gain_probe: int | None = 1) -> DataFrame:
+    """(sample_id, scenario_type, turn, rank, applied, ask): the target's rank in every turn taken, and what was asked then.
+
+    After ``no_gain_probe`` turns in a row that made no token active, the question
+    isn't the policy's but that of ``asking.stuck_attribute``; None asks by policy alone.
+    """
     products = V.catalog(spark, sf_dir)
     texts = step(V.field_texts(products), "texts")
     vocabulary = step(catalogs.gazetteer(products, {"color": "Color", "size": "Size"}), "vocabulary")
@@ -48,7 +52,7 @@ def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "c
     none = F.expr("cast(array() as array<string>)")
     opened = V.openings(spark, sf_dir)
     sessions = opened.select(
-        "sample_id", "scenario_type", "target", "message", F.lit(1).alias("turn"), F.lit(False).alias("refused"), none.alias("asked"),
+        "sample_id", "scenario_type", "target", "message", F.lit(1).alias("turn"), F.lit(False).alias("refused"), none.alias("asked"), F.lit(0).alias("no_gain"),
         F.array_distinct(F.concat("hard_constraints", "soft_preferences")).alias("constraints"),
         F.when(F.col("scenario_type") == "buying", F.slice("hard_constraints", 1, 1)).otherwise(none).alias("told"),
         F.when(F.col("scenario_type") == "intent_override", override_turn(F.col("sample_id"))).alias("override"),
@@ -59,6 +63,7 @@ def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "c
     for turn in range(1, turns + 1):
         ledger = state.entries(history, vocabulary)
         terms = state.projection(ledger).groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("terms"))
+        gained = state.ledger_gains(history, vocabulary).where(F.col("turn") == turn).select("sample_id", "gained")
         slotted = ledger.where("status = 'active' AND slot NOT IN ('category', 'department')").groupBy("sample_id").agg(F.collect_set("token").alias("slotted"))
         now = sessions.join(terms, "sample_id", "left").join(slotted, "sample_id", "left").select(
             "sample_id", "target", "message", F.coalesce("terms", none).alias("terms"), F.array_sort(F.array_intersect(F.coalesce("terms", none), F.coalesce("slotted", none))).alias("required")
@@ -70,19 +75,22 @@ def evaluate(spark: SparkSession, sf_dir: str, turns: int = 10, policy: str = "c
         best = retrieval.rerank(pool, texts, k).select("query", F.col("parent_asin").alias("target"), "rank")
         orders = asking.attribute_order(policy, pool.select(F.col("query").alias("pool"), F.col("ord").alias("item")).join(whole.withColumnRenamed("ord", "item"), "item"))
         seen = sessions.join(now.select("sample_id", "query"), "sample_id").join(best, ["query", "target"], "left").join(orders.withColumnRenamed("pool", "query"), "query", "left")
+        seen = seen.join(gained, "sample_id", "left").withColumn("no_gain", F.when(F.col("gained") > 0, 0).otherwise(F.col("no_gain") + 1))
         applied = F.col("override").isNull() | (F.col("turn") >= F.col("override"))
-        seen = step(seen.withColumn("applied", applied), "seen")
-        taken.append(seen.select("sample_id", "scenario_type", "turn", "rank", "applied"))
+        attribute = asking.next_attribute(F.coalesce("attributes", F.array(*map(F.lit, asking.DEFAULT_ORDER))), F.col("asked"))
+        if no_gain_probe is not None:
+            attribute = F.when(F.col("no_gain") >= no_gain_probe, asking.stuck_attribute(F.col("no_gain") - no_gain_probe)).otherwise(attribute)
+        seen = step(seen.withColumn("applied", applied).withColumn("ask", attribute), "seen")
+        taken.append(seen.select("sample_id", "scenario_type", "turn", "rank", "applied", "ask"))
         if turn == turns:
             break
-        attribute = asking.next_attribute(F.coalesce("attributes", F.array(*map(F.lit, asking.DEFAULT_ORDER))), F.col("asked"))
-        open_now = seen.where(~(F.col("applied") & F.col("rank").isNotNull())).withColumn("ask", attribute)
+        open_now = seen.where(~(F.col("applied") & F.col("rank").isNotNull()))
         said, new, refused = reply(F.col("scenario_type"), F.col("ask"), F.col("constraints"), F.col("told"), F.col("refused"))
         turns_back = F.col("override") == F.col("turn") + 1
         wanted = F.concat(F.lit("Actually, ignore my earlier preference. What I need is: "), F.col("constraints")[0], F.lit("."))
         sessions = open_now.select(
             "sample_id", "scenario_type", "target", F.when(turns_back, wanted).otherwise(said).alias("message"), (F.col("turn") + 1).alias("turn"),
-            F.when(turns_back, F.col("refused")).otherwise(refused).alias("refused"), F.concat("asked", F.when(F.col("ask").isNull(), none).otherwise(F.array("ask"))).alias("asked"),
+            F.when(turns_back, F.col("refused")).otherwise(refused).alias("refused"), F.array_union("asked", F.when(F.col("ask").isNull(), none).otherwise(F.array("ask"))).alias("asked"), "no_gain",
             "constraints", F.array_union("told", F.when(turns_back, F.slice("constraints", 1, 1)).otherwise(new)).alias("told"), "override",
         )
         sessions = step(sessions, "open")

@@ -463,8 +463,8 @@ def popularity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def simulated_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session simulated for two turns against retrieval, reranking and questions."""
-    return evaluate.report(evaluate.evaluate(spark, sf_dir, turns=2))
+    """Every session simulated for ten turns against retrieval, reranking and questions."""
+    return evaluate.report(evaluate.evaluate(spark, sf_dir, turns=10))
 
 
 @_query
