@@ -63,6 +63,16 @@ def test_union_keeps_the_first_pool_ahead(spark):
     assert [r.ord for r in retrieval.rrf([a, b], 3).where("query = 'q'").orderBy("rank").collect()] == [6, 5, 7]
 
 
+def test_terms_of_any_length(spark, shop):
+    long = "one two three four five six"
+    both = shop.withColumn("title", F.when(F.col("ord") < 2, F.concat(F.lit(long + " "), "title")).otherwise(F.col("title")))
+    terms = spark.createDataFrame([(long,), ("two three four five six red shirt",), ("shirt",), (long + " boot",)], "term string")
+    assert {r.term: r.support for r in catalogs.term_support(both, terms).collect()} == {long: 2, "two three four five six red shirt": 1, "shirt": 2, long + " boot": 0}
+    words = spark.createDataFrame([("category", long, 1), ("category", "six", 1)], "slot string, term string, support long")
+    said = spark.createDataFrame([(f"I want {long} now",)], "m string")
+    assert [r.term for r in catalogs.extract_slots(said, words, "m", "m").collect()] == [long]
+
+
 def _said(spark, *turns):
     return spark.createDataFrame([("s", "buying", t, m) for t, m in turns], "sample_id string, scenario_type string, turn int, message string")
 

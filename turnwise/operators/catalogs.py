@@ -42,25 +42,34 @@ def search_text(products: DataFrame) -> Column:
     return F.concat(F.lit(" "), X.normalize_term(joined), F.lit(" "))
 
 
-def ngrams(haystack: Column, longest: Column | int) -> Column:
-    """All different runs of 1..longest words."""
-    words = F.filter(F.split(F.trim(haystack), " "), lambda w: w != "")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), " "), lambda w: w != "")
 
+
+def term_sizes(term: Column) -> Column:
+    """Aggregate: the numbers of words that the terms have."""
+    return F.collect_set(F.greatest(F.size(_words(term)), F.lit(1)))
+
+
+def ngrams(haystack: Column, sizes: Column) -> Column:
+    """All different runs of as many words as ``sizes`` holds."""
     def runs(w: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.greatest(F.least(F.lit(longest), F.size(w)), F.lit(1)))
+        fitting = F.filter(sizes, lambda n: n <= F.greatest(F.size(w), F.lit(1)))
         of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.array_distinct(F.flatten(F.transform(sizes, of)))
+        return F.array_distinct(F.flatten(F.transform(fitting, of)))
 
-    return F.transform(F.array(words), runs)[0]  # the words are worked out once
+    return F.transform(F.array(_words(haystack)), runs)[0]  # the words are worked out once
 
 
-def term_support(products: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
+def term_support(products: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, support): how many products hold each term as whole words; 0 for terms that none has.
 
     Whole-word containment is an equi-join on the texts' word runs, so it costs
-    what the texts hold, not texts times terms. Longer terms than ``longest`` words match nothing.
+    what the texts hold, not texts times terms. Runs have the lengths that the terms have.
     """
-    runs = products.select("parent_asin", F.explode(ngrams(search_text(products), longest)).alias("term"))
+    sizes = terms.agg(term_sizes(F.col("term")).alias("_n"))
+    texts = products.select("parent_asin", search_text(products).alias("_text")).join(F.broadcast(sizes))  # one row
+    runs = texts.select("parent_asin", F.explode(ngrams(F.col("_text"), F.col("_n"))).alias("term"))
     counted = runs.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("support"))
     return terms.select("term").distinct().join(counted, "term", "left").select("term", F.coalesce("support", F.lit(0)).alias("support"))
 
@@ -98,11 +107,11 @@ def gazetteer_summary(vocabulary: DataFrame, top: int = 15) -> DataFrame:
     )
 
 
-def extract_slots(texts: DataFrame, vocabulary: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+def extract_slots(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, slot, term): the vocabulary's terms in each text; a term inside a longer one of its slot that is there too is left out."""
-    materials = vocabulary.where("slot = 'material'").agg(F.collect_set("term").alias("_m"))  # a vocabulary's slot
+    known = vocabulary.agg(F.collect_set(F.when(F.col("slot") == "material", F.col("term"))).alias("_m"), term_sizes(F.col("term")).alias("_n"))  # one row
     hay = F.concat(F.lit(" "), X.normalize_term(F.col(text)), F.lit(" "))
-    there = texts.join(F.broadcast(materials)).select(key, F.explode(ngrams(X.apply_aliases(hay, F.col("_m")), longest)).alias("term"))
+    there = texts.join(F.broadcast(known)).select(key, F.explode(ngrams(X.apply_aliases(hay, F.col("_m")), F.col("_n"))).alias("term"))
     hits = there.join(vocabulary.select("slot", "term"), "term")
     grouped = hits.groupBy(key, "slot").agg(F.collect_set("term").alias("hits"))
     inside = lambda a, b: F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
