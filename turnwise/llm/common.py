@@ -11,7 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 _scopes: list[list[str]] = []
 #: Rows of a task hold their position below this many bits of monotonically_increasing_id().
 _ROW_BITS = 33
+_REMOVAL = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,23 +44,35 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Have Spark remove a query's shuffle files when the query ends."""
+    before = spark.conf.get(_REMOVAL, None)
+    spark.conf.set(_REMOVAL, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVAL)
+        else:
+            spark.conf.set(_REMOVAL, before)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors, and lets later
-    steps read only the columns they need. The table goes when the JVM ends.
-    ``release``: let Spark drop the shuffle files of what has been written now,
-    which it does when the driver next collects its garbage.
+    steps read only the columns they need. The table goes when the JVM ends,
+    the shuffle files behind it as soon as it is written.
     """
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(where)
+    with _shuffle_files_removed(spark):
+        df.write.option("compression", "zstd").parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     if _scopes:
         _scopes[-1].append(where)
-    if release:
-        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(where)
 
 
@@ -81,7 +95,7 @@ def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> D
         result = make()
         inner = _scopes.pop()
         _scopes.append([])  # what follows belongs to the caller
-        done = materialise(result, label, release=True)
+        done = materialise(result, label)
         mine = _scopes.pop()
     except BaseException:
         inner, mine = _scopes.pop(), []
@@ -95,6 +109,23 @@ def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> D
     return done
 
 
+def tidy(run):
+    """``run`` for mapInArrow that gives the memory it has freed back to the system at its end: workers live on and wait for other tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,8 +15,10 @@ the same set are one row of that join, so common lines cost no more than rare
 ones; sets of up to three words match only themselves and stay out of it.
 
 Null text is one empty line; lines without words stay and match nothing; very
-long lines are compared whole; rows that repeat an id count as the same place in
-the order, so neither goes because of the other; an empty table gives an empty
+long lines are compared whole; rows that repeat an id come in the order of their
+texts' hash, and rows that repeat id and text count as the same place, so neither
+goes because of the other; null ids come first; columns other than doc_id and
+text are never read here, whatever their names; an empty table gives an empty
 result.
 """
 
@@ -31,10 +33,14 @@ from .common import materialise, number_rows, remove, settled, whole_text
 
 #: Buckets of the table of word counts, whatever the size of the vocabulary.
 BUCKETS = 1 << 17
-#: Words at either end of the prefix by which sets first meet few others.
-RAREST = 3
-#: Bits of a set's place among all sets, and copies above which sets count as copied alike.
-SID_BITS, MOST_COPIES = 42, 1 << 20
+#: Words at either end of the prefix by which sets first meet few others, where more than so many sets share one.
+RAREST, FEW = 3, 8
+#: Copies above which sets count as copied alike.
+MOST_COPIES = 1 << 19
+#: 64-bit cells of the filter that tells which documents' texts verification can do without.
+FILTER_CELLS = 1 << 18
+#: Bits that a line's place may take, so that it can be told by one number.
+PLACE_BITS = 62
 
 
 def _plain(text: Column) -> Column:
@@ -65,7 +71,7 @@ def rarity_table(docs: DataFrame) -> list[int]:
 
 
 def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(line, doc_id, text_hash, line_no, place, set_a, set_b, n, every, odd, prefix): each line with its set's key, bitmap and rarest words."""
+    """(doc_id, text_hash, line_no, set_a, set_b, n, every, odd, prefix): each line with its set's key, parities and rarest words."""
     table = F.split(F.lit(",".join(map(str, rarity_table(docs)))), ",").cast("array<bigint>")  # folded to one literal
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"),
@@ -78,30 +84,48 @@ def lines_of(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
 
     def parity(of) -> Column:
         """For each of 64 cells, whether an odd number of the words for which ``of`` is 1 falls into it."""
-        at = lambda k: F.shiftright(k, 21).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        at = lambda k: k.bitwiseAND(F.lit(63).cast("long")).cast("int")
         return F.aggregate("keys", F.lit(0).cast("long"), lambda m, k: m.bitwiseXOR(F.call_function("shiftleft", of(k), at(k))))
 
     every = parity(lambda k: F.lit(1).cast("long"))
-    odd = parity(lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(1).cast("long")))
+    odd = parity(lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long")))
     keyed = rows.select("doc_id", "text_hash", "line_no", F.sort_array(F.transform(_hashes(F.col("text")), key)).alias("keys"))
     keyed = keyed.withColumn("n", F.size("keys"))
     needed = F.ceil(F.col("n") * F.lit(numerator) / F.lit(denominator)).cast("int")
     joins = F.col("n") * (denominator - numerator) >= numerator
     return keyed.select(
-        F.monotonically_increasing_id().alias("line"), "doc_id", "text_hash", "line_no",
-        (F.coalesce("doc_id", F.lit(-1)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)").alias("place"),
-        F.xxhash64("keys").alias("set_a"), F.xxhash64(F.lit(1), "keys").alias("set_b"), "n",
+        "doc_id", "text_hash", "line_no", F.xxhash64("keys").alias("set_a"), F.xxhash64(F.lit(1), "keys").alias("set_b"), "n",
         F.when(joins, every).alias("every"), F.when(joins, odd).alias("odd"),
         F.when(joins, F.slice("keys", 1, F.col("n") - needed + 1)).alias("prefix"),
     )
 
 
-def _may_match(a: str, b: str, numerator: int, denominator: int) -> Column:
+def _in_order(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """``lines`` with ``place``: one number that grows with the document and the line; rows that repeat id and text share it.
+
+    Where ids are unique and close enough together the id itself tells the
+    document's place, otherwise its rank among all documents does.
+    """
+    low, high, n, known = docs.select(F.col("doc_id").cast("long").alias("i")).agg(F.min("i"), F.max("i"), F.count("*"), F.countDistinct("i")).first()
+    bits = (lines.agg(F.max("line_no")).first()[0] or 0).bit_length()
+    if n == known and (not n or (high - low).bit_length() + bits <= PLACE_BITS):
+        return lines.withColumn("place", F.shiftleft(F.col("doc_id") - F.lit(low or 0), bits).bitwiseOR(F.col("line_no").cast("long")))
+    different = lines.where("line_no = 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    ranked = number_rows(different, ["_id", "_hash"], "documents-in-order", "_rank")
+    same = lines["doc_id"].eqNullSafe(ranked["_id"]) & (lines["text_hash"] == ranked["_hash"])
+    placed = lines.join(ranked, same).withColumn("place", F.shiftleft("_rank", bits).bitwiseOR(F.col("line_no").cast("long")))
+    return materialise(placed.drop("_id", "_hash", "_rank"), "placed-lines")
+
+
+def _size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.meta"), 32)
+
+
+def _may_match(a: str, b: str, numerator: int, denominator: int, n=lambda x: F.col(f"{x}.n")) -> Column:
     """What two similar sets always fulfil: near enough in size, and with few enough parities apart.
 
     A word that only one of the two has changes one parity, so at least as many words differ as parities.
     """
-    n = lambda x: F.col(f"{x}.n")
     odd = F.col(f"{a}.odd").bitwiseXOR(F.col(f"{b}.odd"))
     even = F.col(f"{a}.every").bitwiseXOR(F.col(f"{b}.every")).bitwiseXOR(odd)
     return (F.least(n(a), n(b)) * denominator >= F.greatest(n(a), n(b)) * numerator) & (
@@ -109,17 +133,33 @@ def _may_match(a: str, b: str, numerator: int, denominator: int) -> Column:
     )
 
 
-def _verified(docs: DataFrame, lines: DataFrame, sets: DataFrame, pairs: DataFrame, numerator: int, denominator: int, label: str) -> DataFrame:
+def _among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` may be among the values of ``wanted``'s only column; null goes with -1.
+
+    A filter of at most FILTER_CELLS rows, whatever the size of the tables, leaves
+    out most rows that nobody asks for before they are shuffled.
+    """
+    mix = lambda c: F.xxhash64(F.coalesce(c, F.lit(-1).cast("long")), F.lit(5))
+    cell = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_CELLS - 1))
+    bit = lambda h: h.bitwiseAND(F.lit(63).cast("long")).cast("int")
+    named = wanted.select(mix(F.col(wanted.columns[0])).alias("_h"))
+    cells = named.groupBy(cell(F.col("_h")).alias("_cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("_h")))).alias("_bits"))
+    keyed = rows.withColumn("_h", mix(F.col(column))).withColumn("_cell", cell(F.col("_h")))
+    return keyed.join(F.broadcast(cells), "_cell").where(F.getbit("_bits", bit(F.col("_h"))) == 1).select(*rows.columns)
+
+
+def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, numerator: int, denominator: int, label: str) -> DataFrame:
     """The later sets of those (later, earlier) pairs that are similar on all their words."""
     wanted = pairs.select(F.col("later").alias("sid")).union(pairs.select("earlier")).distinct()
-    places = lines.select("line", "doc_id", "text_hash", "line_no").join(sets.select("line", "sid").join(wanted, "sid"), "line")
-    asked = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("sid", "line_no")).alias("asked"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text"))
+    places = lines.select(F.col("place").alias("sid"), "doc_id", "text_hash", "line_no").join(wanted, "sid")
+    asked = materialise(places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("sid", "line_no")).alias("asked")), f"{label}-places")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = _among(texts, "doc_id", asked.select("doc_id")).withColumn("text_hash", F.xxhash64("text"))
     met = texts.join(asked, texts["doc_id"].eqNullSafe(asked["doc_id"]) & (texts["text_hash"] == asked["text_hash"])).select(
         F.split(_plain(F.col("text")), "\n").alias("lines"), "asked"
     )
     words = met.select(F.explode(F.transform("asked", lambda q: F.struct(q["sid"].alias("sid"), _hashes(F.get(F.col("lines"), q["line_no"])).alias("words")))).alias("q"))
-    words = materialise(words.select("q.sid", "q.words"), f"{label}-words", release=True).dropDuplicates(["sid"])
+    words = materialise(words.select("q.sid", "q.words"), f"{label}-words").dropDuplicates(["sid"])
     return (
         pairs.join(words.select(F.col("sid").alias("later"), F.col("words").alias("xs")), "later")
         .join(words.select(F.col("sid").alias("earlier"), F.col("words").alias("ys")), "earlier")
@@ -132,64 +172,62 @@ def _verified(docs: DataFrame, lines: DataFrame, sets: DataFrame, pairs: DataFra
 def removed_lines(docs: DataFrame, numerator: int = 4, denominator: int = 5) -> DataFrame:
     """(doc_id, text_hash, line_no) of the lines that go.
 
-    A set needs one earlier match to go, not all of them. So sets first meet only
-    the earliest and the most copied one of those that share a few of their words,
+    A set needs one earlier match to go, not all of them. So where many sets share
+    a word they first meet only the earliest and the most copied one of those,
     which settles most of a group of similar lines with a few pairs each; then
-    those still open meet every
-    earlier set that shares a word of the prefix.
+    those still open meet every earlier set that shares a word of the prefix.
     """
-    return settled(docs.sparkSession, "removed-lines", lambda: _removed(docs, numerator, denominator))
+    return settled(docs.sparkSession, "removed-lines", lambda: _removed(_in_order(docs, materialise(lines_of(docs, numerator, denominator), "lines")), docs, numerator, denominator))
 
 
-def _removed(docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    whole = materialise(lines_of(docs, numerator, denominator), "lines-and-words")
-    lines = materialise(whole.drop("every", "odd", "prefix"), "lines")
-    full = lines.where("n > 0")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("place").alias("first"), F.min_by("line", "place").alias("line"), F.count("*").alias("copies"))
-    sets = materialise(number_rows(sets, ["first", "line"], "line-order", "sid"), "line-sets", release=True)
-    heads = whole.where(F.col("prefix").isNotNull()).select("line", "n", "every", "odd", "prefix").join(sets.select("line", "sid", "copies"), "line").drop("line")
-    heads = materialise(heads, "line-heads", release=True)
-    remove(whole)
+def _removed(whole: DataFrame, docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    lines = whole.select("doc_id", "text_hash", "line_no", "place", "set_a", "set_b", "n").where("n > 0")
+    # a set goes by the place of its first line
+    sets = lines.groupBy("set_a", "set_b").agg(F.min("place").alias("sid"), F.count("*").alias("copies"))
+    sets = materialise(sets, "line-sets")
+    heads = whole.where(F.col("prefix").isNotNull()).select(F.col("place").alias("sid"), "set_a", "set_b", "n", "every", "odd", "prefix")
+    heads = heads.join(sets.select("sid", "set_a", "set_b", "copies"), ["sid", "set_a", "set_b"]).drop("set_a", "set_b")
+    heads = materialise(heads, "line-heads")
 
     # words that an edit put in are the rarest; those at the prefix's end are more likely shared
     few = F.array_distinct(F.concat(F.slice("prefix", 1, RAREST), F.slice(F.reverse("prefix"), 1, RAREST)))
-    rarest = heads.select("sid", "n", "every", "odd", F.explode(few).alias("key"))
-    # a line that is often repeated word for word is what the similar ones were made from; the most copied, the earliest
-    # of equals, is the largest of one number, which keeps the rows that are combined before the shuffle short
-    copied = F.shiftleft(F.least("copies", F.lit(MOST_COPIES)).cast("long"), SID_BITS) + F.lit((1 << SID_BITS) - 1) - F.col("sid")
-    ends = heads.select("sid", copied.alias("copied"), F.explode(few).alias("key")).groupBy("key").agg(
-        F.min("sid").alias("earliest"), F.max("copied").alias("copied"), F.count("*").alias("sharing")
+    # a line that is often repeated word for word is what the similar ones were made from; equals go by a hash, alike for all words
+    often = F.shiftleft(F.least("copies", F.lit(MOST_COPIES)).cast("long"), 43).bitwiseOR(F.xxhash64("sid").bitwiseAND(F.lit((1 << 43) - 1)))
+    ends = heads.select("sid", often.alias("often"), F.explode(few).alias("key")).groupBy("key").agg(
+        F.min("sid").alias("earliest"), F.max_by("sid", "often").alias("likeliest"), F.count("*").alias("sharing")
     )
-    likeliest = F.lit((1 << SID_BITS) - 1) - F.col("copied").bitwiseAND(F.lit((1 << SID_BITS) - 1))
-    pivots = ends.where("sharing > 1").select("key", F.explode(F.array_distinct(F.array("earliest", likeliest))).alias("sid"))
-    pivots = pivots.join(heads.select("sid", "n", "every", "odd"), "sid")
-    a, b = pivots.alias("a"), rarest.alias("b")
+    pivots = materialise(ends.where(F.col("sharing") > FEW).select("key", F.explode(F.array_distinct(F.array("earliest", "likeliest"))).alias("sid")), "pivots")
+    told = _among(heads.select("sid", "n", "every", "odd"), "sid", pivots.select("sid"))
+    rarest = _among(heads.select("sid", "n", "every", "odd", F.explode(few).alias("key")), "key", pivots.select("key"))
+    a, b = pivots.join(told, "sid").alias("a"), rarest.alias("b")
     first = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_match("a", "b", numerator, denominator))
-    first = materialise(first.select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct(), "line-pivots", release=True)
-    found = materialise(_verified(docs, lines, sets, first, numerator, denominator, "pivot"), "line-settled", release=True)
-
-    open_heads = heads.join(found.withColumn("found", F.lit(1)), "sid", "left").select("sid", "n", "every", "odd", F.coalesce("found", F.lit(0)).alias("found"), "prefix")
-    rare = open_heads.select("sid", "n", "every", "odd", "found", F.posexplode("prefix").alias("at", "key"))
-    # size, place and whether it is found share one number: these rows are most of what the operator moves
-    rare = rare.select("key", "sid", "every", "odd", F.expr("shiftleft(cast(n as bigint), 32) | (at * 2 + found)").alias("meta"))
-    n, at, known = (F.expr(x) for x in ("cast(shiftright(meta, 32) as int)", "cast(shiftright(meta & 4294967295L, 1) as int)", "meta & 1 = 1"))
-    there = lambda x: rare.select("key", "sid", "every", "odd", n.alias("n"), at.alias("at"), known.alias("known")).alias(x)
-    room = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    rest = there("a").join(
-        there("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & ~F.col("b.known")
-        & (room * (numerator + denominator) >= (F.col("a.n") + F.col("b.n")) * numerator) & _may_match("a", "b", numerator, denominator),
-    ).select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct()
-    rest = materialise(rest, "line-pairs", release=True)
-    matched = found.union(_verified(docs, lines, sets, rest, numerator, denominator, "pair")).distinct().withColumn("matched", F.lit(True))
-
-    limits = sets.join(matched, "sid", "left").select("set_a", "set_b", "first", F.coalesce("matched", F.lit(False)).alias("matched"))
-    return (
-        full.select("doc_id", "text_hash", "line_no", "place", "set_a", "set_b")
-        .join(limits, ["set_a", "set_b"])
-        .where(F.col("matched") | (F.col("place") > F.col("first")))
-        .select("doc_id", "text_hash", "line_no")
-    )
+    first = materialise(first.select(F.col("b.sid").alias("later"), F.col("a.sid").alias("earlier")).distinct(), "line-pivots")
+    found = materialise(_verified(docs, lines, first, numerator, denominator, "pivot"), "line-settled")
+    settled_heads = materialise(heads.join(found.withColumn("found", F.lit(1)).hint("merge"), "sid", "left").drop("copies"), "line-heads-settled")
+    remove(heads)
+
+    # a set's number and whether it is settled share a long, as do its size and the word's place. Sets that share a run of
+    # words meet at its first one: two rows with the same word before them have met, as what is asked of them holds there too.
+    # Both sides need all columns alike, so that Spark shuffles the rows once.
+    known = F.shiftleft("sid", 1).bitwiseOR(F.when(F.col("found").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long"))
+    previous = F.when(F.col("at") > 0, F.get("prefix", F.col("at") - 1)).otherwise(-1 - F.col("sid"))
+    rare = settled_heads.select("sid", known.alias("known"), "n", "every", "odd", "prefix", F.posexplode("prefix").alias("at", "key"))
+    rare = rare.select("key", "known", previous.alias("previous"), "every", "odd", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("meta"))
+    rare = rare.where(" AND ".join(f"{c} IS NOT NULL" for c in rare.columns))
+    sid = lambda x: F.shiftright(F.col(f"{x}.known"), 1)
+    left = lambda x: _size(x) - F.col(f"{x}.meta").bitwiseAND(F.lit((1 << 32) - 1))
+    room = F.least(left("a"), left("b"))
+    wanted = F.when(F.col("b.known").bitwiseAND(F.lit(1).cast("long")) == 0, sid("b")).otherwise(-1)
+    rest = rare.alias("a").join(
+        rare.alias("b"),
+        (F.col("a.key") == F.col("b.key")) & (sid("a") < wanted) & (F.col("a.previous") != F.col("b.previous"))
+        & (room * (numerator + denominator) >= (_size("a") + _size("b")) * numerator) & _may_match("a", "b", numerator, denominator, _size),
+    ).select(sid("b").alias("later"), sid("a").alias("earlier")).distinct()
+    rest = materialise(rest, "line-pairs")
+    matched = found.union(_verified(docs, lines, rest, numerator, denominator, "pair")).distinct().withColumn("matched", F.lit(True))
+
+    limits = sets.join(matched, "sid", "left").select("set_a", "set_b", "sid", F.coalesce("matched", F.lit(False)).alias("matched"))
+    return lines.join(limits, ["set_a", "set_b"]).where(F.col("matched") | (F.col("place") > F.col("sid"))).select("doc_id", "text_hash", "line_no")
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
@@ -212,7 +250,7 @@ def without_repeats(docs: DataFrame, drop_emptied: bool = False, **how) -> DataF
     """
     gone = removed_lines(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.split(whole_text(), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumn("text", text)
     if drop_emptied:

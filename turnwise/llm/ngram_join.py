@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, parts, settled, whole_text
+from .common import components, materialise, parts, settled, tidy, whole_text
 
 #: Vertices of a cluster that are compared at once: two such blocks are all that a task holds.
 BLOCK = 256
@@ -127,7 +127,7 @@ def sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 )
 
     rows_in = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows_in.mapInArrow(run, "row long, doc_id long, key binary, size int, bands array<long>")
+    return rows_in.mapInArrow(tidy(run), "row long, doc_id long, key binary, size int, bands array<long>")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -217,7 +217,7 @@ def verify(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
             )
 
     keyed = members.repartition(parts(members.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return keyed.mapInArrow(run, "node long, n_links long, local long")
+    return keyed.mapInArrow(tidy(run), "node long, n_links long, local long")
 
 
 def classes(
@@ -269,11 +269,11 @@ def _classes(docs: DataFrame, n: int, numerator: int, denominator: int, recall:
                     ["root", "node", "blocks", "mine", "grams"],
                 )
 
-    full = placed.join(texts, "doc").drop("doc").mapInArrow(gather, "root long, node long, blocks int, mine int, grams binary")
+    full = placed.hint("merge").join(texts, "doc").drop("doc").mapInArrow(tidy(gather), "root long, node long, blocks int, mine int, grams binary")
     sent = full.select("root", "node", "mine", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "grams"
     )
-    found = materialise(verify(sent, numerator, denominator), "links", release=True)
+    found = materialise(verify(sent, numerator, denominator), "links")
     linked = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("local").alias("b")), "classes")
     named = (
@@ -291,5 +291,5 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents without those that have an earlier one (smaller doc_id) in their class."""
     found = classes(docs, **how)
     first = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
+    kept = docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     return kept

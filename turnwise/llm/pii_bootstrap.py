@@ -6,13 +6,17 @@ digit or @) is an occurrence, with the word before it and the word after it as
 lexical patterns ("left", "right", "both"). Spark scores the graph of patterns
 and instances in rounds: a pattern's confidence for a kind is the smoothed mean
 of its instances' scores, an instance's score the confidence of its best
-pattern, seeds staying at 1. Occurrences that are no seeds, and stand in a
-pattern that is confident and well supported at the end, are new spans of that
-kind.
+pattern, seeds staying at 1. Support is counted anew in each round, so what is
+found in one context makes others known. Occurrences that are no seeds, and stand
+in a pattern that is confident and well supported at the end, are new spans of
+that kind.
 
 Null text is the empty text; texts without digits and @ are never searched
-twice; patterns shared by very many occurrences are aggregated, never gathered;
-repeated rows get the same spans; an empty table gives an empty result.
+twice; very long texts and words are searched whole; patterns shared by very many
+occurrences are aggregated, never gathered; of kinds with equal confidence the
+last by name counts; repeated rows get the same spans; null ids are ids like
+others; columns other than doc_id and text are never read, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 #: What a found span does not begin or end with.
 EDGE = "\"'`([{<.,;:!?)]}>="
 ROUNDS = 3
-#: A pattern needs this confidence, from this many different seeds.
+#: A pattern needs this confidence, from this many different instances that are seeds or found by then.
 CONFIDENT, SUPPORT = 0.8, 5
 #: Instances that count as no seed are added to each pattern, so that rare patterns stay doubtful.
 SMOOTHING = 1.0
@@ -98,10 +102,10 @@ def _runs(text: Column) -> Column:
 
     def one(s: Column, i: Column) -> Column:
         before, after = F.get(gaps, i), F.get(gaps, i + 1)
-        word = lambda x, p: F.lower(F.regexp_extract(x, p, 1))
+        first = lambda x: F.lower(F.regexp_extract(x, r"^\s*(\S+)", 1))
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"),
-            word(F.substring(before, -60, 60), r"(\S+)\s*$").alias("left"), word(F.substring(after, 1, 60), r"^\s*(\S+)").alias("right"),
+            F.reverse(first(F.reverse(before))).alias("left"), first(after).alias("right"),
         )
 
     empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string,left:string,right:string>>)")
@@ -140,19 +144,17 @@ def discover(searched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeds = edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind")).distinct()
     score = seeds.withColumn("score", F.lit(1.0))
-    supported = (
-        edges.where(F.col("seed").isNotNull()).groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
-    )
-    supported = supported.join(sizes, "pattern")
     confident = None
     for _ in range(rounds):
-        mass = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+        held = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(
+            F.sum("score").alias("mass"), F.count_if(F.col("score") >= CONFIDENT).alias("support")
+        )
         confident = (
-            supported.join(mass, ["pattern", "kind"])
+            held.where(F.col("support") >= SUPPORT).join(sizes, "pattern")
             .withColumn("confidence", F.col("mass") / (F.col("size") + F.lit(SMOOTHING)))
             .where(F.col("confidence") >= CONFIDENT)
             .select("pattern", "kind", "confidence")
-        )
+        )
         confident = materialise(confident, "patterns")
         found = edges.select("pattern", "instance").join(confident, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         score = seeds.withColumn("score", F.lit(1.0)).unionByName(found).groupBy("instance", "kind").agg(F.max("score").alias("score"))
@@ -208,7 +210,8 @@ def report(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; n_chars follows, other columns stay."""
     spans = find(docs).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
+    # texts are shuffled at every size: what is found in them has no bound
+    joined = docs.join(spans.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_hash")), "left")
     in_order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

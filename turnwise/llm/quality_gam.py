@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import tidy, whole_text
 
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -86,7 +86,7 @@ def measure(docs: DataFrame) -> DataFrame:
             )
 
     schema = ", ".join([*(f"{c} {dict(docs.dtypes)[c]}" for c in others), *(f"{x} float" for x in FEATURES)])
-    return docs.select(*others, whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select(*others, whole_text().alias("text")).mapInArrow(tidy(run), schema)
 
 
 @dataclass
@@ -223,7 +223,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_row
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out_rule().alias("held_out"), "score", "predicted")
 
 
@@ -237,4 +237,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: i
                 part = batch.slice(at, 1000)
                 yield part.filter(pa.array(model.score(_measures(part.column("text"))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, whole_text
+from .common import materialise, parts, tidy, whole_text
 
 DEPTH, Q = 50, 20
 #: Bytes of texts that are hashed at once, that are combined before they are sent, and that make a bucket.
@@ -258,7 +258,7 @@ def sampled(keyed: DataFrame, buckets: int, depth: int, q: int) -> DataFrame:
             out.append((int(bucket[i]), 0, _pack_docs(doc, digest, grp, owner[some]), short(np.ascontiguousarray(_mix(a[some])), 5), short(np.ascontiguousarray(h[some]), 6), _squeeze(s[some], "<i4"), _squeeze(n[some], "<i2")))
         return _table(out, _ENTRY)
 
-    return keyed.select("doc", "hash", "grp", "raw").mapInArrow(run, _ENTRY)
+    return keyed.select("doc", "hash", "grp", "raw").mapInArrow(tidy(run), _ENTRY)
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -331,7 +331,7 @@ def settle(entries: DataFrame) -> DataFrame:
                 yield _table(out, _REPLY)
 
     n = parts(entries.sparkSession)
-    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _REPLY)
+    return entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _REPLY)
 
 
 def _met(replies: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def asked(replies: DataFrame, keyed: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return _met(replies, keyed).mapInArrow(run, _ENTRY)
+    return _met(replies, keyed).mapInArrow(tidy(run), _ENTRY)
 
 
 def refine(stretch_rows: DataFrame, depth: int) -> DataFrame:
@@ -442,7 +442,7 @@ def refine(stretch_rows: DataFrame, depth: int) -> DataFrame:
                 yield _table(out, _REPLY)
 
     n = parts(stretch_rows.sparkSession)
-    return stretch_rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _REPLY)
+    return stretch_rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), _REPLY)
 
 
 def removed(docs: DataFrame, depth: int = DEPTH, q: int = Q) -> tuple[DataFrame, DataFrame]:
@@ -451,9 +451,9 @@ def removed(docs: DataFrame, depth: int = DEPTH, q: int = Q) -> tuple[DataFrame,
     size = docs.select(F.octet_length("text").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(parts(spark), -(-size // BUCKET))
     keyed = _keyed(docs, buckets)
-    replies = materialise(settle(sampled(keyed, buckets, depth, q)), "repeats", release=True)
+    replies = materialise(settle(sampled(keyed, buckets, depth, q)), "repeats")
     wanted = asked(replies.where("kind = 1"), keyed)
-    refined = materialise(refine(wanted, depth), "refined", release=True)
+    refined = materialise(refine(wanted, depth), "refined")
     return replies.where("kind = 0").unionByName(refined), keyed
 
 
@@ -488,4 +488,4 @@ def cleaned(docs: DataFrame, depth: int = DEPTH, q: int = Q) -> DataFrame:
         if held:
             yield flush()
 
-    return _met(replies, keyed).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _met(replies, keyed).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
