@@ -8,9 +8,11 @@ rounded target of ``w`` windows, the state before any window has a closed form,
 and tasks cut their own documents without running the windows in turn.
 
 Null text is the empty text (it still has its end id); null source is the source
-''; repeated ids stay separate rows; an empty table gives no pieces. Sources too
-small to get one token a window share one queue, so there are at most
-``window`` + 1 queues whatever the number of sources.
+''; repeated ids stay separate rows, in the order of their rows; very long texts are tokenised
+whole and cut over as many windows as they need; other columns are never read,
+whatever their names; an empty table gives no pieces. Sources that no target
+names and that are too small to get one token a window share one queue, so there
+are at most ``window`` + 1 queues and one for each target, whatever the number of sources.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parts, whole_text
-
-from .common import materialise, parts, whole_text
+from .common import materialise, parts, tidy, whole_text
 from .pieces import WORD_PIECES, piece_ids
 
 #: Documents tokenised at once.
 BLOCK = 256
-#: Windows whose shares are worked out together, and how many such blocks a task keeps.
-STEP, KEPT = 32, 4096
+#: Windows whose shares are worked out together, and bytes of such blocks that a task keeps.
+STEP, KEPT = 32, 16 << 20
+#: Pieces that are sent on together, and bytes of their ids.
+PIECES, PIECE_BYTES = 4096, 4 << 20
 
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
@@ -56,7 +58,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         whole_text().alias("text"),
     )
-    return rows.mapInArrow(run, "row long, doc_id long, source string, n long, ids binary")
+    return rows.mapInArrow(tidy(run), "row long, doc_id long, source string, n long, ids binary")
 
 
 class Schedule:
@@ -118,9 +120,9 @@ class Schedule:
         for block in range(first // STEP, last // STEP + 1):
             found = self.kept.get((k, block))
             if found is None:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
                 found = self._served(self.phases[k], np.minimum(np.arange(block * STEP, (block + 1) * STEP) * self.window, tokens))
+                if (len(self.kept) + 1) * found.nbytes > KEPT:
+                    self.kept.clear()
                 self.kept[k, block] = found
             blocks.append(found)
         whole = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
@@ -188,21 +190,26 @@ def pack(
     targets: dict[str, float] | None = None,
     tokenizer: str | None = None,
     end_id: int = 2,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (4 bytes each), ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (4 bytes each; only if ``with_ids``), ids_crc32, doc_tokens, sequence_id, offset.
 
     ``targets`` gives the sources' shares of each window; by default the
-    corpus's own, so that all queues end together. Only the last window, or the
+    corpus's own, so that all queues end together. A source that ``targets``
+    names has a queue of its own, however small it is; those that it doesn't
+    name come when the named ones have run out. Only the last window, or the
     last of a phase, may be short.
     """
     tokens = materialise(tokenise(docs, tokenizer, end_id), "tokens")
     sizes = tokens.groupBy("source").agg(F.sum("n").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    own = [] if not total else [
-        (r["source"], r["n"]) for r in sizes.where(F.col("n") * F.lit(window) >= F.lit(total)).orderBy(F.desc("n"), "source").collect()
-    ]  # at most `window` rows
+    large = F.col("n") * F.lit(window) >= F.lit(total)
+    if targets:
+        large = large | F.col("source").isin(*targets)
+    # at most `window` rows and one a target
+    own = [(r["source"], r["n"]) for r in sizes.where(large).orderBy(F.desc("n"), "source").collect()] if total else []
     rest = total - sum(n for _, n in own)
-    shared = len(own) if rest * window >= total else 0
+    shared = len(own) if rest and (rest * window >= total or targets) else 0
     counts = [n for _, n in own]
     if rest and shared == len(own):
         counts.append(rest)
@@ -213,24 +220,40 @@ def pack(
         wanted = [float(targets.get(s, 0.0)) for s, _ in own] + [0.0] * (len(counts) - len(own))
     schedule = Schedule(counts, wanted, window)
     names = tokens.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "source string, queue int")
-    queued = tokens.join(F.broadcast(names), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(shared)))  # at most `window` rows
+    queued = tokens.join(F.broadcast(names), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(shared)))  # bounded as `own`
     starts = queue_starts(queued)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        raws: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(v, pa.int64()) for v in (zip(*held, strict=True) if held else [[]] * len(columns))]
+            if with_ids:
+                return pa.RecordBatch.from_arrays([*arrays, pa.array(raws, pa.binary())], [*columns, "ids"])
+            return pa.RecordBatch.from_arrays(arrays, columns)
+
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-            col = {k: batch.column(k).to_pylist() for k in ("doc_id", "n", "queue", "begin", "ids")}
-            for doc, n, queue, begin, raw in zip(*col.values(), strict=True):
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+            named = [batch.column(c) for c in ("doc_id", "n", "queue", "begin", "ids")]
+            for row in range(batch.num_rows):
+                doc, n, queue, begin = (c[row].as_py() for c in named[:4])
+                raw = named[4][row].as_buffer()
+                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4")
                 for start, length, at, offset in schedule.pieces(queue, begin, n):
-                    piece = ids[start : start + length].tobytes()
-                    for k, v in zip(out, (doc, start, length, piece, zlib.crc32(piece), n, at, offset), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()], list(out)
-            )
-
-    return tokens.select("row", "doc_id", "n", "ids").join(starts.hint("merge"), "row").select("doc_id", "n", "queue", "begin", "ids").mapInArrow(
-        cut,
-        "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-    )
+                    piece = ids[start : start + length].astype("<u4").tobytes()
+                    held.append((doc, start, length, zlib.crc32(piece), n, at, offset))
+                    if with_ids:
+                        raws.append(piece)
+                        size += len(piece)
+                    if len(held) >= PIECES or size >= PIECE_BYTES:
+                        yield flush()
+                        held.clear()
+                        raws.clear()
+                        size = 0
+        if held:
+            yield flush()
+
+    schema = ", ".join(f"{c} long" for c in columns) + (", ids binary" if with_ids else "")
+    return tokens.select("row", "doc_id", "n", "ids").join(starts.hint("merge"), "row").select("doc_id", "n", "queue", "begin", "ids").mapInArrow(tidy(cut), schema)

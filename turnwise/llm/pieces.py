@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Pieces that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 _L = re.escape("".join(c for c in map(chr, range(256)) if c.isalpha()))
 _N = "".join(c for c in map(chr, range(256)) if c.isnumeric())
 _S = r"\t\n\x0b\x0c\r \x85\xa0"

@@ -44,7 +44,7 @@ def op6_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture_packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+    return mixture_packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
