@@ -3,22 +3,27 @@
 Vectors get one more component that makes their lengths equal, so that the
 largest inner product is the nearest direction; they are centred and turned by a
 rotation learned so that the signs lose little (alternating between signs and
-the orthogonal map that fits them best), and the signs are the code. A code is
-split into substrings, and each substring has its own index: the rows ordered by
-the substring's value, in blocks. If a code lies within Hamming radius R of a
-query's, one of its m substrings lies within R // m of the query's substring
-(pigeonhole), so probing each index within that radius retrieves every such
-code, each once, by the first substring that finds it. What is retrieved is
-ranked by inner products of the original vectors in double precision.
+the orthogonal map that fits them best), and the signs are the code. The rows are
+dealt by their hash into slices, each row once. In a slice the codes are split
+into substrings, and each substring has its own index: the slice's rows ordered
+by the substring's value. If a code lies within Hamming radius R of a query's,
+one of its m substrings lies within R // m of the query's substring (pigeonhole),
+so probing each index within that radius retrieves every such code, each once,
+by the first substring that finds it. What is retrieved is ranked by inner
+products of the original vectors in double precision.
 
 The rotation and the radius are fitted on at most ``sample`` rows, those with the
 smallest hash of their id; every row is indexed. The queries are a set of their
-own and meet all rows in blocks; a task keeps each query's best so far, never
-the pairs. Queries for which the radius holds fewer rows than wanted search
-again without a radius. Vectors that are null, zero, of another length than most
-or hold null or non-finite components take no part; ties go to the smaller
-vec_id; copies of a vector may fill any number of blocks; an empty table gives
-an empty result.
+own: each goes to every slice, in whose task blocks of queries pass by the index
+and leave their best rows, never the pairs. So the rows move once, and what moves
+besides is the queries times the slices, whose number follows the cluster's,
+within LEAST to SLICE rows a slice. Queries for which the
+radius holds fewer rows than wanted search again without a radius. Vectors that
+are null, zero, of another length than most or hold null or non-finite components
+take no part; ties go to the smaller vec_id; copies of a vector are rows like
+others; rows that repeat a vec_id are candidates each, and no row with the query's
+own vec_id is; columns other than vec_id and embedding are never read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialise, parts
+from .common import materialise, parts, tidy
 
 BITS, SUBSTRINGS = 64, 4
-#: Rows of an index block, queries of a query block, and tasks that share a query block.
-ROWS, QUERIES, SLICES = 1024, 2048, 8
+#: Rows of an index that are probed together, queries that pass by together, and rows that a slice has at most, and that are worth one.
+ROWS, QUERIES, SLICE, LEAST = 1024, 1024, 1 << 17, 1 << 11
 _WIDTH = BITS // SUBSTRINGS
 _OUT = "query_id long, vec_id long, score double"
-_STREAM = "block int, slice int, kind int, substring int, ids binary, codes binary, vectors binary, radius int"
 
 
 @dataclass
@@ -155,26 +159,22 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0)).where(F.col("vec_id").isNotNull())
 
 
-def _pack(rows: DataFrame, coder: Coder, size: int, queries: bool) -> DataFrame:
-    """Blocks of at most ``size`` rows in the order given; queries have substring -1."""
+class Index:
+    """A slice's rows, ordered once for each substring."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            j = batch.column("substring").to_numpy()
-            ids = batch.column("vec_id").to_numpy()
-            flat = batch.column("v").flatten().to_numpy()
-            x = flat.reshape(batch.num_rows, -1)
-            codes = coder.codes(x, True) if queries else batch.column("code").to_numpy().view(np.uint64)
-            edges = [0, *(np.flatnonzero(j[1:] != j[:-1]) + 1).tolist(), len(j)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                for at in range(a, b, size):
-                    to = min(at + size, b)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(j[at])], pa.int32()), *(pa.array([z[at:to].tobytes()], pa.binary()) for z in (ids, codes, x))],
-                        ["substring", "ids", "codes", "vectors"],
-                    )
+    def __init__(self, coder: Coder, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.codes = ids, x, coder.codes(x)
+        part = lambda j: (self.codes >> np.uint64(j * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)
+        self.orders = [np.argsort(part(j), kind="stable") for j in range(SUBSTRINGS)]
 
-    return rows.mapInArrow(run, "substring int, ids binary, codes binary, vectors binary")
+    def best(self, coder: Coder, ids: np.ndarray, x: np.ndarray, radius: int, k: int) -> pa.RecordBatch:
+        """The k best rows of each of a block of queries."""
+        found = Best(ids, coder.codes(x, True), x, np.full(len(ids), radius), k)
+        for j, order in enumerate(self.orders):
+            for at in range(0, len(order), ROWS):
+                some = order[at : at + ROWS]
+                found.probe(j, self.ids[some], self.codes[some], self.x[some])
+        return found.batch()
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 4096) -> DataFrame:
@@ -184,54 +184,60 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 4096) -> Dat
     """
     rows = materialise(usable(vectors), "vectors")
     spark = rows.sparkSession
-    longest = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
+    longest, n = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()  # at most `sample` rows
     dims = len(some[0]["v"]) if some else 1
-    coder = learn(np.array([r["v"] for r in some], float).reshape(-1, dims), longest, k)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(coder.codes(x).view(np.int64))], ["vec_id", "v", "code"])
-
-    coded = rows.mapInArrow(code, "vec_id long, v array<double>, code long")
-    each = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(SUBSTRINGS - 1))).alias("substring"))
-    value = F.expr(f"shiftrightunsigned(code, substring * {_WIDTH}) & {(1 << _WIDTH) - 1}L")
-    ordered = each.withColumn("value", value).repartitionByRange(parts(spark), "substring", "value", "vec_id").sortWithinPartitions("substring", "value", "vec_id")
-    index = materialise(_pack(ordered.select("substring", "vec_id", "v", "code"), coder, ROWS, False), "index")
+    coder = learn(np.array([r["v"] for r in some], float).reshape(-1, dims), longest or 1.0, k)
+    slices = max(1, -(-n // SLICE), min(parts(spark), -(-n // LEAST)))
 
     def run(asked: DataFrame, radius: int) -> DataFrame:
-        packed = _pack(asked.select(F.lit(-1).alias("substring"), "vec_id", "v"), coder, QUERIES, True)
-        blocks = materialise(packed.withColumn("block", F.monotonically_increasing_id()), "queries")
-        numbered = blocks.withColumn("block", (F.row_number().over(W.Window.orderBy("block")) - 1).cast("int"))  # one row for each 2048 queries
-        n = blocks.count()
-        ask = numbered.select("block", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), F.lit(0).alias("kind"), "substring", "ids", "codes", "vectors", F.lit(radius).alias("radius"))
-        to = F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-        there = index.select(to.alias("block"), F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "substring", "ids", "codes", "vectors", F.lit(0).alias("radius"))
-        stream = ask.unionByName(there).repartition(parts(spark), "block", "slice").sortWithinPartitions("block", "slice", "kind")
+        every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+        there = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("kind"), "vec_id", "v")
+        stream = there.unionByName(asked.select(every.alias("slice"), F.lit(1).alias("kind"), "vec_id", "v"))
+        stream = stream.repartition(slices, "slice").sortWithinPartitions("slice", "kind")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
+            held: list[tuple[np.ndarray, np.ndarray]] = []  # of the slice's rows, or of queries that wait
+            index, now = None, (-1, -1)
+
+            def together() -> tuple[np.ndarray, np.ndarray]:
+                ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                held.clear()
+                return ids, x
+
             for batch in batches:
-                for i in range(batch.num_rows):
-                    ids, codes, flat = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("ids", "<i8"), ("codes", "<u8"), ("vectors", "<f8")))
-                    x = flat.reshape(len(ids), -1)
-                    if batch.column("kind")[i].as_py() == 0:
-                        if best is not None:
-                            yield best.batch()
-                        best = Best(ids, codes, x, np.full(len(ids), batch.column("radius")[i].as_py()), k)
-                    elif best is not None:
-                        best.probe(batch.column("substring")[i].as_py(), ids, codes, x)
-            if best is not None:
-                yield best.batch()
-
-        return stream.select(*(f.split()[0] for f in _STREAM.split(", "))).mapInArrow(meet, _OUT)
+                key = np.stack([batch.column(c).to_numpy() for c in ("slice", "kind")], 1)
+                ids, x = batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+                for a, b in zip(edges, edges[1:], strict=False):
+                    if a == b:
+                        continue
+                    this = int(key[a][0]), int(key[a][1])
+                    if this != now:
+                        if held and now[1] == 0:
+                            index = Index(coder, *together())
+                        elif held:
+                            yield index.best(coder, *together(), radius, k)
+                        if this[1] == 1 and this[0] != now[0]:  # a slice without rows
+                            index = None
+                        now = this
+                    if now[1] == 1 and index is None:
+                        continue
+                    step = b - a if now[1] == 0 else QUERIES
+                    for at in range(a, b, step):
+                        held.append((ids[at : min(at + step, b)].copy(), x[at : min(at + step, b)].copy()))
+                        if now[1] == 1 and sum(len(h[0]) for h in held) >= QUERIES:
+                            yield index.best(coder, *together(), radius, k)
+            if held and now[1] == 1:
+                yield index.best(coder, *together(), radius, k)
+
+        return stream.mapInArrow(tidy(meet), _OUT)
 
     def first(found: DataFrame) -> DataFrame:
         order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).dropDuplicates(["vec_id"])
     near = materialise(first(run(queries, coder.radius)), "near")
     full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = materialise(queries.join(full, "vec_id", "left_anti"), "short")
