@@ -4,18 +4,21 @@ Several metadata dimensions are quantised into 2**bits cells each, the cells'
 index along an n-dimensional Hilbert curve orders the rows, and the order is cut
 into runs of equal row count. Neighbours on the curve are neighbours in every
 dimension, so the minima and maxima of a run's columns prune files for filters
-on any of the dimensions.
-
-Null metadata falls into the lowest cell; null text counts as no bytes; equal
-cells are ordered by ``doc_id`` (then by the text's hash and length, for repeated
-ids); an empty table gives an empty result. Columns other than the dimensions
-are never read.
+on any of the dimensions. A text dimension counts by the rank of the whole value
+among all different values, so values that begin alike are told apart.
+
+Null metadata falls into the lowest cell; null text counts as no bytes; very long
+texts count by their size; equal cells are ordered by ``doc_id`` (nulls first,
+then by the text's check sum and size, for repeated ids); rows that repeat id and
+text are rows like others; an empty table gives an empty result. Columns other
+than doc_id, text and the dimensions are never read, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .common import materialise, number_rows, whole_text
 
@@ -23,12 +26,13 @@ from .common import materialise, number_rows, whole_text
 DIMENSIONS = {"lang": "text", "source": "text", "n_bytes": "number"}
 
 
-def _as_number(name: str, kind: str) -> Column:
-    """An order-preserving number: text counts by its first six bytes."""
+def _numbered(df: DataFrame, name: str, kind: str, out: str) -> DataFrame:
+    """``df`` with an order-preserving number of a dimension: the rank among all different values, for text."""
     if kind == "number":
-        return F.coalesce(F.col(name).cast("double"), F.lit(-1.0))
-    head = F.rpad(F.substring(F.hex(F.encode(F.coalesce(F.col(name), F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+        return df.withColumn(out, F.coalesce(F.col(name).cast("double"), F.lit(-1.0)))
+    value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    ranked = number_rows(df.select(value.alias("_value")).distinct(), ["_value"], "dimension-values", "_rank")
+    return df.withColumn("_value", value).join(ranked, "_value").withColumn(out, F.col("_rank").cast("double")).drop("_value", "_rank")
 
 
 def quantise(df: DataFrame, dimensions: dict[str, str], bits: int) -> DataFrame:
@@ -38,14 +42,18 @@ def quantise(df: DataFrame, dimensions: dict[str, str], bits: int) -> DataFrame:
     reaches the driver.
     """
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    valued = df.withColumns({f"_d{i}": _as_number(n, k) for i, (n, k) in enumerate(dimensions.items())})
+    valued = df
+    for i, (n, k) in enumerate(dimensions.items()):
+        valued = _numbered(valued, n, k, f"_d{i}")
     cuts = valued.agg(
         *(F.percentile_approx(f"_d{i}", shares, 20000).alias(f"c{i}") for i in range(len(dimensions)))
     ).first()
 
     def cell(i: int) -> Column:
-        at = F.array(*(F.lit(x) for x in sorted(set(cuts[i] or [])))).cast("array<double>")
-        return F.size(F.filter(at, lambda c: c < F.col(f"_d{i}")))
+        """A dimension of few values spreads them over the whole axis, so that the curve tells them apart as coarsely as others."""
+        edges = sorted(set(cuts[i] or []))
+        at = F.array(*map(F.lit, edges)).cast("array<double>")
+        return F.floor(F.size(F.filter(at, lambda c: c < F.col(f"_d{i}"))) * F.lit((1 << bits) / (len(edges) + 1))).cast("int")
 
     return valued.withColumn("cells", F.array(*(cell(i) for i in range(len(dimensions))))).drop(
         *(f"_d{i}" for i in range(len(dimensions)))
@@ -127,12 +135,25 @@ def shard(docs: DataFrame, n_shards: int = 8, dimensions: dict[str, str] | None
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write the documents with one folder a shard, ordered along the curve inside it."""
-    keyed = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    keyed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> str:
+    """Write every row of the documents with one folder a shard, ordered along the curve inside it; returns the name of the folders' column.
+
+    That is ``shard``, with a number where the documents have such a column. Rows
+    are told by id (null is an id like others), check sum and size of the text;
+    rows that agree in all three take the places of these in any order.
+    """
+    column = next(c for c in ("shard", *(f"shard_{i}" for i in range(1, len(docs.columns) + 2))) if c not in docs.columns)
+    same = lambda *keys: F.row_number().over(W.Window.partitionBy(*keys).orderBy(keys[-1]))
+    text = whole_text()
+    keyed = docs.withColumns({"_id": F.col("doc_id"), "_crc": F.crc32(text), "_bytes": F.octet_length(text).cast("long")})
+    keyed = keyed.withColumn("_n", same("_id", "_crc", "_bytes"))
+    where = placed.select(
+        F.col("doc_id").alias("_at_id"), F.col("text_crc32").alias("_at_crc"), F.col("n_bytes").alias("_at_bytes"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
+    ).withColumn("_at_n", same("_at_id", "_at_crc", "_at_bytes"))
+    met = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_crc") == F.col("_at_crc")) & (F.col("_bytes") == F.col("_at_bytes")) & (F.col("_n") == F.col("_at_n"))
+    rows = keyed.join(where, met).repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    rows.select(*docs.columns, F.col("_shard").alias(column)).write.partitionBy(column).parquet(path)
+    return column
 
 
 def prunable(placed: DataFrame, dimensions: dict[str, str] | None = None) -> DataFrame:
