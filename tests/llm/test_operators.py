@@ -96,11 +96,27 @@ def test_shards_are_even_and_gapless(docs, texts, empty):
     assert hilbert_shards.shard(empty, 8).count() == 0
 
 
-def test_written_shards_hold_every_document(docs, texts, tmp_path, spark):
-    placed = hilbert_shards.shard(docs.drop("shard"), 4)
-    hilbert_shards.write_shards(docs.drop("shard"), placed, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(texts)
-    assert hilbert_shards.prunable(placed).count() == 4
+def test_written_shards_hold_every_row(docs, texts, tmp_path, spark):
+    twice = docs.unionByName(docs.where("doc_id < 9")).unionByName(_docs(spark, ["no id", None], ids=[None, None]))
+    placed = hilbert_shards.shard(twice, 4)
+    column = hilbert_shards.write_shards(twice, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert column == "shard_1" and sorted(back.columns) == sorted([*docs.columns, column])
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text) for r in twice.collect())
+    assert {r[column]: r["count"] for r in back.groupBy(column).count().collect()} == {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
+
+
+def test_shards_follow_the_curve_and_prune(spark):
+    draw = random.Random(4)
+    rows = [(i, "x" * draw.randint(0, 500), draw.choice(["de", "en", "fr", "es"]), f"source-of-documents-{draw.randint(0, 15):02d}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = hilbert_shards.shard(docs, 16)
+    got = sorted(placed.collect(), key=lambda r: (r.shard, r.slot))
+    assert all(a.curve <= b.curve for a, b in zip(got, got[1:], strict=False)) and len({r.curve for r in got}) > 200
+    ranges = hilbert_shards.prunable(placed).collect()
+    sources = [sum(r.min_source <= f"source-of-documents-{k:02d}" <= r.max_source for r in ranges) for k in range(16)]
+    langs = [sum(r.min_lang <= k <= r.max_lang for r in ranges) for k in ("de", "en", "es", "fr")]
+    assert sum(sources) / 16 < 10 and sum(langs) / 4 < 10  # of 16 shards; without the curve nearly all
 
 
 def test_quality_separates_junk(spark):
@@ -224,15 +240,33 @@ def test_fingerprints(docs, texts, empty):
     assert bloom_fingerprint.edited_pairs(empty).count() == 0
 
 
-def test_peeling_recovers_what_differs(spark):
-    from pyspark.sql import functions as F
+def test_likeness_reads_only_the_strings(docs):
+    rows = bloom_fingerprint.edited_pairs(docs).select("fingerprint", "edited_fingerprint", "near_edited").collect()
+    again = bloom_fingerprint.likeness(*(bloom_fingerprint.from_text([r[i] for r in rows]) for i in (0, 1)))
+    assert again.tolist() == [r.near_edited for r in rows]
+
+
+def test_peeling_recovers_what_differs():
+    cases = [(range(0, 900), range(40, 930)), (range(5), range(3, 700)), ([], range(60)), (range(300), range(1000, 1300)), ([], []), (range(20000), range(10, 20000))]
+    draw = np.random.default_rng(1).integers(0, 1 << bloom_fingerprint.DIGEST, 20000, dtype=np.uint64)
+    sides = []
+    for side in (0, 1):
+        keys = [draw[list(c[side])] if len(c[side]) else np.array([], np.uint64) for c in cases]
+        sides.append(bloom_fingerprint.sketch(np.concatenate(keys), np.repeat(np.arange(len(cases)), [len(k) for k in keys]), len(cases)))
+    held = [set(c[0]) for c in cases]
+    k, o, good = sides[0].peel()
+    assert good.all() and all(set(k[o == i].tolist()) == {int(draw[x]) for x in h} for i, h in enumerate(held))
+    for got, (a, b) in zip(bloom_fingerprint.likeness(*sides), cases, strict=True):
+        x, y = set(a), set(b)
+        assert got == (1.0 if not x | y else pytest.approx(len(x & y) / len(x | y)))
+
 
-    a, b = list(range(0, 900)), list(range(40, 930))
-    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
-    hashed = df.select(*(F.transform(c, lambda k: F.xxhash64(k)).alias(c) for c in "ab"))
-    found = hashed.select(bloom_fingerprint.difference(F.col("a"), F.col("b")).alias("d"), "a", "b").first()
-    want = {(1, k) for k in set(found.a) - set(found.b)} | {(-1, k) for k in set(found.b) - set(found.a)}
-    assert {(x.n, x.k) for x in found.d} == want
+def test_next_of_wide_sparse_and_null_ids(spark):
+    ids = [-(2**62) - 5, 2**62 + 9, 5, None, *range(40, 90), 2**40]
+    texts = [f"text {i} of a few words" for i in range(len(ids))]
+    rows = {r.doc_id: r.next_text for r in bloom_fingerprint.with_next(_docs(spark, texts, ids=ids)).collect()}
+    order = sorted(zip(ids, texts, strict=True), key=lambda p: (p[0] is not None, p[0] or 0), reverse=True)
+    assert rows == {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
 
 
 def _base(t):
@@ -272,6 +306,16 @@ def test_confident_contexts_discover(spark):
     assert masked[40] == "please call tel <PHONE> today" and masked[0] == "please call tel <PHONE> today" and masked[41] == texts[41]
 
 
+def test_what_is_found_finds_more(spark):
+    texts = [f"please call tel +1 555 222 {1000 + k} today" for k in range(400)]
+    texts += [f"please call tel q{k}x7 today" for k in range(20)] + [f"my handset code q{k}x7 rings" for k in range(20)] + ["my handset code zz9unseen rings"]
+    far = "a" * 200
+    texts += [f"{far} +1 555 333 {1000 + k}" for k in range(40)] + [f"{far} 77z9"] + [f"{far}b w{k}7" for k in range(3)]
+    rows = {r.doc_id: r.spans for r in pii_bootstrap.report(_docs(spark, texts)).collect()}
+    assert all(rows[400 + k].startswith("phone:16:") for k in range(20)) and all(rows[420 + k].startswith("phone:16:") for k in range(20))
+    assert rows[440] == "phone:16:25" and rows[481] == "phone:201:205" and rows[482] == ""
+
+
 def _tokens(texts, name):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -317,12 +361,13 @@ def test_schedules_serve_everything(targets):
         assert first == [384, 128, 128]
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize("size", [600, 2400])
+def test_nearest_neighbours(spark, size):
     draw = np.random.default_rng(2)
-    x = draw.normal(size=(600, 16)).astype(np.float32)
+    x = draw.normal(size=(size, 16)).astype(np.float32)
     x[50:90] = x[10]  # copies
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(600, None, 0), (601, [0.0] * 16, 0), (602, [float("nan")] * 16, 0), (603, [1.0] * 3, 0), (604, [None] * 16, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    odd = [(size, None, 0), (size + 1, [0.0] * 16, 0), (size + 2, [float("nan")] * 16, 0), (size + 3, [1.0] * 3, 0), (size + 4, [None] * 16, 0), (None, [1.0] * 16, 0)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>, slice int")
     from pyspark.sql import functions as F
 
     found = defaultdict(list)
@@ -330,10 +375,10 @@ def test_nearest_neighbours(spark):
         found[r.query_id].append((r.rank, r.vec_id, r.score))
     hit = total = 0
     full = x.astype(float)
-    for q in range(0, 600, 20):
+    for q in range(0, size, 20):
         score = (full * full[q]).sum(1)
         score[q] = -np.inf
-        best = np.lexsort((np.arange(600), -score))[:20]
+        best = np.lexsort((np.arange(size), -score))[:20]
         got = sorted(found[q])
         assert [r for r, _, _ in got] == list(range(1, 21))
         assert all(s == pytest.approx(score[v], abs=1e-9) for _, v, s in got)
@@ -351,7 +396,7 @@ def test_chunks_encode_as_whole_texts(docs, texts, empty):
     ours = chunked_bpe._load(None)
     for bits, least in ((10, 256), (5, 16)):
         cuts, chunked_bpe.cuts.__defaults__ = chunked_bpe.cuts.__defaults__, (bits, least)
-        got = chunked_bpe.encode_block(ours, [t or "" for t in texts + odd], {})
+        got = chunked_bpe.encode_block(ours, [t or "" for t in texts + odd], chunked_bpe.Memory())
         chunked_bpe.cuts.__defaults__ = cuts
         assert all(np.array_equal(a, b) for a, b in zip(ids, got, strict=True))
     for r in chunked_bpe.decode(chunked_bpe.encode(docs)).collect():
@@ -367,10 +412,33 @@ def test_remembered_texts_without_boundaries_go_on():
     assert len(at) > 2
     model = chunked_bpe._load(None)
     every = [long[: at[1]], long, long[: at[1]] + " and some more words" * 200]
-    got = chunked_bpe.encode_block(model, every, {})
+    got = chunked_bpe.encode_block(model, every, chunked_bpe.Memory())
     assert all(np.array_equal(np.frombuffer(w, model.kind), g) for w, g in zip(model.encode(every), got, strict=True))
 
 
+def test_chunks_are_shared_and_joined_until_they_agree(monkeypatch):
+    draw = random.Random(6)
+    model = chunked_bpe._load(None)
+    words = lambda n: " ".join(f"w{draw.randint(0, 9999)}" for _ in range(n))
+    passage = words(3000)
+    every = [words(50) + " " + passage + " " + words(50) for _ in range(20)]
+    want = [np.frombuffer(x, model.kind) for x in model.encode(every)]
+    memory = chunked_bpe.Memory()
+    got = [chunked_bpe.encode_block(model, [t], memory)[0] for t in every]
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True)) and memory.hits > 15 * len(passage) / 2000
+    agree, asked = chunked_bpe._agree, []
+
+    def doubtful(joint, a, b):
+        asked.append(joint is not None)
+        return agree(joint, a, b) and (joint is None or len(asked) % 3 > 0)
+
+    monkeypatch.setattr(chunked_bpe, "_agree", doubtful)
+    got = chunked_bpe.encode_block(model, every, chunked_bpe.Memory())
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True)) and sum(asked) > 100
+    small = chunked_bpe.Memory(room=2000)
+    assert all(np.array_equal(a, b) for a, b in zip(want, chunked_bpe.encode_block(model, every, small), strict=True)) and small.held < 20_000
+
+
 def _classes(texts):
     sets = []
     for t in texts:
@@ -455,3 +523,14 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: root(i) for i in up if i not in alone}
+
+
+def test_targets_of_small_sources_hold(spark):
+    texts = [" ".join(["word"] * 900)] * 8 + ["tiny words"] * 40
+    rows = [(i, t, "big" if i < 8 else "tiny" if i < 30 else "other") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixture_packing.pack(docs, window=64, targets={"big": 0.5, "tiny": 0.5}, with_ids=False).collect()
+    tiny = sum(r.length for r in got if 8 <= r.doc_id < 30)
+    early = [r for r in got if r.sequence_id < tiny // 32]
+    assert sum(r.length for r in early if 8 <= r.doc_id < 30) == tiny // 32 * 32
+    assert sum(r.length for r in got if r.doc_id >= 30) and not any(r.doc_id >= 30 for r in early)
