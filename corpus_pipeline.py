@@ -37,7 +37,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into windows of 4096 tokens."""
-    return mixture_packing.pack(docs).drop("ids")
+    return mixture_packing.pack(docs, with_ids=False)
 
 
 STAGES = [
