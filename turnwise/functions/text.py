@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Word lists and frames that results depend on.
+# Word lists and frames that results depend on, and below the endings of plurals and the order of constraints.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from",
     "i", "in", "is", "it", "me", "my", "of", "on", "or", "please", "some",
@@ -75,6 +76,27 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
+def _accents() -> tuple[str, str]:
+    """Lower-case Latin, Greek and Cyrillic letters with marks, and what they are without; by the rule of canonical decomposition."""
+    found = []
+    for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]):
+        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c == c.lower() and plain != c and len(plain) == 1:
+            found.append((c, plain))
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents; combining marks go."""
+    accented, plain = _accents()
+    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}+", "")
+
+
+def index_tokens(text: Column) -> Column:
+    """Runs of letters and digits of any script, in lower case and without accents, repeats kept: what an index holds."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+
+
 def raw_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, in order, repeats kept."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 # Attribute orders, what profile tags ask for, and the words that tell attributes apart.
 DEFAULT_ORDER = ("material", "size", "style", "feature", "use_case", "color", "brand", "budget", "other")
 PROFILE_MAP = {
@@ -12,13 +14,25 @@ PROFILE_MAP = {
     "style": "style", "weather": "use_case", "warmth": "use_case", "color": "color",
 }
 PATTERNS = {
-    "material": ("cotton", "polyester", "nylon", "leather", "wool", "spandex", "silk", "rayon", "fabric"),
-    "color": ("black", "white", "blue", "red", "pink", "green", "brown", "gray", "grey", "purple", "yellow", "orange"),
+    "material": X.MATERIALS,
+    "color": X.COLORS,
     "size": ("xs", "small", "medium", "large", "xl", "xxl", "wide", "narrow"),
     "style": ("casual", "formal", "classic", "modern", "vintage", "slim", "relaxed", "sleeve", "neck"),
     "use_case": ("hiking", "running", "gym", "winter", "outdoor", "work", "travel", "sport"),
     "feature": ("waterproof", "lightweight", "breathable", "pocket", "stretch", "support", "durable", "comfortable", "washable"),
 }
+QUESTIONS = {
+    "material": "Do you have a material preference?",
+    "size": "Do you have any sizing or fit requirements?",
+    "style": "What style or fit do you prefer?",
+    "feature": "Which product feature matters most to you?",
+    "use_case": "What will you mainly use it for?",
+    "color": "Do you have a color preference?",
+    "brand": "Do you have a preferred brand?",
+    "budget": "What budget range should I use?",
+    "other": "Is there another requirement I should prioritize?",
+}
+NO_QUESTION = "Here are the closest matches I found."
 PATTERN_ORDER = ("material", "color", "size", "style", "use_case", "feature")
 
 
@@ -63,8 +77,15 @@ def profile_order(tags: Column) -> Column:
 
 
 def next_attribute(order: Column, asked: Column) -> Column:
-    """The first of the order that hasn't been asked, or null."""
-    return F.try_element_at(F.array_except(order, asked), F.lit(1))
+    """The first of the order that hasn't been asked, or null; the order ('other') alone is asked again and again."""
+    again = F.when((F.size(order) == 1) & (order[0] == "other"), F.lit("other"))
+    return F.coalesce(again, F.try_element_at(F.array_except(order, asked), F.lit(1)))
+
+
+def question(attribute: Column) -> Column:
+    """The sentence that asks for an attribute; the one for null asks nothing."""
+    names = F.create_map(*(F.lit(x) for kv in QUESTIONS.items() for x in kv))
+    return F.coalesce(F.try_element_at(names, attribute), F.lit(NO_QUESTION))
 
 
 def stuck_attribute(stuck_for: Column) -> Column:
@@ -82,4 +103,4 @@ def attribute_order(policy: str, pools: DataFrame) -> DataFrame:
         return pools.select("pool").distinct().withColumn("attributes", _array(DEFAULT_ORDER))
     if policy == "other":
         return pools.select("pool").distinct().withColumn("attributes", _array(["other"]))
-    raise ValueError(f"unsupported clarification policy: {policy}")
+    raise ValueError(f"no policy {policy!r}: it is one of candidate, entropy, profile, fixed, other")

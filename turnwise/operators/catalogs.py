@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.views import rank_within, union_all
 
-#: A term found for several slots stays in the first of these that has it; other slots come after.
+# Fixed value: a term found for several slots stays in the first of these that has it; other slots come after.
 PRECEDENCE = ("department", "material", "size", "category", "color", "style")
 
 
@@ -25,7 +25,7 @@ def profile(products: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 def category_terms(products: DataFrame) -> DataFrame:
     """(term, n): in how many products' category paths, below root and department, each term stands."""
-    below = F.slice("categories", 3, 1_000)
+    below = F.slice("categories", 3, F.greatest(F.size("categories"), F.lit(1)))
     terms = F.array_distinct(F.flatten(F.transform(below, X.split_compound)))
     return products.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 

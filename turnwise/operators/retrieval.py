@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.shared import step
 from ..sources.views import FIELDS, rank_within, union_all
 
 # Column weights of the lexical score and field weights of the reranker.
@@ -13,15 +14,18 @@ BM25_WEIGHTS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5
 FIELD_WEIGHTS = {"title": 4.0, "categories": 6.0, "features": 2.0, "details": 2.0, "store": 1.5, "description": 1.0}
 K1, B = 1.2, 0.75
 PLACES = 9  # scores are rounded before they are ranked, so that equal ones tie
+#: Rows of (query, term) that are sent to every block of products, query-product pairs of a block, and most blocks.
+ASKED_ROWS, BLOCK_PAIRS, MOST_BLOCKS = 2_000_000, 2_000_000, 100_000
+#: Query vectors that are sent to every task at once.
+QUERY_VECTORS = 4096
 
 
 def postings(texts: DataFrame) -> DataFrame:
     """(term, ord, weight, doc_len): each term's weighted frequency in each product."""
-    cells = F.explode(F.array(*(F.struct(F.lit(BM25_WEIGHTS[f]).alias("w"), X.raw_tokens(F.col(f)).alias("tokens")) for f in FIELDS)))
-    tokens = texts.select("ord", cells.alias("c")).select("ord", "c.w", F.explode("c.tokens").alias("term"))
-    lengths = sum((F.size(X.raw_tokens(F.col(f))) for f in FIELDS), F.lit(0))
-    by_term = tokens.groupBy("ord", "term").agg(F.sum("w").alias("weight"))
-    return by_term.join(texts.select("ord", lengths.cast("long").alias("doc_len")), "ord").select("term", "ord", "weight", "doc_len")
+    cells = F.explode(F.array(*(F.struct(F.lit(BM25_WEIGHTS[f]).alias("w"), X.index_tokens(F.col(f)).alias("tokens")) for f in FIELDS)))
+    lengths = sum((F.size(X.index_tokens(F.col(f))) for f in FIELDS), F.lit(0)).cast("long")
+    tokens = texts.select("ord", lengths.alias("doc_len"), cells.alias("c")).select("ord", "doc_len", "c.w", F.explode("c.tokens").alias("term"))
+    return tokens.groupBy("ord", "term").agg(F.sum("w").alias("weight"), F.max("doc_len").alias("doc_len")).select("term", "ord", "weight", "doc_len")
 
 
 def term_stats(index: DataFrame) -> DataFrame:
@@ -30,27 +34,39 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 def corpus_stats(texts: DataFrame) -> DataFrame:
     """One row: n_docs, avg_len."""
-    lengths = sum((F.size(X.raw_tokens(F.col(f))) for f in FIELDS), F.lit(0))
+    lengths = sum((F.size(X.index_tokens(F.col(f))) for f in FIELDS), F.lit(0))
     return texts.agg(F.count("*").alias("n_docs"), F.avg(lengths).alias("avg_len"))
 
 
 def bm25(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(query, ord, score, rank): the best k products of each of (query, term), terms distinct.
 
-    Only the queries' own terms leave the index; term and corpus statistics are joined to them.
+    Products are dealt to blocks and every query meets each block: scores are
+    summed inside a block, which keeps the queries' best k, so that only k rows a
+    query and block are shuffled, however common a term is. The queries' terms go
+    to every block while they are few (their number is counted); beyond that they
+    meet the index in a shuffled join.
     """
-    index = postings(texts)
-    asked = queries.select("query", "term").distinct()
-    stats = term_stats(index).join(asked.select("term").distinct(), "term", "left_semi")
-    corpus = corpus_stats(texts)
+    index = step(postings(texts), "postings")
+    asked = step(queries.select("query", "term").distinct(), "asked")
+    names = step(asked.select("query").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    asked = asked.join(names, "query").select("q", "term")
+    n_asked, n_queries = asked.count(), names.count()
+    corpus = index.groupBy("ord").agg(F.max("doc_len").alias("doc_len")).agg(F.sum("doc_len").alias("tokens"))
+    corpus = corpus.join(texts.agg(F.count("*").alias("n_docs"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_len"))  # one row each
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    stats = term_stats(index.join(asked.select("term").distinct(), "term", "left_semi"))
     weighted = stats.join(F.broadcast(corpus)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
-    matched = index.join(weighted, "term").select(
-        "term", "ord",
-        (F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))).alias("part"),
-    )
-    scored = asked.join(matched, "term").groupBy("query", "ord").agg(F.round(F.sum("part"), PLACES).alias("score"))
-    return scored.withColumn("rank", rank_within(["query"], F.desc("score"), F.col("ord"))).where(F.col("rank") <= k)
+    part = F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    parts = step(index.join(weighted, "term").select("term", "ord", part.alias("part")), "parts")
+    if n_asked <= ASKED_ROWS:
+        blocks = min(MOST_BLOCKS, max(1, -(-n_queries * texts.count() // BLOCK_PAIRS)))
+        met = parts.repartition(blocks, "ord").join(F.broadcast(asked), "term")  # at most ASKED_ROWS rows
+    else:
+        met = asked.join(parts, "term")
+    scored = met.groupBy("q", "ord").agg(F.round(F.sum("part"), PLACES).alias("score"))
+    best = scored.withColumn("rank", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("rank") <= k)
+    return best.join(names, "q").select("query", "ord", "score", "rank")
 
 
 def catalog_idf(texts: DataFrame) -> DataFrame:
@@ -149,11 +165,26 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(query, id, score, rank) of (query, v) against (id, v): a full scan for a stated set of queries, broadcast in one row.
+    """(query, id, score, rank) of (query, v) against (id, v): a full scan for a stated set of queries.
 
-    The queries must be few: their number is the caller's stated bound.
+    The queries are dealt by their hash into blocks of about QUERY_VECTORS; each
+    block is one row, is sent to all tasks by itself, and costs one scan.
     """
-    asked = queries.select(F.struct("query", unit(F.col("v")).alias("v")).alias("q")).agg(F.collect_list("q").alias("qs"))
-    pairs = rows.select("id", unit(F.col("v")).alias("v")).join(F.broadcast(asked)).select("id", "v", F.explode("qs").alias("q"))
-    scored = pairs.select("q.query", "id", F.round(dot(F.col("q.v"), F.col("v")), PLACES).alias("score"))
-    return scored.withColumn("rank", rank_within(["query"], F.desc("score"), F.col("id"))).where(F.col("rank") <= k)
+    asked = step(queries.select("query", unit(F.col("v")).alias("v")), "query-vectors")
+    vectors = rows.select("id", unit(F.col("v")).alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_VECTORS))
+    best = []
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64(F.col("query").cast("string")), F.lit(blocks)) == b) if blocks > 1 else asked
+        packed = some.agg(F.collect_list(F.struct("query", "v")).alias("qs"))
+        pairs = vectors.join(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("q"))
+        scored = pairs.select("q.query", "id", F.round(dot(F.col("q.v"), F.col("v")), PLACES).alias("score"))
+        best.append(scored.withColumn("rank", rank_within(["query"], F.desc("score"), F.col("id"))).where(F.col("rank") <= k))
+    return union_all(best)
+
+
+def cosines(candidates: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``candidates`` (query, ord, ...) with ``cosine``: that of the query's and the product's vector; null where either has none."""
+    q = queries.select("query", F.col("v").alias("_q"))
+    d = vectors.select(F.col("id").alias("ord"), F.col("v").alias("_d"))
+    return candidates.join(q, "query", "left").join(d, "ord", "left").withColumn("cosine", dot(F.col("_q"), F.col("_d"))).drop("_q", "_d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -10,8 +10,11 @@ from ..functions import text as X
 from ..sources.views import rank_within
 from .catalogs import extract_slots
 
-#: Slots that an override keeps unless it names them, the turn whose constraints it revokes, and the cap of a query.
+# Slots that an override keeps unless it names them, the turn whose constraints it revokes, and the cap of a query.
 DURABLE, OPENING, TERM_LIMIT = ("category", "department"), 1, 40
+# Why an override kept or dropped a term.
+REASONS = ("slot_replaced_by_message", "durable_slot", "learned_after_opening_turn", "volunteered_on_opening_turn")
+_STRINGS, _INTS = "cast(array() as array<string>)", "cast(array() as array<int>)"
 
 
 
@@ -93,16 +96,43 @@ def slots_view(ledger: DataFrame) -> DataFrame:
     )
 
 
-def arrivals(messages: DataFrame) -> DataFrame:
-    """(sample_id, token, arrived, times): the turn each token first came and in how many turns it was stated."""
-    said = messages.select("message").distinct().select("message", F.explode(F.array_distinct(X.constraint_tokens(F.col("message")))).alias("token"))
-    return messages.join(said, "message").groupBy("sample_id", "token").agg(F.min("turn").alias("arrived"), F.count("*").alias("times"))
+def source_tags(ledger: DataFrame) -> DataFrame:
+    """(sample_id, token, source): whether a token was volunteered on the opening turn or answered later."""
+    return ledger.select("sample_id", "token", F.when(F.col("first_turn") > OPENING, "answered").otherwise("volunteered").alias("source"))
 
 
-def gains(messages: DataFrame) -> DataFrame:
-    """(sample_id, turn, gained, stuck_for): new tokens of each turn, and for how many turns in a row there were none."""
-    first = arrivals(messages).groupBy("sample_id", F.col("arrived").alias("turn")).agg(F.count("*").alias("gained"))
-    rows = messages.select("sample_id", "turn").join(first, ["sample_id", "turn"], "left").fillna(0, ["gained"])
+def active_by_turn(messages: DataFrame, vocabulary: DataFrame, limit: int | None = TERM_LIMIT) -> DataFrame:
+    """(sample_id, turn, token, slot, first_turn, place): the tokens active after each turn, in the order first stated.
+
+    A token is active after a turn if it was last stated at or after the last
+    override that killed it, of those up to the turn. One row a token holds the
+    turns at which it was stated and killed, so no turn waits for another.
+    """
+    said = mentions(messages, vocabulary)
+    per, kills = _kills(messages, vocabulary, said)
+    stated = said.groupBy("sample_id", "token").agg(F.collect_set("turn").alias("stated"))
+    killed = kills.groupBy("sample_id", "token").agg(F.collect_set("o").alias("killed"))
+    turns = messages.groupBy("sample_id").agg(F.collect_set("turn").alias("turns"))
+    flat = per.select("sample_id", "token", F.col("first.turn").alias("first_turn"), F.col("first.pos").alias("first_pos"), F.col("slotted.turn").alias("slot_turn"), F.col("slotted.slot").alias("slot"))
+    rows = flat.join(stated, ["sample_id", "token"]).join(killed, ["sample_id", "token"], "left").join(turns, "sample_id")
+    upto = lambda a, t: F.coalesce(F.array_max(F.filter(F.coalesce(a, F.expr(_INTS)), lambda x: x <= t)), F.lit(0))
+    alive = F.filter("turns", lambda t: (t >= F.col("first_turn")) & (upto(F.col("stated"), t) >= upto(F.col("killed"), t)))
+    rows = rows.select("sample_id", F.explode(alive).alias("turn"), "token", "first_turn", "first_pos", "slot_turn", "slot").select(
+        "sample_id", "turn", "token", F.when(F.col("slot_turn") <= F.col("turn"), F.col("slot")).alias("slot"),
+        "first_turn", rank_within(["sample_id", "turn"], F.col("first_turn"), F.col("first_pos")).alias("place"),
+    )
+    return rows if limit is None else rows.where(F.col("place") <= limit)
+
+
+def arrivals(active: DataFrame) -> DataFrame:
+    """(sample_id, token, arrived, last): each run of turns in which a token was in the query; one that was dropped and returns is dated anew."""
+    island = F.col("turn") - F.row_number().over(W.Window.partitionBy("sample_id", "token").orderBy("turn"))
+    return active.withColumn("_run", island).groupBy("sample_id", "token", "_run").agg(F.min("turn").alias("arrived"), F.max("turn").alias("last")).drop("_run")
+
+
+def gains(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(sample_id, turn, gained, stuck_for): tokens that each turn made active, and for how many turns in a row there were none."""
+    rows = messages.select("sample_id", "turn").join(ledger_gains(messages, vocabulary), ["sample_id", "turn"], "left").fillna(0, ["gained"])
     island = F.sum((F.col("gained") > 0).cast("int")).over(W.Window.partitionBy("sample_id").orderBy("turn"))
     rows = rows.withColumn("_island", island)
     inside = W.Window.partitionBy("sample_id", "_island").orderBy("turn")
@@ -111,51 +141,97 @@ def gains(messages: DataFrame) -> DataFrame:
     return rows.select("sample_id", "turn", F.col("gained").cast("long").alias("gained"), F.when(started, n - 1).otherwise(n).alias("stuck_for"))
 
 
-def turn_terms(messages: DataFrame) -> DataFrame:
-    """(sample_id, turn, terms): the tokens stated by each turn, each once, by their first place (overrides not applied)."""
-    said = messages.select("message").distinct().select("message", F.posexplode(X.constraint_tokens(F.col("message"))).alias("pos", "token"))
-    first = messages.join(said, "message").groupBy("sample_id", "token").agg(F.min(F.struct("turn", "pos")).alias("at"))
-    per = first.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("all"))
-    upto = F.filter("all", lambda x: x["at"]["turn"] <= F.col("turn"))
-    return messages.select("sample_id", "turn").join(per, "sample_id", "left").select(
-        "sample_id", "turn", F.coalesce(F.transform(upto, lambda x: x["token"]), F.expr("cast(array() as array<string>)")).alias("terms")
+def turn_terms(messages: DataFrame, active: DataFrame) -> DataFrame:
+    """(sample_id, turn, terms, required): the query of each turn, and those of its terms that a slot which isn't durable claims."""
+    one = F.struct("place", "token", (F.col("slot").isNotNull() & ~F.coalesce(F.col("slot").isin(*DURABLE), F.lit(False))).alias("must"))
+    per = active.groupBy("sample_id", "turn").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    names = lambda a: F.coalesce(F.transform(a, lambda x: x["token"]), F.expr(_STRINGS))
+    return messages.select("sample_id", "turn").join(per, ["sample_id", "turn"], "left").select(
+        "sample_id", "turn", names(F.col("all")).alias("terms"), names(F.filter("all", lambda x: x["must"])).alias("required")
+    )
+
+
+def recency_weights(active: DataFrame, weight: float) -> DataFrame:
+    """(sample_id, turn, weights): for each turn's terms 1 + weight (arrival - 1), as a map."""
+    runs = arrivals(active)
+    rows = active.join(runs, ["sample_id", "token"]).where(F.col("turn").between(F.col("arrived"), F.col("last")))
+    return rows.groupBy("sample_id", "turn").agg(
+        F.map_from_entries(F.collect_list(F.struct("token", (1.0 + weight * (F.col("arrived") - OPENING)).alias("w")))).alias("weights")
     )
 
 
-def changes(terms: DataFrame) -> DataFrame:
-    """(sample_id, turn, lost, added, dead): against the turn before; a dead turn changed nothing."""
+def changes(terms: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """(sample_id, turn, lost, added, dead): against the turn before; a dead turn changed nothing and left the target (``ranks``: sample_id, turn, rank) unranked."""
     before = F.lag("terms").over(W.Window.partitionBy("sample_id").orderBy("turn"))
-    return terms.withColumn("before", before).select(
-        "sample_id", "turn", F.array_join(F.array_except(F.coalesce("before", F.expr("cast(array() as array<string>)")), "terms"), ",").alias("lost"),
-        F.array_join(F.array_except("terms", F.coalesce("before", F.expr("cast(array() as array<string>)"))), ",").alias("added"),
-        F.coalesce(F.col("before") == F.col("terms"), F.lit(False)).alias("dead"),
+    rows = terms.withColumn("before", before)
+    rows = rows.withColumn("rank", F.lit(None).cast("int")) if ranks is None else rows.join(ranks.select("sample_id", "turn", "rank"), ["sample_id", "turn"], "left")
+    none = F.expr(_STRINGS)
+    return rows.select(
+        "sample_id", "turn", F.array_join(F.array_except(F.coalesce("before", none), "terms"), ",").alias("lost"),
+        F.array_join(F.array_except("terms", F.coalesce("before", none)), ",").alias("added"),
+        (F.coalesce(F.col("before") == F.col("terms"), F.lit(False)) & F.col("rank").isNull()).alias("dead"),
     )
 
 
+def routes(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(sample_id, route): buying if the first message names a slot other than the durable ones, browsing otherwise."""
+    opening = messages.groupBy("sample_id").agg(F.min_by("message", "turn").alias("message"))
+    named = message_slots(opening, vocabulary).where(~F.col("slot").isin(*DURABLE)).select("message").distinct().withColumn("_named", F.lit(True))
+    return opening.join(named, "message", "left").select("sample_id", F.when(F.col("_named"), "buying").otherwise("browsing").alias("route"))
+
+
 def dispositions(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(sample_id, turn, slot, term, arrived, kept, reason): what each override did to every slotted term stated before it."""
-    found = message_slots(messages, vocabulary)
-    named = found.groupBy("message").agg(F.collect_set("slot").alias("named"))
-    overrides = messages.where(X.is_override(F.col("message"))).join(named, "message", "left").select("sample_id", F.col("turn").alias("o"), F.coalesce("named", F.expr("cast(array() as array<string>)")).alias("named"))
-    there = messages.join(found, "message").select("sample_id", "turn", "slot", "term")
-    held = there.join(overrides, "sample_id").where(F.col("turn") < F.col("o")).groupBy("sample_id", "o", "named", "slot", "term").agg(F.min("turn").alias("arrived"))
+    """(sample_id, turn, slot, term, arrived, kept, reason): what each override does to every slotted token that is active before it."""
+    named = message_slots(messages, vocabulary).groupBy("message").agg(F.collect_set("slot").alias("named"))
+    overrides = messages.where(X.is_override(F.col("message"))).join(named, "message", "left").select("sample_id", F.col("turn").alias("o"), F.coalesce("named", F.expr(_STRINGS)).alias("named"))
+    active = active_by_turn(messages, vocabulary, None).where("slot IS NOT NULL")
+    earlier = messages.select("sample_id", F.col("turn").alias("before"))
+    last = overrides.join(earlier, "sample_id").where("before < o").groupBy("sample_id", "o", "named").agg(F.max("before").alias("turn"))
+    held = last.join(active, ["sample_id", "turn"])
     reason = (
-        F.when(F.array_contains("named", F.col("slot")), "slot_replaced_by_message")
-        .when(F.col("slot").isin(*DURABLE), "durable_slot")
-        .when(F.col("arrived") > OPENING, "learned_after_opening_turn")
-        .otherwise("volunteered_on_opening_turn")
-    )
+        F.when(F.array_contains("named", F.col("slot")), REASONS[0]).when(F.col("slot").isin(*DURABLE), REASONS[1])
+        .when(F.col("first_turn") > OPENING, REASONS[2]).otherwise(REASONS[3])
+    )
     return held.select(
-        "sample_id", F.col("o").alias("turn"), "slot", "term", "arrived", reason.isin("durable_slot", "learned_after_opening_turn").alias("kept"), reason.alias("reason")
+        "sample_id", F.col("o").alias("turn"), "slot", F.col("token").alias("term"), F.col("first_turn").alias("arrived"), reason.isin(*REASONS[1:3]).alias("kept"), reason.alias("reason")
     )
 
 
-def slot_diff(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(sample_id, turn, slot, term, change): new, kept or dropped against the turn before."""
-    found = message_slots(messages, vocabulary)
-    now = messages.join(found, "message").select("sample_id", "turn", "slot", "term")
-    before = now.select("sample_id", (F.col("turn") + 1).alias("turn"), "slot", "term", F.lit(1).alias("b"))
+def slot_diff(active: DataFrame, messages: DataFrame) -> DataFrame:
+    """(sample_id, turn, slot, term, arrived, change): the slots' active tokens against the turn before: new, kept or dropped."""
+    now = active.where("slot IS NOT NULL").select("sample_id", "turn", "slot", F.col("token").alias("term"), F.col("first_turn").alias("arrived"))
+    after = messages.select("sample_id", F.col("turn").alias("after"))
+    following = F.lead("after").over(W.Window.partitionBy("sample_id").orderBy("after"))
+    after = after.withColumn("next", following).where("next IS NOT NULL").withColumnRenamed("after", "turn")
+    before = now.join(after, ["sample_id", "turn"]).select("sample_id", F.col("next").alias("turn"), "slot", "term", F.lit(1).alias("b"))
     both = now.withColumn("a", F.lit(1)).join(before, ["sample_id", "turn", "slot", "term"], "full_outer")
-    last = messages.groupBy("sample_id").agg(F.max("turn").alias("last"))
     change = F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "dropped").otherwise("kept")
-    return both.join(last, "sample_id").where(F.col("turn") <= F.col("last")).select("sample_id", "turn", "slot", "term", change.alias("change"))
+    return both.select("sample_id", "turn", "slot", "term", "arrived", change.alias("change"))
+
+
+def slot_model(messages: DataFrame, vocabulary: DataFrame, limit: int = TERM_LIMIT) -> DataFrame:
+    """(sample_id, turn, terms): the older state, a list of tokens that an override builds anew from the slots' terms that it keeps.
+
+    A fold over each session's own turns, in order.
+    """
+    found = message_slots(messages, vocabulary).groupBy("message").agg(F.array_sort(F.collect_set(F.struct("slot", "term"))).alias("slots"))
+    said = messages.select("message").distinct().join(found, "message", "left").select(
+        "message", X.is_override(F.col("message")).alias("override"), X.constraint_tokens(F.col("message")).alias("tokens"),
+        F.coalesce("slots", F.expr("cast(array() as array<struct<slot:string,term:string>>)")).alias("slots"),
+    )
+    rows = messages.select("sample_id", "turn", "message").join(said, "message")
+    per = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "override", "tokens", "slots"))).alias("turns"))
+    held = "array<struct<slot:string,term:string,arrived:int>>"
+    start = F.struct(F.expr(_STRINGS).alias("terms"), F.expr(f"cast(array() as {held})").alias("held"), F.expr("cast(array() as array<struct<turn:int,terms:array<string>>>)").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        named = F.transform(m["slots"], lambda x: x["slot"])
+        stays = F.filter(s["held"], lambda h: ~F.array_contains(named, h["slot"]) & (h["slot"].isin(*DURABLE) | (h["arrived"] > OPENING)))
+        kept = F.when(m["override"], stays).otherwise(s["held"])
+        rebuilt = F.flatten(F.transform(stays, lambda h: X.query_tokens(h["term"])))
+        terms = F.slice(F.array_distinct(F.concat(F.when(m["override"], rebuilt).otherwise(s["terms"]), m["tokens"])), 1, limit)
+        known = F.transform(kept, lambda h: F.struct(h["slot"].alias("slot"), h["term"].alias("term")))
+        new = F.transform(F.array_except(m["slots"], known), lambda x: F.struct(x["slot"].alias("slot"), x["term"].alias("term"), m["turn"].cast("int").alias("arrived")))
+        return F.struct(terms.alias("terms"), F.concat(kept, new).alias("held"), F.concat(s["out"], F.array(F.struct(m["turn"].cast("int").alias("turn"), terms.alias("terms")))).alias("out"))
+
+    return per.select("sample_id", F.explode(F.aggregate("turns", start, step, lambda s: s["out"])).alias("t")).select("sample_id", "t.turn", "t.terms")

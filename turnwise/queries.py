@@ -8,13 +8,15 @@ from pyspark.sql import window as W
 
 from .functions import text as X
 from .operators import asking, catalogs, retrieval, scoring, semantic, state
-from .plans import evaluate
+from .plans import replay as R
+from .plans import variants
+from .plans.shared import step
 from .sources import views as V
 from .sql import ORACLES as _SQL
 
 FIELDS = ("title", "features", "description", "price", "categories", "details", "average_rating", "rating_number", "store")
 SEED = "turnwise-v1"
-_KEYS = {"color": "Color", "size": "Size"}
+_KEYS = {"material": "Material", "color": "Color", "style": "Style", "size": "Size"}
 QUERIES: dict = {}
 
 
@@ -24,28 +26,37 @@ def _query(f):
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogs.gazetteer(V.catalog(spark, sf_dir), _KEYS)
+    return step(catalogs.gazetteer(V.catalog(spark, sf_dir), _KEYS), "vocabulary")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.field_texts(V.catalog(spark, sf_dir))
+    return step(V.field_texts(V.catalog(spark, sf_dir)), "texts")
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return step(V.messages(spark, sf_dir), "messages")
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with the text of their opening message, its tokens and phrases."""
-    s = V.openings(spark, sf_dir)
-    return s.select("sample_id", "scenario_type", "target", F.col("message").alias("query"), X.query_tokens(F.col("message")).alias("terms"), X.phrases(F.col("message"), 2).alias("phrases"))
+    """Sessions with the text of their opening message, its tokens, phrases, and the tokens that a slot which isn't durable claims."""
+    s = step(V.openings(spark, sf_dir), "openings")
+    first = s.select("sample_id", F.lit(1).alias("turn"), "message")
+    must = state.turn_terms(first, state.active_by_turn(first, _vocabulary(spark, sf_dir))).select("sample_id", "required")
+    asked = s.join(must, "sample_id").select(
+        "sample_id", "scenario_type", "difficulty_bucket", "target", F.col("message").alias("query"), X.query_tokens(F.col("message")).alias("terms"), X.phrases(F.col("message"), 2).alias("phrases"), "required"
+    )
+    return step(asked, "asked-sessions")
 
 
 def _different(asked: DataFrame) -> DataFrame:
     """Each different query once: retrieval costs what there are queries, not sessions."""
-    return asked.select("query", F.array_distinct("terms").alias("terms"), "phrases").dropDuplicates(["query"])
+    return asked.select("query", F.array_distinct("terms").alias("terms"), "phrases", "required").dropDuplicates(["query"])
 
 
-def _pool(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
-    q = _different(_asked(spark, sf_dir))
-    found = retrieval.bm25(q.select("query", F.explode("terms").alias("term")), _texts(spark, sf_dir), k)
-    return found.join(q, "query").withColumn("required", F.filter("terms", lambda t: ~t.isin("key", "requirement", "still", "exploring")))
+def _pool(spark: SparkSession, sf_dir: str, k: int = 100, texts: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    q = step(_different(_asked(spark, sf_dir) if asked is None else asked), "different")
+    found = retrieval.bm25(q.select("query", F.explode("terms").alias("term")), _texts(spark, sf_dir) if texts is None else texts, k)
+    return step(found.join(q, "query"), "pool")
 
 
 def _joined(c: str) -> Column:
@@ -70,6 +81,19 @@ def attribute_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.attribute_terms(V.catalog(spark, sf_dir), "Brand")
 
 
+@_query
+def department_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogs.departments(V.catalog(spark, sf_dir))
+
+
+@_query
+def catalog_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog that lists some products twice: the later row counts."""
+    first = V.catalog(spark, sf_dir).select("parent_asin", "title", "ord")
+    again = first.where("ord % 7 = 0").select("parent_asin", F.concat("title", F.lit(" again")).alias("title"), (F.col("ord") + 10_000_000).alias("ord"))
+    return V.catalog_index(first.unionByName(again)).select("parent_asin", "title")
+
+
 @_query
 def term_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = V.catalog(spark, sf_dir)
@@ -163,6 +187,14 @@ def slot_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.join(state.message_slots(said, _vocabulary(spark, sf_dir)), "message").select("sample_id", "turn", "slot", "term")
 
 
+@_query
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index of the documents holds of each: tokens of any script, without accents."""
+    tokens = X.index_tokens(F.coalesce("text", F.lit("")))
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
+    return rows.select("doc_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+
+
 # Retrieval
 
 
@@ -207,72 +239,208 @@ def rerank_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = _pool(spark, sf_dir, 20).select("query", "ord", "rank")
-    return retrieval.union_pool(pool, _popular(spark, sf_dir), 10)
+def rerank_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of the score at once: term idf, term weights, rating, and cosines of stand-in vectors."""
+    texts = _texts(spark, sf_dir)
+    pool = _pool(spark, sf_dir, texts=texts).select("query", "ord", "rank", "terms", "phrases", "required")
+    idf = F.broadcast(retrieval.catalog_idf(texts).where("idf < 1e9").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf")))  # the words of the view
+    weights = F.map_from_entries(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("k"), (1.0 + 0.25 * (F.length(t) % 3)).alias("v"))))
+    rows = pool.join(idf).withColumn("term_weights", weights)
+    labels = pool.select("query").distinct().join(_centres(spark, sf_dir), F.length("query") % 10 == F.col("label")).select("query", "v")
+    rows = retrieval.cosines(rows, labels.select("query", retrieval.unit(F.col("v")).alias("v")), _vectors(spark, sf_dir).select("id", retrieval.unit(F.col("v")).alias("v")))
+    return retrieval.rerank(rows, texts, 10, rating=0.5, idf="idf", term_weights="term_weights")
+
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
 
-def _popular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second pool for each query: the most reviewed products of the catalog."""
-    top = V.catalog(spark, sf_dir).orderBy(F.desc("rating_number"), "ord").limit(30).select("ord", "rating_number")
-    ranked = top.withColumn("rank", F.row_number().over(W.Window.orderBy(F.desc("rating_number"), "ord"))).select("ord", "rank")
-    return _different(_asked(spark, sf_dir)).select("query").join(F.broadcast(ranked))  # 30 rows
+
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, v): the mean vector of each label."""
+    centres = _vectors(spark, sf_dir).select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    return centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: F.round(s["x"], 6)).alias("v"))
+
+
+def _dense(spark: SparkSession, sf_dir: str, asked: DataFrame, k: int = 100) -> DataFrame:
+    """(query, ord, rank): for each query the products nearest to the vector that stands in for it."""
+    near = retrieval.cosine_topk(_centres(spark, sf_dir).withColumnRenamed("label", "query"), _vectors(spark, sf_dir), k).withColumnRenamed("query", "label")
+    there = near.join(V.catalog(spark, sf_dir).select(F.col("ord").alias("id")), "id", "left_semi")
+    return asked.select("query").distinct().join(there, F.length("query") % 10 == F.col("label")).select("query", F.col("id").alias("ord"), "rank")
+
+
+@_query
+def union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir).select("query", "ord", "rank")
+    return retrieval.union_pool(pool, _dense(spark, sf_dir, pool))
 
 
 @_query
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rrf([_pool(spark, sf_dir, 20), _popular(spark, sf_dir)], 10)
+    pool = _pool(spark, sf_dir)
+    return retrieval.rrf([pool, _dense(spark, sf_dir, pool)], 10)
 
 
 @_query
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
-    centres = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    q = centres.groupBy(F.col("label").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: F.round(s["x"], 6)).alias("v"))
-    return retrieval.cosine_topk(q, e.select("id", "v"), 10)
+    return retrieval.cosine_topk(_centres(spark, sf_dir).withColumnRenamed("label", "query"), _vectors(spark, sf_dir), 10)
 
 
 # State
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.entries(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    said = _messages(spark, sf_dir)
+    return said, step(state.active_by_turn(said, _vocabulary(spark, sf_dir)), "active")
+
+
 @_query
 def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return _ledger(spark, sf_dir)
 
 
 @_query
 def ledger_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.projection(state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir)))
+    return state.projection(_ledger(spark, sf_dir))
 
 
 @_query
 def slots_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.slots_view(state.entries(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir)))
+    return state.slots_view(_ledger(spark, sf_dir))
+
+
+@_query
+def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.source_tags(_ledger(spark, sf_dir))
 
 
 @_query
 def term_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.arrivals(V.messages(spark, sf_dir))
+    return state.arrivals(_active(spark, sf_dir)[1])
+
+
+@_query
+def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.recency_weights(_active(spark, sf_dir)[1], 0.5)
+    return rows.select("sample_id", "turn", F.explode("weights").alias("token", "weight"))
 
 
 @_query
 def no_gain_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.gains(V.messages(spark, sf_dir))
+    return state.gains(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+@_query
+def stuck_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stuck session is asked, and the sentence that asks it."""
+    rows = state.gains(_messages(spark, sf_dir), _vocabulary(spark, sf_dir)).where("stuck_for >= 1")
+    ask = asking.stuck_attribute(F.col("stuck_for") - 1)
+    return rows.select("sample_id", "turn", "stuck_for", ask.alias("ask"), asking.question(ask).alias("question"))
+
+
+@_query
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.routes(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
+@_query
+def required_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said, active = _active(spark, sf_dir)
+    return state.turn_terms(said, active).select("sample_id", "turn", F.array_join("terms", " ").alias("terms"), F.array_join("required", " ").alias("required"))
 
 
 @_query
 def turn_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.changes(state.turn_terms(V.messages(spark, sf_dir)))
+    """What each turn took from and added to the query, and whether it left it as it was."""
+    said, active = _active(spark, sf_dir)
+    return state.changes(state.turn_terms(said, active))
 
 
 @_query
 def override_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.dispositions(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return state.dispositions(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
 
 
 @_query
 def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.slot_diff(V.messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    said, active = _active(spark, sf_dir)
+    return state.slot_diff(active, said)
+
+
+@_query
+def slot_model_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.slot_model(_messages(spark, sf_dir), _vocabulary(spark, sf_dir)).withColumn("terms", F.array_join("terms", " "))
+
+
+# Whole turns
+
+
+def _replayed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    targets = V.sessions(spark, sf_dir).select("sample_id", "target")
+    return step(R.replay(_messages(spark, sf_dir), targets, V.field_texts(V.catalog(spark, sf_dir)), catalogs.gazetteer(V.catalog(spark, sf_dir), _KEYS), **how), "replayed")
+
+
+@_query
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every recorded conversation, from the message to the target's rank and the next question."""
+    return _replayed(spark, sf_dir)
+
+
+@_query
+def dead_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns that changed nothing and left the target unranked."""
+    said, active = _active(spark, sf_dir)
+    return state.changes(state.turn_terms(said, active), _replayed(spark, sf_dir)).select("sample_id", "turn", "dead")
+
+
+@_query
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, dead turns, best rank, and the ranks before and at the override."""
+    said, active = _active(spark, sf_dir)
+    turns = _replayed(spark, sf_dir).select("sample_id", "turn", "rank")
+    dead = state.changes(state.turn_terms(said, active), turns).select("sample_id", "turn", "dead")
+    return scoring.trace_summary(turns.join(dead, ["sample_id", "turn"]).join(said.select("sample_id", "turn", X.is_override(F.col("message")).alias("override")), ["sample_id", "turn"]))
+
+
+@_query
+def turn_ribbon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags of each turn: whether it found the target, and whether it was the override."""
+    said = _messages(spark, sf_dir).select("sample_id", "turn", X.is_override(F.col("message")).alias("is_override"))
+    return _replayed(spark, sf_dir).join(said, ["sample_id", "turn"]).select("sample_id", "turn", F.col("rank").isNotNull().alias("is_hit"), "is_override", F.coalesce("rank", F.lit(0)).alias("target_rank"))
+
+
+@_query
+def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the replayed sessions over all, by part of the split and by part and difficulty."""
+    who = V.sessions(spark, sf_dir).select("sample_id", "scenario_type", "difficulty_bucket")
+    parts = stratified_split(spark, sf_dir).select("sample_id", "part")
+    applied = (F.col("scenario_type") != "intent_override") | (F.col("turn") >= 3)
+    turns = _replayed(spark, sf_dir).join(who, "sample_id").withColumn("applied", applied)
+    facts = scoring.session_facts(turns).join(who.drop("scenario_type"), "sample_id").join(parts, "sample_id")
+    return scoring.summarise(facts, "part", "difficulty_bucket")
+
+
+@_query
+def policy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each clarification policy asks, turn by turn."""
+    runs = [_replayed(spark, sf_dir, policy=p).groupBy("turn", "ask").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in ("fixed", "candidate", "entropy", "other")]
+    return V.union_all(runs)
+
+
+@_query
+def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the opening messages' targets under each retrieval mode, with a latent index of the catalog."""
+    texts, asked = _texts(spark, sf_dir), _asked(spark, sf_dir)
+    model = semantic.fit(texts.select(F.concat_ws(" ", *V.FIELDS).alias("text")))
+    ranks = []
+    for mode in R.MODES:
+        _, best = R.retrieve(asked.withColumn("terms", F.array_distinct("terms")), texts, mode, k=100, model=model)
+        best = best.select("query", F.col("parent_asin").alias("target"), "rank")
+        ranks.append(scoring.recall(asked.join(best, ["query", "target"], "left"), (10, 50, 100), "scenario_type").withColumn("mode", F.lit(mode)))
+    return V.union_all(ranks)
 
 
 @_query
@@ -291,7 +459,7 @@ def disclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.concat_ws(" ", *V.FIELDS)
     products = _texts(spark, sf_dir).select("ord", X.raw_tokens(whole).alias("tokens"))
-    return _pool(spark, sf_dir, 20).select(F.col("query").alias("pool"), "ord").join(products, "ord").select("pool", F.col("ord").alias("item"), "tokens")
+    return _pool(spark, sf_dir).select(F.col("query").alias("pool"), "ord").join(products, "ord").select("pool", F.col("ord").alias("item"), "tokens")
 
 
 def _next(orders: DataFrame) -> DataFrame:
@@ -374,19 +542,6 @@ def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.latency(V.table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@_query
-def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns, best rank, and the ranks before and at the first turn whose rank got worse by more than twenty."""
-    t = _turns(spark, sf_dir)
-    before = F.last("rank", ignorenulls=True).over(W.Window.partitionBy("sample_id").orderBy("turn").rowsBetween(W.Window.unboundedPreceding, -1))
-    rows = t.withColumn("before", before)
-    worse = F.col("rank") > F.col("before") + 20
-    first = F.min(F.when(worse, F.struct("turn", "before", "rank")))
-    return rows.groupBy("sample_id").agg(F.count("*").alias("turns"), F.min("rank").alias("best_rank"), F.count_if(F.col("rank").isNull()).alias("unranked"), first.alias("f")).select(
-        "sample_id", "turns", "best_rank", "unranked", F.col("f.turn").alias("fell_at"), F.col("f.before").alias("rank_before"), F.col("f.rank").alias("rank_at")
-    ).fillna(0)
-
-
 @_query
 def normalized_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommended ids cleaned: known ones only, each once, the first ten."""
@@ -399,6 +554,37 @@ def normalized_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("rank", V.rank_within(["user_id"], F.col("at"))).where("rank <= 10").select("user_id", "id", "rank")
 
 
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses as JSON: of some the ids are objects, blank, repeated or unknown, of some the numbers or the whole are broken."""
+    e = V.table(spark, sf_dir, "events")
+    k, n = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 7
+    one = F.when(n == 0, F.concat(F.lit('{"parent_asin": " '), (k * 37).cast("string"), F.lit(' "}'))).when(n == 1, F.lit('""')).otherwise(F.concat(F.lit('"'), (k * 37).cast("string"), F.lit('"')))
+    same = F.concat(F.lit('"'), (k * 11).cast("string"), F.lit('"'))
+    ids = F.concat(F.lit("["), one, F.lit(", "), same, F.lit(", "), one, F.lit("]"))
+    tokens = F.when(n == 2, F.lit("-5")).when(n == 3, F.lit("1.5")).when(n == 4, F.lit('"x"')).otherwise(k.cast("string"))
+    whole = F.concat(F.lit('{"recommendations": '), ids, F.lit(', "usage": {"prompt_tokens": '), tokens, F.lit(', "completion_tokens": '), (k * 2).cast("string"), F.lit("}}"))
+    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("turn"), F.when(n == 5, F.substring(whole, 1, 30)).otherwise(whole).alias("response"))
+
+
+@_query
+def cleaned_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.clean_responses(_responses(spark, sf_dir), V.catalog(spark, sf_dir).select("parent_asin"))
+
+
+@_query
+def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.token_usage(_responses(spark, sf_dir))
+
+
+@_query
+def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions in order with their 1-based index, and what is known of their target."""
+    s = V.sessions(spark, sf_dir).withColumn("_all", F.lit(0))
+    listed = scoring.placed(s, "_all", "sample_id").withColumnRenamed("place", "index").drop("_all")
+    about = V.catalog(spark, sf_dir).select(F.col("parent_asin").alias("target"), "title", "store", "rating_number")
+    return listed.join(about, "target", "left").select("index", "sample_id", "scenario_type", "difficulty_bucket", "target", F.coalesce("title", F.lit("")).alias("title"), "store", "rating_number")
+
+
 @_query
 def stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.sessions(spark, sf_dir)
@@ -413,7 +599,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.sessions(spark, sf_dir).where("scenario_type = 'boundary'").select(F.col("target").alias("parent_asin")).distinct()
+    return V.sessions(spark, sf_dir).select(F.col("target").alias("parent_asin")).distinct()
 
 
 @_query
@@ -440,31 +626,64 @@ def masked_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("parent_asin", "price", F.coalesce(F.size("description"), F.lit(-1)).alias("n_description"))
 
 
+_MASKED = ("price", "description")
+
+
 @_query
 def mask_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     products, targets = _reviewed(spark, sf_dir)
-    masks = scoring.masked_ids(products, targets, ("price", "description"), SEED)
-    return scoring.mask_violations(products, scoring.apply_masks(products, masks, ("price", "description")), masks, ("price", "description"))
+    masks = step(scoring.masked_ids(products, targets, _MASKED, SEED), "masks")
+    return scoring.mask_violations(products, scoring.apply_masks(products, masks, _MASKED), masks, _MASKED, targets)
+
+
+@_query
+def broken_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks on a masked catalog in which rows are missing, filled, renamed and left unmasked."""
+    products, targets = _reviewed(spark, sf_dir)
+    masks = step(scoring.masked_ids(products, targets, _MASKED, SEED), "masks")
+    bad = scoring.apply_masks(products, masks.where("cast(parent_asin as bigint) % 5 <> 0 or field <> 'price'"), _MASKED).where("ord % 97 <> 0")
+    bad = bad.withColumn("title", F.when(F.col("ord") % 31 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")))
+    bad = bad.withColumn("price", F.when(F.col("ord") % 43 == 0, F.lit(1.0)).otherwise(F.col("price")))
+    return scoring.mask_violations(products, bad, masks, _MASKED, targets)
+
+
+@_query
+def target_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a coverage build refuses: products and targets listed twice, and targets that aren't products."""
+    products = V.catalog(spark, sf_dir).select("parent_asin", "ord")
+    listed = products.where("ord % 13 <> 0").unionByName(products.where("ord % 17 = 0"))
+    return variants.check_targets(listed.select("parent_asin"), V.sessions(spark, sf_dir).where("difficulty_bucket = 'hard'").select(F.col("target").alias("parent_asin")))
+
+
+#: Weights of popularity, price and rating that the sweep tries.
+SWEEP = ((0.0, 0.0, 0.0), (0.6, 0.0, 0.0), (1.2, 0.0, 0.0), (2.4, 0.0, 0.0), (1.2, 2.0, 0.0), (1.2, 2.0, 0.5))
 
 
 @_query
 def popularity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean reciprocal rank of the target for each popularity weight: one plan over all weights."""
-    asked = _asked(spark, sf_dir)
-    pool = _pool(spark, sf_dir).select("query", "ord", "rank", "terms")
-    weights = F.explode(F.array(*map(F.lit, (0.0, 0.6, 1.2, 2.4)))).alias("weight")
-    rows = pool.join(retrieval.with_tokens(_texts(spark, sf_dir)), "ord").select("query", "ord", "rank", retrieval.match_score(F.col("terms")).alias("m"), F.log1p("rating_number").alias("p"), weights)
-    at = F.row_number().over(W.Window.partitionBy("query", "weight").orderBy(F.desc(F.round(F.col("m") + F.col("weight") * F.col("p"), 9)), "rank"))
-    placed = rows.withColumn("place", at).where("place <= 10").select("query", "weight", F.col("ord").cast("string").alias("target"), "place")
-    hits = asked.join(placed, ["query", "target"]).groupBy("weight").agg(F.count("*").alias("hits"), F.sum(1.0 / F.col("place")).alias("rr"))
-    total = asked.agg(F.count("*").alias("n"))
-    return hits.join(F.broadcast(total)).select("weight", "hits", F.round(F.col("rr") / F.col("n"), 6).alias("mrr"))
+    """Hits and mean reciprocal rank of the targets for each set of weights, by part of the split and difficulty: one plan over all weights."""
+    texts, asked = _texts(spark, sf_dir), _asked(spark, sf_dir)
+    pool = _pool(spark, sf_dir, texts=texts, asked=asked).select("query", "ord", "rank", "terms")
+    weights = F.explode(F.array(*(F.struct(F.lit(i).alias("trial"), F.lit(a).alias("wp"), F.lit(b).alias("wc"), F.lit(c).alias("wr")) for i, (a, b, c) in enumerate(SWEEP)))).alias("w")
+    rows = pool.join(retrieval.with_tokens(texts), "ord").select("query", "ord", "rank", retrieval.match_score(F.col("terms")).alias("m"), F.log1p("rating_number").alias("p"), F.col("has_price").cast("double").alias("c"), "average_rating", weights)
+    score = F.round(F.col("m") + F.col("w.wp") * F.col("p") + F.col("w.wc") * F.col("c") + F.col("w.wr") * F.col("average_rating"), 9)
+    at = F.row_number().over(W.Window.partitionBy("query", "w.trial").orderBy(F.desc(score), "rank"))
+    placed = rows.withColumn("place", at).where("place <= 10").select("query", F.col("w.trial").alias("trial"), F.col("ord").cast("string").alias("target"), "place")
+    who = asked.select("sample_id", "query", "target", "difficulty_bucket").join(stratified_split(spark, sf_dir).select("sample_id", "part"), "sample_id")
+    trials = who.join(F.broadcast(spark.range(len(SWEEP)).select(F.col("id").cast("int").alias("trial"))))  # one row a trial
+    facts = trials.join(placed, ["query", "target", "trial"], "left")
+    return facts.groupBy("trial", "part", "difficulty_bucket").agg(F.count("*").alias("n"), F.count("place").alias("hits"), F.round(F.sum(F.coalesce(1.0 / F.col("place"), F.lit(0.0))) / F.count("*"), 6).alias("mrr"))
 
 
 @_query
-def simulated_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every session simulated for ten turns against retrieval, reranking and questions."""
-    return evaluate.report(evaluate.evaluate(spark, sf_dir, turns=10))
+def stress_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the opening messages' targets at each level of query stress."""
+    texts, s = _texts(spark, sf_dir), step(V.openings(spark, sf_dir), "openings")
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), f(F.col("message")).alias("query")) for k, f in X.STRESS_LEVELS.items()))).alias("l")
+    asked = step(s.select("sample_id", "target", levels).select("sample_id", "target", "l.*").withColumn("terms", X.query_tokens(F.col("query"))), "stressed")
+    q = asked.select("query", F.explode(F.array_distinct("terms")).alias("term"))
+    pool = retrieval.bm25(q, texts, 100).select("query", F.col("ord").cast("string").alias("target"), "rank")
+    return scoring.recall(asked.join(pool, ["query", "target"], "left"), (10, 50, 100), "level")
 
 
 @_query
@@ -472,7 +691,7 @@ def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language, the documents nearest to its function words in the latent space."""
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = spark.createDataFrame([("en", "the house and the thing"), ("fr", "les dans une pour"), ("de", "der und nicht einer"), ("es", "los para las una")], "name string, text string")
-    model = semantic.fit(docs, max_terms=300, dimensions=16)
+    model = semantic.fit(docs)
     return semantic.search(model, asked, semantic.project(model, docs, "doc_id"), 10, "name")
 
 

@@ -34,41 +34,78 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     return newest.select("row.*")
 
 
+def catalog_index(df: DataFrame, order: str = "ord") -> DataFrame:
+    """The catalog with one row a product: of repeated ids the last by ``order``."""
+    return last_of_each(df.withColumn("parent_asin", F.col("parent_asin").cast("string")), "parent_asin", order)
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """(slot, term, support) of a vocabulary file; empty if it can't be read."""
+    """(slot, term, support) of a vocabulary file; slots that hold no terms are left out; empty if it can't be read."""
     schema = "slot string, term string, support bigint"
     try:
         raw = spark.read.text(path, wholetext=True)
-        slots = raw.select(F.explode(F.from_json("value", "map<string,map<string,int>>")).alias("slot", "terms"))
-        return slots.select("slot", F.explode("terms").alias("term", "support")).select("slot", "term", F.col("support").cast("bigint").alias("support"))
+        slots = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("slot", "terms"))
+        terms = slots.select("slot", F.explode(F.from_json("terms", "map<string,string>")).alias("term", "support"))
+        return terms.select("slot", "term", F.col("support").try_cast("double").cast("bigint").alias("support")).where("support IS NOT NULL")
     except Exception:  # a missing vocabulary means no slots, not a failed run
         return spark.createDataFrame([], schema)
 
 
-def publish_jsonl(df: DataFrame, path: str, validate: Callable[[DataFrame], None] | None = None) -> None:
-    """Write to a staging folder, validate what was written, then rename; nothing is left if validation fails."""
-    spark = df.sparkSession
+def _promote(fs, hadoop, staged: str, path: str) -> None:
+    """Put ``staged`` in the place of ``path``; what was there comes back if that fails."""
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    was = fs.exists(hadoop.Path(path))
+    if was and not fs.rename(hadoop.Path(path), hadoop.Path(old)):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(hadoop.Path(staged), hadoop.Path(path)):
+        if was:
+            fs.rename(hadoop.Path(old), hadoop.Path(path))
+        raise OSError(f"can't rename {staged}")
+    if was:
+        fs.delete(hadoop.Path(old), True)
+
+
+def _published(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs
     fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        df.write.json(staged)
-        if validate:
-            validate(spark.read.schema(df.schema).json(staged))
-        fs.delete(hadoop.Path(path), True)
-        if not fs.rename(hadoop.Path(staged), hadoop.Path(path)):
-            raise OSError(f"can't rename {staged}")
+        write(staged)
+        _promote(fs, hadoop, staged, path)
     finally:
         fs.delete(hadoop.Path(staged), True)
 
 
+def publish_jsonl(df: DataFrame, path: str, validate: Callable[[DataFrame], None] | None = None) -> None:
+    """Write to a staging folder, validate what was written, then rename; if anything fails, what was at ``path`` is still there."""
+
+    def write(staged: str) -> None:
+        df.write.json(staged)
+        if validate:
+            validate(df.sparkSession.read.schema(df.schema).json(staged))
+
+    _published(df.sparkSession, path, write)
+
+
+def publish_json(spark: SparkSession, path: str, values: dict) -> None:
+    """One JSON value with sorted keys, put in place by a rename."""
+    _published(spark, path, lambda staged: spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.text(staged))
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """What publish_json() wrote."""
+    return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of a file, or of each file of a folder."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def manifest(spark: SparkSession, path: str, values: dict) -> None:
-    """One sorted JSON row."""
-    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+# Fixed values of the view: what products are made of, in full and in short, and for whom they are.
+_MATERIALS = ("Polyvinyl Chloride", "Ethylene Vinyl Acetate", "Canvas", "Denim & Mesh")
+_SHORT = ("pvc", "eva", "canvas", "denim")
+_DEPARTMENTS = ("Womens", "Men's", "Baby Girls (0-24M)", "garden", "Unisex Adults", "kids")
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +116,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     words = F.split("p_name", " ")
     zero = F.lit(0.0)
+    pick = lambda names: F.array(*map(F.lit, names))[(F.col("p_partkey") % len(names)).cast("int")]
+    made = F.concat(F.lit("made of "), F.when(F.col("p_partkey") % 3 == 0, pick(_SHORT)).otherwise(F.lower(pick(_MATERIALS))))
     return part.join(sold, F.col("p_partkey") == F.col("l_partkey"), "left").select(
         F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("parent_asin"), F.col("p_name").alias("title"),
         F.array(F.lit("Parts, Tools & Hardware"), F.col("p_type"), F.element_at(words, -1)).alias("categories"),
-        F.array(F.col("p_name"), F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("features"),
-        F.create_map(F.lit("Brand"), F.col("p_brand"), F.lit("Size"), F.col("p_size").cast("string"), F.lit("Color"), words[0]).alias("details"),
+        F.array(F.col("p_name"), F.concat(F.lit("size "), F.col("p_size").cast("string")), made).alias("features"),
+        F.create_map(
+            F.lit("Brand"), F.col("p_brand"), F.lit("Size"), F.col("p_size").cast("string"), F.lit("Color"), words[0],
+            F.lit("Material"), pick(_MATERIALS), F.lit("Department"), pick(_DEPARTMENTS),
+        ).alias("details"),
         F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat_ws(" ", "p_type", "p_name"))).alias("description"),
         F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice")).alias("price"),
         F.coalesce("rating_number", zero).alias("rating_number"), F.coalesce("average_rating", zero).alias("average_rating"),
@@ -122,7 +164,7 @@ def intent_cards(products: DataFrame, limit: int = 180) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     material, color = X.first_word_of(corpus, X.MATERIALS), X.first_word_of(corpus, X.COLORS)
     base = F.concat(F.when(material != "", F.array(material)).otherwise(none), _flat(F.coalesce("features", none)), F.coalesce(pairs, none))
-    tinted = F.when(color != "", F.concat(F.slice(base, 1, 1), F.array(F.concat(F.lit("color: "), color)), F.slice(base, 2, 1_000_000))).otherwise(base)
+    tinted = F.when(color != "", F.concat(F.slice(base, 1, 1), F.array(F.concat(F.lit("color: "), color)), F.slice(base, 2, F.greatest(F.size(base), F.lit(1))))).otherwise(base)
     priced = F.when(F.col("price").isNotNull(), F.concat(tinted, F.array(F.concat(F.lit("budget around $"), F.col("price").cast("string"))))).otherwise(tinted)
     title = X.clean_constraint(F.when(F.coalesce(F.col("title"), F.lit("")) == "", F.lit("product")).otherwise(F.col("title")), limit)
     cleaned = F.array_distinct(F.filter(F.transform(priced, lambda v: X.clean_constraint(v, limit)), lambda v: v != ""))
@@ -148,6 +190,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The frames of what customers say.
+
+
 def opening_message(scenario: Column, category: Column, hard: Column, soft: Column) -> Column:
     """What a customer says first."""
     start = F.concat(F.lit("I'm looking for "), category)
