@@ -1,14 +1,11 @@
 """Operators on hand-computed cases."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise import queries
 from turnwise.functions import text as X
-from turnwise.operators import asking, catalogs, retrieval, scoring, state
-from turnwise.plans import evaluate
+from turnwise.operators import asking, catalogs, retrieval, scoring, semantic, state
+from turnwise.plans import replay, variants
 from turnwise.sources import views as V
 
 
@@ -88,10 +85,79 @@ def test_ledger(spark):
     assert [r.token for r in state.projection(state.entries(again, words)).orderBy("place").collect()][:2] == ["belts", "closure"]
 
 
+def _colors(spark):
+    return spark.createDataFrame([("color", "black", 1), ("color", "red", 1), ("color", "blue", 1)], "slot string, term string, support long")
+
+
 def test_gains_and_changes(spark):
     said = _said(spark, (1, "red shoe"), (2, "red"), (3, "shoe"), (4, "blue"))
-    assert [(r.gained, r.stuck_for) for r in state.gains(said).orderBy("turn").collect()] == [(2, 0), (0, 1), (0, 2), (1, 0)]
-    assert [r.dead for r in state.changes(state.turn_terms(said)).orderBy("turn").collect()] == [False, True, True, False]
+    assert [(r.gained, r.stuck_for) for r in state.gains(said, _colors(spark)).orderBy("turn").collect()] == [(2, 0), (0, 1), (0, 2), (1, 0)]
+    terms = state.turn_terms(said, state.active_by_turn(said, _colors(spark)))
+    assert [r.dead for r in state.changes(terms).orderBy("turn").collect()] == [False, True, True, False]
+    ranked = spark.createDataFrame([("s", 2, 5), ("s", 3, None)], "sample_id string, turn int, rank int")
+    assert [r.dead for r in state.changes(terms, ranked).orderBy("turn").collect()] == [False, False, True, False]
+
+
+def test_overrides_drop_and_date_anew(spark):
+    said = _said(spark, (1, "closure black"), (2, "Actually, ignore my earlier preference. red"), (3, "closure"))
+    active = state.active_by_turn(said, _colors(spark))
+    terms = state.turn_terms(said, active)
+    lost = {r.turn: r.lost for r in state.changes(terms).collect()}
+    assert lost[1] == "" and set(lost[2].split(",")) == {"closure", "black"} and lost[3] == ""
+    assert {(r.arrived, r.last) for r in state.arrivals(active).collect() if r.token == "closure"} == {(1, 1), (3, 3)}
+    assert {r.turn: r.gained for r in state.gains(said, _colors(spark)).collect()}[3] == 1
+    assert {r.turn: r.required for r in terms.collect()} == {1: ["black"], 2: ["red"], 3: ["red"]}
+    diff = {(r.turn, r.term): r.change for r in state.slot_diff(active, said).collect()}
+    assert diff == {(1, "black"): "new", (2, "black"): "dropped", (2, "red"): "new", (3, "red"): "kept"}
+    assert {r.route for r in state.routes(said, _colors(spark)).collect()} == {"buying"}
+    reasons = {r.term: r.reason for r in state.dispositions(said, _colors(spark)).collect()}
+    assert reasons == {"black": "slot_replaced_by_message"}
+
+
+def test_slot_model(spark):
+    words = spark.createDataFrame([("category", "belt", 1), ("color", "black", 1), ("style", "casual", 1)], "slot string, term string, support long")
+    said = _said(spark, (1, "belts closure black"), (2, "casual"), (3, "Actually, ignore my earlier preference. wide"))
+    got = {r.turn: r.terms for r in state.slot_model(said, words).collect()}
+    assert got[1] == ["belts", "closure", "black"] and got[2] == [*got[1], "casual"]
+    assert set(got[3]) == {"belt", "casual", "actually", "ignore", "earlier", "preference", "wide"}
+
+
+def test_questions(spark):
+    turns = spark.createDataFrame([("s", t, "q", n) for t, n in ((1, 0), (2, 0), (3, 1), (4, 2), (5, 0))], "sample_id string, turn int, query string, stuck_for int")
+    orders = spark.createDataFrame([("q", ["color", "size", "brand"])], "pool string, attributes array<string>")
+    assert [r.ask for r in replay.questions(turns, orders).orderBy("turn").collect()] == ["color", "size", "other", "material", "brand"]
+    assert [r.ask for r in replay.questions(turns, orders, None).orderBy("turn").collect()] == ["color", "size", "brand", None, None]
+    other = spark.createDataFrame([("q", ["other"])], "pool string, attributes array<string>")
+    assert [r.ask for r in replay.questions(turns, other, None).orderBy("turn").collect()] == ["other"] * 5
+
+
+def test_latent_index(spark):
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["red cotton shirt", "blue cotton shirt", "steel hammer tool", "iron hammer tool", "", None])], "i long, text string")
+    model = semantic.fit(texts)
+    vectors = semantic.project(model, texts, "i")
+    assert sum(r.v is None for r in vectors.collect()) == 2
+    asked = spark.createDataFrame([("a", "cotton shirt"), ("b", "hammer"), ("c", "unknown")], "q string, text string")
+    got = semantic.search(model, asked, vectors, 2, "q").collect()
+    assert {r.query: None for r in got}.keys() == {"a", "b"}
+    assert {r.id for r in got if r.query == "a"} == {0, 1} and {r.id for r in got if r.query == "b"} == {2, 3}
+    assert semantic.project(semantic.fit(texts.limit(0)), texts, "i").where("v is not null").count() == 0
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
+    asked = rows.select(F.col("id").alias("query"), "v")
+    whole = {tuple(r) for r in retrieval.cosine_topk(asked, rows, 3).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_VECTORS", 7)
+    assert {tuple(r) for r in retrieval.cosine_topk(asked, rows, 3).collect()} == whole
+    first = retrieval.bm25(spark.createDataFrame([("q", "red"), ("q", "shirt")], "query string, term string"), V.field_texts(_plain_shop(spark)), 5).collect()
+    monkeypatch.setattr(retrieval, "ASKED_ROWS", 0)
+    again = retrieval.bm25(spark.createDataFrame([("q", "red"), ("q", "shirt")], "query string, term string"), V.field_texts(_plain_shop(spark)), 5).collect()
+    assert sorted(first) == sorted(again) and first
+
+
+def _plain_shop(spark):
+    rows = [(i, f"P{i}", t, ["root", "x", t], [t], {"Brand": "b"}, None, None, float(i), 1.0, "s") for i, t in enumerate(["red shirt", "blue shirt", "red hat", "bag"])]
+    return spark.createDataFrame(rows, "ord long, " + V.CATALOG_SCHEMA.replace("title string, features array<string>, description array<string>, price double, categories array<string>", "title string, categories array<string>, features array<string>").replace("details map<string,string>, ", "details map<string,string>, description array<string>, price double, "))
 
 
 def test_ledger_gains(spark):
@@ -142,83 +208,13 @@ def test_masks(spark, shop):
     masks = scoring.masked_ids(shop, only, ("price",), "fixed")
     out = scoring.apply_masks(shop, masks, ("price",))
     assert {r.parent_asin: r.price for r in out.collect()} == {"P0": None, "P1": None, "P2": None}
-    assert all(r.violations == 0 for r in scoring.mask_violations(shop, out, masks, ("price",)).collect())
+    assert all(r.violations == 0 for r in scoring.mask_violations(shop, out, masks, ("price",), only).collect())
 
 
 def test_latency_places(spark):
     df = spark.createDataFrame([("g", float(v)) for v in range(1, 101)], "g string, v double")
     r = scoring.latency(df, "g", "v").first()
-    assert (r.n, r.mean, r.p50, r.p95, r.p99, r.largest) == (100, 50.5, 51.0, 96.0, 100.0, 100.0)
-
-
-def test_replies(spark):
-    rows = spark.createDataFrame(
-        [("boundary", "size", False), ("buying", None, False), ("buying", "other", False), ("buying", "color", False)], "kind string, attribute string, used boolean"
-    )
-    every = F.array(F.lit("red shirt"), F.lit("cotton"), F.lit("wide"))
-    said, told, _ = evaluate.reply(F.col("kind"), F.col("attribute"), every, F.array(F.lit("red shirt")), F.col("used"))
-    got = [(r.m, r.t) for r in rows.select(said.alias("m"), told.alias("t")).collect()]
-    assert got[0] == ("I don't have a preference for size; please use your judgment.", [])
-    assert got[1][0].startswith("Those options") and got[2] == ("For that, what matters is: cotton; wide.", ["cotton", "wide"])
-    assert got[3] == ("I don't have an additional preference for color.", [])
-
-
-def _asks(r, turns):
-    """One session that never hits, step by step, without slots."""
-    constraints, kinds = r.constraints, dict(zip(r.constraints, r.kinds, strict=True))
-    told = set(r.hard_constraints[:1] if r.scenario_type == "buying" else [])
-    message, active, first, asked, no_gain, refused, out = r.message, set(), {}, [], 0, False, []
-    for turn in range(1, turns + 1):
-        low = message.lower()
-        if low.startswith("actually") and "ignore my earlier preference" in low:
-            active -= {t for t in active if first[t] <= 1}
-        tokens = [] if any(p in low for p in X.NO_PREFERENCE) else [t for t in re.findall("[a-z0-9]+", low) if len(t) > 1 and t not in X.STOPWORDS]
-        no_gain = 0 if set(tokens) - active else no_gain + 1
-        active |= set(tokens)
-        for t in tokens:
-            first.setdefault(t, turn)
-        if no_gain:
-            ask = "other" if no_gain == 1 else asking.DEFAULT_ORDER[(no_gain - 2) % 9]
-        else:
-            ask = next((x for x in asking.DEFAULT_ORDER if x not in asked), None)
-        asked.append(ask)
-        out.append(ask)
-        if r.override == turn + 1:
-            message = f"Actually, ignore my earlier preference. What I need is: {constraints[0]}."
-            told.add(constraints[0])
-        elif r.scenario_type == "boundary" and not refused and ask:
-            message, refused = f"I don't have a preference for {ask}; please use your judgment.", True
-        elif not ask:
-            message = "Those options are not quite right yet. Ask me about one specific attribute."
-        else:
-            fits = [c for c in constraints if c not in told and ask in ("other", kinds[c])][:2]
-            told |= set(fits)
-            message = f"For that, what matters is: {'; '.join(fits)}." if fits else f"I don't have an additional preference for {ask}."
-    return out
-
-
-def test_simulation_asks_as_step_by_step(spark, sf_dir, monkeypatch):
-    opened = V.openings(spark, sf_dir).where("sample_id < 160").cache()
-    none = spark.createDataFrame([], "slot string, term string, support long")
-    monkeypatch.setattr(V, "openings", lambda *_: opened)
-    monkeypatch.setattr(catalogs, "gazetteer", lambda *_: none)
-    got = {}
-    for r in evaluate.evaluate(spark, sf_dir, turns=6, policy="fixed", k=0).collect():
-        got.setdefault(r.sample_id, {})[r.turn] = r.ask
-    every = F.array_distinct(F.concat("hard_constraints", "soft_preferences"))
-    rows = opened.withColumn("constraints", every).withColumn("kinds", F.transform("constraints", X.classify_constraint))
-    rows = rows.withColumn("override", F.when(F.col("scenario_type") == "intent_override", evaluate.override_turn(F.col("sample_id")))).collect()
-    want = {r.sample_id: dict(enumerate(_asks(r, 6), 1)) for r in rows}
-    assert got == want and len({r.scenario_type for r in rows}) == 4
-    assert any("other" in w.values() for w in want.values())
-
-
-def test_simulation_takes_ten_turns(spark, sf_dir, monkeypatch):
-    seen = []
-    monkeypatch.setattr(evaluate, "evaluate", lambda *a, turns=10, **k: seen.append(turns))
-    monkeypatch.setattr(evaluate, "report", lambda turns: turns)
-    queries.QUERIES["simulated_evaluation"](spark, sf_dir)
-    assert seen == [10]
+    assert (r.n, r.mean, r.median, r.p95, r.p99, r.largest) == (100, 50.5, 50.5, 96.0, 100.0, 100.0)
 
 
 def test_publishing_is_all_or_nothing(spark, tmp_path):
@@ -235,5 +231,32 @@ def test_publishing_is_all_or_nothing(spark, tmp_path):
 
 def test_missing_vocabulary_is_empty(spark, tmp_path):
     assert V.read_gazetteer(spark, str(tmp_path / "none.json")).count() == 0
-    (tmp_path / "g.json").write_text('{"color": {"red": 2}}')
+    (tmp_path / "g.json").write_text('{"color": {"red": 2}, "x": 5}')
     assert [tuple(r) for r in V.read_gazetteer(spark, str(tmp_path / "g.json")).collect()] == [("color", "red", 2)]
+
+
+def test_variants_are_built_once_and_checked(spark, tmp_path):
+    source, dataset, stress, manifest = (str(tmp_path / x) for x in ("official", "sessions", "stress", "manifest"))
+    rows = [(f"P{i}", f"title {i}", [f"f{i}"] if i % 2 else [], 5.0 if i < 3 else None) for i in range(10)]
+    spark.createDataFrame(rows, "parent_asin string, title string, features array<string>, price double").write.json(source)
+    spark.createDataFrame([(f"s{i}", (f"P{i}",)) for i in range(4)], "sample_id string, ground_truth struct<parent_asin:string>").write.json(dataset)
+    both = variants.resolve(spark, source, dataset, stress, manifest)
+    assert set(both) == {"official", "coverage_stress"} and variants.is_current(spark, source, dataset, stress, manifest)
+    told = V.read_json(spark, manifest)["fields"]["price"]
+    assert (told["desired_target_present"], told["original_target_present"], told["masked_count"]) == (1, 3, 2)
+    assert both["coverage_stress"].where("price is not null").count() == 1 and both["coverage_stress"].count() == 10
+    assert not variants.is_current(spark, source, dataset, stress, manifest, seed="another")
+    assert list(variants.resolve(spark, source, dataset, stress, manifest, "official")) == ["official"]
+    with pytest.raises(ValueError):
+        variants.build(spark, source, dataset, source, manifest)
+    with pytest.raises(ValueError):
+        variants.resolve(spark, source, dataset, stress, manifest, "none")
+    spark.createDataFrame([("s9", ("P99",))], "sample_id string, ground_truth struct<parent_asin:string>").write.mode("append").json(dataset)
+    assert not variants.is_current(spark, source, dataset, stress, manifest)
+    with pytest.raises(ValueError, match="missing target P99"):
+        variants.build(spark, source, dataset, stress, manifest)
+
+
+def test_folding(spark):
+    df = spark.createDataFrame([("Café über Naïve e\u0301tude Ærø 12",)], "t string")
+    assert df.select(X.index_tokens(F.col("t")).alias("x")).first().x == ["cafe", "uber", "naive", "etude", "ærø".replace("ø", "ø"), "12"]

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from turnwise import queries as own
+from turnwise.sql import REPLAYED
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +24,10 @@ def _rows(df):
     return sorted(tuple(map(as_text, r)) for r in df.where(df.notna(), None).values.tolist())
 
 
-@pytest.mark.parametrize("name", sorted(own.ORACLES))
+@pytest.mark.parametrize("name", sorted(own.ORACLES | REPLAYED))
 def test_agrees(spark, sf_dir, db, name):
     got = own.QUERIES[name](spark, sf_dir).toPandas()
-    want = db.sql(own.ORACLES[name]).df()
+    want = db.sql((own.ORACLES | REPLAYED)[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
 
