@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_fingerprint, chunked_bpe, hilbert_shards, line_dedup, mixture_packing, multi_index_hashing, ngram_join, pii_bootstrap, quality_gam, suffix_dedup
+from . import (
+    bloom_fingerprint,
+    chunked_bpe,
+    decontamination,
+    filter_audit,
+    hilbert_shards,
+    line_dedup,
+    mixture_packing,
+    multi_index_hashing,
+    ngram_join,
+    pii_bootstrap,
+    quality_gam,
+    ranked_search,
+    suffix_dedup,
+)
 from .common import table
 
 
@@ -63,8 +77,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "set_id", "class_id", "n_links")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_hilbert_shards, op2_quality_gam, op3_suffix_dedup, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op8_multi_index_hashing, op9_chunked_bpe, op10_ngram_join)
+    for f in (op1_hilbert_shards, op2_quality_gam, op3_suffix_dedup, op4_line_dedup, op5_bloom_fingerprint, op6_pii_bootstrap, op7_mixture_packing, op8_multi_index_hashing, op9_chunked_bpe, op10_ngram_join, op11_ranked_search, op12_filter_audit, op13_decontamination)
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL_REPORT}
+ORACLES: dict[str, str] = {"op4_line_dedup": line_dedup.SQL_REPORT, "op11_ranked_search": ranked_search.SQL, "op12_filter_audit": filter_audit.SQL, "op13_decontamination": decontamination.SQL}
