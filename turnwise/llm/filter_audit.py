@@ -59,6 +59,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = judged.select("doc_id", "part", "digest", (F.col("said.n") < LEAST_WORDS).alias("short"), (100 * F.col("said.k") < LEAST_DISTINCT * F.col("said.n")).alias("repeating"), "upper", "signs")
     judged = materialise(judged, "judged")
     copied = judged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copied = materialise(copied, "copied")  # a join of two plain shuffles, of which Spark can split a hot text
     told = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     rows = judged.join(copied, "digest", "left").join(told, "doc_id", "left")
     bits = _bits({"A": F.col("short"), "B": F.col("repeating"), "C": F.col("upper"), "D": F.col("signs"), "E": F.col("doc_id") > F.col("first")})
