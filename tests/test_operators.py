@@ -77,12 +77,12 @@ def _said(spark, *turns):
 def test_ledger(spark):
     words = spark.createDataFrame([("category", "belt", 1), ("color", "black", 1), ("color", "red", 1), ("style", "casual", 1)], "slot string, term string, support long")
     said = _said(spark, (1, "belts closure black"), (3, "casual"), (4, "Actually, ignore my earlier preference. red"))
-    got = {r.token: r.status for r in state.entries(said, words).collect()}
+    got = {r.token: r.status for r in state.entries(state.hear(said, words)).collect()}
     want = {"belts": "active", "closure": "revoked", "black": "superseded", "casual": "active", "red": "active"}
     assert {k: got[k] for k in want} == want
     again = _said(spark, (1, "belts closure"), (2, "Actually, ignore my earlier preference. red"), (3, "closure"))
-    assert {r.token: r.status for r in state.entries(again, words).collect()}["closure"] == "active"
-    assert [r.token for r in state.projection(state.entries(again, words)).orderBy("place").collect()][:2] == ["belts", "closure"]
+    assert {r.token: r.status for r in state.entries(state.hear(again, words)).collect()}["closure"] == "active"
+    assert [r.token for r in state.projection(state.entries(state.hear(again, words))).orderBy("place").collect()][:2] == ["belts", "closure"]
 
 
 def _colors(spark):
@@ -91,8 +91,8 @@ def _colors(spark):
 
 def test_gains_and_changes(spark):
     said = _said(spark, (1, "red shoe"), (2, "red"), (3, "shoe"), (4, "blue"))
-    assert [(r.gained, r.stuck_for) for r in state.gains(said, _colors(spark)).orderBy("turn").collect()] == [(2, 0), (0, 1), (0, 2), (1, 0)]
-    terms = state.turn_terms(said, state.active_by_turn(said, _colors(spark)))
+    assert [(r.gained, r.stuck_for) for r in state.gains(state.hear(said, _colors(spark))).orderBy("turn").collect()] == [(2, 0), (0, 1), (0, 2), (1, 0)]
+    terms = state.turn_terms(said, state.active_by_turn(state.hear(said, _colors(spark))))
     assert [r.dead for r in state.changes(terms).orderBy("turn").collect()] == [False, True, True, False]
     ranked = spark.createDataFrame([("s", 2, 5), ("s", 3, None)], "sample_id string, turn int, rank int")
     assert [r.dead for r in state.changes(terms, ranked).orderBy("turn").collect()] == [False, False, True, False]
@@ -100,24 +100,24 @@ def test_gains_and_changes(spark):
 
 def test_overrides_drop_and_date_anew(spark):
     said = _said(spark, (1, "closure black"), (2, "Actually, ignore my earlier preference. red"), (3, "closure"))
-    active = state.active_by_turn(said, _colors(spark))
+    active = state.active_by_turn(state.hear(said, _colors(spark)))
     terms = state.turn_terms(said, active)
     lost = {r.turn: r.lost for r in state.changes(terms).collect()}
     assert lost[1] == "" and set(lost[2].split(",")) == {"closure", "black"} and lost[3] == ""
     assert {(r.arrived, r.last) for r in state.arrivals(active).collect() if r.token == "closure"} == {(1, 1), (3, 3)}
-    assert {r.turn: r.gained for r in state.gains(said, _colors(spark)).collect()}[3] == 1
+    assert {r.turn: r.gained for r in state.gains(state.hear(said, _colors(spark))).collect()}[3] == 1
     assert {r.turn: r.required for r in terms.collect()} == {1: ["black"], 2: ["red"], 3: ["red"]}
     diff = {(r.turn, r.term): r.change for r in state.slot_diff(active, said).collect()}
     assert diff == {(1, "black"): "new", (2, "black"): "dropped", (2, "red"): "new", (3, "red"): "kept"}
-    assert {r.route for r in state.routes(said, _colors(spark)).collect()} == {"buying"}
-    reasons = {r.term: r.reason for r in state.dispositions(said, _colors(spark)).collect()}
+    assert {r.route for r in state.routes(state.hear(said, _colors(spark))).collect()} == {"buying"}
+    reasons = {r.term: r.reason for r in state.dispositions(state.hear(said, _colors(spark))).collect()}
     assert reasons == {"black": "slot_replaced_by_message"}
 
 
 def test_slot_model(spark):
     words = spark.createDataFrame([("category", "belt", 1), ("color", "black", 1), ("style", "casual", 1)], "slot string, term string, support long")
     said = _said(spark, (1, "belts closure black"), (2, "casual"), (3, "Actually, ignore my earlier preference. wide"))
-    got = {r.turn: r.terms for r in state.slot_model(said, words).collect()}
+    got = {r.turn: r.terms for r in state.slot_model(state.hear(said, words)).collect()}
     assert got[1] == ["belts", "closure", "black"] and got[2] == [*got[1], "casual"]
     assert set(got[3]) == {"belt", "casual", "actually", "ignore", "earlier", "preference", "wide"}
 
@@ -163,7 +163,7 @@ def _plain_shop(spark):
 def test_ledger_gains(spark):
     words = spark.createDataFrame([("color", "black", 1), ("color", "red", 1)], "slot string, term string, support long")
     said = _said(spark, (1, "belts closure black"), (2, "belts"), (3, "Actually, ignore my earlier preference. red"), (4, "closure red"), (5, "closure"))
-    got = {r.turn: r.gained for r in state.ledger_gains(said, words).collect()}
+    got = {r.turn: r.gained for r in state.ledger_gains(state.hear(said, words)).collect()}
     fresh = len({"actually", "ignore", "my", "earlier", "preference", "red"} - set(X.STOPWORDS))
     assert got == {1: 3, 3: fresh, 4: 1}
 

@@ -89,7 +89,8 @@ def _accents() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents; combining marks go."""
     accented, plain = _accents()
-    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{Mn}+", "")
+    low = F.lower(text)
+    return F.when(F.octet_length(text) == F.char_length(text), low).otherwise(F.regexp_replace(F.translate(low, accented, plain), r"\p{Mn}+", ""))  # ASCII has none
 
 
 def index_tokens(text: Column) -> Column:

@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.shared import step
-from ..sources.views import FIELDS, rank_within, union_all
+from ..sources.steps import step
+from ..sources.views import FIELDS, placed, rank_within, union_all
 
 # Column weights of the lexical score and field weights of the reranker.
 BM25_WEIGHTS = {"title": 6.0, "categories": 4.0, "features": 2.5, "details": 2.5, "store": 1.5, "description": 1.0}
 FIELD_WEIGHTS = {"title": 4.0, "categories": 6.0, "features": 2.0, "details": 2.0, "store": 1.5, "description": 1.0}
 K1, B = 1.2, 0.75
 PLACES = 9  # scores are rounded before they are ranked, so that equal ones tie
-#: Rows of (query, term) that are sent to every block of products, query-product pairs of a block, and most blocks.
-ASKED_ROWS, BLOCK_PAIRS, MOST_BLOCKS = 2_000_000, 2_000_000, 100_000
+#: Rows of (query, term) that are sent to every task at most.
+ASKED_ROWS = 2_000_000
+#: Products of a block of the index, the fields in whose order they are dealt to blocks, and what bounds may lose by rounding.
+BLOCK, BLOCK_ORDER, SLACK = 128, ("title", "categories", "store"), 1e-6
 #: Query vectors that are sent to every task at once.
 QUERY_VECTORS = 4096
 
 
+class Index(NamedTuple):
+    """A pruned index: each term's parts of the score by block of products, and what a block's largest part is."""
+
+    parts: DataFrame  # term, block, ord, part
+    tops: DataFrame  # term, block, n, top
+    blocks: int
+
+
+def _cells(texts: DataFrame) -> DataFrame:
+    """(ord, doc_len, cells): the tokens of each field with its weight, made once."""
+    cells = F.array(*(F.struct(F.lit(BM25_WEIGHTS[f]).alias("w"), X.index_tokens(F.col(f)).alias("tokens")) for f in FIELDS))
+    length = F.aggregate("cells", F.lit(0), lambda n, c: n + F.size(c["tokens"])).cast("long")
+    return texts.select("ord", cells.alias("cells")).select("ord", length.alias("doc_len"), "cells")
+
+
 def postings(texts: DataFrame) -> DataFrame:
     """(term, ord, weight, doc_len): each term's weighted frequency in each product."""
-    cells = F.explode(F.array(*(F.struct(F.lit(BM25_WEIGHTS[f]).alias("w"), X.index_tokens(F.col(f)).alias("tokens")) for f in FIELDS)))
-    lengths = sum((F.size(X.index_tokens(F.col(f))) for f in FIELDS), F.lit(0)).cast("long")
-    tokens = texts.select("ord", lengths.alias("doc_len"), cells.alias("c")).select("ord", "doc_len", "c.w", F.explode("c.tokens").alias("term"))
+    cells = _cells(texts).select("ord", "doc_len", F.explode("cells").alias("c"))
+    tokens = cells.select("ord", "doc_len", "c.w", F.explode("c.tokens").alias("term"))
     return tokens.groupBy("ord", "term").agg(F.sum("w").alias("weight"), F.max("doc_len").alias("doc_len")).select("term", "ord", "weight", "doc_len")
 
 
@@ -32,43 +50,86 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(texts: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_len."""
-    lengths = sum((F.size(X.index_tokens(F.col(f))) for f in FIELDS), F.lit(0))
-    return texts.agg(F.count("*").alias("n_docs"), F.avg(lengths).alias("avg_len"))
-
+def build_index(texts: DataFrame, block: int = BLOCK) -> Index:
+    """The pruned index of (ord, field texts).
 
-def bm25(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(query, ord, score, rank): the best k products of each of (query, term), terms distinct.
-
-    Products are dealt to blocks and every query meets each block: scores are
-    summed inside a block, which keeps the queries' best k, so that only k rows a
-    query and block are shuffled, however common a term is. The queries' terms go
-    to every block while they are few (their number is counted); beyond that they
-    meet the index in a shuffled join.
+    Products are put in the order of their texts and cut into blocks of ``block``,
+    so that a block holds like products and its largest parts tell what they can
+    reach. A product without a token belongs to a block but has no parts.
     """
     index = step(postings(texts), "postings")
-    asked = step(queries.select("query", "term").distinct(), "asked")
-    names = step(asked.select("query").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
-    asked = asked.join(names, "query").select("q", "term")
-    n_asked, n_queries = asked.count(), names.count()
     corpus = index.groupBy("ord").agg(F.max("doc_len").alias("doc_len")).agg(F.sum("doc_len").alias("tokens"))
     corpus = corpus.join(texts.agg(F.count("*").alias("n_docs"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_len"))  # one row each
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    stats = term_stats(index.join(asked.select("term").distinct(), "term", "left_semi"))
-    weighted = stats.join(F.broadcast(corpus)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    weighted = term_stats(index).join(F.broadcast(corpus)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
     part = F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    parts = step(index.join(weighted, "term").select("term", "ord", part.alias("part")), "parts")
-    if n_asked <= ASKED_ROWS:
-        blocks = min(MOST_BLOCKS, max(1, -(-n_queries * texts.count() // BLOCK_PAIRS)))
-        met = parts.repartition(blocks, "ord").join(F.broadcast(asked), "term")  # at most ASKED_ROWS rows
-    else:
-        met = asked.join(parts, "term")
-    scored = met.groupBy("q", "ord").agg(F.round(F.sum("part"), PLACES).alias("score"))
-    best = scored.withColumn("rank", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("rank") <= k)
+    dealt = placed(texts.select("ord", *BLOCK_ORDER).withColumn("_all", F.lit(0)), "_all", *BLOCK_ORDER, "ord")
+    dealt = dealt.select("ord", F.floor((F.col("place") - 1) / block).cast("int").alias("block"))
+    parts = index.join(dealt, "ord").join(weighted, "term").select("term", "block", "ord", part.alias("part"))
+    parts = step(parts.repartition("block").sortWithinPartitions("block", "term"), "parts")
+    tops = step(parts.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("part").alias("top")).select("term", "block", "n", "top"), "tops")
+    return Index(parts, tops, max(1, -(-texts.count() // block)))
+
+
+def _met(asked: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
+    """(q, term) with the ``rows`` (term, block, ...) of its terms: sent to every task while they are few, else in a shuffled join."""
+    return rows.join(F.broadcast(asked), "term") if few else asked.join(rows, "term")
+
+
+def bounds(index: Index, asked: DataFrame, few: bool) -> DataFrame:
+    """(block, q, bound): what no product of a block can exceed, for each query that shares a term with it."""
+    return _met(asked, index.tops, few).groupBy("block", "q").agg(F.sum("top").alias("bound"))
+
+
+def _scores(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, ord, score) of the products of (q, block) pairs: the term and block are the key, so a common term makes no hot one."""
+    wanted = pairs.select("q", "block").join(asked, "q")
+    return wanted.join(index.parts, ["term", "block"]).groupBy("q", "ord").agg(F.round(F.sum("part"), PLACES).alias("score"))
+
+
+def _leading(index: Index, asked: DataFrame, few: bool, k: int, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every bound with whether it leads, the leading blocks' scores, and the pairs beside them that can still reach a query's k-th score)."""
+    place = rank_within(["q"], F.desc("bound"), F.col("block"))
+    every = step(bounds(index, asked, few).withColumn("lead", place <= first), "bounds")
+    scored = step(_scores(index, every.where("lead"), asked), "leading-scores")
+    kth = scored.withColumn("at", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("at") == k).select("q", F.col("score").alias("floor"))
+    rest = every.where("not lead").join(kth, "q", "left").where(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
+    return every, scored, step(rest.select("q", "block"), "open-blocks")
+
+
+def _named(queries: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The terms of numbered queries, the numbers' queries, and whether the terms are few enough to be sent to every task."""
+    asked = step(queries.select("query", "term").distinct(), "asked")
+    names = step(asked.select("query").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    return step(asked.join(names, "query").select("q", "term"), "asked-terms"), names, asked.count() <= ASKED_ROWS
+
+
+def search_index(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query, ord, score, rank): the best k products of each of (query, term), terms distinct.
+
+    The blocks with a query's largest bounds are scored first; their k-th score is
+    one that the result reaches, and blocks whose bound stays below it are never
+    opened. Equal scores go by ``ord``, so blocks that reach it just are opened.
+    """
+    asked, names, few = _named(queries)
+    _, scored, rest = _leading(index, asked, few, k, 1 + -(-2 * k // BLOCK))
+    every = scored.unionByName(_scores(index, rest, asked))
+    best = every.withColumn("rank", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("rank") <= k)
     return best.join(names, "q").select("query", "ord", "score", "rank")
 
 
+def opened(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """One row: ``pairs`` of a query and a block that share a term, and how many of them search_index() opens."""
+    asked, _, few = _named(queries)
+    every, _, rest = _leading(index, asked, few, k, 1 + -(-2 * k // BLOCK))
+    return every.agg(F.count("*").alias("pairs"), F.count_if("lead").alias("led")).join(rest.agg(F.count("*").alias("more"))).select("pairs", (F.col("led") + F.col("more")).alias("opened"))  # one row each
+
+
+def bm25(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query, ord, score, rank): the best k products of each of (query, term), terms distinct, by a pruned index of ``texts``."""
+    return search_index(build_index(texts), queries, k)
+
+
 def catalog_idf(texts: DataFrame) -> DataFrame:
     stats = term_stats(postings(texts))
     return stats.join(F.broadcast(texts.agg(F.count("*").alias("n_docs")))).select("term", F.log1p(F.col("n_docs") / (1 + F.col("df"))).alias("idf"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as X
-from ..plans.shared import step
-from ..sources.views import rank_within
+from ..sources.steps import step
+from ..sources.views import placed, rank_within
 
 MAX_TURNS = 10
 #: Fixed value: part of the hashed order in which values are masked.
@@ -69,19 +69,6 @@ def recall(ranks: DataFrame, cutoffs: tuple[int, ...], by: str) -> DataFrame:
     return grouped.select(F.coalesce(by, F.lit("all")).alias(by), "sample_count", rows.alias("r")).select(by, "sample_count", "r.cutoff", "r.recall")
 
 
-def placed(rows: DataFrame, group: str, *by: str) -> DataFrame:
-    """``rows`` with ``place``, the 1-based place in their group by ``by``: dealt by range, counted inside tasks, raised by what earlier tasks hold of the group."""
-    order = (group, *by)
-    dealt = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    dealt = step(dealt.withColumn("_at", F.monotonically_increasing_id()), "in-order")
-    dealt = dealt.withColumn("_task", F.shiftright("_at", 33))
-    held = dealt.groupBy(group, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    earlier = F.sum("_n").over(W.Window.partitionBy(group).orderBy("_task").rowsBetween(W.Window.unboundedPreceding, -1))
-    base = held.select(group, "_task", "_first", F.coalesce(earlier, F.lit(0)).alias("_base"))
-    joined = dealt.join(F.broadcast(base), [group, "_task"])  # at most tasks + groups rows
-    return joined.withColumn("place", F.col("_base") + F.col("_at") - F.col("_first") + 1).drop("_at", "_task", "_first", "_base")
-
-
 def latency(times: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, mean, median, p95, p99, largest): p95 and p99 are values that occurred, at place int(n f) from 0; the median is the mean of the middle two.
 

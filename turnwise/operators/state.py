@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import text as X
+from ..sources.steps import step as written
 from ..sources.views import rank_within
 from .catalogs import extract_slots
 
@@ -17,6 +20,13 @@ REASONS = ("slot_replaced_by_message", "durable_slot", "learned_after_opening_tu
 _STRINGS, _INTS = "cast(array() as array<string>)", "cast(array() as array<int>)"
 
 
+class Heard(NamedTuple):
+    """Messages and what they state, worked out once for all that is derived from it."""
+
+    messages: DataFrame  # sample_id, turn, message
+    slots: DataFrame  # message, slot, term
+    mentions: DataFrame  # sample_id, turn, pos, token, slot
+
 
 def message_slots(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(message, slot, term) for each different message that states a preference."""
@@ -24,43 +34,50 @@ def message_slots(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return extract_slots(said, vocabulary, "message", "message")
 
 
-def mentions(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(sample_id, turn, pos, token, slot): every token stated, with the first slot that claims it.
+def hear(messages: DataFrame, vocabulary: DataFrame) -> Heard:
+    """Every token stated, with the first slot that claims it.
 
     Tokens and slots depend on the message's text alone, so each different
     message is worked out once and joined back.
     """
+    slots = written(message_slots(messages, vocabulary), "message-slots")
     said = messages.select("message").distinct()
     tokens = said.select("message", F.posexplode(X.constraint_tokens(F.col("message"))).alias("pos", "token")).withColumn("piece", X.normalize_term(F.col("token")))
-    pieces = message_slots(messages, vocabulary).select("message", "slot", F.explode(F.split("term", " ")).alias("piece"))
+    pieces = slots.select("message", "slot", F.explode(F.split("term", " ")).alias("piece"))
     claimed = tokens.join(pieces, ["message", "piece"], "left").groupBy("message", "pos", "token").agg(F.min("slot").alias("slot"))
-    return messages.select("sample_id", "turn", "message").join(claimed, "message").select("sample_id", "turn", "pos", "token", "slot")
+    mentions = messages.select("sample_id", "turn", "message").join(claimed, "message").select("sample_id", "turn", "pos", "token", "slot")
+    return Heard(messages, slots, written(mentions, "mentions"))
+
+
+def _openings(messages: DataFrame) -> DataFrame:
+    """(sample_id, opening): the turn at which each session begins."""
+    return messages.groupBy("sample_id").agg(F.min("turn").alias("opening"))
 
 
-def _kills(messages: DataFrame, vocabulary: DataFrame, said: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _kills(heard: Heard) -> tuple[DataFrame, DataFrame]:
     """Each token's first and last mention and first slot; and (sample_id, token, o, last_turn, how), each override that kills it."""
-    per = said.groupBy("sample_id", "token").agg(
+    per = heard.mentions.groupBy("sample_id", "token").agg(
         F.min(F.struct("turn", "pos")).alias("first"), F.max("turn").alias("last_turn"),
         F.min(F.when(F.col("slot").isNotNull(), F.struct("turn", "pos", "slot"))).alias("slotted"),
     )
-    overrides = messages.where(X.is_override(F.col("message"))).select("sample_id", F.col("turn").alias("o"), "message")
-    named = message_slots(messages, vocabulary).groupBy("message").agg(F.collect_set("slot").alias("named"))
-    overrides = overrides.join(named, "message", "left").select("sample_id", "o", F.coalesce("named", F.expr("cast(array() as array<string>)")).alias("named"))
+    overrides = heard.messages.where(X.is_override(F.col("message"))).select("sample_id", F.col("turn").alias("o"), "message").join(_openings(heard.messages), "sample_id")
+    named = heard.slots.groupBy("message").agg(F.collect_set("slot").alias("named"))
+    overrides = overrides.join(named, "message", "left").select("sample_id", "o", "opening", F.coalesce("named", F.expr("cast(array() as array<string>)")).alias("named"))
     slot_then = F.when(F.col("slotted.turn") < F.col("o"), F.col("slotted.slot"))
     superseded = F.coalesce(F.array_contains("named", slot_then), F.lit(False))
-    revoked = ~F.coalesce(slot_then.isin(*DURABLE), F.lit(False)) & (F.col("first.turn") <= OPENING)
+    revoked = ~F.coalesce(slot_then.isin(*DURABLE), F.lit(False)) & (F.col("first.turn") <= F.col("opening"))
     kills = per.join(overrides, "sample_id").where((F.col("o") > F.col("first.turn")) & (superseded | revoked))
     return per, kills.select("sample_id", "token", "o", "last_turn", F.when(superseded, "superseded").otherwise("revoked").alias("how"))
 
 
-def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def entries(heard: Heard) -> DataFrame:
     """(sample_id, token, slot, status, first_turn, first_pos, last_turn): the ledger after the last turn.
 
     An override kills a token first stated before it if the override names the
     token's slot (superseded), or if the slot isn't durable and the token came on
     the opening turn (revoked). A token stated at or after its last kill is active.
     """
-    per, kills = _kills(messages, vocabulary, mentions(messages, vocabulary))
+    per, kills = _kills(heard)
     after = kills.groupBy("sample_id", "token").agg(
         F.max("o").alias("last_kill"), F.min(F.when(F.col("o") > F.col("last_turn"), F.struct("o", "how"))).alias("fatal")
     )
@@ -71,11 +88,10 @@ def entries(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def ledger_gains(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def ledger_gains(heard: Heard) -> DataFrame:
     """(sample_id, turn, gained): the tokens each turn made active, new ones and ones that an override had killed; turns without any have no row."""
-    said = mentions(messages, vocabulary)
-    _, kills = _kills(messages, vocabulary, said)
-    stated = said.select("sample_id", "token", "turn").distinct().withColumn("before", F.lag("turn").over(W.Window.partitionBy("sample_id", "token").orderBy("turn")))
+    _, kills = _kills(heard)
+    stated = heard.mentions.select("sample_id", "token", "turn").distinct().withColumn("before", F.lag("turn").over(W.Window.partitionBy("sample_id", "token").orderBy("turn")))
     killed = kills.groupBy("sample_id", "token").agg(F.collect_set("o").alias("os"))
     dead = F.exists(F.coalesce("os", F.expr("cast(array() as array<int>)")), lambda o: (o > F.col("before")) & (o <= F.col("turn")))
     gained = stated.join(killed, ["sample_id", "token"], "left").where(F.col("before").isNull() | dead)
@@ -101,18 +117,17 @@ def source_tags(ledger: DataFrame) -> DataFrame:
     return ledger.select("sample_id", "token", F.when(F.col("first_turn") > OPENING, "answered").otherwise("volunteered").alias("source"))
 
 
-def active_by_turn(messages: DataFrame, vocabulary: DataFrame, limit: int | None = TERM_LIMIT) -> DataFrame:
+def active_by_turn(heard: Heard, limit: int | None = TERM_LIMIT) -> DataFrame:
     """(sample_id, turn, token, slot, first_turn, place): the tokens active after each turn, in the order first stated.
 
     A token is active after a turn if it was last stated at or after the last
     override that killed it, of those up to the turn. One row a token holds the
     turns at which it was stated and killed, so no turn waits for another.
     """
-    said = mentions(messages, vocabulary)
-    per, kills = _kills(messages, vocabulary, said)
-    stated = said.groupBy("sample_id", "token").agg(F.collect_set("turn").alias("stated"))
+    per, kills = _kills(heard)
+    stated = heard.mentions.groupBy("sample_id", "token").agg(F.collect_set("turn").alias("stated"))
     killed = kills.groupBy("sample_id", "token").agg(F.collect_set("o").alias("killed"))
-    turns = messages.groupBy("sample_id").agg(F.collect_set("turn").alias("turns"))
+    turns = heard.messages.groupBy("sample_id").agg(F.collect_set("turn").alias("turns"))
     flat = per.select("sample_id", "token", F.col("first.turn").alias("first_turn"), F.col("first.pos").alias("first_pos"), F.col("slotted.turn").alias("slot_turn"), F.col("slotted.slot").alias("slot"))
     rows = flat.join(stated, ["sample_id", "token"]).join(killed, ["sample_id", "token"], "left").join(turns, "sample_id")
     upto = lambda a, t: F.coalesce(F.array_max(F.filter(F.coalesce(a, F.expr(_INTS)), lambda x: x <= t)), F.lit(0))
@@ -130,9 +145,9 @@ def arrivals(active: DataFrame) -> DataFrame:
     return active.withColumn("_run", island).groupBy("sample_id", "token", "_run").agg(F.min("turn").alias("arrived"), F.max("turn").alias("last")).drop("_run")
 
 
-def gains(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def gains(heard: Heard) -> DataFrame:
     """(sample_id, turn, gained, stuck_for): tokens that each turn made active, and for how many turns in a row there were none."""
-    rows = messages.select("sample_id", "turn").join(ledger_gains(messages, vocabulary), ["sample_id", "turn"], "left").fillna(0, ["gained"])
+    rows = heard.messages.select("sample_id", "turn").join(ledger_gains(heard), ["sample_id", "turn"], "left").fillna(0, ["gained"])
     island = F.sum((F.col("gained") > 0).cast("int")).over(W.Window.partitionBy("sample_id").orderBy("turn"))
     rows = rows.withColumn("_island", island)
     inside = W.Window.partitionBy("sample_id", "_island").orderBy("turn")
@@ -173,24 +188,25 @@ def changes(terms: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     )
 
 
-def routes(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def routes(heard: Heard) -> DataFrame:
     """(sample_id, route): buying if the first message names a slot other than the durable ones, browsing otherwise."""
-    opening = messages.groupBy("sample_id").agg(F.min_by("message", "turn").alias("message"))
-    named = message_slots(opening, vocabulary).where(~F.col("slot").isin(*DURABLE)).select("message").distinct().withColumn("_named", F.lit(True))
+    opening = heard.messages.groupBy("sample_id").agg(F.min_by("message", "turn").alias("message"))
+    named = heard.slots.where(~F.col("slot").isin(*DURABLE)).select("message").distinct().withColumn("_named", F.lit(True))
     return opening.join(named, "message", "left").select("sample_id", F.when(F.col("_named"), "buying").otherwise("browsing").alias("route"))
 
 
-def dispositions(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def dispositions(heard: Heard) -> DataFrame:
     """(sample_id, turn, slot, term, arrived, kept, reason): what each override does to every slotted token that is active before it."""
-    named = message_slots(messages, vocabulary).groupBy("message").agg(F.collect_set("slot").alias("named"))
-    overrides = messages.where(X.is_override(F.col("message"))).join(named, "message", "left").select("sample_id", F.col("turn").alias("o"), F.coalesce("named", F.expr(_STRINGS)).alias("named"))
-    active = active_by_turn(messages, vocabulary, None).where("slot IS NOT NULL")
+    messages = heard.messages
+    named = heard.slots.groupBy("message").agg(F.collect_set("slot").alias("named"))
+    overrides = messages.where(X.is_override(F.col("message"))).join(named, "message", "left").join(_openings(messages), "sample_id").select("sample_id", F.col("turn").alias("o"), "opening", F.coalesce("named", F.expr(_STRINGS)).alias("named"))
+    active = active_by_turn(heard, None).where("slot IS NOT NULL")
     earlier = messages.select("sample_id", F.col("turn").alias("before"))
-    last = overrides.join(earlier, "sample_id").where("before < o").groupBy("sample_id", "o", "named").agg(F.max("before").alias("turn"))
+    last = overrides.join(earlier, "sample_id").where("before < o").groupBy("sample_id", "o", "opening", "named").agg(F.max("before").alias("turn"))
     held = last.join(active, ["sample_id", "turn"])
     reason = (
         F.when(F.array_contains("named", F.col("slot")), REASONS[0]).when(F.col("slot").isin(*DURABLE), REASONS[1])
-        .when(F.col("first_turn") > OPENING, REASONS[2]).otherwise(REASONS[3])
+        .when(F.col("first_turn") > F.col("opening"), REASONS[2]).otherwise(REASONS[3])
     )
     return held.select(
         "sample_id", F.col("o").alias("turn"), "slot", F.col("token").alias("term"), F.col("first_turn").alias("arrived"), reason.isin(*REASONS[1:3]).alias("kept"), reason.alias("reason")
@@ -209,12 +225,13 @@ def slot_diff(active: DataFrame, messages: DataFrame) -> DataFrame:
     return both.select("sample_id", "turn", "slot", "term", "arrived", change.alias("change"))
 
 
-def slot_model(messages: DataFrame, vocabulary: DataFrame, limit: int = TERM_LIMIT) -> DataFrame:
+def slot_model(heard: Heard, limit: int = TERM_LIMIT) -> DataFrame:
     """(sample_id, turn, terms): the older state, a list of tokens that an override builds anew from the slots' terms that it keeps.
 
     A fold over each session's own turns, in order.
     """
-    found = message_slots(messages, vocabulary).groupBy("message").agg(F.array_sort(F.collect_set(F.struct("slot", "term"))).alias("slots"))
+    messages = heard.messages
+    found = heard.slots.groupBy("message").agg(F.array_sort(F.collect_set(F.struct("slot", "term"))).alias("slots"))
     said = messages.select("message").distinct().join(found, "message", "left").select(
         "message", X.is_override(F.col("message")).alias("override"), X.constraint_tokens(F.col("message")).alias("tokens"),
         F.coalesce("slots", F.expr("cast(array() as array<struct<slot:string,term:string>>)")).alias("slots"),

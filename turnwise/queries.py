@@ -10,7 +10,7 @@ from .functions import text as X
 from .operators import asking, catalogs, retrieval, scoring, semantic, state
 from .plans import replay as R
 from .plans import variants
-from .plans.shared import step
+from .sources.steps import step
 from .sources import views as V
 from .sql import ORACLES as _SQL
 
@@ -40,9 +40,9 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with the text of their opening message, its tokens, phrases, and the tokens that a slot which isn't durable claims."""
     s = step(V.openings(spark, sf_dir), "openings")
-    first = s.select("sample_id", F.lit(1).alias("turn"), "message")
-    must = state.turn_terms(first, state.active_by_turn(first, _vocabulary(spark, sf_dir))).select("sample_id", "required")
-    asked = s.join(must, "sample_id").select(
+    first = step(s.select("message").distinct().select(F.col("message").alias("sample_id"), F.lit(1).alias("turn"), "message"), "first-messages")  # what one says depends on nothing else
+    must = state.turn_terms(first, state.active_by_turn(state.hear(first, _vocabulary(spark, sf_dir)))).select(F.col("sample_id").alias("message"), "required")
+    asked = s.join(must, "message").select(
         "sample_id", "scenario_type", "difficulty_bucket", "target", F.col("message").alias("query"), X.query_tokens(F.col("message")).alias("terms"), X.phrases(F.col("message"), 2).alias("phrases"), "required"
     )
     return step(asked, "asked-sessions")
@@ -183,8 +183,8 @@ def query_stress_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def slot_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = V.messages(spark, sf_dir)
-    return said.join(state.message_slots(said, _vocabulary(spark, sf_dir)), "message").select("sample_id", "turn", "slot", "term")
+    heard = _heard(spark, sf_dir)
+    return heard.messages.join(heard.slots, "message").select("sample_id", "turn", "slot", "term")
 
 
 @_query
@@ -288,13 +288,17 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # State
 
 
+def _heard(spark: SparkSession, sf_dir: str) -> state.Heard:
+    return state.hear(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+
+
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.entries(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return state.entries(_heard(spark, sf_dir))
 
 
 def _active(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    said = _messages(spark, sf_dir)
-    return said, step(state.active_by_turn(said, _vocabulary(spark, sf_dir)), "active")
+    heard = _heard(spark, sf_dir)
+    return heard.messages, step(state.active_by_turn(heard), "active")
 
 
 @_query
@@ -330,20 +334,20 @@ def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def no_gain_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.gains(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return state.gains(_heard(spark, sf_dir))
 
 
 @_query
 def stuck_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stuck session is asked, and the sentence that asks it."""
-    rows = state.gains(_messages(spark, sf_dir), _vocabulary(spark, sf_dir)).where("stuck_for >= 1")
+    rows = state.gains(_heard(spark, sf_dir)).where("stuck_for >= 1")
     ask = asking.stuck_attribute(F.col("stuck_for") - 1)
     return rows.select("sample_id", "turn", "stuck_for", ask.alias("ask"), asking.question(ask).alias("question"))
 
 
 @_query
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.routes(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return state.routes(_heard(spark, sf_dir))
 
 
 @_query
@@ -361,18 +365,18 @@ def turn_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def override_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.dispositions(_messages(spark, sf_dir), _vocabulary(spark, sf_dir))
+    return state.dispositions(_heard(spark, sf_dir))
 
 
 @_query
 def slot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said, active = _active(spark, sf_dir)
-    return state.slot_diff(active, said)
+    heard = _heard(spark, sf_dir)
+    return state.slot_diff(state.active_by_turn(heard, None), heard.messages)
 
 
 @_query
 def slot_model_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.slot_model(_messages(spark, sf_dir), _vocabulary(spark, sf_dir)).withColumn("terms", F.array_join("terms", " "))
+    return state.slot_model(_heard(spark, sf_dir)).withColumn("terms", F.array_join("terms", " "))
 
 
 # Whole turns
@@ -490,7 +494,7 @@ def clarify_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each session's target's rank in the retrieval of its opening message, to place 100."""
     asked = _asked(spark, sf_dir)
-    pool = _pool(spark, sf_dir).select("query", F.col("ord").cast("string").alias("target"), "rank")
+    pool = _pool(spark, sf_dir, asked=asked).select("query", F.col("ord").cast("string").alias("target"), "rank")
     return asked.join(pool, ["query", "target"], "left").select("sample_id", "scenario_type", "rank")
 
 
@@ -580,7 +584,7 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sessions in order with their 1-based index, and what is known of their target."""
     s = V.sessions(spark, sf_dir).withColumn("_all", F.lit(0))
-    listed = scoring.placed(s, "_all", "sample_id").withColumnRenamed("place", "index").drop("_all")
+    listed = V.placed(s, "_all", "sample_id").withColumnRenamed("place", "index").drop("_all")
     about = V.catalog(spark, sf_dir).select(F.col("parent_asin").alias("target"), "title", "store", "rating_number")
     return listed.join(about, "target", "left").select("index", "sample_id", "scenario_type", "difficulty_bucket", "target", F.coalesce("title", F.lit("")).alias("title"), "store", "rating_number")
 
