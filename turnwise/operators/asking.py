@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.steps import step
+from ..sources.views import union_all
 
 # Attribute orders, what profile tags ask for, and the words that tell attributes apart.
 DEFAULT_ORDER = ("material", "size", "style", "feature", "use_case", "color", "brand", "budget", "other")
@@ -61,10 +63,11 @@ def spreads(pools: DataFrame) -> DataFrame:
     )
 
 
-def grounded_order(pools: DataFrame, spread: str) -> DataFrame:
-    """(pool, attributes): the attributes by how evenly they split the pool, then the defaults."""
+def grounded_order(pools: DataFrame, spread: str, measured: DataFrame | None = None) -> DataFrame:
+    """(pool, attributes): the attributes by how evenly they split the pool, then the defaults; ``measured`` are the pools' spreads where they are known."""
     value = F.round(F.col("coverage") * F.col(spread), 9)
-    best = spreads(pools).groupBy("pool").agg(F.array_sort(F.collect_list(F.struct((-value).alias("s"), "priority", "attribute"))).alias("a"))
+    rows = spreads(pools) if measured is None else measured
+    best = rows.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct((-value).alias("s"), "priority", "attribute"))).alias("a"))
     every = pools.select("pool").distinct().join(best, "pool", "left")
     found = F.coalesce(F.transform("a", lambda x: x["attribute"]), F.expr("cast(array() as array<string>)"))
     return every.select("pool", F.array_distinct(F.concat(found, _array(DEFAULT_ORDER))).alias("attributes"))
@@ -104,3 +107,11 @@ def attribute_order(policy: str, pools: DataFrame) -> DataFrame:
     if policy == "other":
         return pools.select("pool").distinct().withColumn("attributes", _array(["other"]))
     raise ValueError(f"no policy {policy!r}: it is one of candidate, entropy, profile, fixed, other")
+
+
+def attribute_orders(policies: tuple[str, ...], pools: DataFrame) -> DataFrame:
+    """(policy, pool, attributes) under several policies; what the grounded ones measure is measured once."""
+    measured = step(spreads(pools), "spreads") if len({"candidate", "entropy"} & {*policies}) == 2 else None
+    columns = {"candidate": "distinct_spread", "entropy": "entropy_spread"}
+    orders = [grounded_order(pools, columns[p], measured) if p in columns else attribute_order(p, pools) for p in policies]
+    return union_all([o.select(F.lit(p).alias("policy"), "pool", "attributes") for p, o in zip(policies, orders, strict=True)])

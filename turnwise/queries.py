@@ -243,9 +243,10 @@ def rerank_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part of the score at once: term idf, term weights, rating, and cosines of stand-in vectors."""
     texts = _texts(spark, sf_dir)
     pool = _pool(spark, sf_dir, texts=texts).select("query", "ord", "rank", "terms", "phrases", "required")
-    idf = F.broadcast(retrieval.catalog_idf(texts).where("idf < 1e9").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf")))  # the words of the view
+    wanted = pool.select("query", F.explode(F.array_distinct("terms")).alias("term")).distinct()
+    idf = wanted.join(retrieval.catalog_idf(texts), "term").groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     weights = F.map_from_entries(F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("k"), (1.0 + 0.25 * (F.length(t) % 3)).alias("v"))))
-    rows = pool.join(idf).withColumn("term_weights", weights)
+    rows = pool.join(idf, "query").withColumn("term_weights", weights)
     labels = pool.select("query").distinct().join(_centres(spark, sf_dir), F.length("query") % 10 == F.col("label")).select("query", "v")
     rows = retrieval.cosines(rows, labels.select("query", retrieval.unit(F.col("v")).alias("v")), _vectors(spark, sf_dir).select("id", retrieval.unit(F.col("v")).alias("v")))
     return retrieval.rerank(rows, texts, 10, rating=0.5, idf="idf", term_weights="term_weights")
@@ -427,11 +428,20 @@ def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.summarise(facts, "part", "difficulty_bucket")
 
 
+#: The clarification policies that are compared.
+POLICIES = ("fixed", "candidate", "entropy", "other", "profile")
+
+
+def _retrieved(spark: SparkSession, sf_dir: str, **how) -> R.Retrieved:
+    return R.retrieve_turns(_messages(spark, sf_dir), V.field_texts(V.catalog(spark, sf_dir)), catalogs.gazetteer(V.catalog(spark, sf_dir), _KEYS), **how)
+
+
 @_query
 def policy_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each clarification policy asks, turn by turn."""
-    runs = [_replayed(spark, sf_dir, policy=p).groupBy("turn", "ask").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in ("fixed", "candidate", "entropy", "other")]
-    return V.union_all(runs)
+    """What each clarification policy asks at each turn, by part of the split: one retrieval for all policies."""
+    asks = R.ask(_retrieved(spark, sf_dir), POLICIES, profiles=V.profiles(spark, sf_dir, tuple(asking.PROFILE_MAP)))
+    parts = stratified_split(spark, sf_dir).select("sample_id", "part")
+    return asks.join(parts, "sample_id").groupBy("policy", "part", "turn", "ask").agg(F.count("*").alias("n"))
 
 
 @_query

@@ -113,7 +113,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product catalog: parts with what their line items say about them."""
     part, item = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     sold = item.groupBy("l_partkey").agg(
-        F.count("*").cast("double").alias("rating_number"), F.round(F.sum("l_quantity") / F.count("*") / 10, 2).alias("average_rating")
+        F.count("*").cast("double").alias("rating_number"), (F.expr("(20 * cast(sum(l_quantity) as bigint) + count(*)) div (2 * count(*))") / 100).alias("average_rating")
     )
     words = F.split("p_name", " ")
     zero = F.lit(0.0)
@@ -191,7 +191,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The frames of what customers say.
+# The frames of what customers say, here and in messages().
 
 
 def opening_message(scenario: Column, category: Column, hard: Column, soft: Column) -> Column:
@@ -204,6 +204,12 @@ def opening_message(scenario: Column, category: Column, hard: Column, soft: Colu
     )
 
 
+def profiles(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """(sample_id, tags): two preferences of each session's customer, of ``names`` and an unknown one."""
+    tag = lambda k: F.array(*map(F.lit, [*names, "unknown"]))[(F.floor(F.col("o_custkey") / k) % (len(names) + 1)).cast("int")]
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.array(tag(1), tag(7)).alias("tags"))
+
+
 def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions with their card, category and first message."""
     products = catalog(spark, sf_dir)

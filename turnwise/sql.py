@@ -73,7 +73,7 @@ def _bm25(wanted: str, texts: str = "") -> str:
 
 # Views: each names those it needs.
 _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    "sold": ((), "SELECT l_partkey, count(*)::DOUBLE AS n, round(sum(l_quantity) / count(*) / 10, 2) AS r FROM lineitem GROUP BY 1"),
+    "sold": ((), "SELECT l_partkey, count(*)::DOUBLE AS n, ((20 * sum(l_quantity)::BIGINT + count(*)) // (2 * count(*)))::DOUBLE / 100 AS r FROM lineitem GROUP BY 1"),
     "catalog": (
         ("sold",),
         "SELECT p_partkey AS ord, p_partkey::VARCHAR AS parent_asin, p_name AS title, p_type, p_size, p_brand AS store, "
@@ -248,6 +248,18 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT pool, list(attribute ORDER BY s DESC, priority) AS found FROM (SELECT h.pool, attribute, priority, round(covered / items::DOUBLE * (k - 1) / k::DOUBLE, 9) AS s FROM (SELECT pool, attribute, priority, count(DISTINCT token) AS k, count(DISTINCT item) AS covered FROM hits GROUP BY 1, 2, 3) h "
         "JOIN (SELECT query AS pool, count(*) AS items FROM turn_pool GROUP BY 1) i USING (pool) WHERE k >= 2) GROUP BY 1",
     ),
+    "policy_orders": (  # the attributes that tell a pool's products apart, by the number of their values and by the entropy of these
+        ("turn_pool", "texts"),
+        f"WITH known(token, attribute, priority) AS (VALUES {_known()}), hits AS (SELECT query AS pool, ord AS item, attribute, priority, token FROM (SELECT query, ord, unnest(words) AS token FROM turn_pool JOIN (SELECT ord, list_distinct({_tokens(_WHOLE)}) AS words FROM texts) USING (ord)) JOIN known USING (token)), "
+        "vals AS (SELECT pool, attribute, priority, token, count(*) AS n FROM hits GROUP BY ALL), told AS (SELECT pool, attribute, priority, count(*) AS k, -sum(n / t::DOUBLE * log2(n / t::DOUBLE)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY pool, attribute) AS t FROM vals) GROUP BY ALL) "
+        "SELECT pool, list(attribute ORDER BY round(covered / items::DOUBLE * ((k - 1) / k::DOUBLE), 9) DESC, priority) AS by_count, list(attribute ORDER BY round(covered / items::DOUBLE * (h / log2(k::DOUBLE)), 9) DESC, priority) AS by_entropy "
+        "FROM told JOIN (SELECT pool, attribute, count(DISTINCT item) AS covered FROM hits GROUP BY 1, 2) USING (pool, attribute) JOIN (SELECT query AS pool, count(*) AS items FROM turn_pool GROUP BY 1) USING (pool) WHERE k >= 2 GROUP BY 1",
+    ),
+    "wishes": (  # what the tags of a session's customer ask for, each once
+        (),
+        f"SELECT sample_id, CASE WHEN b = a THEN list_filter([a], lambda x: x IS NOT NULL) ELSE list_filter([a, b], lambda x: x IS NOT NULL) END AS wanted FROM (SELECT o_orderkey AS sample_id, names[{_list([*asking.PROFILE_MAP, 'unknown'])}[o_custkey % {len(asking.PROFILE_MAP) + 1} + 1]] AS a, "
+        f"names[{_list([*asking.PROFILE_MAP, 'unknown'])}[(o_custkey // 7) % {len(asking.PROFILE_MAP) + 1} + 1]] AS b FROM orders, (SELECT MAP {{{', '.join(f'{_q(t)}: {_q(a)}' for t, a in asking.PROFILE_MAP.items())}}} AS names))",
+    ),
     "asks": (  # the next question depends on those before: turn after turn
         ("keyed", "stuck", "turn_orders"),
         f"WITH RECURSIVE steps AS (SELECT k.sample_id, k.turn, stuck_for, list_concat(coalesce(found, []), list_filter({_list(asking.DEFAULT_ORDER)}, lambda a: NOT list_contains(coalesce(found, []), a))) AS attrs FROM keyed k JOIN stuck USING (sample_id, turn) LEFT JOIN turn_orders o ON o.pool = k.query), "
@@ -487,8 +499,26 @@ ORACLES: dict[str, str] = {
         "SELECT coalesce(level, 'all') AS level, cutoff, count(*) AS sample_count, round(avg(CASE WHEN rank <= cutoff THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT level, p.rank FROM stressed a LEFT JOIN stress_pool p ON p.query = a.query AND p.ord::VARCHAR = a.target), (SELECT unnest([10, 50, 100]) AS cutoff) GROUP BY GROUPING SETS ((cutoff), (cutoff, level))", "stressed", "stress_pool"),
 }
 
-#: Whole turns in SQL: too slow on whole tables for the comparison of every query, held against the plans on the smallest ones in the tests.
+
+
+def _walked(policy: str, found: str) -> str:
+    """What a policy asks, turn after turn; ``found`` are the attributes that come before the defaults."""
+    return (
+        f"SELECT sample_id, turn, ask, {_q(policy)} AS policy FROM (WITH RECURSIVE steps AS (SELECT k.sample_id, k.turn, stuck_for, list_concat(found, list_filter({_list(asking.DEFAULT_ORDER)}, lambda a: NOT list_contains(found, a))) AS attrs FROM (SELECT k.*, {found} AS found FROM keyed k LEFT JOIN policy_orders o ON o.pool = k.query LEFT JOIN wishes w ON w.sample_id = k.sample_id) k JOIN stuck USING (sample_id, turn)), "
+        f"walk AS (SELECT sample_id, 0 AS turn, NULL::VARCHAR AS ask, []::VARCHAR[] AS asked FROM (SELECT DISTINCT sample_id FROM steps) UNION ALL SELECT sample_id, turn, ask, CASE WHEN ask IS NULL THEN asked ELSE list_append(asked, ask) END FROM (SELECT s.sample_id, s.turn, asked, "
+        f"CASE WHEN stuck_for = 1 THEN 'other' WHEN stuck_for > 1 THEN {_list(asking.DEFAULT_ORDER)}[(stuck_for - 2) % 9 + 1] ELSE list_filter(attrs, lambda a: NOT list_contains(asked, a))[1] END AS ask FROM walk w JOIN steps s ON s.sample_id = w.sample_id AND s.turn = w.turn + 1)) SELECT sample_id, turn, ask FROM walk WHERE turn > 0)"
+    )
+
+
+_NONE = "[]::VARCHAR[]"
+#: Whole turns: each different query is retrieved and reranked once.
 REPLAYED: dict[str, str] = {
+    "policy_ablation": _with(
+        "SELECT policy, part, turn, ask, count(*) AS n FROM (" + " UNION ALL ".join([
+            _walked("fixed", _NONE), _walked("candidate", f"coalesce(o.by_count, {_NONE})"), _walked("entropy", f"coalesce(o.by_entropy, {_NONE})"), _walked("profile", "w.wanted"),
+            # an order of one attribute that may be asked again and again
+            f"SELECT sample_id, turn, CASE WHEN stuck_for > 1 THEN {_list(asking.DEFAULT_ORDER)}[(stuck_for - 2) % 9 + 1] ELSE 'other' END, 'other' FROM stuck",
+        ]) + ") JOIN split USING (sample_id) GROUP BY 1, 2, 3, 4", "keyed", "stuck", "policy_orders", "wishes", "split"),
     "dead_turns": _with(
         "SELECT sample_id, turn, coalesce(b = terms, false) AND rank IS NULL AS dead "
         "FROM (SELECT *, lag(terms) OVER (PARTITION BY sample_id ORDER BY turn) AS b FROM turn_terms) JOIN turn_ranks USING (sample_id, turn)", "turn_terms", "turn_ranks"),
@@ -503,3 +533,4 @@ REPLAYED: dict[str, str] = {
         "SELECT *, round(0.5 * hit_rate + 0.3 * mrr + 0.2 * efficiency, 6) AS score FROM (SELECT *, round(coalesce(least(greatest((11 - mttc) / 10, 0), 1), 0), 6) AS efficiency FROM (SELECT coalesce(part, 'all') AS part, coalesce(difficulty_bucket, 'all') AS difficulty_bucket, count(*) AS sample_count, round(avg(hit::INTEGER::DOUBLE), 6) AS hit_rate, round(avg(reciprocal_rank), 6) AS mrr, round(avg(coalesce(first_hit_turn, 11)), 6) AS mttc "
         "FROM replay_facts JOIN split USING (sample_id) GROUP BY GROUPING SETS ((), (part), (part, difficulty_bucket))))", "replay_facts", "split"),
 }
+ORACLES |= REPLAYED
