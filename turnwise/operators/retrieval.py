@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.steps import step
@@ -18,10 +23,12 @@ K1, B = 1.2, 0.75
 PLACES = 9  # scores are rounded before they are ranked, so that equal ones tie
 #: Rows of (query, term) that are sent to every task at most.
 ASKED_ROWS = 2_000_000
+#: Queries that meet a block of products at once.
+QUERIES = 50_000
 #: Products of a block of the index, the fields in whose order they are dealt to blocks, and what bounds may lose by rounding.
 BLOCK, BLOCK_ORDER, SLACK = 128, ("title", "categories", "store"), 1e-6
-#: Query vectors that are sent to every task at once.
-QUERY_VECTORS = 4096
+#: Query vectors that are sent to every task at once, and products of a task's matrices that are held at once.
+QUERY_VECTORS, STRETCH = 4096, 2_000_000
 
 
 class Index(NamedTuple):
@@ -81,17 +88,46 @@ def bounds(index: Index, asked: DataFrame, few: bool) -> DataFrame:
     return _met(asked, index.tops, few).groupBy("block", "q").agg(F.sum("top").alias("bound"))
 
 
-def _scores(index: Index, pairs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q, ord, score) of the products of (q, block) pairs: the term and block are the key, so a common term makes no hot one."""
-    wanted = pairs.select("q", "block").join(asked, "q")
-    return wanted.join(index.parts, ["term", "block"]).groupBy("q", "ord").agg(F.round(F.sum("part"), PLACES).alias("score"))
+def _block_scores(postings: pa.Table, wanted: pa.Table, k: int) -> pa.Table:
+    """(q, ord, score): the best k of a block's products for each of its queries, one matrix product for many queries."""
+    names = {t: i for i, t in enumerate(postings.column("term").unique().to_pylist())}
+    ords, place = np.unique(postings.column("ord").to_numpy(), return_inverse=True)
+    parts = np.zeros((len(names), len(ords)))
+    parts[[names[t] for t in postings.column("term").to_pylist()], place] = postings.column("part").to_numpy()
+    best = [np.zeros(0, np.int64), np.zeros(0), ords[:0]]
+    at = max(1, STRETCH // max(1, len(names)))
+    for i in range(0, wanted.num_rows if len(names) else 0, at):
+        some = wanted.slice(i, at)
+        held = np.zeros((some.num_rows, len(names)))
+        for row, terms in enumerate(some.column("terms").to_pylist()):
+            held[row, [names[t] for t in terms if t in names]] = 1.0
+        scores = np.round(held @ parts, PLACES)
+        row, column = np.nonzero(scores > 0)
+        found = _best_first(some.column("q").to_numpy()[row], scores[row, column], ords[column], k)
+        best = [np.append(x, y) for x, y in zip(best, found, strict=True)]
+    return pa.table({"q": pa.array(best[0], pa.int64()), "ord": pa.array(best[2], pa.int64()), "score": pa.array(best[1], pa.float64())})
+
+
+def _scores(index: Index, pairs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(q, ord, score): the best k products of each of the (q, block) pairs.
+
+    A block meets the queries that open it; more than QUERIES of them meet copies
+    of the block, so no group grows with the queries.
+    """
+    terms = asked.groupBy("q").agg(F.collect_list("term").alias("terms"))
+    salts = max(1, -(-terms.count() // QUERIES))
+    wanted = pairs.select("q", "block").join(terms, "q").withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(salts).cast("long")))
+    parts = index.parts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    parts, wanted = parts.select("block", "salt", "term", F.col("ord").cast("long").alias("ord"), "part"), wanted.select("block", "salt", "q", "terms")
+    met = parts.groupBy("block", "salt").cogroup(wanted.groupBy("block", "salt"))
+    return met.applyInArrow(lambda a, b: _block_scores(a, b, k), "q long, ord long, score double")
 
 
 def _leading(index: Index, asked: DataFrame, few: bool, k: int, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(every bound with whether it leads, the leading blocks' scores, and the pairs beside them that can still reach a query's k-th score)."""
     place = rank_within(["q"], F.desc("bound"), F.col("block"))
     every = step(bounds(index, asked, few).withColumn("lead", place <= first), "bounds")
-    scored = step(_scores(index, every.where("lead"), asked), "leading-scores")
+    scored = step(_scores(index, every.where("lead"), asked, k), "leading-scores")
     kth = scored.withColumn("at", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("at") == k).select("q", F.col("score").alias("floor"))
     rest = every.where("not lead").join(kth, "q", "left").where(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
     return every, scored, step(rest.select("q", "block"), "open-blocks")
@@ -113,7 +149,7 @@ def search_index(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """
     asked, names, few = _named(queries)
     _, scored, rest = _leading(index, asked, few, k, 1 + -(-2 * k // BLOCK))
-    every = scored.unionByName(_scores(index, rest, asked))
+    every = scored.unionByName(_scores(index, rest, asked, k))
     best = every.withColumn("rank", rank_within(["q"], F.desc("score"), F.col("ord"))).where(F.col("rank") <= k)
     return best.join(names, "q").select("query", "ord", "score", "rank")
 
@@ -225,22 +261,69 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors at length 1 as rows; the zero vector stays."""
+    lengths = column.value_lengths()
+    if len(column) and (pc.min(lengths).as_py() != width or pc.max(lengths).as_py() != width):
+        raise ValueError(f"vectors of another length than {width}")
+    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm == 0, 1.0, norm)
+
+
+def _best_first(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query's rows: highest score first, equal scores by id."""
+    order = np.lexsort((ids, -score, q))
+    q, score, ids = q[order], score[order], ids[order]
+    begins = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - begins < k
+    return q[keep], score[keep], ids[keep]
+
+
 def cosine_topk(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query, id, score, rank) of (query, v) against (id, v): a full scan for a stated set of queries.
 
-    The queries are dealt by their hash into blocks of about QUERY_VECTORS; each
-    block is one row, is sent to all tasks by itself, and costs one scan.
+    A block of at most about QUERY_VECTORS queries is sent to every task as one
+    matrix. A task multiplies it with its own vectors, a stretch at a time, and
+    keeps each query's best k: there is no row for a pair, and k rows a query and
+    task are shuffled. Null vectors take no part; vectors must have one length.
     """
-    asked = step(queries.select("query", unit(F.col("v")).alias("v")), "query-vectors")
-    vectors = rows.select("id", unit(F.col("v")).alias("v"))
+    spark = rows.sparkSession
+    asked = step(queries.select("query", "v").where(F.col("v").isNotNull()), "query-vectors")
+    kind = rows.select("id").schema["id"].dataType.simpleString()
     blocks = max(1, -(-asked.count() // QUERY_VECTORS))
+    out = f"q int, id {kind}, score double"
     best = []
     for b in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64(F.col("query").cast("string")), F.lit(blocks)) == b) if blocks > 1 else asked
-        packed = some.agg(F.collect_list(F.struct("query", "v")).alias("qs"))
-        pairs = vectors.join(F.broadcast(packed)).select("id", "v", F.explode("qs").alias("q"))
-        scored = pairs.select("q.query", "id", F.round(dot(F.col("q.v"), F.col("v")), PLACES).alias("score"))
-        best.append(scored.withColumn("rank", rank_within(["query"], F.desc("score"), F.col("id"))).where(F.col("rank") <= k))
+        some = (asked.where(F.pmod(F.xxhash64(F.col("query").cast("string")), F.lit(blocks)) == b) if blocks > 1 else asked).collect()  # about QUERY_VECTORS rows
+        vectors = pa.array([r["v"] for r in some], pa.list_(pa.float64()))
+        sent = spark.sparkContext.broadcast(_matrix(vectors, len(some[0]["v"])).T if some else np.zeros((0, 0)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matrix = sent.value
+            n = matrix.shape[1]
+            q, score, ids, floor = np.zeros(0, np.int64), np.zeros(0), None, np.full(n, -np.inf)
+            kept = None
+            for batch in batches:
+                kept = batch.column("id")
+                at = max(1, STRETCH // max(n, 1))
+                for i in range(0, batch.num_rows if n else 0, at):
+                    part = batch.slice(i, at)
+                    names = part.column("id").to_numpy(zero_copy_only=False)
+                    names = names.astype(str) if names.dtype == object else names
+                    cosine = np.round(_matrix(part.column("v"), matrix.shape[0]) @ matrix, PLACES)
+                    if len(cosine) >= k:
+                        floor = np.maximum(floor, np.partition(cosine, len(cosine) - k, axis=0)[len(cosine) - k])
+                    row, column = np.nonzero(cosine >= floor)  # equal scores stay, for the ids decide
+                    ids = names[row] if ids is None else np.append(ids, names[row])
+                    q, score, ids = _best_first(np.append(q, column), np.append(score, cosine[row, column]), ids, k)
+            if ids is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(ids).cast(kept.type), pa.array(score)], ["q", "id", "score"])
+
+        numbers = spark.createDataFrame([(i, r["query"]) for i, r in enumerate(some)], T.StructType([T.StructField("q", T.IntegerType()), asked.schema["query"]]))
+        found = rows.select("id", "v").where("id is not null and v is not null").mapInArrow(run, out)
+        ranked = found.withColumn("rank", rank_within(["q"], F.desc("score"), F.col("id"))).where(F.col("rank") <= k)
+        best.append(ranked.join(F.broadcast(numbers), "q").select("query", "id", "score", "rank"))  # about QUERY_VECTORS rows
     return union_all(best)
 
 
