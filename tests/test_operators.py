@@ -260,3 +260,42 @@ def test_variants_are_built_once_and_checked(spark, tmp_path):
 def test_folding(spark):
     df = spark.createDataFrame([("Café über Naïve e\u0301tude Ærø 12",)], "t string")
     assert df.select(X.index_tokens(F.col("t")).alias("x")).first().x == ["cafe", "uber", "naive", "etude", "ærø".replace("ø", "ø"), "12"]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Many splits of two files, with blank lines, a last line without an end, and ids that come again."""
+    lines = [f'{{"parent_asin": "P{i % 50}", "title": "line {i} {"x" * (i % 90)}"}}' if i % 11 else "" for i in range(1, 1200)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(lines[:700]) + "\n")
+    (tmp_path / "in" / "b.jsonl").write_text("\n".join(lines[700:]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = V.read_jsonl(spark, str(tmp_path / "in"), "parent_asin string, title string", "line")
+        assert rows.rdd.getNumPartitions() > 10
+        got = {r.line: r.title.split()[1] for r in rows.collect()}
+        assert got == {i: str(i) for i in range(1, 1200) if i % 11}
+        last = {r.parent_asin: r.line for r in V.catalog_index(rows, "line").collect()}
+        assert last == {f"P{i % 50}": i for i in range(1, 1200) if i % 11}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_reordered_output_is_refused(spark, tmp_path, monkeypatch):
+    source, dataset, stress, manifest = (str(tmp_path / x) for x in ("official", "sessions", "stress", "manifest"))
+    rows = [(f"P{i * 37 % 40}", f"title {i}", 5.0 if i < 3 else None) for i in range(40)]
+    spark.createDataFrame(rows, "parent_asin string, title string, price double").coalesce(1).write.json(source)
+    spark.createDataFrame([("s1", ("P1",)), ("s2", ("P1",))], "sample_id string, ground_truth struct<parent_asin:string>").write.json(dataset)
+    with pytest.raises(ValueError, match="duplicate target"):
+        variants.build(spark, source, dataset, stress, manifest)
+    spark.createDataFrame([("s1", ("P1",))], "sample_id string, ground_truth struct<parent_asin:string>").write.mode("overwrite").json(dataset)
+    told = variants.build(spark, source, dataset, stress, manifest)
+    assert (told["distinct_target_count"], told["matched_target_count"], told["invariants"]["order_preserved"]) == (1, 1, True)
+    assert [r.parent_asin for r in V.read_jsonl(spark, stress, order="line").orderBy("line").collect()] == [r[0] for r in rows]
+    plain = V.write_in_order
+    monkeypatch.setattr(V, "write_in_order", lambda df, path, by: plain(df.withColumn(by, -F.col(by)), path, by))
+    with pytest.raises(ValueError, match="order_preserved"):
+        variants.build(spark, source, dataset, str(tmp_path / "other"), str(tmp_path / "m2"))
+    assert not (tmp_path / "other").exists()

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..sources import views as V
+from ..sources.steps import step
 
-# Versions, modes, and what every build has checked.
+# Versions, modes, what every build has checked, and below the keys of a manifest.
 SCHEMA_VERSION, MODES = 1, ("dual", "official", "stress")
 INVARIANTS = (
-    "identifiers_preserved", "nothing_filled", "unplanned_unchanged", "planned_masked", "other_products_unchanged", "mask_counts",
+    "identifiers_preserved", "nothing_filled", "unplanned_unchanged", "planned_masked", "other_products_unchanged", "mask_counts", "order_preserved",
 )
 FIELDS = ("price", "features", "details", "description", "store")
 SEED = "turnwise-v1"
@@ -51,26 +52,32 @@ def check_targets(products: DataFrame, targets: DataFrame) -> DataFrame:
 def build(spark: SparkSession, source: str, dataset: str, output: str, manifest: str, fields: tuple[str, ...] = FIELDS, seed: str = SEED) -> dict:
     """Mask the catalog at ``source`` for the targets of the sessions at ``dataset``, publish it at ``output`` and its manifest; ValueError where a check fails."""
     distinct_paths(source=source, dataset=dataset, output=output, manifest=manifest)
-    products = V.read_jsonl(spark, source)
+    products = V.read_jsonl(spark, source, order="line")
     sessions = V.read_jsonl(spark, dataset, "sample_id string, ground_truth struct<parent_asin:string>")
     targets = sessions.select(F.col("ground_truth.parent_asin").alias("parent_asin"))
     if wrong := check_targets(products, targets).limit(5).collect():
         raise ValueError("; ".join(f"{r['problem']} {r['parent_asin']}" for r in wrong))
-    masks = scoring.masked_ids(products, targets, fields, seed)
+    kept = step(V.placed(products.withColumn("_all", F.lit(0)), "_all", "line").drop("_all", "line").withColumnRenamed("place", "line"), "source")  # blank lines don't count
+    plain = kept.drop("line")
+    masks = step(scoring.masked_ids(plain, targets, fields, seed), "masks")
     plan = {r["field"]: r.asDict() for r in scoring.mask_plan(products, targets, fields).collect()}  # one row a field
 
     def check(written: DataFrame) -> None:
-        broken = {r["invariant"]: r["violations"] for r in scoring.mask_violations(products, written, masks, fields, targets).collect() if r["violations"]}
+        broken = {r["invariant"]: r["violations"] for r in scoring.mask_violations(plain, written.drop("line"), masks, fields, targets).collect() if r["violations"]}
+        if moved := V.misplaced(kept, written, "parent_asin", "line").count():
+            broken["order_preserved"] = moved
         if broken:
             raise ValueError(f"the masked catalog breaks {broken}")
 
-    V.publish_jsonl(scoring.apply_masks(products, masks, fields), output, check)
+    V.publish_jsonl(scoring.apply_masks(kept, masks, fields), output, check, "line")
     counts = {"catalog_row_count": products.count(), "session_count": sessions.count()}
+    distinct = targets.distinct()
+    matched = distinct.join(products.select("parent_asin"), "parent_asin", "left_semi").count()
     told = {
         "schema_version": SCHEMA_VERSION, "algorithm_version": scoring.MASK_VERSION, "seed": seed, "field_order": list(fields),
         "source_catalog": source, "dataset": dataset, "output_catalog": output,
         "source_catalog_sha256": digest(spark, source), "dataset_sha256": digest(spark, dataset), "output_catalog_sha256": digest(spark, output),
-        **counts, "distinct_target_count": counts["session_count"], "matched_target_count": counts["session_count"],
+        **counts, "distinct_target_count": distinct.count(), "matched_target_count": matched,
         "fields": {
             f: {
                 "catalog_present": p["catalog_present"], "catalog_coverage": p["coverage"], "desired_target_present": p["desired"], "original_target_present": p["original"],

@@ -10,7 +10,7 @@ from .functions import text as X
 from .operators import asking, catalogs, retrieval, scoring, semantic, state
 from .plans import replay as R
 from .plans import variants
-from .sources.steps import step
+from .sources.steps import scratch, step
 from .sources import views as V
 from .sql import ORACLES as _SQL
 
@@ -94,6 +94,16 @@ def catalog_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.catalog_index(first.unionByName(again)).select("parent_asin", "title")
 
 
+@_query
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog file of many splits that lists some products again: the last line of each counts, and every line keeps its number."""
+    products = V.catalog(spark, sf_dir).select("parent_asin", "title", F.col("ord").alias("at"))
+    again = products.where("at % 7 = 0").select("parent_asin", F.concat("title", F.lit(" again")).alias("title"), (F.col("at") * 31 % 1009 + 0.5).alias("at"))
+    path = scratch(spark, "catalog-lines")
+    V.write_in_order(products.unionByName(again).withColumn("id", F.col("parent_asin").cast("long")), path, "at", "id")
+    return V.last_of_each(V.read_jsonl(spark, path, "parent_asin string, title string", "line"), "parent_asin", "line")
+
+
 @_query
 def term_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = V.catalog(spark, sf_dir)

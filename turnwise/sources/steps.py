@@ -7,12 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def step(df: DataFrame, label: str) -> DataFrame:
-    """Write a step's result to the folder in spark.checkpoint.dir (a temporary one where it is unset) and read it back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder in spark.checkpoint.dir (a temporary one where it is unset); what is there goes when the JVM ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         made = tempfile.mkdtemp(prefix="turnwise-steps-")
@@ -20,7 +19,13 @@ def step(df: DataFrame, label: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(made)
         folder = spark.sparkContext.getCheckpointDir()
     where = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    return where
+
+
+def step(df: DataFrame, label: str) -> DataFrame:
+    """Write a step's result to the shared folder and read it back."""
+    where = scratch(df.sparkSession, label)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions import text as X
@@ -24,9 +25,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = CATALOG_SCHEMA) -> DataFrame:
-    """JSON lines under an explicit schema; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: str = CATALOG_SCHEMA, order: str | None = None) -> DataFrame:
+    """JSON lines under an explicit schema; blank lines are skipped.
+
+    ``order`` names a column that gets each row's line in the file, from 1; of a
+    folder its files are taken in the order of their names.
+    """
+    if order is None:
+        return spark.read.schema(schema).json(path)
+    lines = numbered_lines(spark, path, order).where(F.rlike("value", F.lit(r"\S")))
+    return lines.select(F.from_json("value", schema).alias("row"), order).select("row.*", order)
+
+
+def numbered_lines(spark: SparkSession, path: str, line: str = "line") -> DataFrame:
+    """(value, line): the lines of a file, or of a folder's files in the order of their names, numbered from 1.
+
+    Spark reads a file in splits that begin at known offsets, and a split's lines
+    in order. Each split's lines are counted, which gives every split the number
+    of lines before it; so no line waits for another and nothing is sorted.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = spark.read.text(path).select("value", *split).withColumn("_at", F.monotonically_increasing_id())
+    counts = lines.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = F.sum("_n").over(W.Window.orderBy("_file", "_start").rowsBetween(W.Window.unboundedPreceding, -1))
+    before = counts.select("_file", "_start", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))  # one row a split
+    numbered = lines.join(F.broadcast(step(before, "splits")), ["_file", "_start"])
+    return numbered.select("value", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(line))
+
+
+def write_in_order(df: DataFrame, path: str, *by: str) -> None:
+    """JSON lines in the order of ``by``, so that read_jsonl(order=...) gives that order back; the columns of ``by`` are left out."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(tasks, *by).sortWithinPartitions(*by).drop(*by).write.json(path)
+
+
+def misplaced(first: DataFrame, second: DataFrame, key: str, order: str) -> DataFrame:
+    """(order, first, second): the places at which two ordered tables don't hold the same ``key``, and those that only one of them has."""
+    a, b = first.select(order, F.col(key).alias("first")), second.select(order, F.col(key).alias("second"))
+    return a.join(b, order, "full_outer").where(~F.col("first").eqNullSafe(F.col("second")))
 
 
 def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -77,13 +113,21 @@ def _published(spark: SparkSession, path: str, write: Callable[[str], None]) ->
         fs.delete(hadoop.Path(staged), True)
 
 
-def publish_jsonl(df: DataFrame, path: str, validate: Callable[[DataFrame], None] | None = None) -> None:
-    """Write to a staging folder, validate what was written, then rename; if anything fails, what was at ``path`` is still there."""
+def publish_jsonl(df: DataFrame, path: str, validate: Callable[[DataFrame], None] | None = None, order: str | None = None) -> None:
+    """Write to a staging folder, validate what was written, then rename; if anything fails, what was at ``path`` is still there.
+
+    With ``order`` the lines come in the order of that column, which isn't
+    written; ``validate`` gets it as it was read back, from 1.
+    """
 
     def write(staged: str) -> None:
-        df.write.json(staged)
+        if order:
+            write_in_order(df, staged, order)
+        else:
+            df.write.json(staged)
         if validate:
-            validate(df.sparkSession.read.schema(df.schema).json(staged))
+            schema = T.StructType([f for f in df.schema if f.name != order])
+            validate(read_jsonl(df.sparkSession, staged, schema, order))
 
     _published(df.sparkSession, path, write)
 

@@ -479,6 +479,8 @@ ORACLES: dict[str, str] = {
         "SELECT row_number() OVER (ORDER BY sample_id) AS index, sample_id, scenario_type, difficulty_bucket, target, coalesce(title, '') AS title, store, rating_number FROM sessions LEFT JOIN catalog ON parent_asin = target", "sessions", "catalog"),
     "normalized_recommendations": (
         "SELECT user_id, id, rank FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM (SELECT user_id, id, min(place) AS place FROM (SELECT user_id, (json_extract_string(props, '$.k')::INTEGER * 37)::VARCHAR AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events) WHERE id IN (SELECT p_partkey::VARCHAR FROM part) GROUP BY 1, 2)) WHERE rank <= 10"),
+    "file_order": _with(
+        "SELECT parent_asin, max_by(title, line) AS title, max(line) AS line FROM (SELECT *, row_number() OVER (ORDER BY place, parent_asin::BIGINT) AS line FROM (SELECT parent_asin, title, ord::DOUBLE AS place FROM catalog UNION ALL SELECT parent_asin, title || ' again', (ord * 31 % 1009) + 0.5::DOUBLE FROM catalog WHERE ord % 7 = 0)) GROUP BY 1", "catalog"),
     "stratum_counts": _with("SELECT scenario_type || '/' || difficulty_bucket AS stratum, count(*) AS n FROM sessions GROUP BY 1", "sessions"),
     "stratified_split": _with("SELECT sample_id, stratum, part FROM split", "split"),
     "missing_targets": _with("SELECT target, count(*) AS n FROM sessions WHERE target NOT IN (SELECT parent_asin FROM catalog WHERE price IS NULL) GROUP BY 1", "sessions", "catalog"),
