@@ -175,6 +175,11 @@ def normalize_department(text: Column) -> Column:
     return F.try_element_at(_map({a: d for d, names in DEPARTMENTS.items() for a in names}), key)
 
 
+def with_stems(terms: Column) -> Column:
+    """The terms and, where it differs, the singular of each, each once: what a query is widened to; the state keeps the plain terms."""
+    return F.array_distinct(F.concat(terms, F.filter(F.transform(terms, normalize_term), lambda t: t != "")))
+
+
 def split_compound(text: Column) -> Column:
     """The separately usable terms of a compound name."""
     parts = F.split(F.coalesce(text, F.lit("")), r"(?i)\s*[&,/]\s*|\s+and\s+")

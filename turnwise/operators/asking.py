@@ -73,6 +73,28 @@ def grounded_order(pools: DataFrame, spread: str, measured: DataFrame | None = N
     return every.select("pool", F.array_distinct(F.concat(found, _array(DEFAULT_ORDER))).alias("attributes"))
 
 
+def expected_order(pools: DataFrame) -> DataFrame:
+    """(pool, attributes): by the bits that an answer is expected to give, the none that know nothing of the attribute being an answer too.
+
+    Each product stands for the first of an attribute's words that it holds, or for
+    none. An attribute for which all products give one answer is left to the defaults.
+    """
+    spark = pools.sparkSession
+    words = [(w, a, PATTERN_ORDER.index(a), i) for a in PATTERN_ORDER for i, w in enumerate(PATTERNS[a])]
+    known = F.broadcast(spark.createDataFrame(words, "token string, attribute string, priority int, at int"))  # a fixed word list
+    size = pools.groupBy("pool").agg(F.countDistinct("item").alias("items"))
+    held = pools.select("pool", "item", F.explode(F.array_distinct("tokens")).alias("token")).join(known, "token")
+    values = held.groupBy("pool", "item", "attribute", "priority").agg(F.min("at").alias("at")).groupBy("pool", "attribute", "priority", "at").agg(F.count("*").alias("n"))
+    bits = lambda n: -(n / F.col("items")) * F.log2(n / F.col("items"))
+    none = F.col("items") - F.col("known")
+    gain = values.join(size, "pool").groupBy("pool", "attribute", "priority", "items").agg(F.sum(bits(F.col("n"))).alias("h"), F.sum("n").alias("known"))
+    gain = gain.withColumn("gain", F.round(F.col("h") + F.when(none > 0, bits(none)).otherwise(0.0), 9)).where("gain > 0")
+    best = gain.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("g"), "priority", "attribute"))).alias("a"))
+    every = pools.select("pool").distinct().join(best, "pool", "left")
+    found = F.coalesce(F.transform("a", lambda x: x["attribute"]), F.expr("cast(array() as array<string>)"))
+    return every.select("pool", F.array_distinct(F.concat(found, _array(DEFAULT_ORDER))).alias("attributes"))
+
+
 def profile_order(tags: Column) -> Column:
     names = F.create_map(*(F.lit(x) for kv in PROFILE_MAP.items() for x in kv))
     wanted = F.filter(F.transform(F.coalesce(tags, F.expr("cast(array() as array<string>)")), lambda t: F.try_element_at(names, F.lower(t))), lambda a: a.isNotNull())
@@ -100,13 +122,15 @@ def attribute_order(policy: str, pools: DataFrame) -> DataFrame:
     """(pool, attributes) under a policy; ``profile`` reads a column ``tags``."""
     if policy in ("candidate", "entropy"):
         return grounded_order(pools, "distinct_spread" if policy == "candidate" else "entropy_spread")
+    if policy == "expected_value":
+        return expected_order(pools)
     if policy == "profile":
         return pools.groupBy("pool").agg(F.first("tags").alias("tags")).select("pool", profile_order(F.col("tags")).alias("attributes"))
     if policy == "fixed":
         return pools.select("pool").distinct().withColumn("attributes", _array(DEFAULT_ORDER))
     if policy == "other":
         return pools.select("pool").distinct().withColumn("attributes", _array(["other"]))
-    raise ValueError(f"no policy {policy!r}: it is one of candidate, entropy, profile, fixed, other")
+    raise ValueError(f"no policy {policy!r}: it is one of candidate, entropy, expected_value, profile, fixed, other")
 
 
 def attribute_orders(policies: tuple[str, ...], pools: DataFrame) -> DataFrame:

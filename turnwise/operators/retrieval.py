@@ -57,22 +57,34 @@ def term_stats(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def build_index(texts: DataFrame, block: int = BLOCK) -> Index:
+def keyed(variant: Column, name: Column) -> Column:
+    """A term or a query of one variant of the catalog, which meets no other variant's."""
+    return F.concat_ws("\x1f", variant, name)
+
+
+def build_index(texts: DataFrame, block: int = BLOCK, by: str | None = None) -> Index:
     """The pruned index of (ord, field texts).
 
+    ``by`` names a column of variants that share the index: every variant has its
+    own statistics, its terms are those of keyed(), and ``ord`` tells the products
+    of all variants apart.
+
     Products are put in the order of their texts and cut into blocks of ``block``,
     so that a block holds like products and its largest parts tell what they can
     reach. A product without a token belongs to a block but has no parts.
     """
     index = step(postings(texts), "postings")
-    corpus = index.groupBy("ord").agg(F.max("doc_len").alias("doc_len")).agg(F.sum("doc_len").alias("tokens"))
-    corpus = corpus.join(texts.agg(F.count("*").alias("n_docs"))).select("n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_len"))  # one row each
+    variant = F.col(by).cast("string") if by else F.lit("")
+    dealt = placed(texts.select("ord", variant.alias("_variant"), *BLOCK_ORDER).withColumn("_all", F.lit(0)), "_all", "_variant", *BLOCK_ORDER, "ord")
+    dealt = step(dealt.select("ord", "_variant", F.floor((F.col("place") - 1) / block).cast("int").alias("block")), "blocks")
+    index = index.join(dealt, "ord")
+    lengths = index.groupBy("_variant", "ord").agg(F.max("doc_len").alias("doc_len")).groupBy("_variant").agg(F.sum("doc_len").alias("tokens"))
+    corpus = lengths.join(dealt.groupBy("_variant").agg(F.count("*").alias("n_docs")), "_variant").select("_variant", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("avg_len"))
     idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = term_stats(index).join(F.broadcast(corpus)).select("term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    weighted = index.groupBy("_variant", "term").agg(F.count("*").alias("df")).join(F.broadcast(corpus), "_variant").select("_variant", "term", "avg_len", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row a variant is sent
     part = F.col("idf") * F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    dealt = placed(texts.select("ord", *BLOCK_ORDER).withColumn("_all", F.lit(0)), "_all", *BLOCK_ORDER, "ord")
-    dealt = dealt.select("ord", F.floor((F.col("place") - 1) / block).cast("int").alias("block"))
-    parts = index.join(dealt, "ord").join(weighted, "term").select("term", "block", "ord", part.alias("part"))
+    term = keyed(F.col("_variant"), F.col("term")) if by else F.col("term")
+    parts = index.join(weighted, ["_variant", "term"]).select(term.alias("term"), "block", "ord", part.alias("part"))
     parts = step(parts.repartition("block").sortWithinPartitions("block", "term"), "parts")
     tops = step(parts.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("part").alias("top")).select("term", "block", "n", "top"), "tops")
     return Index(parts, tops, max(1, -(-texts.count() // block)))

@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import scoring
+from ..operators import retrieval, scoring
 from ..sources import views as V
 from ..sources.steps import step
 
@@ -114,3 +114,29 @@ def resolve(spark: SparkSession, source: str, dataset: str, stress: str, manifes
         build(spark, source, dataset, stress, manifest, seed=seed)
     both = official | {"coverage_stress": V.read_jsonl(spark, stress)}
     return both if mode == "dual" else {"coverage_stress": both["coverage_stress"]}
+
+
+def stacked(catalogs: dict[str, DataFrame]) -> DataFrame:
+    """The field texts of several catalogs (each with ``ord``) with their ``variant``; ``ord`` tells all of their products apart."""
+    n = len(catalogs)
+    texts = [V.field_texts(df).withColumn("ord", F.col("ord") * n + i).withColumn("variant", F.lit(name)) for i, (name, df) in enumerate(catalogs.items())]
+    return V.union_all(texts)
+
+
+def evaluate(catalogs: dict[str, DataFrame], asked: DataFrame, pool: int = 100, k: int = 10, **weights) -> DataFrame:
+    """(variant, scenario_type, metrics): every catalog asked the same in one plan, the variant a key of index, pool and metrics.
+
+    ``asked`` is (sample_id, scenario_type, target, query, terms, phrases, required);
+    ``catalogs`` is what resolve() gives, with ``ord``.
+    """
+    texts = step(stacked(catalogs), "stacked")
+    names = F.explode(F.array(*map(F.lit, catalogs))).alias("variant")
+    rows = asked.select("*", names).withColumn("query", retrieval.keyed(F.col("variant"), F.col("query")))
+    rows = step(rows, "asked-variants")
+    different = step(rows.select("query", "variant", F.array_distinct("terms").alias("terms"), "phrases", "required").dropDuplicates(["query"]), "different")
+    terms = different.select("query", "variant", F.explode("terms").alias("term")).select("query", retrieval.keyed(F.col("variant"), F.col("term")).alias("term"))
+    found = retrieval.search_index(retrieval.build_index(texts, by="variant"), terms, pool)
+    best = retrieval.rerank(found.join(different, "query").drop("score", "variant"), texts, k, **weights).select("query", F.col("parent_asin").alias("target"), "rank")
+    turns = rows.join(best, ["query", "target"], "left").withColumns({"turn": F.lit(1), "applied": F.lit(True), "sample_id": retrieval.keyed(F.col("variant"), F.col("sample_id").cast("string"))})
+    facts = scoring.session_facts(turns).join(turns.select("sample_id", "variant"), "sample_id")
+    return scoring.summarise(facts, "variant", "scenario_type").where("variant <> 'all'")

@@ -500,6 +500,11 @@ def clarify_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _next(asking.attribute_order("entropy", _pools(spark, sf_dir)))
 
 
+@_query
+def clarify_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _next(asking.attribute_order("expected_value", _pools(spark, sf_dir)))
+
+
 @_query
 def clarify_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = list(asking.PROFILE_MAP)
@@ -561,6 +566,35 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.recall(_ranked(spark, sf_dir), (10, 50, 100), "scenario_type")
 
 
+@_query
+def stemmed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the opening messages' targets when each query also asks for its terms' singulars."""
+    asked = _asked(spark, sf_dir).withColumn("terms", X.with_stems(F.col("terms")))
+    pool = _pool(spark, sf_dir, asked=asked).select("query", F.col("ord").cast("string").alias("target"), "rank")
+    return scoring.recall(asked.join(pool, ["query", "target"], "left"), (10, 50, 100), "scenario_type")
+
+
+@_query
+def rejection_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn shows when stuck sessions are shown what they haven't seen, over the whole of every pool."""
+    got = _retrieved(spark, sf_dir, k=100)
+    return R.shown(got).select("sample_id", "turn", F.array_join(F.transform("shown", lambda x: x.cast("string")), ",").alias("shown"))
+
+
+@_query
+def dual_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the opening messages on the official and the masked catalog in one plan, and how much the masking changes them."""
+    products, targets = _reviewed(spark, sf_dir)
+    products = step(products, "official")
+    stress = scoring.apply_masks(products, scoring.masked_ids(products, targets, _MASKED, SEED), _MASKED)
+    found = step(variants.evaluate({"official": products, "coverage_stress": stress}, _asked(spark, sf_dir)), "metrics")
+    a, b = (found.where(F.col("variant") == v) for v in ("official", "coverage_stress"))
+    delta = scoring.deltas(a, b, "scenario_type")
+    told = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("hit_rate", "mrr", "mttc", "efficiency", "score"))))
+    each = found.select("variant", "scenario_type", told.alias("r")).select("variant", "scenario_type", "r.*")
+    return each.unionByName(delta.select(F.lit("delta").alias("variant"), "scenario_type", "metric", F.col("delta").alias("value")))
+
+
 @_query
 def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.latency(V.table(spark, sf_dir, "events"), "event_type", "value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .functions import text as X
 from .operators import asking
 
@@ -260,6 +262,16 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"SELECT sample_id, CASE WHEN b = a THEN list_filter([a], lambda x: x IS NOT NULL) ELSE list_filter([a, b], lambda x: x IS NOT NULL) END AS wanted FROM (SELECT o_orderkey AS sample_id, names[{_list([*asking.PROFILE_MAP, 'unknown'])}[o_custkey % {len(asking.PROFILE_MAP) + 1} + 1]] AS a, "
         f"names[{_list([*asking.PROFILE_MAP, 'unknown'])}[(o_custkey // 7) % {len(asking.PROFILE_MAP) + 1} + 1]] AS b FROM orders, (SELECT MAP {{{', '.join(f'{_q(t)}: {_q(a)}' for t, a in asking.PROFILE_MAP.items())}}} AS names))",
     ),
+    "answers": (  # how many of a pool's products stand for each of an attribute's words
+        ("pool", "texts"),
+        f"WITH known(token, attribute, priority, place) AS (VALUES {', '.join(f'({_q(w)}, {_q(a)}, {asking.PATTERN_ORDER.index(a)}, {i})' for a in asking.PATTERN_ORDER for i, w in enumerate(asking.PATTERNS[a]))}), "
+        f"words AS (SELECT ord, unnest(list_distinct({_tokens(_WHOLE)})) AS token FROM texts) SELECT pool, attribute, priority, first, count(*) AS n, any_value(items) AS items FROM (SELECT query AS pool, ord, attribute, priority, min(place) AS first FROM pool JOIN words USING (ord) JOIN known USING (token) GROUP BY ALL) JOIN (SELECT query AS pool, count(*) AS items FROM pool GROUP BY 1) USING (pool) GROUP BY 1, 2, 3, 4",
+    ),
+    "turn_all": (  # every product of each turn's pool with its score
+        ("turn_pool", "turn_wanted", "different", "best_weight", "field_tokens"),
+        "SELECT p.query, p.ord, p.rank, round(m + 1.2::DOUBLE * ln(1 + rating_number) + CASE WHEN price IS NOT NULL THEN 2 ELSE 0 END + len(list_filter(d.phrases, lambda x: contains(t.whole, x))) + CASE WHEN len(d.required) > 0 AND hit = len(d.required) THEN 4 ELSE 0 END, 9) AS score FROM (SELECT p.query, p.ord, p.rank, coalesce(sum(b.w), 0) AS m, count(b.w) FILTER (list_contains(d.required, w.term)) AS hit "
+        "FROM turn_pool p JOIN turn_wanted w USING (query) JOIN different d USING (query) LEFT JOIN best_weight b ON b.ord = p.ord AND b.term = w.term GROUP BY 1, 2, 3) p JOIN different d USING (query) JOIN field_tokens t USING (ord)",
+    ),
     "asks": (  # the next question depends on those before: turn after turn
         ("keyed", "stuck", "turn_orders"),
         f"WITH RECURSIVE steps AS (SELECT k.sample_id, k.turn, stuck_for, list_concat(coalesce(found, []), list_filter({_list(asking.DEFAULT_ORDER)}, lambda a: NOT list_contains(coalesce(found, []), a))) AS attrs FROM keyed k JOIN stuck USING (sample_id, turn) LEFT JOIN turn_orders o ON o.pool = k.query), "
@@ -354,6 +366,10 @@ _VIEWS |= {
         ("catalog", "masks"),
         "SELECT c.ord, parent_asin, title, CASE WHEN a.ord IS NULL THEN price END AS price, CASE WHEN b.ord IS NOT NULL THEN '' ELSE descr END AS descr FROM catalog c LEFT JOIN (SELECT ord FROM masks WHERE field = 'price') a ON a.ord = c.ord LEFT JOIN (SELECT ord FROM masks WHERE field = 'description') b ON b.ord = c.ord",
     ),
+    "catalog_s": (  # the masked catalog with all of a catalog's columns
+        ("catalog", "masks"),
+        "SELECT c.* REPLACE (CASE WHEN a.ord IS NULL THEN price END AS price, CASE WHEN b.ord IS NOT NULL THEN '' ELSE descr END AS descr) FROM catalog c LEFT JOIN (SELECT ord FROM masks WHERE field = 'price') a ON a.ord = c.ord LEFT JOIN (SELECT ord FROM masks WHERE field = 'description') b ON b.ord = c.ord",
+    ),
     "broken": (
         ("catalog", "masked"),
         "SELECT m.ord, m.title || CASE WHEN m.ord % 31 = 0 THEN '!' ELSE '' END AS title, CASE WHEN m.ord % 43 = 0 THEN 1.0 WHEN m.ord % 5 = 0 THEN c.price ELSE m.price END AS price, m.descr FROM masked m JOIN catalog c USING (ord) WHERE m.ord % 97 <> 0",
@@ -512,6 +528,46 @@ def _walked(policy: str, found: str) -> str:
     )
 
 
+def _copied(suffix: str, swapped: dict[str, str], *names: str) -> None:
+    """Copies of views that read each other's copies, and ``swapped`` in place of others."""
+    new = {n: n + suffix for n in names} | swapped
+    for n in names:
+        needs, body = _VIEWS[n]
+        _VIEWS[n + suffix] = tuple(new.get(x, x) for x in needs), re.sub(r"\b(" + "|".join(new) + r")\b(?!')", lambda m: new[m[1]], body)
+
+
+_copied("_s", {"catalog": "catalog_s"}, "texts", "postings", "df", "corpus", "parts", "ranked", "pool", "weights", "matched", "phrased")
+_VIEWS["wanted_x"] = ("wanted",), f"SELECT DISTINCT query, unnest([term, {_norm('term')}]) AS term FROM wanted"
+_VIEWS["ranked_x"] = ("wanted_x", "parts"), _bm25("wanted_x")
+
+
+def _opening_facts(suffix: str) -> str:
+    """The opening messages' hits among the ten best of a catalog."""
+    return (
+        "SELECT a.sample_id, scenario_type, place IS NOT NULL AS hit, CASE WHEN place IS NOT NULL THEN 1 END AS first_hit_turn, coalesce(1.0::DOUBLE / place, 0) AS reciprocal_rank FROM asked a LEFT JOIN (SELECT * FROM (SELECT query, ord, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM "
+        f"(SELECT m.query, m.ord, m.rank, round(m + 1.2::DOUBLE * ln(1 + rating_number) + CASE WHEN price IS NOT NULL THEN 2 ELSE 0 END + coalesce(ph, 0) + CASE WHEN complete THEN 4 ELSE 0 END, 9) AS score FROM matched{suffix} m JOIN texts{suffix} USING (ord) LEFT JOIN phrased{suffix} x ON x.query = m.query AND x.ord = m.ord)) WHERE place <= 10) b "
+        "ON b.query = a.query AND b.ord::VARCHAR = a.target"
+    )
+
+
+def _long(metrics: str) -> str:
+    return f"UNPIVOT (SELECT * EXCLUDE (sample_count) FROM ({_scored(_metrics(metrics))})) ON hit_rate, mrr, mttc, efficiency, score INTO NAME metric VALUE v"
+
+
+_VIEWS["official_facts"] = ("asked", "matched", "texts", "phrased"), _opening_facts("")
+_VIEWS["stress_facts"] = ("asked", "matched_s", "texts_s", "phrased_s"), _opening_facts("_s")
+ORACLES |= {
+    "dual_catalogs": _with(
+        f", told AS (SELECT 'official' AS variant, * FROM ({_long('official_facts')}) UNION ALL SELECT 'coverage_stress', * FROM ({_long('stress_facts')})) SELECT variant, scenario_type, metric, v AS value FROM told UNION ALL SELECT 'delta', a.scenario_type, a.metric, round(b.v - a.v, 6) "
+        "FROM told a JOIN told b ON a.variant = 'official' AND b.variant = 'coverage_stress' AND a.scenario_type = b.scenario_type AND a.metric = b.metric", "official_facts", "stress_facts").replace(" , told AS", ", told AS"),
+    "stemmed_recall": _with(
+        "SELECT coalesce(scenario_type, 'all') AS scenario_type, cutoff, count(*) AS sample_count, round(avg(CASE WHEN rank <= cutoff THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT sample_id, scenario_type, p.rank FROM asked a LEFT JOIN (SELECT * FROM ranked_x WHERE rank <= 100) p ON p.query = a.query AND p.ord::VARCHAR = a.target), (SELECT unnest([10, 50, 100]) AS cutoff) GROUP BY GROUPING SETS ((cutoff), (cutoff, scenario_type))", "asked", "ranked_x"),
+    "clarify_expected": _with(
+        f"SELECT pool, array_to_string(attrs, ' ') AS attributes, list_filter(attrs, lambda a: a NOT IN ('color', 'size'))[1] AS next FROM (SELECT pool, list_concat(coalesce(found, []), list_filter({_list(asking.DEFAULT_ORDER)}, lambda a: NOT list_contains(coalesce(found, []), a))) AS attrs FROM (SELECT DISTINCT query AS pool FROM pool) LEFT JOIN ("
+        "SELECT pool, list(attribute ORDER BY gain DESC, priority) AS found FROM (SELECT pool, attribute, priority, round(-sum(n / items::DOUBLE * log2(n / items::DOUBLE)), 9) AS gain FROM ("
+        "SELECT pool, attribute, priority, n, items FROM answers UNION ALL SELECT pool, attribute, priority, items - sum(n), items FROM answers GROUP BY pool, attribute, priority, items HAVING items > sum(n)) GROUP BY 1, 2, 3) WHERE gain > 0 GROUP BY 1) USING (pool))", "pool", "answers"),
+}
+
 _NONE = "[]::VARCHAR[]"
 #: Whole turns: each different query is retrieved and reranked once.
 REPLAYED: dict[str, str] = {
@@ -536,3 +592,12 @@ REPLAYED: dict[str, str] = {
         "FROM replay_facts JOIN split USING (sample_id) GROUP BY GROUPING SETS ((), (part), (part, difficulty_bucket))))", "replay_facts", "split"),
 }
 ORACLES |= REPLAYED
+#: What is shown depends on what was: conversations turn after turn, those of the same queries once.
+FOLDED: dict[str, str] = {
+    "rejection_rerank": _with(
+        ", course AS (SELECT sample_id, list({'t': turn, 's': stuck_for, 'q': query} ORDER BY turn) AS c FROM keyed JOIN stuck USING (sample_id, turn) GROUP BY 1), kinds AS (SELECT c, row_number() OVER () AS id FROM (SELECT DISTINCT c FROM course)), "
+        "walk AS (WITH RECURSIVE w AS (SELECT id, 0 AS turn, []::BIGINT[] AS seen, []::BIGINT[] AS shown FROM kinds UNION ALL SELECT id, turn, list_concat(any_value(seen), list(ord ORDER BY s DESC, rank)[1:10]), list(ord ORDER BY s DESC, rank)[1:10] FROM ("
+        "SELECT w.id, w.turn + 1 AS turn, w.seen, a.ord, a.rank, round(a.score - CASE WHEN k.c[w.turn + 1].s >= 1 THEN len(list_filter(w.seen, lambda x: x = a.ord)) ELSE 0 END, 9) AS s FROM w JOIN kinds k USING (id) JOIN turn_all a ON a.query = k.c[w.turn + 1].q WHERE w.turn < len(k.c)) GROUP BY id, turn) SELECT * FROM w) "
+        "SELECT sample_id, turn, array_to_string(shown, ',') AS shown FROM course JOIN kinds USING (c) JOIN walk USING (id) WHERE turn > 0", "keyed", "stuck", "turn_all").replace(" , course AS", ", course AS"),
+}
+ORACLES |= FOLDED
