@@ -299,3 +299,111 @@ def test_reordered_output_is_refused(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="order_preserved"):
         variants.build(spark, source, dataset, str(tmp_path / "other"), str(tmp_path / "m2"))
     assert not (tmp_path / "other").exists()
+
+
+def test_pruned_index_opens_few_blocks_and_loses_nothing(spark):
+    """Against scoring everything, with ties, blocks of one kind of product, and a word that all products hold."""
+    kinds = ["red shirt", "blue shirt", "red hat", "green bag", "steel bolt", "blue bolt"]
+    rows = [(i, f"P{i}", f"{kinds[i % 6]} common", [kinds[i % 6]], "f" * (i % 3), "", "s", "") for i in range(3000)]
+    texts = spark.createDataFrame(rows, "ord long, parent_asin string, title string, categories array<string>, features string, details string, store string, description string").withColumn("categories", F.array_join("categories", " "))
+    asked = spark.createDataFrame([(q, t) for q in ("red hat common", "bolt", "common", "none") for t in q.split()], "query string, term string")
+    index = retrieval.build_index(texts)
+    parts = {}
+    for r in index.parts.collect():
+        parts.setdefault(r.term, {})[r.ord] = r.part
+    for k in (1, 7, 200):
+        got = {}
+        for r in retrieval.search_index(index, asked, k).collect():
+            got.setdefault(r.query, []).append((r.rank, r.ord, r.score))
+        for q in ("red hat common", "bolt", "common"):
+            every = {}
+            for t in q.split():
+                for o, p in parts[t].items():
+                    every[o] = every.get(o, 0.0) + p
+            want = sorted((-round(s, 9), o) for o, s in every.items())[:k]
+            assert [(r, o) for r, o, _ in sorted(got[q])] == [(i, o) for i, (_, o) in enumerate(want, 1)]
+        assert "none" not in got
+    told = retrieval.opened(index, asked.where("query <> 'common'"), 7).first()
+    assert 0 < told.opened < told.pairs / 2
+
+
+def test_variants_share_an_index_but_not_their_statistics(spark):
+    shop = _plain_shop(spark)
+    bare = shop.withColumn("title", F.lit("bag")).withColumn("features", F.array(F.lit("red"))).where("ord < 3")
+    asked = spark.createDataFrame([("s", "buying", "P0", "red shirt", ["red", "shirt"], ["red shirt"], [])], "sample_id string, scenario_type string, target string, query string, terms array<string>, phrases array<string>, required array<string>")
+    got = {r.variant: r for r in variants.evaluate({"a": shop, "b": bare}, asked).where("scenario_type = 'all'").collect()}
+    assert (got["a"].hit_rate, got["a"].mrr) == (1.0, 1.0) and (got["b"].hit_rate, got["b"].sample_count) == (1.0, 1)
+    alone = retrieval.bm25(spark.createDataFrame([("q", "red")], "query string, term string"), V.field_texts(bare), 5).collect()
+    texts = variants.stacked({"a": shop, "b": bare})
+    both = retrieval.search_index(retrieval.build_index(texts, by="variant"), spark.createDataFrame([("q", "b\x1fred")], "query string, term string"), 5).collect()
+    assert sorted((r.ord, r.score) for r in alone) == sorted(((r.ord - 1) // 2, r.score) for r in both)
+
+
+def test_conflicts_override_whatever_the_sentence(spark):
+    """Against a fold in plain code, over random sessions."""
+    import random
+
+    words = [("color", "black"), ("color", "red"), ("style", "casual"), ("style", "formal"), ("category", "belt"), ("category", "hat"), ("size", "wide")]
+    table = spark.createDataFrame([(*w, 1) for w in words], "slot string, term string, support long")
+    draw = random.Random(3)
+    phrase = "Actually, ignore my earlier preference. "
+    rows = [(f"s{s}", t, (phrase if draw.random() < 0.15 else "") + " ".join(draw.sample([w for _, w in words], draw.randint(0, 3)) + ["thing"])) for s in range(60) for t in range(1, 6)]
+    said = spark.createDataFrame(rows, "sample_id string, turn int, message string")
+    want = set()
+    for s in {r[0] for r in rows}:
+        held = {}
+        for _, turn, message in sorted(r for r in rows if r[0] == s):
+            now = {(slot, w) for slot, w in words if w in message.split()}
+            named = {slot for slot, _ in now}
+            clash = any(slot in {h for h, _ in held} and (slot, w) not in held for slot, w in now)
+            if clash or message.startswith("Actually"):
+                want.add((s, turn))
+                held = {k: at for k, at in held.items() if k[0] not in named and (k[0] == "category" or at > 1)}
+            for k in now:
+                held.setdefault(k, turn)
+    heard = state.hear(said, table, "conflict")
+    assert {tuple(r) for r in heard.overrides.collect()} == want and len(want) > 60
+    plain = state.hear(said, table)
+    assert plain.overrides.count() < len(want) and state.entries(heard).where("status <> 'active'").count() > state.entries(plain).where("status <> 'active'").count()
+    with pytest.raises(ValueError, match="no trigger"):
+        state.hear(said, table, "mood")
+
+
+def test_rejected_products_give_way(spark):
+    best = [("q", i, f"P{i}", 10.0 - i, i) for i in range(1, 7)] + [("r", i, f"P{i}", 5.0, i) for i in range(1, 4)]
+    got = replay.Retrieved(
+        spark.createDataFrame([("s", t, "q" if t < 5 else "r", n) for t, n in ((1, 0), (2, 1), (3, 2), (4, 0), (5, 1))] + [("u", 1, "q", 1), ("u", 2, "none", 1)], "sample_id string, turn int, query string, stuck_for int"),
+        spark.createDataFrame([(q, o, r) for q, o, _, _, r in best], "query string, ord long, rank int"),
+        spark.createDataFrame(best, "query string, ord long, parent_asin string, score double, rank int"), None,
+    )
+    times, want = {}, {}
+    for turn, query, stuck in ((1, "q", 0), (2, "q", 1), (3, "q", 2), (4, "q", 0), (5, "r", 1)):
+        ranked = sorted((-(s - 2.5 * times.get(o, 0) * (stuck >= 1)), r, o) for q, o, _, s, r in best if q == query)
+        want["s", turn] = [o for _, _, o in ranked[:2]]
+        for o in want["s", turn]:
+            times[o] = times.get(o, 0) + 1
+    want |= {("u", 1): [1, 2], ("u", 2): []}
+    assert {(r.sample_id, r.turn): r.shown for r in replay.shown(got, 2.5, 1, 2).collect()} == want
+    assert want["s", 2] != want["s", 1]
+
+
+def test_expected_value_counts_the_silent(spark):
+    """Nine of ten say cotton: two values would tell less than a value and silence."""
+    rows = [("p", i, ["cotton"] if i else ["thing"]) for i in range(10)] + [("q", i, ["red"]) for i in range(3)] + [("r", i, [["red", "blue"][i % 2], "hiking"] if i < 4 else ["red"]) for i in range(8)]
+    got = {r.pool: r.attributes for r in asking.attribute_order("expected_value", spark.createDataFrame(rows, "pool string, item int, tokens array<string>")).collect()}
+    assert got["p"][0] == "material" and got["q"] == list(asking.DEFAULT_ORDER)
+    assert got["r"][:2] == ["use_case", "color"]  # four of eight against two of eight
+
+
+def test_stems_widen_a_query(spark):
+    df = spark.createDataFrame([(["shoes", "red", "glasses", "red"],)], "t array<string>")
+    assert df.select(X.with_stems(F.col("t")).alias("x")).first().x == ["shoes", "red", "glasses", "shoe", "glass"]
+
+
+def test_dense_search_refuses_and_leaves_out(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", None), ("d", [0.0, 0.0]), (None, [1.0, 0.0])], "id string, v array<double>")
+    asked = spark.createDataFrame([("q", [3.0, 0.0]), ("z", None)], "query string, v array<double>")
+    assert [tuple(r) for r in retrieval.cosine_topk(asked, rows, 3).orderBy("rank").collect()] == [("q", "a", 1.0, 1), ("q", "b", 1.0, 2), ("q", "d", 0.0, 3)]
+    assert retrieval.cosine_topk(asked.limit(0), rows, 3).count() == 0
+    with pytest.raises(Exception, match="another length"):
+        retrieval.cosine_topk(asked, rows.withColumn("v", F.array(F.lit(1.0))), 3).collect()

@@ -25,8 +25,8 @@ def test_singular_forms(spark):
 
 
 def test_compounds(spark):
-    got = _each(spark, X.split_compound, ["Tops, Tees & Blouses", "Skullies & Beanies", "Jackets and Coats", None])
-    assert got == [["top", "tee", "blouse"], ["skullie", "beanie"], ["jacket", "coat"], []]
+    got = _each(spark, X.split_compound, ["Tops, Tees & Blouses", "Booties & Gloves", "Jackets and Coats", None])
+    assert got == [["top", "tee", "blouse"], ["bootie", "glove"], ["jacket", "coat"], []]
 
 
 def test_departments(spark):
@@ -51,9 +51,9 @@ def test_overrides_and_refusals(spark):
 
 
 def test_stress_levels(spark):
-    text = "I'm looking for Wrist Watches. A key requirement is: Imported."
-    assert _each(spark, X.strip_scaffold, [text]) == ["I'm looking for Wrist Watches. Imported."]
-    assert _each(spark, X.STRESS_LEVELS["L2_no_category"], [text]) == ["I'm looking for something. Imported."]
+    text = "I'm looking for Garden Hoses. A key requirement is: Coiled."
+    assert _each(spark, X.strip_scaffold, [text]) == ["I'm looking for Garden Hoses. Coiled."]
+    assert _each(spark, X.STRESS_LEVELS["L2_no_category"], [text]) == ["I'm looking for something. Coiled."]
     assert _each(spark, X.substitute_synonyms, ["Red boots and a Belt"]) == ["Red high footwear and a strap"]
 
 

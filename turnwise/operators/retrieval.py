@@ -26,7 +26,7 @@ ASKED_ROWS = 2_000_000
 #: Queries that meet a block of products at once.
 QUERIES = 50_000
 #: Products of a block of the index, the fields in whose order they are dealt to blocks, and what bounds may lose by rounding.
-BLOCK, BLOCK_ORDER, SLACK = 128, ("title", "categories", "store"), 1e-6
+BLOCK, BLOCK_ORDER, SLACK = 128, ("title", "categories", "store"), 1e-8
 #: Query vectors that are sent to every task at once, and products of a task's matrices that are held at once.
 QUERY_VECTORS, STRETCH = 4096, 2_000_000
 

@@ -17,6 +17,9 @@ from .catalogs import extract_slots
 DURABLE, OPENING, TERM_LIMIT = ("category", "department"), 1, 40
 # Why an override kept or dropped a term.
 REASONS = ("slot_replaced_by_message", "durable_slot", "learned_after_opening_turn", "volunteered_on_opening_turn")
+#: What makes a turn an override.
+TRIGGERS = ("phrase", "conflict")
+_HELD = "array<struct<slot:string,term:string,arrived:int>>"
 _STRINGS, _INTS = "cast(array() as array<string>)", "cast(array() as array<int>)"
 
 
@@ -26,6 +29,7 @@ class Heard(NamedTuple):
     messages: DataFrame  # sample_id, turn, message
     slots: DataFrame  # message, slot, term
     mentions: DataFrame  # sample_id, turn, pos, token, slot
+    overrides: DataFrame  # sample_id, turn
 
 
 def message_slots(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -34,10 +38,11 @@ def message_slots(messages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return extract_slots(said, vocabulary, "message", "message")
 
 
-def hear(messages: DataFrame, vocabulary: DataFrame) -> Heard:
-    """Every token stated, with the first slot that claims it.
+def hear(messages: DataFrame, vocabulary: DataFrame, trigger: str = "phrase") -> Heard:
+    """Every token stated, with the first slot that claims it, and the turns that override.
 
-    Tokens and slots depend on the message's text alone, so each different
+    A turn overrides by its sentence; with the trigger ``conflict`` also if it
+    names a new value of a slot that holds another one. Tokens and slots depend on the message's text alone, so each different
     message is worked out once and joined back.
     """
     slots = written(message_slots(messages, vocabulary), "message-slots")
@@ -46,7 +51,47 @@ def hear(messages: DataFrame, vocabulary: DataFrame) -> Heard:
     pieces = slots.select("message", "slot", F.explode(F.split("term", " ")).alias("piece"))
     claimed = tokens.join(pieces, ["message", "piece"], "left").groupBy("message", "pos", "token").agg(F.min("slot").alias("slot"))
     mentions = messages.select("sample_id", "turn", "message").join(claimed, "message").select("sample_id", "turn", "pos", "token", "slot")
-    return Heard(messages, slots, written(mentions, "mentions"))
+    if trigger not in TRIGGERS:
+        raise ValueError(f"no trigger {trigger!r}: it is one of {', '.join(TRIGGERS)}")
+    overrides = messages.where(X.is_override(F.col("message"))).select("sample_id", "turn")
+    return Heard(messages, slots, written(mentions, "mentions"), overrides if trigger == "phrase" else written(conflicts(messages, slots), "overrides"))
+
+
+def conflicts(messages: DataFrame, slots: DataFrame) -> DataFrame:
+    """(sample_id, turn): the turns that override by their sentence or by a conflict in a slot.
+
+    What a slot holds depends on the overrides before, so this is a fold over a
+    session's own turns: an override empties the slots that its message names and
+    what the opening turn put in slots that aren't durable.
+    """
+    per = _turn_slots(messages, slots)
+    opening = lambda t: F.array_min(F.transform(t, lambda m: m["turn"]))
+    rows = per.withColumn("opening", opening(F.col("turns")))
+    start = F.struct(F.expr(f"cast(array() as {_HELD})").alias("held"), F.expr("cast(array() as array<int>)").alias("out"))
+    same = lambda h, x: (h["slot"] == x["slot"]) & (h["term"] == x["term"])
+
+    def one(s: Column, m: Column) -> Column:
+        named = F.transform(m["slots"], lambda x: x["slot"])
+        new = F.exists(m["slots"], lambda x: F.exists(s["held"], lambda h: h["slot"] == x["slot"]) & ~F.exists(s["held"], lambda h: same(h, x)))
+        over = m["override"] | new
+        stays = F.filter(s["held"], lambda h: ~F.array_contains(named, h["slot"]) & (h["slot"].isin(*DURABLE) | (h["arrived"] > F.col("opening"))))
+        kept = F.when(over, stays).otherwise(s["held"])
+        more = F.filter(m["slots"], lambda x: ~F.exists(kept, lambda h: same(h, x)))
+        held = F.concat(kept, F.transform(more, lambda x: F.struct(x["slot"].alias("slot"), x["term"].alias("term"), m["turn"].cast("int").alias("arrived"))))
+        return F.struct(held.alias("held"), F.when(over, F.concat(s["out"], F.array(m["turn"].cast("int")))).otherwise(s["out"]).alias("out"))
+
+    return rows.select("sample_id", F.explode(F.aggregate("turns", start, one, lambda s: s["out"])).alias("turn"))
+
+
+def _turn_slots(messages: DataFrame, slots: DataFrame) -> DataFrame:
+    """(sample_id, turns): each session's turns in order with whether they override by their sentence, their tokens and their slots' terms."""
+    found = slots.groupBy("message").agg(F.array_sort(F.collect_set(F.struct("slot", "term"))).alias("slots"))
+    said = messages.select("message").distinct().join(found, "message", "left").select(
+        "message", X.is_override(F.col("message")).alias("override"), X.constraint_tokens(F.col("message")).alias("tokens"),
+        F.coalesce("slots", F.expr("cast(array() as array<struct<slot:string,term:string>>)")).alias("slots"),
+    )
+    rows = messages.select("sample_id", "turn", "message").join(said, "message")
+    return rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "override", "tokens", "slots"))).alias("turns"))
 
 
 def _openings(messages: DataFrame) -> DataFrame:
@@ -60,7 +105,7 @@ def _kills(heard: Heard) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct("turn", "pos")).alias("first"), F.max("turn").alias("last_turn"),
         F.min(F.when(F.col("slot").isNotNull(), F.struct("turn", "pos", "slot"))).alias("slotted"),
     )
-    overrides = heard.messages.where(X.is_override(F.col("message"))).select("sample_id", F.col("turn").alias("o"), "message").join(_openings(heard.messages), "sample_id")
+    overrides = heard.messages.join(heard.overrides, ["sample_id", "turn"], "left_semi").select("sample_id", F.col("turn").alias("o"), "message").join(_openings(heard.messages), "sample_id")
     named = heard.slots.groupBy("message").agg(F.collect_set("slot").alias("named"))
     overrides = overrides.join(named, "message", "left").select("sample_id", "o", "opening", F.coalesce("named", F.expr("cast(array() as array<string>)")).alias("named"))
     slot_then = F.when(F.col("slotted.turn") < F.col("o"), F.col("slotted.slot"))
@@ -199,7 +244,7 @@ def dispositions(heard: Heard) -> DataFrame:
     """(sample_id, turn, slot, term, arrived, kept, reason): what each override does to every slotted token that is active before it."""
     messages = heard.messages
     named = heard.slots.groupBy("message").agg(F.collect_set("slot").alias("named"))
-    overrides = messages.where(X.is_override(F.col("message"))).join(named, "message", "left").join(_openings(messages), "sample_id").select("sample_id", F.col("turn").alias("o"), "opening", F.coalesce("named", F.expr(_STRINGS)).alias("named"))
+    overrides = messages.join(heard.overrides, ["sample_id", "turn"], "left_semi").join(named, "message", "left").join(_openings(messages), "sample_id").select("sample_id", F.col("turn").alias("o"), "opening", F.coalesce("named", F.expr(_STRINGS)).alias("named"))
     active = active_by_turn(heard, None).where("slot IS NOT NULL")
     earlier = messages.select("sample_id", F.col("turn").alias("before"))
     last = overrides.join(earlier, "sample_id").where("before < o").groupBy("sample_id", "o", "opening", "named").agg(F.max("before").alias("turn"))
@@ -230,16 +275,8 @@ def slot_model(heard: Heard, limit: int = TERM_LIMIT) -> DataFrame:
 
     A fold over each session's own turns, in order.
     """
-    messages = heard.messages
-    found = heard.slots.groupBy("message").agg(F.array_sort(F.collect_set(F.struct("slot", "term"))).alias("slots"))
-    said = messages.select("message").distinct().join(found, "message", "left").select(
-        "message", X.is_override(F.col("message")).alias("override"), X.constraint_tokens(F.col("message")).alias("tokens"),
-        F.coalesce("slots", F.expr("cast(array() as array<struct<slot:string,term:string>>)")).alias("slots"),
-    )
-    rows = messages.select("sample_id", "turn", "message").join(said, "message")
-    per = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "override", "tokens", "slots"))).alias("turns"))
-    held = "array<struct<slot:string,term:string,arrived:int>>"
-    start = F.struct(F.expr(_STRINGS).alias("terms"), F.expr(f"cast(array() as {held})").alias("held"), F.expr("cast(array() as array<struct<turn:int,terms:array<string>>>)").alias("out"))
+    per = _turn_slots(heard.messages, heard.slots)
+    start = F.struct(F.expr(_STRINGS).alias("terms"), F.expr(f"cast(array() as {_HELD})").alias("held"), F.expr("cast(array() as array<struct<turn:int,terms:array<string>>>)").alias("out"))
 
     def step(s: Column, m: Column) -> Column:
         named = F.transform(m["slots"], lambda x: x["slot"])

@@ -317,6 +317,12 @@ def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir)
 
 
+@_query
+def conflict_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger where a new value of a slot that holds another one overrides, whatever the sentence."""
+    return state.entries(state.hear(_messages(spark, sf_dir), _vocabulary(spark, sf_dir), "conflict"))
+
+
 @_query
 def ledger_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.projection(_ledger(spark, sf_dir))
@@ -427,6 +433,20 @@ def turn_ribbon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir).join(said, ["sample_id", "turn"]).select("sample_id", "turn", F.col("rank").isNotNull().alias("is_hit"), "is_override", F.coalesce("rank", F.lit(0)).alias("target_rank"))
 
 
+@_query
+def session_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a viewer shows of each session: the nested turns' recommendations, titles and slots, told by digests."""
+    products, heard = V.catalog(spark, sf_dir), _heard(spark, sf_dir)
+    got = _retrieved(spark, sf_dir)
+    told = R.payload(got, state.active_by_turn(heard), V.sessions(spark, sf_dir), products)
+    text = lambda *v: F.concat_ws(":", *(x.cast("string") for x in v))
+    shown = F.flatten(F.transform("turns", lambda t: F.transform(t["recommendations"], lambda r: text(t["turn"], r["rank"], r["parent_asin"], r["title"], r["is_target"]))))
+    slots = F.flatten(F.transform("turns", lambda t: F.transform(t["slots"], lambda x: text(t["turn"], x["slot"], x["token"], x["first_turn"]))))
+    hits = F.transform(F.filter("turns", lambda t: t["target_rank"].isNotNull()), lambda t: text(t["turn"], t["target_rank"]))
+    digest = lambda a: F.sha2(F.array_join(a, "|"), 256)
+    return told.select("sample_id", F.size("turns").alias("n_turns"), F.size(shown).alias("n_shown"), F.array_join(hits, " ").alias("hits"), digest(shown).alias("shown"), digest(slots).alias("slots"))
+
+
 @_query
 def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the replayed sessions over all, by part of the split and by part and difficulty."""
@@ -600,6 +620,12 @@ def latency_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.latency(V.table(spark, sf_dir, "events"), "event_type", "value")
 
 
+@_query
+def latency_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile with what four times as many turns and 25 seconds of construction would take."""
+    return scoring.projected(scoring.latency(V.table(spark, sf_dir, "events"), "event_type", "value"), 25.0).select("event_type", "n", "mean", "projected")
+
+
 @_query
 def normalized_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommended ids cleaned: known ones only, each once, the first ten."""

@@ -537,6 +537,16 @@ def _copied(suffix: str, swapped: dict[str, str], *names: str) -> None:
 
 
 _copied("_s", {"catalog": "catalog_s"}, "texts", "postings", "df", "corpus", "parts", "ranked", "pool", "weights", "matched", "phrased")
+_SAME = "h.s = x.s AND h.t = x.t"
+_VIEWS["overrides_c"] = ("messages", "msg_slots"), (  # a slot's values turn after turn
+    f"WITH RECURSIVE said AS (SELECT m.sample_id, m.turn, {_override('m.message')} AS literal, coalesce(found, []) AS slots FROM messages m LEFT JOIN (SELECT message, list({{'s': slot, 't': term}}) AS found FROM msg_slots GROUP BY 1) USING (message)), "
+    "walk AS (SELECT sample_id, 0 AS turn, false AS over, [] :: STRUCT(s VARCHAR, t VARCHAR, f INTEGER)[] AS held, [] :: STRUCT(s VARCHAR, t VARCHAR)[] AS slots FROM (SELECT DISTINCT sample_id FROM said) UNION ALL "
+    f"SELECT sample_id, turn, over, list_concat(kept, list_transform(list_filter(slots, lambda x: len(list_filter(kept, lambda h: {_SAME})) = 0), lambda x: {{'s': x.s, 't': x.t, 'f': turn}})), slots FROM ("
+    "SELECT *, CASE WHEN over THEN list_filter(held, lambda h: len(list_filter(slots, lambda x: x.s = h.s)) = 0 AND (h.s IN ('category', 'department') OR h.f > 1)) ELSE held END AS kept FROM ("
+    f"SELECT w.sample_id, s.turn, w.held, s.slots, s.literal OR len(list_filter(s.slots, lambda x: len(list_filter(w.held, lambda h: h.s = x.s)) > 0 AND len(list_filter(w.held, lambda h: {_SAME})) = 0)) > 0 AS over FROM walk w JOIN said s ON s.sample_id = w.sample_id AND s.turn = w.turn + 1))) "
+    "SELECT sample_id, turn AS o, list_distinct(list_transform(slots, lambda x: x.s)) AS named FROM walk WHERE over"
+)
+_copied("_c", {"overrides": "overrides_c"}, "kills", "ledger")
 _VIEWS["wanted_x"] = ("wanted",), f"SELECT DISTINCT query, unnest([term, {_norm('term')}]) AS term FROM wanted"
 _VIEWS["ranked_x"] = ("wanted_x", "parts"), _bm25("wanted_x")
 
@@ -560,6 +570,8 @@ ORACLES |= {
     "dual_catalogs": _with(
         f", told AS (SELECT 'official' AS variant, * FROM ({_long('official_facts')}) UNION ALL SELECT 'coverage_stress', * FROM ({_long('stress_facts')})) SELECT variant, scenario_type, metric, v AS value FROM told UNION ALL SELECT 'delta', a.scenario_type, a.metric, round(b.v - a.v, 6) "
         "FROM told a JOIN told b ON a.variant = 'official' AND b.variant = 'coverage_stress' AND a.scenario_type = b.scenario_type AND a.metric = b.metric", "official_facts", "stress_facts").replace(" , told AS", ", told AS"),
+    "conflict_ledger": _with("SELECT * FROM ledger_c", "ledger_c"),
+    "latency_projection": "SELECT event_type, count(*) AS n, round(sum(value) / count(*), 6) AS mean, round(round(sum(value) / count(*), 6) * count(*) * 4 + 25, 6) AS projected FROM events GROUP BY 1",
     "stemmed_recall": _with(
         "SELECT coalesce(scenario_type, 'all') AS scenario_type, cutoff, count(*) AS sample_count, round(avg(CASE WHEN rank <= cutoff THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall FROM (SELECT sample_id, scenario_type, p.rank FROM asked a LEFT JOIN (SELECT * FROM ranked_x WHERE rank <= 100) p ON p.query = a.query AND p.ord::VARCHAR = a.target), (SELECT unnest([10, 50, 100]) AS cutoff) GROUP BY GROUPING SETS ((cutoff), (cutoff, scenario_type))", "asked", "ranked_x"),
     "clarify_expected": _with(
@@ -594,6 +606,11 @@ REPLAYED: dict[str, str] = {
 ORACLES |= REPLAYED
 #: What is shown depends on what was: conversations turn after turn, those of the same queries once.
 FOLDED: dict[str, str] = {
+    "session_payload": _with(
+        "SELECT sample_id, n_turns, n_shown, coalesce(hits, '') AS hits, sha256(coalesce(shown, '')) AS shown, sha256(coalesce(slots, '')) AS slots FROM (SELECT sample_id, count(*) AS n_turns FROM keyed GROUP BY 1) LEFT JOIN ("
+        "SELECT sample_id, count(*) AS n_shown, string_agg(k.turn || ':' || b.rank || ':' || b.ord || ':' || c.title || ':' || (b.ord::VARCHAR = target), '|' ORDER BY k.turn, b.rank) AS shown, string_agg(k.turn || ':' || b.rank, ' ' ORDER BY k.turn) FILTER (b.ord::VARCHAR = target) AS hits "
+        "FROM keyed k JOIN sessions USING (sample_id) JOIN turn_best b ON b.query = k.query JOIN catalog c ON c.ord = b.ord GROUP BY 1) USING (sample_id) LEFT JOIN ("
+        "SELECT sample_id, string_agg(turn || ':' || slot || ':' || token || ':' || first_turn, '|' ORDER BY turn, slot, place) AS slots FROM active WHERE slot IS NOT NULL GROUP BY 1) USING (sample_id)", "keyed", "sessions", "turn_best", "catalog", "active"),
     "rejection_rerank": _with(
         ", course AS (SELECT sample_id, list({'t': turn, 's': stuck_for, 'q': query} ORDER BY turn) AS c FROM keyed JOIN stuck USING (sample_id, turn) GROUP BY 1), kinds AS (SELECT c, row_number() OVER () AS id FROM (SELECT DISTINCT c FROM course)), "
         "walk AS (WITH RECURSIVE w AS (SELECT id, 0 AS turn, []::BIGINT[] AS seen, []::BIGINT[] AS shown FROM kinds UNION ALL SELECT id, turn, list_concat(any_value(seen), list(ord ORDER BY s DESC, rank)[1:10]), list(ord ORDER BY s DESC, rank)[1:10] FROM ("
