@@ -227,19 +227,23 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # whole turns: each different query is retrieved and reranked once
     "keyed": (("turn_terms",), f"SELECT *, array_to_string(terms, ' ') || '|' || array_to_string(list_sort(required), ' ') || '|' || array_to_string({_pairs('message')}, ',') AS query, {_pairs('message')} AS phrases FROM turn_terms"),
     "different": (("keyed",), "SELECT query, any_value(terms) AS terms, any_value(required) AS required, any_value(phrases) AS phrases FROM keyed GROUP BY 1"),
-    "turn_wanted": (("different",), "SELECT query, unnest(terms) AS term FROM different"),
-    "turn_pool": (("turn_wanted", "parts"), "SELECT * FROM (" + _bm25("turn_wanted") + ") WHERE rank <= 100"),
+    # scores as products of vectors over the index's terms, and heaps of a hundred: no row is kept for a query and a product
+    "lexicon": (("parts",), "SELECT term, row_number() OVER (ORDER BY term) AS i FROM (SELECT DISTINCT term FROM parts)"),
+    "product_vectors": (("parts", "lexicon"), "SELECT ord, list(coalesce(part, 0) ORDER BY i) AS v FROM (SELECT DISTINCT ord FROM parts) CROSS JOIN lexicon LEFT JOIN parts USING (ord, term) GROUP BY 1"),
+    "numbered": (("different",), "SELECT query, terms, row_number() OVER () AS q FROM different"),
+    "turn_vectors": (("numbered", "lexicon"), "SELECT q, list(CASE WHEN list_contains(terms, term) THEN 1.0 ELSE 0.0 END::DOUBLE ORDER BY i) AS v FROM numbered CROSS JOIN lexicon GROUP BY 1"),
+    "turn_pool": (
+        ("numbered", "turn_vectors", "product_vectors"),
+        "SELECT q, query, -best.o AS ord, best.s AS score, rank FROM (SELECT q, unnest(best) AS best, unnest(range(1, len(best) + 1)) AS rank FROM (SELECT q, max(struct_pack(s := score, o := -ord), 100) AS best FROM ("
+        "SELECT q, ord, round(list_inner_product(t.v, p.v), 9) AS score FROM turn_vectors t, product_vectors p) WHERE score > 0 GROUP BY q)) JOIN numbered USING (q)",
+    ),
     "field_tokens": (("texts",), "SELECT ord, " + ", ".join(f"{_tokens('f_' + f)} AS t_{f}" for f in ("title", "categories", "features", "details", "store", "description")) + ", lower(f_title || ' ' || f_categories || ' ' || f_features || ' ' || f_details || ' ' || f_store || ' ' || f_description) AS whole, rating_number, price FROM texts"),
     "best_weight": (  # of each product's terms
         ("field_tokens",),
         "SELECT ord, term, max(w) AS w FROM (" + " UNION ALL ".join(f"SELECT ord, unnest(t_{f}) AS term, {w}::DOUBLE AS w FROM field_tokens" for f, w in (("title", 4.0), ("categories", 6.0), ("features", 2.0), ("details", 2.0), ("store", 1.5), ("description", 1.0))) + ") GROUP BY 1, 2",
     ),
-    "turn_best": (
-        ("turn_pool", "turn_wanted", "different", "best_weight", "field_tokens"),
-        "SELECT query, ord, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM (SELECT p.query, p.ord, p.rank, round(m + 1.2::DOUBLE * ln(1 + rating_number) + CASE WHEN price IS NOT NULL THEN 2 ELSE 0 END + len(list_filter(d.phrases, lambda x: contains(t.whole, x))) "
-        "+ CASE WHEN len(d.required) > 0 AND hit = len(d.required) THEN 4 ELSE 0 END, 9) AS score FROM (SELECT p.query, p.ord, p.rank, coalesce(sum(b.w), 0) AS m, count(b.w) FILTER (list_contains(d.required, w.term)) AS hit "
-        "FROM turn_pool p JOIN turn_wanted w USING (query) JOIN different d USING (query) LEFT JOIN best_weight b ON b.ord = p.ord AND b.term = w.term GROUP BY 1, 2, 3) p JOIN different d USING (query) JOIN field_tokens t USING (ord))) WHERE place <= 10",
-    ),
+    "turn_asked": (("different", "numbered"), "SELECT q, term, list_contains(required, term) AS needed FROM (SELECT query, required, unnest(terms) AS term FROM different) JOIN numbered USING (query)"),
+    "turn_best": (("turn_all",), "SELECT query, ord, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, rank) AS place FROM turn_all) WHERE place <= 10"),
     "turn_ranks": (
         ("keyed", "turn_best", "sessions"),
         "SELECT k.sample_id, k.turn, b.rank FROM keyed k JOIN sessions s USING (sample_id) LEFT JOIN turn_best b ON b.query = k.query AND b.ord::VARCHAR = s.target",
@@ -268,9 +272,9 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         f"words AS (SELECT ord, unnest(list_distinct({_tokens(_WHOLE)})) AS token FROM texts) SELECT pool, attribute, priority, first, count(*) AS n, any_value(items) AS items FROM (SELECT query AS pool, ord, attribute, priority, min(place) AS first FROM pool JOIN words USING (ord) JOIN known USING (token) GROUP BY ALL) JOIN (SELECT query AS pool, count(*) AS items FROM pool GROUP BY 1) USING (pool) GROUP BY 1, 2, 3, 4",
     ),
     "turn_all": (  # every product of each turn's pool with its score
-        ("turn_pool", "turn_wanted", "different", "best_weight", "field_tokens"),
-        "SELECT p.query, p.ord, p.rank, round(m + 1.2::DOUBLE * ln(1 + rating_number) + CASE WHEN price IS NOT NULL THEN 2 ELSE 0 END + len(list_filter(d.phrases, lambda x: contains(t.whole, x))) + CASE WHEN len(d.required) > 0 AND hit = len(d.required) THEN 4 ELSE 0 END, 9) AS score FROM (SELECT p.query, p.ord, p.rank, coalesce(sum(b.w), 0) AS m, count(b.w) FILTER (list_contains(d.required, w.term)) AS hit "
-        "FROM turn_pool p JOIN turn_wanted w USING (query) JOIN different d USING (query) LEFT JOIN best_weight b ON b.ord = p.ord AND b.term = w.term GROUP BY 1, 2, 3) p JOIN different d USING (query) JOIN field_tokens t USING (ord)",
+        ("turn_pool", "turn_asked", "different", "numbered", "best_weight", "field_tokens"),
+        "SELECT d.query, p.ord, p.rank, round(m + 1.2::DOUBLE * ln(1 + rating_number) + CASE WHEN price IS NOT NULL THEN 2 ELSE 0 END + len(list_filter(d.phrases, lambda x: contains(t.whole, x))) + CASE WHEN len(d.required) > 0 AND hit = len(d.required) THEN 4 ELSE 0 END, 9) AS score FROM (SELECT p.q, p.ord, p.rank, coalesce(sum(b.w), 0) AS m, count(b.w) FILTER (needed) AS hit "
+        "FROM turn_pool p JOIN turn_asked w USING (q) LEFT JOIN best_weight b ON b.ord = p.ord AND b.term = w.term GROUP BY 1, 2, 3) p JOIN numbered n USING (q) JOIN different d USING (query) JOIN field_tokens t USING (ord)",
     ),
     "asks": (  # the next question depends on those before: turn after turn
         ("keyed", "stuck", "turn_orders"),
