@@ -366,7 +366,7 @@ def test_nearest_neighbours(spark, size):
     draw = np.random.default_rng(2)
     x = draw.normal(size=(size, 16)).astype(np.float32)
     x[50:90] = x[10]  # copies
-    odd = [(size, None, 0), (size + 1, [0.0] * 16, 0), (size + 2, [float("nan")] * 16, 0), (size + 3, [1.0] * 3, 0), (size + 4, [None] * 16, 0), (None, [1.0] * 16, 0)]
+    odd = [(size, None, 0), (size + 1, [0.0] * 16, 0), (size + 2, [float("nan")] * 16, 0), (size + 4, [None] * 16, 0), (None, [1.0] * 16, 0)]
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<float>, slice int")
     from pyspark.sql import functions as F
 
@@ -388,6 +388,35 @@ def test_nearest_neighbours(spark, size):
     assert multi_index_hashing.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = multi_index_hashing.search(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0)
     assert few.count() == 4
+    with pytest.raises(ValueError):
+        multi_index_hashing.search(df.union(spark.createDataFrame([(size, [1.0] * 3, 0)], df.schema)), F.col("vec_id") % 20 == 0)
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Rows that repeat an id are candidates each; as a query the smallest of its vectors counts, whatever their order."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(5).normal(size=(30, 4)).round(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, [-9.0, 0.0, 0.0, 1.0]), (7, [9.0, 0.0, 0.0, -1.0]), (7, [9.0, 0.0, 0.0, -1.0])]
+    runs = [multi_index_hashing.search(spark.createDataFrame(r, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 5).collect() for r in (rows, rows[::-1])]
+    others = [(sum(a * b for a, b in zip([-9.0, 0.0, 0.0, 1.0], v, strict=True)), i) for i, v in rows if i != 0]
+    want = [i for _, i in sorted(others, key=lambda o: (-o[0], o[1]))[:5]]
+    for got in runs:
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == want
+
+
+def test_probing_retrieves_every_code_within_the_radius_once():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(900, 24))
+    coder = multi_index_hashing.learn(x[:300], float(np.sqrt((x**2).sum(1)).max()))
+    ids = np.arange(900) * 3
+    index, ask = multi_index_hashing.Index(coder, ids, x), x[:40]
+    for radius in (0, 5, 8, 15, 21, 27, 64):
+        got = index.best(coder, ids[:40], ask, radius, 900).to_pydict()
+        apart = np.bitwise_count(coder.codes(ask, True)[:, None] ^ coder.codes(x)) <= radius
+        want = {(int(ids[q]), int(ids[r])) for q, r in zip(*np.nonzero(apart), strict=True) if q != r}
+        pairs = list(zip(got["query_id"], got["vec_id"], strict=True))
+        assert len(pairs) == len(set(pairs)) == sum(got["reranked"]) and set(pairs) == want
 
 
 def test_chunks_encode_as_whole_texts(docs, texts, empty):

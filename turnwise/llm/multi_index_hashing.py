@@ -5,12 +5,15 @@ largest inner product is the nearest direction; they are centred and turned by a
 rotation learned so that the signs lose little (alternating between signs and
 the orthogonal map that fits them best), and the signs are the code. The rows are
 dealt by their hash into slices, each row once. In a slice the codes are split
-into substrings, and each substring has its own index: the slice's rows ordered
-by the substring's value. If a code lies within Hamming radius R of a query's,
-one of its m substrings lies within R // m of the query's substring (pigeonhole),
-so probing each index within that radius retrieves every such code, each once,
-by the first substring that finds it. What is retrieved is ranked by inner
-products of the original vectors in double precision.
+into substrings of a byte, and each substring has its own index: the rows in the
+order of the byte, and where each of its values begins. With m substrings and a
+Hamming radius of R = m * r + a (a < m), a code within R of a query's has a byte
+within r of the query's among the first a + 1, or one within r - 1 among the
+others (pigeonhole). So a query looks up the values in those balls around its
+bytes, which retrieves every such code; by the whole code's distance those beyond
+R go, by the earlier bytes' distances those found before, and only what is left,
+each row once, is ranked by inner products of the original vectors in double
+precision. ``reranked`` tells of each query how many those were.
 
 The rotation and the radius are fitted on at most ``sample`` rows, those with the
 smallest hash of their id; every row is indexed. The queries are a set of their
@@ -19,11 +22,13 @@ and leave their best rows, never the pairs. So the rows move once, and what move
 besides is the queries times the slices, whose number follows the cluster's,
 within LEAST to SLICE rows a slice. Queries for which the
 radius holds fewer rows than wanted search again without a radius. Vectors that
-are null, zero, of another length than most or hold null or non-finite components
-take no part; ties go to the smaller vec_id; copies of a vector are rows like
-others; rows that repeat a vec_id are candidates each, and no row with the query's
-own vec_id is; columns other than vec_id and embedding are never read, whatever
-their names; an empty table gives an empty result.
+are null, zero or hold null or non-finite components take no part, nor do rows
+with a null vec_id; vectors of different lengths have no inner product and are an
+error (ValueError); ties go to the smaller vec_id; copies of a vector are rows like
+others; rows that repeat a vec_id are candidates each, no row with the query's
+own vec_id is, and as a query the smallest of its vectors counts; columns other
+than vec_id and embedding are never read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,11 +44,13 @@ from pyspark.sql import window as W
 
 from .common import materialise, parts, tidy
 
-BITS, SUBSTRINGS = 64, 4
-#: Rows of an index that are probed together, queries that pass by together, and rows that a slice has at most, and that are worth one.
-ROWS, QUERIES, SLICE, LEAST = 1024, 1024, 1 << 17, 1 << 11
-_WIDTH = BITS // SUBSTRINGS
-_OUT = "query_id long, vec_id long, score double"
+BITS, SUBSTRINGS = 64, 8
+#: Pairs whose codes are compared together, queries that pass by together, and rows that a slice has at most, and that are worth one.
+PAIRS, QUERIES, SLICE, LEAST = 1 << 18, 1024, 1 << 17, 1 << 11
+_OUT = "query_id long, vec_id long, score double, reranked long"
+#: All bytes by how many bits they have, and how many have at most so many.
+_MASKS = np.argsort(np.bitwise_count(np.arange(256, dtype=np.uint8)), kind="stable").astype(np.uint8)
+_BALL = np.searchsorted(np.sort(np.bitwise_count(np.arange(256, dtype=np.uint8))), np.arange(9), side="right")
 
 
 @dataclass
@@ -99,55 +106,40 @@ def learn(sample: np.ndarray, longest: float, k: int = 20, recall: float = 0.97,
     return coder
 
 
-def _best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _bytes(codes: np.ndarray) -> np.ndarray:
+    """The substrings of codes, one column each."""
+    return np.ascontiguousarray(codes, "<u8").view(np.uint8).reshape(-1, SUBSTRINGS)
 
 
 class Best:
-    """The k best rows so far of each query of a block."""
+    """The k best rows so far of each query of a block, and how many rows were ranked for it."""
 
-    def __init__(self, ids, codes, vectors, radius, k):
-        self.ids, self.codes, self.vectors, self.radius, self.k = ids, codes, vectors, radius, k
-        self.found: list = [(np.array([], np.int64), np.array([])) for _ in ids]
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.query, self.row, self.score = np.array([], np.int64), np.array([], np.int64), np.array([])
+        self.reranked = np.zeros(len(ids), np.int64)
         self.least = np.full(len(ids), -np.inf)
 
-    def probe(self, j: int, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray) -> None:
-        """Search one block of the index of substring ``j``."""
-        part = lambda c, i: (c >> np.uint64(i * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)
-        near = self.radius // SUBSTRINGS
-        values, place = np.unique(part(codes, j), return_inverse=True)
-        hit = (np.bitwise_count(part(self.codes, j)[:, None] ^ values) <= near[:, None])[:, place]
-        asked = np.flatnonzero(hit.any(1))
-        if not len(asked):
-            return
-        hit = hit[asked]
-        differ = self.codes[asked][:, None] ^ codes
-        hit &= np.bitwise_count(differ) <= self.radius[asked][:, None]
-        for i in range(j):  # an earlier substring has it
-            hit &= np.bitwise_count(part(differ, i)) > near[asked][:, None]
-        hit &= self.ids[asked][:, None] != ids
-        rough = np.where(hit, self.vectors[asked] @ vectors.T, -np.inf)
-        hit &= rough >= self.least[asked][:, None] - 1e-9 * np.maximum(1, np.abs(self.least[asked]))[:, None]
-        for q, row in zip(asked.tolist(), np.arange(len(asked)), strict=True):
-            at = np.flatnonzero(hit[row])
-            if not len(at):
-                continue
-            if len(at) > 4 * self.k:  # well below the k-th of this block can't count
-                kth = np.partition(rough[row][at], -self.k)[-self.k]
-                at = at[rough[row][at] >= kth - 1e-9 * max(1.0, abs(kth))]
-            exact = (vectors[at] * self.vectors[q]).sum(1)
-            old = self.found[q]
-            self.found[q] = _best(q, np.concatenate([old[0], ids[at]]), np.concatenate([old[1], exact]), self.k)
-            if len(self.found[q][0]) == self.k:
-                self.least[q] = self.found[q][1][-1]
+    def add(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        """Rows ``row`` (ids) of the queries at the places ``query``."""
+        self.reranked += np.bincount(query, minlength=len(self.ids))
+        good = score >= self.least[query]
+        query, row, score = (np.concatenate([old, new[good]]) for old, new in ((self.query, query), (self.row, row), (self.score, score)))
+        order = np.lexsort((row, -score, query))
+        query, row, score = query[order], row[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+        kept = place < self.k
+        self.query, self.row, self.score = query[kept], row[kept], score[kept]
 
     def batch(self) -> pa.RecordBatch:
-        n = [len(f[0]) for f in self.found]
+        """A query's count stands in its first row."""
+        first = np.arange(len(self.query)) == np.searchsorted(self.query, self.query)
+        ranked = np.where(first, self.reranked[self.query], 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([f[0] for f in self.found])), pa.array(np.concatenate([f[1] for f in self.found]))],
-            ["query_id", "vec_id", "score"],
-        )
+            [pa.array(self.ids[self.query]), pa.array(self.row), pa.array(self.score), pa.array(ranked)], ["query_id", "vec_id", "score", "reranked"]
+        )
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -155,39 +147,66 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(v.isNotNull()).where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0)).where(F.col("vec_id").isNotNull())
+    return rows.where(F.col("vec_id").isNotNull())
 
 
 class Index:
-    """A slice's rows, ordered once for each substring."""
+    """A slice's rows in the order of each substring, and where each value of it begins."""
 
     def __init__(self, coder: Coder, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x, self.codes = ids, x, coder.codes(x)
-        part = lambda j: (self.codes >> np.uint64(j * _WIDTH)) & np.uint64((1 << _WIDTH) - 1)
-        self.orders = [np.argsort(part(j), kind="stable") for j in range(SUBSTRINGS)]
+        self.parts = _bytes(self.codes)
+        self.orders = [np.argsort(self.parts[:, j], kind="stable").astype(np.int32) for j in range(SUBSTRINGS)]
+        self.begins = [np.searchsorted(self.parts[o, j], np.arange(257)) for j, o in enumerate(self.orders)]
+
+    def look_up(self, j: int, value: int, radius: int) -> np.ndarray:
+        """The rows whose substring ``j`` is within ``radius`` of ``value``."""
+        near = _MASKS[: _BALL[radius]] ^ np.uint8(value)
+        order, begins = self.orders[j], self.begins[j]
+        return np.concatenate([order[begins[v] : begins[v + 1]] for v in near.tolist()])
 
     def best(self, coder: Coder, ids: np.ndarray, x: np.ndarray, radius: int, k: int) -> pa.RecordBatch:
         """The k best rows of each of a block of queries."""
-        found = Best(ids, coder.codes(x, True), x, np.full(len(ids), radius), k)
-        for j, order in enumerate(self.orders):
-            for at in range(0, len(order), ROWS):
-                some = order[at : at + ROWS]
-                found.probe(j, self.ids[some], self.codes[some], self.x[some])
+        found, codes = Best(ids, k), coder.codes(x, True)
+        parts = _bytes(codes)
+        least, more = divmod(radius, SUBSTRINGS)
+        within = [least if j <= more else least - 1 for j in range(SUBSTRINGS)]
+        for j in range(SUBSTRINGS):
+            if within[j] < 0:
+                continue
+            for value in np.unique(parts[:, j]).tolist():
+                asked, rows = np.flatnonzero(parts[:, j] == value), self.look_up(j, value, within[j])
+                step = max(1, PAIRS // max(1, len(asked)))
+                for at in range(0, len(rows), step):
+                    self._rank(found, ids, codes, x, asked, rows[at : at + step], j, within, radius)
         return found.batch()
 
+    def _rank(self, found: Best, ids, codes, x, asked, rows, j: int, within: list[int], radius: int) -> None:
+        """Rank those of ``rows`` that no earlier substring has found."""
+        differ = codes[asked][:, None] ^ self.codes[rows]
+        q, r = np.nonzero((np.bitwise_count(differ) <= radius) & (ids[asked][:, None] != self.ids[rows]))
+        if j:
+            apart = np.bitwise_count(_bytes(differ[q, r])[:, :j])
+            new = (apart > np.array(within[:j])).all(1)
+            q, r = q[new], r[new]
+        if len(q):
+            q, r = asked[q], rows[r]
+            found.add(q, self.ids[r], (self.x[r] * x[q]).sum(1))
+
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest rows other than itself.
+    """(query_id, rank, vec_id, score, reranked): each query's k nearest rows other than itself, and how many rows were compared as vectors.
 
     ``is_query`` is a condition on vec_id; queries and rows are the same table.
     """
     rows = materialise(usable(vectors), "vectors")
     spark = rows.sparkSession
-    longest, n = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
+    lengths = F.min(F.size("v")), F.max(F.size("v"))
+    longest, n, shortest, dims = rows.agg(F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.count("*"), *lengths).first()
+    if shortest != dims:
+        raise ValueError(f"vectors of {shortest} to {dims} components have no inner product")
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()  # at most `sample` rows
-    dims = len(some[0]["v"]) if some else 1
-    coder = learn(np.array([r["v"] for r in some], float).reshape(-1, dims), longest or 1.0, k)
+    coder = learn(np.array([r["v"] for r in some], float).reshape(-1, dims or 1), longest or 1.0, k)
     slices = max(1, -(-n // SLICE), min(parts(spark), -(-n // LEAST)))
 
     def run(asked: DataFrame, radius: int) -> DataFrame:
@@ -235,9 +254,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 4096) -> Dat
 
     def first(found: DataFrame) -> DataFrame:
         order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("reranked", F.sum("reranked").over(W.Window.partitionBy("query_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "reranked")
 
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     near = materialise(first(run(queries, coder.radius)), "near")
     full = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = materialise(queries.join(full, "vec_id", "left_anti"), "short")
