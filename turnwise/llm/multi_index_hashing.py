@@ -45,7 +45,7 @@ from pyspark.sql import window as W
 from .common import materialise, parts, tidy
 
 BITS, SUBSTRINGS = 64, 8
-#: Pairs whose codes are compared together, queries that pass by together, and rows that a slice has at most, and that are worth one.
+#: Pairs whose codes are compared together or that wait to be ranked, queries that pass by together, and rows that a slice has at most, and that are worth one.
 PAIRS, QUERIES, SLICE, LEAST = 1 << 18, 1024, 1 << 17, 1 << 11
 _OUT = "query_id long, vec_id long, score double, reranked long"
 #: All bytes by how many bits they have, and how many have at most so many.
@@ -117,6 +117,7 @@ class Best:
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
         self.query, self.row, self.score = np.array([], np.int64), np.array([], np.int64), np.array([])
+        self.waiting: list[tuple[np.ndarray, ...]] = []
         self.reranked = np.zeros(len(ids), np.int64)
         self.least = np.full(len(ids), -np.inf)
 
@@ -124,7 +125,14 @@ class Best:
         """Rows ``row`` (ids) of the queries at the places ``query``."""
         self.reranked += np.bincount(query, minlength=len(self.ids))
         good = score >= self.least[query]
-        query, row, score = (np.concatenate([old, new[good]]) for old, new in ((self.query, query), (self.row, row), (self.score, score)))
+        self.waiting.append((query[good], row[good], score[good]))
+        if sum(len(w[0]) for w in self.waiting) >= PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Rank what waits among the best so far."""
+        query, row, score = (np.concatenate(c) for c in zip((self.query, self.row, self.score), *self.waiting, strict=True))
+        self.waiting.clear()
         order = np.lexsort((row, -score, query))
         query, row, score = query[order], row[order], score[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
@@ -135,6 +143,7 @@ class Best:
 
     def batch(self) -> pa.RecordBatch:
         """A query's count stands in its first row."""
+        self.settle()
         first = np.arange(len(self.query)) == np.searchsorted(self.query, self.query)
         ranked = np.where(first, self.reranked[self.query], 0)
         return pa.RecordBatch.from_arrays(
