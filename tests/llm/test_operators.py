@@ -316,6 +316,39 @@ def test_what_is_found_finds_more(spark):
     assert rows[440] == "phone:16:25" and rows[481] == "phone:201:205" and rows[482] == ""
 
 
+def test_contexts_find_secrets_that_no_pattern_knows(spark):
+    """Seeds are lower-case digests; what else stands after the words they stand after is found, decoys are not."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abdeghinorstu") for _ in range(draw.randint(2, 9)))
+    hexa = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(38)) + "a7"
+    texts, want = [], {}
+    for i in range(600):
+        before, after = (" ".join(word() for _ in range(draw.randint(3, 12))) for _ in range(2))
+        hidden = {0: hexa().upper(), 1: "zQ-" + str(draw.getrandbits(40)), 2: f"wq{i}"}.get(i % 20)
+        if i % 3 == 2:  # no secrets: versions, decoys of cards, years
+            texts.append(f"{before} {draw.choice(['version 2.0', '4310000000000000', 'in 1987', 'room 12b'])} {after}")
+            continue
+        token = hidden or hexa()
+        texts.append(f'{before} token = "{token}" {after}')
+        want[i] = f"secret:{len(before) + 10}:{len(before) + 10 + len(token)}"
+    rows = {r.doc_id: r for r in pii_bootstrap.report(_docs(spark, texts)).collect()}
+    assert {i: r.spans for i, r in rows.items() if r.spans} == want
+
+
+def test_planted_secrets_and_nothing_else(spark):
+    """On the given documents the method finds the planted tokens (156 of 166 are seeds, the others stand in upper case), and what it adds are planted tokens."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t, re.I)}
+    base, added = set(), set()
+    for r in pii_bootstrap.report(docs).collect():
+        for kind, a, b in (s.split(":") for s in r.spans.split(",") if s):
+            (added if kind == "secret" else base).add((r.doc_id, int(a), int(b)))
+        assert len([s for s in r.spans.split(",") if s and not s.startswith("secret")]) == r.n_email + r.n_ip + r.n_card + r.n_phone
+    print("planted", len(planted), "added", len(added), "both", len(planted & added))
+    assert len(planted & added) / len(planted) >= 0.95 and len(planted & added) / len(added) >= 0.95
+
+
 def _tokens(texts, name):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,20 +1,25 @@
 """Personal data: base patterns and bootstrapped contextual extraction (native).
 
 Base entities (e-mail, IP, card, phone) are found in whole texts by pattern and
-check. They are the seeds: every run of identifier-like words (words with a
-digit or @) is an occurrence, with the word before it and the word after it as
-lexical patterns ("left", "right", "both"). Spark scores the graph of patterns
+check. They and a fifth kind, secrets (lower-case hexadecimal digests of 32 or
+more digits), are the seeds: every run of identifier-like words (words with a
+digit or @) is an occurrence, with the words around it as lexical patterns: the
+word on the left or right, both, and windows of two words on a side, numbers in
+them generalised to one digit. Spark scores the graph of patterns
 and instances in rounds: a pattern's confidence for a kind is the smoothed mean
 of its instances' scores, an instance's score the confidence of its best
 pattern, seeds staying at 1. Support is counted anew in each round, so what is
-found in one context makes others known. Occurrences that are no seeds, and stand
+found in one context makes others known; scores only rise, and the rounds end when
+one adds no pattern. A pattern has to be confident on both halves of its
+instances, dealt by hash, so what it says of one half holds for instances it was not
+learned from. Occurrences that are no seeds, and stand
 in a pattern that is confident and well supported at the end, are new spans of
-that kind.
+that kind. Secrets are spans of the method alone: no base count or digest holds them.
 
 Null text is the empty text; texts without digits and @ are never searched
 twice; very long texts and words are searched whole; patterns shared by very many
 occurrences are aggregated, never gathered; of kinds with equal confidence the
-last by name counts; repeated rows get the same spans; null ids are ids like
+last by name counts, of seeds that one run overlaps the first as listed; repeated rows get the same spans; null ids are ids like
 others; columns other than doc_id and text are never read, whatever their names;
 an empty table gives an empty result.
 """
@@ -32,16 +37,21 @@ IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: Seeds of a kind that only the method adds: digests that hold letters and digits. Other tokens are found by what stands around them.
+SECRET = r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])"
+SEEDED = (*KINDS, "secret")
 #: A run of words that hold a digit or @.
 RUN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [^\s0-9@]*+[0-9@]\S*+)*+"
 #: What a found span does not begin or end with.
-EDGE = "\"'`([{<.,;:!?)]}>="
-ROUNDS = 3
+EDGE = "\"'`([{<.,;:!?)]}>=#&%*$|~"
 #: A pattern needs this confidence, from this many different instances that are seeds or found by then.
 CONFIDENT, SUPPORT = 0.8, 5
 #: Instances that count as no seed are added to each pattern, so that rare patterns stay doubtful.
 SMOOTHING = 1.0
 
+#: Halves that a pattern's instances are dealt to.
+HALVES = 2
+
 _NONE = "cast(array() as array<struct<start:int,end:int,found:string>>)"
 
 
@@ -96,68 +106,86 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def secret_spans(text: Column) -> Column:
+    """The digests in order."""
+    return F.when(F.rlike(text, F.lit("[0-9a-f]{32}")), located(text, SECRET)).otherwise(F.expr(_NONE))
+
+
 def _runs(text: Column) -> Column:
-    """Each run of identifier-like words with its place and the words around it."""
+    """Each run of identifier-like words with its place, and one and two words on each side, lower-cased, numbers as 0."""
     gaps, found = F.split(text, RUN, -1), located(text, RUN)
 
     def one(s: Column, i: Column) -> Column:
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
-        first = lambda x: F.lower(F.regexp_extract(x, r"^\s*(\S+)", 1))
+        before, after = F.reverse(F.get(gaps, i)), F.get(gaps, i + 1)
+        first = lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1)
+        two = lambda x: F.regexp_extract(x, r"^\s*(\S+\s+\S+)", 1)
+        plain = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, "[0-9]+", "0"), r"\s+", " "))
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"),
-            F.reverse(first(F.reverse(before))).alias("left"), first(after).alias("right"),
+            plain(F.reverse(first(before))).alias("left"), plain(first(after)).alias("right"),
+            plain(F.reverse(two(before))).alias("left2"), plain(two(after)).alias("right2"),
         )
 
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string,left:string,right:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,found:string,left:string,right:string,left2:string,right2:string>>)")
     return F.when(F.rlike(text, F.lit("[0-9@]")), F.transform(found, one)).otherwise(empty)
 
 
 def search(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_hash, email, ip, card, phone, runs): what the base patterns find, and all occurrences."""
+    """(row, doc_id, text_hash, email, ip, card, phone, secret, runs): what the seeds' patterns find, and all occurrences."""
     text = whole_text()
     return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-        *(s.alias(k) for k, s in base_spans(text).items()), _runs(text).alias("runs"),
+        *(s.alias(k) for k, s in base_spans(text).items()), secret_spans(text).alias("secret"), _runs(text).alias("runs"),
     )
 
 
-def discover(searched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(row, kind, start, end) of the new spans."""
+def patterns(searched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, start, end, found, patterns, seed) of all occurrences, and (pattern, kind, confidence) of the patterns that are confident at the end."""
 
     def seed(run: Column) -> Column:
         hit = lambda k: F.exists(F.col(k), lambda s: (s["start"] < run["end"]) & (s["end"] > run["start"]))
         chain = F.lit(None).cast("string")
-        for k in reversed(KINDS):
+        for k in reversed(SEEDED):
             chain = F.when(hit(k), F.lit(k)).otherwise(chain)
         return chain
 
     runs = searched.select("row", F.explode(F.transform("runs", lambda r: F.struct(r.alias("run"), seed(r).alias("seed")))).alias("x"))
     runs = runs.select("row", "x.run.*", "x.seed")
     around = F.array(
-        F.concat(F.lit("left "), "left"), F.concat(F.lit("right "), "right"), F.concat(F.lit("both "), "left", F.lit(" "), "right")
+        *(F.concat(F.lit(f"{c} "), c) for c in ("left", "right", "left2", "right2")), F.concat(F.lit("both "), "left", F.lit(" "), "right")
     )
-    runs = materialise(runs.withColumn("patterns", F.filter(around, lambda p: ~p.isin("left ", "right ", "both  "))), "runs")
+    none = ("left ", "right ", "left2 ", "right2 ", "both  ")
+    runs = materialise(runs.select("row", "start", "end", "found", "seed", F.filter(around, lambda p: ~p.isin(*none)).alias("patterns")), "runs")
     edges = runs.select(F.col("found").alias("instance"), F.explode("patterns").alias("pattern"), "seed").groupBy("pattern", "instance").agg(
         F.max("seed").alias("seed")
     )
-    edges = materialise(edges, "graph")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
+    edges = materialise(edges.withColumn("half", F.pmod(F.xxhash64("instance"), F.lit(HALVES)).cast("int")), "graph")
+    sizes = edges.groupBy("pattern", "half").agg(F.count("*").alias("size"))
     seeds = edges.where(F.col("seed").isNotNull()).select("instance", F.col("seed").alias("kind")).distinct()
-    score = seeds.withColumn("score", F.lit(1.0))
-    confident = None
-    for _ in range(rounds):
-        held = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(
+    score, known = seeds.withColumn("score", F.lit(1.0)), 0
+    while True:
+        held = edges.select("pattern", "half", "instance").join(score, "instance").groupBy("pattern", "half", "kind").agg(
             F.sum("score").alias("mass"), F.count_if(F.col("score") >= CONFIDENT).alias("support")
         )
-        confident = (
-            held.where(F.col("support") >= SUPPORT).join(sizes, "pattern")
-            .withColumn("confidence", F.col("mass") / (F.col("size") + F.lit(SMOOTHING)))
-            .where(F.col("confidence") >= CONFIDENT)
-            .select("pattern", "kind", "confidence")
+        whole = held.join(sizes, ["pattern", "half"]).groupBy("pattern", "kind").agg(
+            (F.sum("mass") / (F.sum("size") + F.lit(SMOOTHING))).alias("confidence"), F.sum("support").alias("support"),
+            F.count("*").alias("halves"), F.min(F.col("mass") / F.col("size")).alias("least"),
         )
+        confident = whole.where(
+            (F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENT) & (F.col("halves") == HALVES) & (F.col("least") >= CONFIDENT)
+        ).select("pattern", "kind", "confidence")
         confident = materialise(confident, "patterns")
+        now = confident.count()
+        if now == known:  # none goes, for scores only rise
+            return runs, confident
+        known = now
         found = edges.select("pattern", "instance").join(confident, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
         score = seeds.withColumn("score", F.lit(1.0)).unionByName(found).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+
+
+def discover(searched: DataFrame) -> DataFrame:
+    """(row, kind, start, end) of the new spans."""
+    runs, confident = patterns(searched)
     best = (
         runs.where(F.col("seed").isNull())
         .select("row", "start", "found", F.explode("patterns").alias("pattern"))
@@ -194,7 +222,7 @@ def _find(docs: DataFrame) -> DataFrame:
     added = lambda k: F.filter(F.coalesce("new", none), lambda s: s["kind"] == k)
     return both.select(
         "row", "doc_id", "text_hash", F.concat(*(_of_kind(k, F.col(k)) for k in KINDS)).alias("base"),
-        F.concat(*(F.array_sort(F.concat(_of_kind(k, F.col(k)), added(k))) for k in KINDS)).alias("spans"),
+        F.concat(*(F.array_sort(F.concat(_of_kind(k, F.col(k)), added(k))) for k in SEEDED)).alias("spans"),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
     )
 
