@@ -10,8 +10,9 @@ from .functions import text as X
 from .operators import asking, catalogs, retrieval, scoring, semantic, state
 from .plans import replay as R
 from .plans import variants
-from .sources.steps import scratch, step
+from .sources import digests
 from .sources import views as V
+from .sources.steps import scratch, step
 from .sql import ORACLES as _SQL
 
 FIELDS = ("title", "features", "description", "price", "categories", "details", "average_rating", "rating_number", "store")
@@ -669,6 +670,13 @@ def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(about, "target", "left").select("index", "sample_id", "scenario_type", "difficulty_bucket", "target", F.coalesce("title", F.lit("")).alias("title"), "store", "rating_number")
 
 
+@_query
+def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of digests over all documents' texts in the order of their ids, 64 nodes to a node, above the texts' own."""
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", digests.leaf(F.col("text")).alias("digest"), F.lit(0).alias("_all"))
+    return digests.tree(V.placed(docs, "_all", "doc_id"), F.col("digest"), "place", 64).where("level > 0")
+
+
 @_query
 def stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.sessions(spark, sf_dir)

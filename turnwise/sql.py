@@ -482,6 +482,11 @@ ORACLES: dict[str, str] = {
     "clarify_profile": (
         f"SELECT pool, array_to_string(attrs, ' ') AS attributes, list_filter(attrs, lambda a: a NOT IN ('color', 'size'))[1] AS next FROM (SELECT pool, list_concat(p, list_filter({_list(asking.DEFAULT_ORDER)}, lambda a: NOT list_contains(p, a))) AS attrs FROM ("
         f"SELECT c_custkey AS pool, CASE WHEN t1 IS NULL THEN (CASE WHEN t2 IS NULL THEN [] ELSE [t2] END) WHEN t2 IS NULL OR t1 = t2 THEN [t1] ELSE [t1, t2] END AS p FROM (SELECT c_custkey, l[c_custkey % 9 + 1] AS t1, l[c_custkey // 7 % 9 + 1] AS t2 FROM customer, (SELECT {_list(asking.PROFILE_MAP.values())[:-1]}, NULL] AS l))))"),
+    "corpus_digest": (
+        "WITH RECURSIVE tree AS (SELECT 0 AS level, row_number() OVER (ORDER BY doc_id) - 1 AS node, sha256(coalesce(text, '')) AS digest FROM documents UNION ALL "
+        "SELECT level + 1, node // 64, sha256(string_agg(digest, '' ORDER BY node)) FROM (SELECT *, count(*) OVER () AS n FROM tree) WHERE n > 1 GROUP BY level, node // 64) "
+        "SELECT level, node, digest FROM tree WHERE level > 0"
+    ),
     "first_hit": _with("SELECT sample_id, scenario_type, hit, coalesce(first_hit_turn, 0) AS first_hit_turn, coalesce(best_rank, 0) AS best_rank, round(reciprocal_rank, 9) AS reciprocal_rank FROM facts", "facts"),
     "metric_summary": _with(f"SELECT * EXCLUDE (scenario_type) FROM ({_scored(_metrics('facts'))}) WHERE scenario_type = 'all'", "facts"),
     "scenario_metrics": _with(_scored(_metrics("facts")), "facts"),
