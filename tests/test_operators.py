@@ -407,3 +407,17 @@ def test_dense_search_refuses_and_leaves_out(spark):
     assert retrieval.cosine_topk(asked.limit(0), rows, 3).count() == 0
     with pytest.raises(Exception, match="another length"):
         retrieval.cosine_topk(asked, rows.withColumn("v", F.array(F.lit(1.0))), 3).collect()
+
+
+def test_conversations_are_worked_out_once(spark):
+    """Sessions of one conversation share its ledger; one more turn, another order or a null makes another conversation."""
+    said = {"a": ["red shirt", "blue"], "b": ["red shirt", "blue"], "c": ["blue", "red shirt"], "d": ["red shirt", "blue", None]}
+    rows = [(s, [(i, m) for i, m in enumerate(v, 1)]) for s, v in said.items()]
+    shared = state.share(spark.createDataFrame(rows, "sample_id string, course array<struct<turn:int,message:string>>"))
+    assert shared.messages.select("sample_id").distinct().count() == 3
+    words = spark.createDataFrame([("color", "red", 1), ("color", "blue", 1)], "slot string, term string, support long")
+    got = {}
+    for r in state.each_session(state.entries(state.hear(shared.messages, words)), shared.sessions).collect():
+        got.setdefault(r.sample_id, set()).add((r.token, r.slot, r.status, r.first_turn))
+    assert got["a"] == got["b"] == got["d"] == {("red", "color", "active", 1), ("shirt", None, "active", 1), ("blue", "color", "active", 2)}
+    assert got["c"] == {("blue", "color", "active", 1), ("red", "color", "active", 2), ("shirt", None, "active", 2)}
