@@ -421,3 +421,20 @@ def test_conversations_are_worked_out_once(spark):
         got.setdefault(r.sample_id, set()).add((r.token, r.slot, r.status, r.first_turn))
     assert got["a"] == got["b"] == got["d"] == {("red", "color", "active", 1), ("shirt", None, "active", 1), ("blue", "color", "active", 2)}
     assert got["c"] == {("blue", "color", "active", 1), ("red", "color", "active", 2), ("shirt", None, "active", 2)}
+
+
+def test_copies_of_products_cost_no_more_and_are_all_found(spark, monkeypatch):
+    """An index of the first of equal texts gives what an index of all gives, with few queries and with many; every copy is counted."""
+    kinds = ["red shirt", "blue shirt", "red hat", "green bag", "steel bolt", "blue bolt", "red red hat"]
+    rows = [(i, f"P{i}", kinds[i * i % 7] + " common", kinds[i % 3], "", "", "s", "") for i in range(400)]
+    texts = spark.createDataFrame(rows, "ord long, parent_asin string, title string, categories string, features string, details string, store string, description string")
+    asked = spark.createDataFrame([(q, t) for q in ("red hat common", "hat red common unknown", "bolt", "none") for t in q.split()], "query string, term string")
+    told = lambda df: sorted((r.query, r["rank"], r.ord, r.score) for r in df.collect())
+    for k in (1, 7, 150):
+        every = told(retrieval.search_index(retrieval.build_index(texts), asked, k))
+        assert told(retrieval.bm25(asked, texts, k)) == every and every
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "QUERIES", 1)
+            assert told(retrieval.bm25(asked, texts, k)) == every
+    held = lambda q: sum(any(t in f"{r[2]} {r[3]}".split() for t in q.split()) for r in rows)
+    assert {r.query: r.n for r in retrieval.match_counts(asked, texts).collect()} == {q: held(q) for q in ("red hat common", "hat red common unknown", "bolt")}
