@@ -438,3 +438,22 @@ def test_copies_of_products_cost_no_more_and_are_all_found(spark, monkeypatch):
             assert told(retrieval.bm25(asked, texts, k)) == every
     held = lambda q: sum(any(t in f"{r[2]} {r[3]}".split() for t in q.split()) for r in rows)
     assert {r.query: r.n for r in retrieval.match_counts(asked, texts).collect()} == {q: held(q) for q in ("red hat common", "hat red common unknown", "bolt")}
+
+
+def test_sessions_are_shared_by_card(spark, sf_dir):
+    """Sessions told by the number of their card have the conversations that they have when each carries its own messages."""
+    dealt = V.dealt(spark, sf_dir)
+    assert dealt.kinds.count() < dealt.sessions.count()
+    by = ("card", "scenario_type")
+    shared = state.share(V.coursed(dealt.kinds).select(*by, "course"), dealt.sessions.select("sample_id", *by), by)
+    assert set(shared.sessions.columns) == {"conversation", "sample_id"}
+    got = {(r.sample_id, r.turn, r.message) for r in state.each_session(shared.messages, shared.sessions).collect()}
+    assert got == {(r.sample_id, r.turn, r.message) for r in V.messages(spark, sf_dir).collect()} and got
+
+
+def test_vocabulary_counts_every_copy(spark, shop):
+    """A catalog in which products are repeated has their terms, each counted as often; a row may stand for several products."""
+    thrice = V.union_all([shop, shop.withColumn("parent_asin", F.concat("parent_asin", F.lit("b"))), shop.withColumn("parent_asin", F.concat("parent_asin", F.lit("c")))])
+    told = lambda df: {(r.slot, r.term): r.support for r in df.collect()}
+    once = told(catalogs.gazetteer(shop, {"color": "Color"}))
+    assert told(catalogs.gazetteer(thrice, {"color": "Color"})) == {k: 3 * n for k, n in once.items()} == told(catalogs.gazetteer(shop.withColumn("n", F.lit(3)), {"color": "Color"}))
