@@ -457,3 +457,30 @@ def test_vocabulary_counts_every_copy(spark, shop):
     told = lambda df: {(r.slot, r.term): r.support for r in df.collect()}
     once = told(catalogs.gazetteer(shop, {"color": "Color"}))
     assert told(catalogs.gazetteer(thrice, {"color": "Color"})) == {k: 3 * n for k, n in once.items()} == told(catalogs.gazetteer(shop.withColumn("n", F.lit(3)), {"color": "Color"}))
+
+
+def test_latent_index_of_copies(spark, shop):
+    """Fitted and projected once for equal texts, a latent index finds what one of every product finds, each copy with its place."""
+    texts = V.field_texts(V.union_all([shop.withColumns({"ord": F.col("ord") + 3 * i, "parent_asin": F.concat("parent_asin", F.lit(f"-{i}"))}) for i in range(1, 4)]).where("ord <> 9"))
+    index = replay.latent(texts)
+    assert index.vectors.count() == 3
+    whole = texts.select("ord", F.concat_ws(" ", *V.FIELDS).alias("text"))
+    every = semantic.fit(whole)
+    assert (index.model.terms, index.model.idf) == (every.terms, every.idf)
+    asked = spark.createDataFrame([("red shirt", ["red", "shirt"], [], []), ("boots", ["boots"], [], [])], "query string, terms array<string>, required array<string>, phrases array<string>")
+    near = semantic.search(every, asked.select("query", F.array_join("terms", " ").alias("text")), semantic.project(every, whole, "ord"), 4, "query")
+    found, best = replay.retrieve(asked, texts, "dense", pool=4, k=4, model=index)
+    told = lambda df, c: sorted((r.query, r["rank"], r[c]) for r in df.collect())
+    assert told(found, "ord") == told(near, "id") and len(told(found, "ord")) == 8
+    assert {(r.query, r.ord) for r in best.collect()} == {(r.query, r.ord) for r in found.collect()}
+
+
+def test_orders_read_only_what_tells(spark):
+    """The words that tell an attribute give the orders that all tokens give; a product without any still counts."""
+    rows = [("p", 1, "red cotton shirt red".split()), ("p", 2, "blue wool hat".split()), ("p", 3, ["plain"]), ("r", 1, ["plain"])]
+    pools = spark.createDataFrame(rows, "pool string, item long, tokens array<string>")
+    short = pools.withColumn("tokens", asking.telling(F.col("tokens")))
+    assert [len(r.tokens) for r in short.orderBy("pool", "item").collect()] == [2, 2, 0, 0]
+    for policy in ("candidate", "entropy", "expected_value"):
+        told = lambda df, p=policy: sorted((r.pool, *r.attributes) for r in asking.attribute_order(p, df).collect())
+        assert told(short) == told(pools)
