@@ -1,5 +1,6 @@
 """Operators on hand-computed cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,38 @@ def test_latent_index(spark):
     assert semantic.project(semantic.fit(texts.limit(0)), texts, "i").where("v is not null").count() == 0
 
 
+def test_latent_index_sends_as_much_however_many_files(spark, tmp_path, monkeypatch):
+    """A round's tasks, each of which sends a whole matrix, are as many as run at once, and equal brute force; rows that share an id are one text."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}_é the" for j in range(1 + i % 5)) if i % 11 else None) for i in range(60)]
+    texts = spark.createDataFrame(rows, "i long, text string")
+    texts.repartition(40).write.parquet(str(tmp_path / "texts"))
+    times = semantic._times
+
+    def counted(vectors, idf, matrix):
+        got = times(vectors, idf, matrix)
+        x = np.zeros((0, len(idf)))
+        for r in vectors.collect():
+            v = np.zeros(len(idf))
+            v[r["at"]] = np.array(r["n"]) * idf[r["at"]] * r["scale"]
+            x = np.vstack([x, v])
+        assert np.allclose(np.linalg.norm(x, axis=1), 1) and np.allclose(got, x.T @ (x @ matrix))
+        return got
+
+    monkeypatch.setattr(semantic, "_times", counted)
+    monkeypatch.setattr(semantic, "OFTEN", 3)
+    monkeypatch.setattr(semantic, "STRETCH", 2)
+    read = spark.read.parquet(str(tmp_path / "texts"))
+    ran, coalesce = [], type(read).coalesce
+    monkeypatch.setattr(type(read), "coalesce", lambda df, n: ran.append(n) or coalesce(df, n))
+    model = semantic.fit(read, dimensions=4)
+    assert max(ran) <= spark.sparkContext.defaultParallelism and "the" not in model.terms
+    known = {r[0]: r[1] for r in rows}
+    count = {t: sum((known[i] or "").split().count(t) for i in known) for t in model.terms}
+    assert model.terms == sorted(count, key=lambda t: (-count[t], t))
+    twice = semantic.project(model, texts.union(texts.limit(3)), "i")
+    assert twice.count() == 60 and all((r.v is None) == (known[r.id] is None) for r in twice.collect())
+
+
 def test_many_queries_go_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
     asked = rows.select(F.col("id").alias("query"), "v")
