@@ -17,6 +17,7 @@ from turnwise.llm import (
     mixture_packing,
     multi_index_hashing,
     ngram_join,
+    pieces,
     pii_bootstrap,
     quality_gam,
     suffix_dedup,
@@ -596,3 +597,20 @@ def test_targets_of_small_sources_hold(spark):
     early = [r for r in got if r.sequence_id < tiny // 32]
     assert sum(r.length for r in early if 8 <= r.doc_id < 30) == tiny // 32 * 32
     assert sum(r.length for r in got if r.doc_id >= 30) and not any(r.doc_id >= 30 for r in early)
+
+
+@pytest.mark.parametrize("name, pattern, lower", [("word_bpe_49k.json", pieces.WORD_PIECES, True), ("byte_bpe_50k.json", pieces.BYTE_PIECES, False)])
+def test_pieces_are_merged_alone(name, pattern, lower, monkeypatch):
+    """New pieces are given to the merges alone, and to the whole tokenizer only in texts outside Latin-1; the ids are the tokenizer's own, also when memory turns over."""
+    import public_tokenizers
+
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    words = pieces.PieceIds(public_tokenizers.path(name), pattern, lower)
+    r = random.Random(5)
+    texts = ["".join(chr(r.randrange(256)) if r.random() < 0.3 else r.choice("abcAB' st'sd.,12\n\t\x1d\xa0\x85\xe9") for _ in range(r.randrange(60))) for _ in range(400)]
+    texts += ["", " ", "caf\xe9's  \xc9T\xc9", "<|endoftext|> a", "\u4e2d\u6587 text", "e\u0301"]
+    whole, asked = words._encode(texts), []
+    real = words._encode
+    monkeypatch.setattr(words, "_encode", lambda t: asked.extend(t) or real(t))
+    assert words.encode(texts) == whole == words.encode(texts[::-1])[::-1]
+    assert set(asked) == set(texts[-3:])

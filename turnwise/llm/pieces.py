@@ -13,8 +13,6 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 #: Pieces that a worker remembers in each of two generations.
 REMEMBERED = 150_000
 _L = re.escape("".join(c for c in map(chr, range(256)) if c.isalpha()))
@@ -26,6 +24,26 @@ BYTE_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|
 _workers: dict[str, PieceIds] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """For each character of Latin-1 the characters that byte-level vocabularies write for its UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class _Memory(dict):
+    """The ids of pieces; of one that isn't known they come from the older generation, or are made."""
+
+    def __init__(self, old: dict[str, bytes], make):
+        super().__init__()
+        self.old, self.make = old, make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.old.get(piece) or self.make(piece)
+        return ids
+
+
 class PieceIds:
     """A tokenizer with a memory; ``encode`` gives each text's ids as little-endian bytes of type ``kind``."""
 
@@ -38,48 +56,42 @@ class PieceIds:
         self.find, self.lower = re.compile(pattern).findall, lower
         self.kind = "<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
-        suffix = getattr(self.model.model, "end_of_word_suffix", None)
-        self.ends = None  # by id: whether it ends a piece, where the vocabulary tells
-        if suffix:
-            vocabulary = self.model.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.merge, self.written = self.model.model.tokenize, _byte_characters()
+        self.direct = self._merges_alone()
+        self.young = _Memory({}, self._make)
+
+    def _merges_alone(self) -> bool:
+        """Whether the merges alone, on a piece's bytes as they are written, give what the whole tokenizer gives."""
+        known = [c for c in map(chr, range(256)) if self.find(c) == [c] and not (self.lower and c != c.lower())]
+        known += [c + d for c in known for d in ("a", "\xe9", "!", "~") if self.find(c + d) == [c + d]]
+        return self._encode(known) == [self._merged(p) for p in known]
+
+    def _merged(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.merge(piece.translate(self.written))]).tobytes()
+
+    def _make(self, piece: str) -> bytes:
+        return self._merged(piece) if self.direct else self._encode([piece])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; with spaces between them they take one call, if the vocabulary tells where each ends."""
-        if self.ends is not None:
-            ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, self.kind)
-            at = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(at) == len(pieces) and at[-1] == ids.nbytes:
-                raw, at = ids.tobytes(), [0, *at.tolist()]
-                return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return self._encode(pieces)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
+        found: list[bytes | None] = []
         for t in texts:
             try:
                 t.encode("latin-1")
-                pieces.append(None if "<|" in t else self.find(t.lower() if self.lower else t))
             except UnicodeEncodeError:
-                pieces.append(None)
-        plain = [p for p in pieces if p is not None]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        new = set().union(*plain).difference(self.young)
-        for p in new & self.old.keys():
-            self.young[p] = self.old[p]
-        rest = list(new.difference(self.old))
-        for at in range(0, len(rest), 2048):
-            some = rest[at : at + 2048]
-            self.young.update(zip(some, self._encode_pieces(some), strict=True))
-        odd = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        return [next(odd) if p is None else b"".join(map(self.young.__getitem__, p)) for p in pieces]
+                found.append(None)
+                continue
+            if "<|" in t:
+                found.append(None)
+                continue
+            if len(self.young) > REMEMBERED:
+                self.young.old = {}
+                self.young = _Memory(self.young, self._make)
+            found.append(b"".join(map(self.young.__getitem__, self.find(t.lower() if self.lower else t))))
+        odd = iter(self._encode([t for t, p in zip(texts, found, strict=True) if p is None]))
+        return [next(odd) if p is None else p for p in found]
 
 
 def piece_ids(tokenizer: str | None, name: str, pattern: str, lower: bool) -> PieceIds:
