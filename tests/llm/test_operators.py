@@ -614,3 +614,19 @@ def test_pieces_are_merged_alone(name, pattern, lower, monkeypatch):
     monkeypatch.setattr(words, "_encode", lambda t: asked.extend(t) or real(t))
     assert words.encode(texts) == whole == words.encode(texts[::-1])[::-1]
     assert set(asked) == set(texts[-3:])
+
+
+def test_words_are_cut_into_pieces_once(monkeypatch):
+    """Words between white space are remembered whole, long ones are not; the ids are the tokenizer's own, also at odd separators and when memory turns over."""
+    import public_tokenizers
+
+    words = pieces.PieceIds(public_tokenizers.path("word_bpe_49k.json"), pieces.WORD_PIECES, True, True)
+    texts = ["L'\xe9t\xe9 don't stop, 3.14!", "a\x1cb\x1db \x1e\x1fc\x85d\xa0e\x0bf\x0cg\x00h", "", " \n", "<|x|> a", "你 a", "x" * 500 + " it's IT'S it's"]
+    wanted = words._encode(texts)
+    assert words.encode(texts) == wanted and max(map(len, words.words)) <= pieces.LONGEST >= max(map(len, words.young))
+    cut, find = [], words.find
+    words.find = lambda t: cut.append(t) or find(t)
+    assert words.encode([texts[0]] * 3) == [wanted[0]] * 3 and not cut
+    monkeypatch.setattr(pieces, "WORDS", 3)
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    assert words.encode(texts * 2) == wanted * 2

@@ -40,7 +40,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
     """(row, doc_id, source, n, ids): the ids of each whole text and the end id, two bytes an id where they fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = piece_ids(tokenizer, "word_bpe_49k.json", WORD_PIECES, True)
+        words = piece_ids(tokenizer, "word_bpe_49k.json", WORD_PIECES, True, True)
         end = np.array([end_id], words.kind).tobytes()
         wide = np.dtype(words.kind).itemsize
         for batch in batches:
