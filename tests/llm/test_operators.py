@@ -630,3 +630,18 @@ def test_words_are_cut_into_pieces_once(monkeypatch):
     monkeypatch.setattr(pieces, "WORDS", 3)
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     assert words.encode(texts * 2) == wanted * 2
+
+
+def test_shares_are_prepared_for_many_documents_at_once(monkeypatch):
+    """Prepared shares are those made one by one, and documents within two blocks of windows need no others; phases and queues that ran out included."""
+    for totals, targets in (([40_000, 70_000, 9_000], None), ([40_000, 70_000, 9_000, 0], [0.6, 0.2, 0.2, 0.0])):
+        plain, s = mixture_packing.Schedule(totals, targets, 64), mixture_packing.Schedule(totals, targets, 64)
+        docs = [(q, b, min(500, t - b)) for q, t in enumerate(totals) for b in range(0, t, 500)]
+        wanted = [plain.pieces(*d) for d in docs]
+        s.prepare(*map(np.array, zip(*docs, strict=True)))
+        made, served = [], s._served
+        monkeypatch.setattr(s, "_served", lambda *a, served=served, made=made: made.append(a) or served(*a))
+        assert [s.pieces(*d) for d in docs] == wanted and not made
+    monkeypatch.setattr(mixture_packing, "KEPT", 1)
+    s.prepare(*map(np.array, zip(*docs, strict=True)))
+    assert [s.pieces(*d) for d in docs] == wanted

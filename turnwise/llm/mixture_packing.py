@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise, parts, tidy, whole_text
 from .pieces import WORD_PIECES, piece_ids
 
-#: Documents tokenised at once.
+#: Documents tokenised, and given their shares, at once.
 BLOCK = 256
 #: Windows whose shares are worked out together, and bytes of such blocks that a task keeps.
 STEP, KEPT = 32, 16 << 20
@@ -129,6 +129,25 @@ class Schedule:
         at = first // STEP * STEP
         return whole[first - at : last + 1 - at]
 
+    def prepare(self, queues: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+        """Work out at once the shares around both ends of many documents; which ones is told in floating point, and pieces() makes those that are missing."""
+        for k, (_, tokens, wanted, total, before) in enumerate(self.phases):
+            share, shift = np.array(wanted, float)[queues], np.array(before, float)[queues]
+            some = share > 0
+            per = total / (self.window * share[some])
+            ends = np.concatenate([(begins[some] - shift[some]) * per - 2, (begins[some] + lengths[some] - shift[some]) * per + 3])
+            last = -(-tokens // self.window)
+            blocks = np.unique(ends[(ends > -2) & (ends < last + 3)].clip(0, last).astype(np.int64) // STEP)
+            blocks = [b for b in blocks.tolist() if (k, b) not in self.kept]
+            size = STEP * len(wanted) * 8
+            if not blocks or 2 * len(blocks) * size > KEPT:
+                continue
+            if (len(self.kept) + len(blocks)) * size > KEPT:
+                self.kept.clear()
+            at = (np.array(blocks)[:, None] * STEP + np.arange(STEP)[None]).ravel()
+            found = self._served(self.phases[k], np.minimum(at * self.window, tokens))
+            self.kept.update(((k, b), x) for b, x in zip(blocks, found.reshape(len(blocks), STEP, -1), strict=True))
+
     def pieces(self, queue: int, begin: int, length: int) -> list[tuple[int, int, int, int]]:
         """(start in the run, length, window, offset in the window) of a queue's tokens from ``begin``."""
         out = []
@@ -235,17 +254,17 @@ def pack(
                 return pa.RecordBatch.from_arrays([*arrays, pa.array(raws, pa.binary())], [*columns, "ids"])
             return pa.RecordBatch.from_arrays(arrays, columns)
 
-        for batch in batches:
-            named = [batch.column(c) for c in ("doc_id", "n", "queue", "begin", "ids")]
-            for row in range(batch.num_rows):
-                doc, n, queue, begin = (c[row].as_py() for c in named[:4])
+        for part in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
+            named = [part.column(c) for c in ("doc_id", "n", "queue", "begin", "ids")]
+            schedule.prepare(*(named[i].to_numpy(zero_copy_only=False) for i in (2, 3, 1)))
+            for row, (doc, n, queue, begin) in enumerate(zip(*(c.to_pylist() for c in named[:4]), strict=True)):
                 raw = named[4][row].as_buffer()
-                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4")
+                ids = memoryview(np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype("<u4")).cast("B")  # never empty: there is the end id
                 for start, length, at, offset in schedule.pieces(queue, begin, n):
-                    piece = ids[start : start + length].astype("<u4").tobytes()
+                    piece = ids[4 * start : 4 * (start + length)]
                     held.append((doc, start, length, zlib.crc32(piece), n, at, offset))
                     if with_ids:
-                        raws.append(piece)
+                        raws.append(bytes(piece))
                         size += len(piece)
                     if len(held) >= PIECES or size >= PIECE_BYTES:
                         yield flush()
