@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnwise.llm import (
@@ -262,6 +263,17 @@ def test_peeling_recovers_what_differs():
         assert got == (1.0 if not x | y else pytest.approx(len(x & y) / len(x | y)))
 
 
+def test_the_next_text_is_not_sketched_again(monkeypatch):
+    made, real = [], bloom_fingerprint.sketch
+    monkeypatch.setattr(bloom_fingerprint, "sketch", lambda k, o, n: made.append(n) or real(k, o, n))
+    own = [[1, 2, 3], [4], [], [5, 6], [5, 7]]
+    after = [*own[1:4], [5, 9], [5, 8, 7]]  # the last two aren't those of the following row
+    columns = {"doc_id": [1] * 5, "n_chars": [1] * 5, "edited_sha256": [""] * 5} | {c: pa.array(v, pa.list_(pa.int64())) for c, v in (("own", own), ("changed", own), ("next", after))}
+    got = pa.Table.from_batches(bloom_fingerprint._fingerprinted(iter([pa.RecordBatch.from_pydict(columns)])))
+    assert got["near_next"].to_pylist() == [len({*a} & {*b}) / len({*a} | {*b}) for a, b in zip(own, after, strict=True)]
+    assert sum(made) == 5 + 5 + 2
+
+
 def test_next_of_wide_sparse_and_null_ids(spark):
     ids = [-(2**62) - 5, 2**62 + 9, 5, None, *range(40, 90), 2**40]
     texts = [f"text {i} of a few words" for i in range(len(ids))]
