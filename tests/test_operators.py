@@ -517,3 +517,20 @@ def test_orders_read_only_what_tells(spark):
     for policy in ("candidate", "entropy", "expected_value"):
         told = lambda df, p=policy: sorted((r.pool, *r.attributes) for r in asking.attribute_order(p, df).collect())
         assert told(short) == told(pools)
+
+
+def _sent(df):
+    """Whether a join of the plan sends a side to every task."""
+    return "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_side_of_the_state_is_broadcast(spark):
+    words = spark.createDataFrame([("category", "belt", 1), ("color", "black", 1)], "slot string, term string, support long")
+    courses = spark.createDataFrame([(i, [(1, "I'm looking for black belts"), (2, "Actually, ignore my earlier preference. What I need is: belts.")]) for i in range(3)], "sample_id long, course array<struct<turn:int,message:string>>")
+    said = state.share(courses)
+    heard = state.hear(said.messages, words)
+    active = state.active_by_turn(heard)
+    terms = state.turn_terms(said.messages, active)
+    derived = {"mentions": heard.mentions, "entries": state.entries(heard), "active": active, "terms": terms, "changes": state.changes(terms), "gains": state.gains(heard), "routes": state.routes(heard), "weights": state.recency_weights(active, 0.5), "kept": state.dispositions(heard), "diff": state.slot_diff(active, said.messages), "sessions": state.each_session(terms, said.sessions)}
+    assert [k for k, df in derived.items() if _sent(df)] == []
+    assert {(r.turn, r.terms[0]) for r in state.each_session(terms, said.sessions).collect()} == {(1, "black"), (2, "belts")}
