@@ -534,3 +534,15 @@ def test_no_side_of_the_state_is_broadcast(spark):
     derived = {"mentions": heard.mentions, "entries": state.entries(heard), "active": active, "terms": terms, "changes": state.changes(terms), "gains": state.gains(heard), "routes": state.routes(heard), "weights": state.recency_weights(active, 0.5), "kept": state.dispositions(heard), "diff": state.slot_diff(active, said.messages), "sessions": state.each_session(terms, said.sessions)}
     assert [k for k, df in derived.items() if _sent(df)] == []
     assert {(r.turn, r.terms[0]) for r in state.each_session(terms, said.sessions).collect()} == {(1, "black"), (2, "belts")}
+
+
+def test_no_side_of_a_replay_is_broadcast(spark, shop):
+    turns = spark.createDataFrame([(1, 1, "q", 0)], "sample_id long, turn int, query string, stuck_for int")
+    best = spark.createDataFrame([("q", 0, "P0", 1.0, 1)], "query string, ord long, parent_asin string, score double, rank int")
+    pool = best.select("query", "ord", "rank")
+    got = replay.Retrieved(turns, pool, best, V.field_texts(shop))
+    ranked = replay.ranked(turns, got, spark.createDataFrame([(1, "P0")], "sample_id long, target string"))
+    orders = spark.createDataFrame([("q", ["color"])], "pool string, attributes array<string>")
+    reranked = retrieval.rerank(pool.withColumn("terms", F.array(F.lit("red"))), retrieval.among(got.texts, pool), 1)
+    assert not any(_sent(df) for df in (ranked, replay.questions(turns, orders), replay.shown(got), reranked))
+    assert [(r.turn, r["rank"]) for r in ranked.collect()] == [(1, 1)]
